@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that end a word: space, tab, LF, VT, FF, CR.
@@ -48,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         if not n:
             continue
         column_array = batch.column(batch.schema.get_field_index(column))
-        sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(column_array).to_numpy(zero_copy_only=False), dtype=np.float64)))
+        sizes = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(column_array).to_numpy(zero_copy_only=False), dtype=np.float64)))
         start = 0
         while start < n:
             base = sizes[start - 1] if start else 0.0
@@ -59,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and row offsets from 0; null is empty."""
-    array = pa.compute.fill_null(array, "").cast(pa.large_string())
+    array = pc.fill_null(array, "").cast(pa.large_string())
     offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
     data = array.buffers()[2]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
