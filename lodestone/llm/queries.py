@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import gif, packing, piece_bpe, token_counts, warc
+from . import gif, language, packing, piece_bpe, quality, token_counts, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_language_id": language.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_quality_resampling": quality.op5_quality_resampling,
     "op6_gif_media": gif.op6_gif_media,
     "op8_piece_encoding": piece_bpe.op8_piece_encoding,
     "op10_warc": warc.op10_warc,
