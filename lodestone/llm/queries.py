@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import gif, language, multi_index, packing, piece_bpe, quality, token_counts, warc
+from . import gif, language, multi_index, near_duplicates, packing, piece_bpe, quality, token_counts, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_minhash_near_dedup": near_duplicates.op2_minhash_near_dedup,
     "op3_language_id": language.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_resampling": quality.op5_quality_resampling,
