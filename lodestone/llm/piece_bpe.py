@@ -4,6 +4,7 @@ A text is normalised and split before each run of word marks; no piece of the vo
 the model is loaded; otherwise a text is one segment). A segment's characters are merged by an agenda: a heap of adjacent
 symbol pairs, best score first, leftmost among equals. What no piece covers falls back to bytes. Segments are remembered
 in a bounded table a worker. Each Arrow batch is checked against the sentencepiece library.
+Inside this module a word mark is a space, so that Latin text stays one byte a character.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import slices, table
 MARK = "▁"
 #: Segments that a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 1_000_000, 48
+#: Characters of a segment whose agenda is searched as a list; the cost of a pair that is no piece.
+SHORT, NEVER = 24, float("inf")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -69,6 +72,7 @@ class PieceBPE:
                 if kind == BYTE:
                     self.bytes[int(piece[3:5], 16)] = number
                 elif kind in (NORMAL, USER_DEFINED, UNUSED):
+                    piece = piece.replace(MARK, " ")
                     self.ids[piece] = (struct.unpack("<f", x.get(2, b"\0" * 4))[0], number)
                     if kind == UNUSED:
                         self.unused.add(piece)
@@ -80,22 +84,50 @@ class PieceBPE:
         if self.unused or self.defined:
             raise ValueError("vocabularies with unused or user-defined pieces aren't supported")
         self.plain = not norm.get(2) and norm.get(4, 1) == 0 and norm.get(5, 1) == 1 and norm.get(3, 1) == 1
-        crosses = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.segments = re.compile(f".+" if crosses else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
+        self.crosses = any(" " in p.lstrip(" ") for p in self.ids)
+        self.segments = re.compile(".+" if self.crosses else " +[^ ]*|[^ ]+", re.S)
+        self.cost = {p: -score for p, (score, _) in self.ids.items()}.get
         self.seen: dict[str, bytes] = {}
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
 
     def normalize(self, text: str) -> str:
-        """Spaces become marks, with one before the text; other rules are the library's."""
+        """One mark before the text; other rules are the library's."""
         if not text:
             return ""
-        return MARK + text.replace(" ", MARK) if self.plain else self.library.normalize(text)
+        return (" " + text if self.plain else self.library.normalize(text)).replace(MARK, " ")
 
     def agenda(self, segment: str) -> list[int]:
-        """Merge the best adjacent pair until none is a piece."""
+        """Merge the best adjacent pair until none is a piece. A short segment's agenda is a list, a longer one's a heap."""
+        if len(segment) <= SHORT:
+            return self._numbers(self._short(segment))
+        return self._numbers(self._long(segment))
+
+    def _short(self, segment: str) -> list[str]:
+        cost = self.cost
+        parts = list(segment)
+        costs = [cost(segment[i : i + 2], NEVER) for i in range(len(segment) - 1)]
+        while costs and (least := min(costs)) != NEVER:
+            i = costs.index(least)
+            piece = parts[i] + parts[i + 1]
+            parts[i : i + 2] = (piece,)
+            del costs[i]
+            if i < len(costs):
+                costs[i] = cost(piece + parts[i + 1], NEVER)
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + piece, NEVER)
+        return parts
+
+    def _numbers(self, parts: list[str]) -> list[int]:
+        out, ids = [], self.ids
+        for x in parts:
+            if found := ids.get(x):
+                out.append(found[1])
+            else:
+                out += [self.bytes[b] for b in x.encode()]
+        return out
+
+    def _long(self, segment: str) -> list[str]:
         ids, n = self.ids, len(segment)
-        if segment in ids and n == 1:
-            return [ids[segment][1]]
         symbol, before, after = list(segment), list(range(-1, n - 1)), list(range(1, n + 1))
         after[-1] = -1
         heap = []
@@ -117,25 +149,28 @@ class PieceBPE:
                 heapq.heappush(heap, (-found[0], before[left], left, new))
         out, i = [], 0
         while i >= 0:
-            if found := ids.get(symbol[i]):
-                out.append(found[1])
-            else:
-                out += [self.bytes[b] for b in symbol[i].encode()]
+            out.append(symbol[i])
             i = after[i]
         return out
 
-    def __missing(self, segment: str) -> bytes:
-        made = np.array(self.agenda(segment), dtype="<u4").tobytes()
+    def __missing(self, key: str, segment: str) -> bytes:
+        ids = self.agenda(segment)
+        made = struct.pack(f"<{len(ids)}I", *ids)
         if len(segment) <= LONGEST:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            self.seen[segment] = made
+            self.seen[key] = made
         return made
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit, with begin and end."""
-        seen, missing = self.seen.get, self.__missing
-        return struct.pack("<I", self.begin) + b"".join([seen(s) or missing(s) for s in self.segments.findall(self.normalize(text))]) + struct.pack("<I", self.end)
+        seen, missing, text = self.seen.get, self.__missing, self.normalize(text)
+        if text[:1] == " " and "  " not in text and not self.crosses and text[-1] != " ":
+            ids = [seen(w) or missing(w, " " + w) for w in text[1:].split(" ")]  # remembered without its mark
+        else:
+            word = lambda s: len(s) > 1 and s[0] == " " != s[1]
+            ids = [seen(k := s[1:] if word(s) else "\0" + s) or missing(k, s) for s in self.segments.findall(text)]
+        return struct.pack("<I", self.begin) + b"".join(ids) + struct.pack("<I", self.end)
 
 
 @functools.lru_cache(maxsize=2)
