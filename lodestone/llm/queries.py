@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif, language, multi_index, near_duplicates, packing, piece_bpe, quality, token_counts, warc
+from . import gif, language, language_model, multi_index, near_duplicates, packing, piece_bpe, quality, token_counts, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_resampling": quality.op5_quality_resampling,
     "op6_gif_media": gif.op6_gif_media,
+    "op7_pitman_yor_lm": language_model.op7_pitman_yor_lm,
     "op8_piece_encoding": piece_bpe.op8_piece_encoding,
     "op9_multi_index": multi_index.op9_multi_index,
     "op10_warc": warc.op10_warc,
