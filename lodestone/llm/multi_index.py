@@ -5,7 +5,8 @@ halves' nearest centroids. A query walks the pairs by summed distance with a hea
 it has seen hold enough rows, and all rows of those cells are reranked by the exact inner product.
 Rows are stored in blocks of one first centroid each, hot ones in several; queries go in blocks too, with a bit mask of the
 wanted second centroids for each first. A pair of blocks is one matrix product, whose unwanted entries are masked.
-Only pairs of blocks are joined, on the block's number; a task keeps the best k of each query before the shuffle.
+Only pairs of blocks are joined, on the block's number; a task keeps the best k of each query before the shuffle. The k-th
+best score among the sample's rows in a query's cells is a floor: rows below it can't be among the query's k best.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int)
     return out
 
 
-def best_in_block(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.ndarray, x_ids: np.ndarray, seconds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_in_block(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.ndarray, x_ids: np.ndarray, seconds: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's k best rows of the block, ties by id; scores are summed in one fixed order."""
     out = []
     step = max(1, HELD // len(x))
@@ -82,7 +83,9 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.nda
         part, ids = q[s : s + step], q_ids[s : s + step]
         wanted = (masks[s : s + step, None] >> seconds[None].astype(np.uint64)) & np.uint64(1) > 0
         wanted &= ids[:, None] != x_ids[None]
-        scores = np.where(wanted, part @ x.T, -np.inf)
+        scores = part @ x.T
+        wanted &= scores >= floors[s : s + step, None]
+        scores[~wanted] = -np.inf
         least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(part), -np.inf)
         i, j = np.nonzero(wanted & (scores >= (least - 1e-9 * (1 + np.abs(least)))[:, None])) if np.isfinite(least).any() else np.nonzero(wanted)
         for t in range(0, len(i), HELD):
@@ -91,6 +94,17 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.nda
     return best(*map(np.concatenate, zip(*out, strict=True)), k) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def floor(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.ndarray, x_ids: np.ndarray, firsts: np.ndarray, seconds: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's k best rows reach: the k-th best of some rows that it looks at."""
+    scores = q @ x.T
+    seen = (masks[:, firsts] >> seconds[None].astype(np.uint64)) & np.uint64(1) > 0
+    scores[~seen | (q_ids[:, None] == x_ids[None])] = -np.inf
+    if scores.shape[1] < k:
+        return np.full(len(q), -np.inf)
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    return np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
+
+
 def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -score, q))
     q, ids, score = q[order], ids[order], score[order]
@@ -123,13 +137,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CE
     spark = rows.sparkSession
     rows, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL") for x in (rows, queries))
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    _, chosen = vectors(some.column("embedding").combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float64())))
+    kept, chosen = vectors(some.column("embedding").combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float64())))
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimensions = chosen.shape[1]
     half = max(1, dimensions // 2)
     halves = (slice(0, half), slice(half, dimensions)) if dimensions > 1 else (slice(0, 1), slice(0, 1))
     books = spark.sparkContext.broadcast([fit(chosen[:, h], min(centroids, 64)) for h in halves])
+    anchors = spark.sparkContext.broadcast((chosen, some.column("vec_id").to_numpy()[kept], *(nearest(chosen[:, h], c) for h, c in zip(halves, books.value, strict=True))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,15 +191,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CE
                 part = x[s : s + QUERIES]
                 d = [distances(part[:, h], c) for h, c in zip(halves, books.value, strict=True)]
                 masks = np.stack([walk(a, b, counts, enough) for a, b in zip(*d, strict=True)])
-                raw_ids, raw = ids[s : s + QUERIES].tobytes(), part.tobytes()
+                floors = floor(part, ids[s : s + QUERIES], masks, *anchors.value, k)
                 for i in range(shape[0]):
                     used = np.flatnonzero(masks[:, i])
                     if len(used) and counts[i].any():
-                        one = (raw_ids, raw, masks[:, i].tobytes()) if len(used) == len(part) else (ids[s : s + QUERIES][used].tobytes(), part[used].tobytes(), masks[used, i].tobytes())
+                        one = ids[s : s + QUERIES][used].tobytes(), part[used].tobytes(), masks[used, i].tobytes(), floors[used].tobytes()
                         n = salts[i]
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int32()), pa.array(range(n), pa.int64()), *(pa.array([v] * n, pa.binary()) for v in one)], ["first", "salt", "q_ids", "q_vectors", "q_masks"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int32()), pa.array(range(n), pa.int64()), *(pa.array([v] * n, pa.binary()) for v in one)], ["first", "salt", *asking])
 
-    asked = queries.mapInArrow(route, "first int, salt long, q_ids binary, q_vectors binary, q_masks binary")
+    asking = ["q_ids", "q_vectors", "q_masks", "q_floors"]
+    asked = queries.mapInArrow(route, "first int, salt long, q_ids binary, q_vectors binary, q_masks binary, q_floors binary")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -200,7 +216,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CE
             for row in batch.to_pylist():
                 q = np.frombuffer(row["q_vectors"]).reshape(-1, dimensions)
                 x = np.frombuffer(row["vectors"]).reshape(-1, dimensions)
-                held.append(best_in_block(q, np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_masks"], np.uint64), x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["seconds"], np.uint8), k))
+                held.append(best_in_block(q, np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_masks"], np.uint64), x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["seconds"], np.uint8), k, np.frombuffer(row["q_floors"])))
                 n += len(held[-1][0])
                 if n > HELD:
                     held[:] = [cut()]
@@ -210,7 +226,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CE
         if held:
             yield out(cut())
 
-    found = asked.join(stored, ["first", "salt"]).select("q_ids", "q_vectors", "q_masks", "ids", "vectors", "seconds").mapInArrow(rerank, "query_id long, vec_id long, score double")
+    found = asked.join(stored, ["first", "salt"]).select(*asking, "ids", "vectors", "seconds").mapInArrow(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
