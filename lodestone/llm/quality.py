@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ BUCKETS, GRAM, SHRINK = 1 << 18, 4, 5.0
 SHARE, SLACK = 0.005, 40.0
 #: n-grams to which a longer document's log weight is scaled.
 LENGTH = 200
-#: Target rows from whose weights the threshold is taken: a bounded sample, those with the smallest hashes.
-SAMPLE = 50_000
+#: Target keys that the target's model is fitted on and the threshold is taken from: a bounded sample, the smallest hashes.
+SAMPLE = 100_000
 BLOCKS, ADDERS = 256, 64
 _random = np.random.Generator(np.random.PCG64(97))
 _PLACE = _random.integers(1, 2**63, (GRAM, 256), dtype=np.uint64)
@@ -49,15 +50,21 @@ def grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, bucket, np.diff(np.append(starts, len(key)))
 
 
-def learn(rows: DataFrame) -> np.ndarray:
-    """rows: text, good. Counts by bucket of the target and of all rows (2 x BUCKETS)."""
+def among(ids: pa.Array, target: np.ndarray) -> np.ndarray:
+    """Which ids are in the sorted target."""
+    ids = ids.to_numpy()
+    return target[np.minimum(np.searchsorted(target, ids), len(target) - 1)] == ids if len(target) else np.zeros(len(ids), bool)
+
+
+def learn(rows: DataFrame, target: Broadcast) -> np.ndarray:
+    """rows: text, id; target: sorted ids. Counts by bucket of the target and of all rows (2 x BUCKETS)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in slices(batches, "text"):
             row, bucket, n = grams(batch.column("text"))
             sums[1] += np.bincount(bucket, n, BUCKETS).astype(np.int64)
-            good = np.asarray(batch.column("good").to_pylist(), bool)[row]
+            good = among(batch.column("id"), target.value)[row]
             sums[0] += np.bincount(bucket[good], n[good], BUCKETS).astype(np.int64)
         yield out({i: sums[:, i * size : (i + 1) * size] for i in range(BLOCKS)} if sums.any() else {})
 
@@ -74,7 +81,7 @@ def learn(rows: DataFrame) -> np.ndarray:
     size = BUCKETS // BLOCKS
     counts = np.zeros((2, BUCKETS), np.int64)
     kind = "block int, counts binary"
-    for r in rows.select("text", "good").mapInArrow(count, kind).repartition(ADDERS, "block").mapInArrow(add, kind).toLocalIterator():
+    for r in rows.select("text", "id").mapInArrow(count, kind).repartition(ADDERS, "block").mapInArrow(add, kind).toLocalIterator():
         counts[:, r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["counts"], np.int64).reshape(2, size)
     return counts
 
@@ -106,34 +113,35 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, slack: float = SLACK, k: int | None = None, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, slack: float = SLACK, sample: int = SAMPLE, k: int | None = None, seed: int = 0) -> DataFrame:
     """Per row of docs: key, n_grams, log_weight, sample_key (log weight plus noise), selected.
 
-    labels: doc_id, quality, toxic; a row is of the target if some label of its key has quality 1 and toxic 0. k: how many
+    labels: doc_id, quality, toxic; a row is of the target if some label of its key has quality 1 and toxic 0 (of more than
+    `sample` such keys, those with the smallest hashes; the raw model is of all rows). k: how many
     rows to sample; by default set from the threshold. Rows whose sample_key equals the k-th are selected too, so repeated
     rows stand or fall together. Null and short texts weigh 0. Without target rows all are selected. Other columns are ignored.
     """
-    good = labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("key")).distinct().withColumn("good", F.lit(True))
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = docs.join(good, "key", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(rows))
+    rows = docs.withColumns({"mark": F.xxhash64("key", "text"), "id": F.xxhash64("key")})
+    chosen = labels.where("quality = 1 AND toxic = 0").select(F.xxhash64(F.col("doc_id").cast(docs.schema["key"].dataType)).alias("id")).distinct().orderBy("id").limit(sample).toArrow()
+    target = docs.sparkSession.sparkContext.broadcast(np.sort(chosen.column("id").to_numpy()))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(rows, target))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            is_good = np.asarray(batch.column("good").to_pylist(), bool)
+            is_good = among(batch.column("id"), target.value)
             weight, n = log_weights(batch.column("text"), is_good, shared.value)
             mark = mix(batch.column("mark").to_numpy().view(np.uint64) + np.uint64(seed))
             sample = weight - np.log(-np.log(((mark >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53))
             bits = sample.view(np.int64)
             order = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("good"), pa.array(mark.view(np.int64)), pa.array(n), pa.array(weight), pa.array(sample), pa.array(order)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(is_good), pa.array(mark.view(np.int64)), pa.array(n), pa.array(weight), pa.array(sample), pa.array(order)], names)
 
     names = ["key", "good", "mark", "n_grams", "log_weight", "sample_key", "order"]
     kind = docs.schema["key"].dataType.simpleString()
-    marked = rows.withColumn("mark", F.xxhash64("key", "text"))
-    weighed = materialize(marked.mapInArrow(weigh, f"key {kind}, good boolean, mark long, n_grams long, log_weight double, sample_key double, order long"), "weights")
+    weighed = materialize(rows.mapInArrow(weigh, f"key {kind}, good boolean, mark long, n_grams long, log_weight double, sample_key double, order long"), "weights")
     if k is None:
-        low = [r[0] for r in weighed.where("good").orderBy("mark").limit(SAMPLE).select("log_weight").toLocalIterator()]
+        low = [r[0] for r in weighed.where("good").orderBy("mark").limit(sample).select("log_weight").toLocalIterator()]
         k = weighed.where(F.col("log_weight") >= float(np.quantile(low, share)) - slack).count() if low else None
     least = kth_largest(weighed, "order", k) if k else None
     selected = F.lit(True) if least is None and k != 0 else F.lit(False) if k == 0 else F.col("order") >= least
