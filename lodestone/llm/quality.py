@@ -10,7 +10,7 @@ log weight is at least what all but a small share of the target's documents reac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,39 +113,83 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, slack: float = SLACK, sample: int = SAMPLE, k: int | None = None, seed: int = 0) -> DataFrame:
-    """Per row of docs: key, n_grams, log_weight, sample_key (log weight plus noise), selected.
+class Sampler:
+    """The models fitted on docs and labels, and the least sample key that is selected (None: all are).
 
     labels: doc_id, quality, toxic; a row is of the target if some label of its key has quality 1 and toxic 0 (of more than
-    `sample` such keys, those with the smallest hashes; the raw model is of all rows). k: how many
-    rows to sample; by default set from the threshold. Rows whose sample_key equals the k-th are selected too, so repeated
-    rows stand or fall together. Null and short texts weigh 0. Without target rows all are selected. Other columns are ignored.
+    `sample` such keys, those with the smallest hashes; the raw model is of all rows). k: how many rows to sample; by default
+    set from the threshold. Without target rows all are selected.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = docs.withColumns({"mark": F.xxhash64("key", "text"), "id": F.xxhash64("key")})
-    chosen = labels.where("quality = 1 AND toxic = 0").select(F.xxhash64(F.col("doc_id").cast(docs.schema["key"].dataType)).alias("id")).distinct().orderBy("id").limit(sample).toArrow()
-    target = docs.sparkSession.sparkContext.broadcast(np.sort(chosen.column("id").to_numpy()))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(rows, target))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+    def __init__(self, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, slack: float = SLACK, sample: int = SAMPLE, k: int | None = None, seed: int = 0):
+        self.key, self.text, self.seed, context = key, text, seed, docs.sparkSession.sparkContext
+        rows = self.rows(docs)
+        chosen = labels.where("quality = 1 AND toxic = 0").select(F.xxhash64(F.col("doc_id").cast(docs.schema[key].dataType)).alias("id")).distinct().orderBy("id").limit(sample).toArrow()
+        self.target = context.broadcast(np.sort(chosen.column("id").to_numpy()))
+        self.counts = context.broadcast(learn(rows, self.target))
+        names = ["key", "good", "mark", "n_grams", "log_weight", "sample_key", "order"]
+        weigh = self.weigh
+
+        def table_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *weigh(batch)], names)
+
+        kind = docs.schema[key].dataType.simpleString()
+        self.weighed = materialize(rows.mapInArrow(table_of, f"key {kind}, good boolean, mark long, n_grams long, log_weight double, sample_key double, order long"), "weights")
+        self.k = k
+        if k is None:
+            low = [r[0] for r in self.weighed.where("good").orderBy("mark").limit(sample).select("log_weight").toLocalIterator()]
+            self.k = self.weighed.where(F.col("log_weight") >= float(np.quantile(low, share)) - slack).count() if low else None
+        self.least = (2**63 - 1 if self.k == 0 else kth_largest(self.weighed, "order", self.k)) if self.k is not None else None
+
+    def rows(self, docs: DataFrame) -> DataFrame:
+        rows = docs.select(F.col(self.key).alias("key"), F.col(self.text).cast("string").alias("text"))
+        return rows.withColumns({"mark": F.xxhash64("key", "text"), "id": F.xxhash64("key")})
+
+    @property
+    def weigh(self) -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        target, counts, seed = self.target, self.counts, self.seed
+
+        def weigh(batch: pa.RecordBatch) -> list[pa.Array]:
+            """Of a batch of rows(): whether of the target, mark, n-grams, log weight, sample key, and its order as a long."""
             is_good = among(batch.column("id"), target.value)
-            weight, n = log_weights(batch.column("text"), is_good, shared.value)
+            weight, n = log_weights(batch.column("text"), is_good, counts.value)
             mark = mix(batch.column("mark").to_numpy().view(np.uint64) + np.uint64(seed))
             sample = weight - np.log(-np.log(((mark >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53))
             bits = sample.view(np.int64)
             order = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(is_good), pa.array(mark.view(np.int64)), pa.array(n), pa.array(weight), pa.array(sample), pa.array(order)], names)
-
-    names = ["key", "good", "mark", "n_grams", "log_weight", "sample_key", "order"]
-    kind = docs.schema["key"].dataType.simpleString()
-    weighed = materialize(rows.mapInArrow(weigh, f"key {kind}, good boolean, mark long, n_grams long, log_weight double, sample_key double, order long"), "weights")
-    if k is None:
-        low = [r[0] for r in weighed.where("good").orderBy("mark").limit(sample).select("log_weight").toLocalIterator()]
-        k = weighed.where(F.col("log_weight") >= float(np.quantile(low, share)) - slack).count() if low else None
-    least = kth_largest(weighed, "order", k) if k else None
-    selected = F.lit(True) if least is None and k != 0 else F.lit(False) if k == 0 else F.col("order") >= least
-    return weighed.select(F.col("key").alias(key), "n_grams", "log_weight", "sample_key", selected.alias("selected"))
+            return [pa.array(is_good), pa.array(mark.view(np.int64)), pa.array(n), pa.array(weight), pa.array(sample), pa.array(order)]
+
+        return weigh
+
+
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """Per row of docs: key, n_grams, log_weight, sample_key (log weight plus noise), selected. Options: see Sampler.
+
+    Rows whose sample_key equals the k-th are selected too, so repeated rows stand or fall together. Null and short texts
+    weigh 0. Other columns are ignored; an empty table gives no rows.
+    """
+    fitted = Sampler(docs, labels, key, **options)
+    selected = F.lit(True) if fitted.least is None else F.col("order") >= fitted.least
+    return fitted.weighed.select(F.col("key").alias(key), "n_grams", "log_weight", "sample_key", selected.alias("selected"))
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that resample() selects, whole: weighed again where they are read, so that no text is shuffled."""
+    fitted = Sampler(docs, labels, key, text, **options)
+    if fitted.least is None:
+        return docs
+    least, weigh, columns = fitted.least, fitted.weigh, docs.columns
+    extra = ["__key", "__text", "__mark", "__id"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            inner = pa.RecordBatch.from_arrays([batch.column(c) for c in extra], ["key", "text", "mark", "id"])
+            yield batch.select(columns).filter(pa.array(weigh(inner)[-1].to_numpy() >= least))
+
+    text_column = F.col(text).cast("string")
+    marked = docs.withColumns({"__key": F.col(key), "__text": text_column, "__mark": F.xxhash64(F.col(key), text_column), "__id": F.xxhash64(F.col(key))})
+    return marked.mapInArrow(keep, docs.schema)
 
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
