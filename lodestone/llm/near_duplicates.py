@@ -94,7 +94,7 @@ def may_be_similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.select("a", "b", "sketch", "other").mapInArrow(compare, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough by their full sets.
 
     A leader a is sent with each chunk of its partners, so a text travels once for each chunk it is in.
@@ -119,8 +119,8 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                         out.append((a, doc))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("a", "chunk", "doc_id", "partner", "text")
-    return texts.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "partner", "doc_id").mapInArrow(check, "a long, b long").distinct()
+    sent = wanted.join(texts, "doc_id").select("a", "chunk", "doc_id", "partner", "text")
+    return sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "partner", "doc_id").mapInArrow(check, "a long, b long").distinct()
 
 
 def unconnected_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
@@ -178,13 +178,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = band_rows(signed)
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("n")).where("leader <> last").drop("last")
     buckets = materialize(keys.join(shared, "key"), "buckets")
+    texts = materialize(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id"), "texts")
     stars = may_be_similar(buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), signed)
-    links = materialize(confirm(materialize(stars, "stars"), docs), "star-links")
+    links = materialize(confirm(materialize(stars, "stars"), texts), "star-links")
     first = components(links)
     labelled = buckets.where("n > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rest = materialize(unconnected_pairs(labelled.join(mixed, "key"), signed).distinct(), "rest")
-    more = confirm(rest, docs)
+    more = confirm(rest, texts)
     ends = components(links.union(more))
     out = signs.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left")
