@@ -30,7 +30,7 @@ NEED = 75
 BANDS, ROWS = 40, 4
 SAMPLES, BITS, Z = 1024, 4096, 5.0
 #: Members of a block in step 4, and of a leader's chunk when pairs are confirmed.
-BLOCK, CHUNK = 256, 64
+BLOCK, CHUNK = 512, 64
 
 
 def most_differing(similarity: float, z: float = Z) -> int:
@@ -113,9 +113,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if not partner:
                     leader, whose = mine.copy(), (a, chunk)
                 elif whose == (a, chunk):
-                    place = np.minimum(np.searchsorted(leader, mine), max(len(leader) - 1, 0))
-                    same = int((leader[place] == mine).sum()) if len(leader) and len(mine) else 0
-                    if 100 * same >= NEED * (len(leader) + len(mine) - same):
+                    if similar(leader, mine):
                         out.append((a, doc))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -124,7 +122,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def unconnected_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """members: key, rep, component, n (the bucket's size). Pairs of different components in a bucket that may be similar.
+    """members: key, rep, component, n (the bucket's size). Pairs of different components in a bucket that may be similar:
+    a row for each document of two blocks (key, i, j), with the documents it is to be compared with.
 
     A bucket's members fall into blocks of about BLOCK; every two blocks meet in one group of rows.
     """
@@ -142,16 +141,16 @@ def unconnected_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
             bands = np.frombuffer(b"".join(x[6] for x in held), np.int64).reshape(len(held), BANDS)
             sketch = np.frombuffer(b"".join(x[7] for x in held), np.uint64).reshape(len(held), -1)
             held.clear()
-            found = []
+            partners, involved = [b""] * len(rep), np.zeros(len(rep), bool)
             for x in range(len(rep)):
                 ys = np.flatnonzero((component != component[x]) & (rep > rep[x]) & ((block != block[x]) | (i == j)))
                 ys = ys[np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1) <= most]
                 if len(ys):
-                    same = bands[ys] == bands[x]
-                    ys = ys[bands[x][same.argmax(axis=1)] == key]
-                    found.append((np.full(len(ys), rep[x]), rep[ys]))
-            a, b = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    ys = ys[bands[x][(bands[ys] == bands[x]).argmax(axis=1)] == key]
+                    partners[x] = rep[ys].tobytes()
+                    involved[ys] = involved[x] = True
+            who = np.flatnonzero(involved)
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(who), pa.int64()), pa.array([i] * len(who), pa.int32()), pa.array([j] * len(who), pa.int32()), pa.array(rep[who]), pa.array([partners[x] for x in who], pa.binary())], ["key", "i", "j", "doc_id", "partners"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
@@ -161,7 +160,44 @@ def unconnected_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
+    return paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "key long, i int, j int, doc_id long, partners binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if not len(x) or not len(y):
+        return False
+    same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * same >= NEED * (len(x) + len(y) - same)
+
+
+def confirm_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) among what unconnected_pairs has found; a group holds the sets of two blocks at most."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        wanted: list[tuple[int, bytes]] = []
+        now = None
+
+        def out() -> pa.RecordBatch:
+            links = [(a, b) for a, raw in wanted for b in np.frombuffer(raw, np.int64).tolist() if similar(held[a], held[b])]
+            held.clear()
+            wanted.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in slices(batches, "text"):
+            sets, edges, _, _ = shingle_sets(batch.column("text"))
+            for n, (*group, doc, partners) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "partners")), strict=True)):
+                if group != now and held:
+                    yield out()
+                now = group
+                held[doc] = sets[edges[n] : edges[n + 1]].copy()
+                wanted.append((doc, partners))
+        if held:
+            yield out()
+
+    sent = rows.join(texts, "doc_id").select("key", "i", "j", "doc_id", "partners", "text")
+    return sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,9 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = components(links)
     labelled = buckets.where("n > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(unconnected_pairs(labelled.join(mixed, "key"), signed).distinct(), "rest")
-    more = confirm(rest, texts)
-    ends = components(links.union(more))
+    rest = materialize(unconnected_pairs(labelled.join(mixed, "key"), signed), "rest")
+    ends = components(links.union(confirm_blocks(rest, texts)))
     out = signs.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
