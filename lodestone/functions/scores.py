@@ -21,7 +21,8 @@ def age_days(micros: Column, now_micros: int) -> Column:
 
 def recency(micros: Column, half_life_days: float, now_micros: int) -> Column:
     """Half after each half-life; a missing time is 0."""
-    return F.coalesce(F.pow(F.lit(0.5), age_days(micros, now_micros) / min(max(half_life_days, 1.0), 3650.0)), F.lit(0.0))
+    faded = F.pow(F.lit(0.5), age_days(micros, now_micros) / min(max(half_life_days, 1.0), 3650.0))
+    return F.when(micros.isNull(), F.lit(0.0)).otherwise(faded)
 
 
 def effective_created(created: Column, modified: Column, now_micros: int) -> Column:
