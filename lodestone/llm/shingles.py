@@ -25,7 +25,7 @@ def shingle_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     for i, c in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
         np.add.at(sequence[i], owner, mix(words ^ (place * np.uint64(c) + np.uint64(i))))
     h = np.zeros(len(words), np.uint64)
-    for i in range(WORDS):
+    for i in range(min(WORDS, len(words))):
         h[: len(words) - i] += words[i:] * _PLACE[i]
     whole = np.repeat(n, n) - place.astype(np.int64) >= WORDS
     h, by = mix(h[whole]), owner[whole]
