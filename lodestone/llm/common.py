@@ -42,8 +42,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about most_bytes of a column's text, at least one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds about most_bytes of a column's text and most_rows rows, one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -53,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         start = 0
         while start < n:
             base = sizes[start - 1] if start else 0.0
-            end = max(start + 1, int(np.searchsorted(sizes, base + most_bytes, side="right")))
+            end = min(start + most_rows, max(start + 1, int(np.searchsorted(sizes, base + most_bytes, side="right"))))
             yield batch.slice(start, end - start)
             start = end
 
@@ -84,8 +84,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at once: the arrays for a byte take about 50 more.
+AT_ONCE = 1 << 20
+
+
+def row_groups(offsets: np.ndarray, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of about most bytes together, one at least."""
+    start = 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        yield start, end
+        start = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of each row, and each row's first word's place (with the end: rows + 1)."""
+    words, firsts, n = [np.zeros(0, np.uint64)], [], 0
+    for a, b in row_groups(offsets):
+        w, first = _word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        words.append(w)
+        firsts.append(first[:-1] + n)
+        n += len(w)
+    return np.concatenate(words), np.concatenate([*firsts, [n]]).astype(np.int64)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_IS_SEPARATOR[data]
