@@ -46,18 +46,17 @@ def most_differing(similarity: float, z: float = Z) -> int:
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """rows x BITS / 8 bytes from SAMPLES x rows minima."""
     count, rows = samples.shape
-    place = mix(samples.astype(np.uint64) + (np.arange(count, dtype=np.uint64) << np.uint64(32))[:, None]) % np.uint64(BITS)
-    flips = np.zeros((rows, BITS), np.uint16)
+    bits, row = np.zeros((rows, BITS), np.uint8), np.arange(rows)
     for i in range(count):
-        flips[np.arange(rows), place[i].astype(np.int64)] += 1
-    return np.packbits(flips & 1, axis=1)
+        bits[row, (mix(samples[i].astype(np.uint64) + np.uint64(i << 32)) % np.uint64(BITS)).astype(np.int64)] ^= 1
+    return np.packbits(bits, axis=1)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, h1, h2, bands, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             sets, edges, h1, h2 = shingle_sets(batch.column("text"))
             samples = minhash(sets, edges, SAMPLES)
             bands = np.stack([mix(sum((mix(samples[b * ROWS + r].astype(np.uint64) + np.uint64(r << 40)) * np.uint64(2 * r + 1) for r in range(ROWS)), np.zeros(batch.num_rows, np.uint64)) + np.uint64(b << 50)) for b in range(BANDS)], axis=1)
@@ -105,7 +104,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, whose = None, None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sets, edges, _, _ = shingle_sets(batch.column("text"))
             out = []
             for i, (a, chunk, doc, partner) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "doc_id", "partner")), strict=True)):
@@ -185,7 +184,7 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
             wanted.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sets, edges, _, _ = shingle_sets(batch.column("text"))
             for n, (*group, doc, partners) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "partners")), strict=True)):
                 if group != now and held:
