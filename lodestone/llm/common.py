@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that end a word: space, tab, LF, VT, FF, CR.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -42,6 +43,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, hashed: str, k: int) -> DataFrame:
+    """The rows with the k smallest values of a column of 64-bit hashes (all, if there are no more), in order.
+
+    A cut that leaves about k rows comes first, so that the task that orders them never sees more than some above k.
+    """
+    n = df.count()
+    if n > k:
+        df = df.where(F.col(hashed) <= int(2**64 * min(1.0, (k + 8 * k**0.5) / n)) - 2**63)
+    return df.orderBy(hashed).limit(k)
+
+
+def most_frequent(df: DataFrame, count: str, k: int) -> DataFrame:
+    """At most k rows with the largest counts: whole classes of like counts, so that no task has to order rows."""
+    kind = F.floor(F.log2(count) * 16).cast("int")
+    total, low = 0, None
+    for r in sorted(df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["kind"]):  # 1024 classes at most
+        total += r["n"]
+        if total > k:
+            break
+        low = r["kind"]
+    return df.where(F.lit(False)) if low is None else df.where(kind >= low)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about most_bytes of a column's text and most_rows rows, one row at least."""
     for batch in batches:

@@ -22,6 +22,8 @@ DIMENSIONS, SEED = 1024, 7
 #: Of the crc32 of doc_id as text, these remainders are held out.
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
+#: Text bytes whose trigrams are counted at once: the arrays for a letter take about 50 bytes.
+AT_ONCE = 2 << 20
 #: Tasks that add up the other tasks' partial prototypes.
 ADDERS = 64
 
@@ -85,7 +87,7 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int =
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", AT_ONCE):
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
             number = {n: i for i, n in enumerate(names)}
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     shared = docs.sparkSession.sparkContext.broadcast(np.array([v / np.linalg.norm(v) for v in found.values()]).reshape(-1, dimensions))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, AT_ONCE):
             langs, score = predict(_read(batch, text), names, shared.value, dimensions, seed)
             yield batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(score))
 

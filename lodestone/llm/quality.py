@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, slices, table, utf8
+from .common import hash_sample, materialize, mix, slices, table, utf8
 
 BUCKETS, GRAM, SHRINK = 1 << 18, 4, 5.0
 #: The share of the target's documents below which the threshold lies, and how far below.
@@ -28,6 +28,8 @@ LENGTH = 200
 #: Target keys that the target's model is fitted on and the threshold is taken from: a bounded sample, the smallest hashes.
 SAMPLE = 100_000
 BLOCKS, ADDERS = 256, 64
+#: Text bytes whose n-grams are counted at once: the arrays for a byte take about 60 more.
+AT_ONCE = 2 << 20
 _random = np.random.Generator(np.random.PCG64(97))
 _PLACE = _random.integers(1, 2**63, (GRAM, 256), dtype=np.uint64)
 
@@ -61,7 +63,7 @@ def learn(rows: DataFrame, target: Broadcast) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             row, bucket, n = grams(batch.column("text"))
             sums[1] += np.bincount(bucket, n, BUCKETS).astype(np.int64)
             good = among(batch.column("id"), target.value)[row]
@@ -124,22 +126,23 @@ class Sampler:
     def __init__(self, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, slack: float = SLACK, sample: int = SAMPLE, k: int | None = None, seed: int = 0):
         self.key, self.text, self.seed, context = key, text, seed, docs.sparkSession.sparkContext
         rows = self.rows(docs)
-        chosen = labels.where("quality = 1 AND toxic = 0").select(F.xxhash64(F.col("doc_id").cast(docs.schema[key].dataType)).alias("id")).distinct().orderBy("id").limit(sample).toArrow()
+        chosen = labels.where("quality = 1 AND toxic = 0").select(F.xxhash64(F.col("doc_id").cast(docs.schema[key].dataType)).alias("id")).distinct()
+        chosen = hash_sample(chosen, "id", sample).toArrow()
         self.target = context.broadcast(np.sort(chosen.column("id").to_numpy()))
         self.counts = context.broadcast(learn(rows, self.target))
         names = ["key", "good", "mark", "n_grams", "log_weight", "sample_key", "order"]
         weigh = self.weigh
 
         def table_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", AT_ONCE):
                 yield pa.RecordBatch.from_arrays([batch.column("key"), *weigh(batch)], names)
 
         kind = docs.schema[key].dataType.simpleString()
         self.weighed = materialize(rows.mapInArrow(table_of, f"key {kind}, good boolean, mark long, n_grams long, log_weight double, sample_key double, order long"), "weights")
         self.k = k
         if k is None:
-            low = [r[0] for r in self.weighed.where("good").orderBy("mark").limit(sample).select("log_weight").toLocalIterator()]
-            self.k = self.weighed.where(F.col("log_weight") >= float(np.quantile(low, share)) - slack).count() if low else None
+            low = hash_sample(self.weighed.where("good"), "mark", sample).select("log_weight").toArrow().column(0).to_numpy()
+            self.k = self.weighed.where(F.col("log_weight") >= float(np.quantile(low, share)) - slack).count() if len(low) else None
         self.least = (2**63 - 1 if self.k == 0 else kth_largest(self.weighed, "order", self.k)) if self.k is not None else None
 
     def rows(self, docs: DataFrame) -> DataFrame:
@@ -183,7 +186,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     extra = ["__key", "__text", "__mark", "__id"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", AT_ONCE):
             inner = pa.RecordBatch.from_arrays([batch.column(c) for c in extra], ["key", "text", "mark", "id"])
             yield batch.select(columns).filter(pa.array(weigh(inner)[-1].to_numpy() >= least))
 
