@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import scores as S
 from ..functions import text as T
-from ..plans.intent import Intent, Term
+from ..plans.intent import Intent
 
 #: Rows that a lane passes on.
 MOST = 5000
@@ -34,29 +35,28 @@ def hard_filters(intent: Intent, modified: Column, from_micros: int | None = Non
     return reduce(lambda a, b: a & b, tests)
 
 
-def _strength(words: Column, word: str, values: tuple[float, float, float]) -> Column:
-    """How well a word is in a list of words: equal, at the begin (3 letters or more), inside (4 or more; Hangul 2)."""
+def _long_enough(word: str, letters: int) -> bool:
+    return len(word) >= (2 if any("가" <= c <= "힣" for c in word) else letters)
+
+
+def strength(words: Column, wanted: list[str], values: tuple[float, float, float]) -> Column:
+    """How well the best of a list of words fits one of the wanted: equal, at the begin (3 letters or more), inside (4 or more;
+    Hangul from 2 on). One pass over the list, however many words are wanted."""
     equal, prefix, inside = values
-    hangul = any("가" <= c <= "힣" for c in word)
-    rate = lambda w: F.when(w == word, equal)
+    heads, parts = ("|".join(re.escape(w) for w in wanted if _long_enough(w, n)) for n in (3, 4))
 
     def one(w: Column) -> Column:
-        c = rate(w)
-        if len(word) >= 3 or hangul and len(word) >= 2:
-            c = c.when(F.startswith(w, F.lit(word)), prefix)
-        if len(word) >= 4 or hangul and len(word) >= 2:
-            c = c.when(F.contains(w, F.lit(word)), inside)
+        c = F.when(w.isin(*wanted), equal)
+        if heads:
+            c = c.when(w.rlike(f"^(?:{heads})"), prefix)
+        if parts:
+            c = c.when(w.rlike(parts), inside)
         return c.otherwise(0.0)
 
-    return F.coalesce(F.array_max(F.transform(words, one)), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(words, one)), F.lit(0.0)) if wanted else F.lit(0.0)
 
 
-def best_match(words: Column, term: Term) -> tuple[Column, Column]:
-    """(strength, whether by the original word; it wins ties)."""
-    own = _strength(words, term.original, (1.0, 0.92, 0.80))
-    others = [_strength(words, a.lower(), (0.78, 0.68, 0.56)) for a in term.names if a.lower() != term.original]
-    other = F.greatest(F.lit(0.0), F.lit(0.0), *others)
-    return F.greatest(own, other), (own >= other) & (own > 0)
+OWN, OTHER = (1.0, 0.92, 0.80), (0.78, 0.68, 0.56)
 
 
 def search(files: DataFrame, intent: Intent, k: int, now_micros: int = 0, from_micros: int | None = None, to_micros: int | None = None) -> DataFrame:
@@ -72,9 +72,12 @@ def search(files: DataFrame, intent: Intent, k: int, now_micros: int = 0, from_m
     fits = []
     for i, t in enumerate(terms):
         for part in ("name", "path", "type"):
-            s, own = best_match(F.col(f"_{part}"), t)
-            fits += [s.alias(f"_{part}_{i}"), own.alias(f"_{part}_own_{i}")]
+            fits += [strength(F.col(f"_{part}"), [t.original], OWN).alias(f"_o_{part}_{i}"), strength(F.col(f"_{part}"), [a.lower() for a in t.names if a.lower() != t.original], OTHER).alias(f"_a_{part}_{i}")]
     rows = rows.select("*", *fits)
+    each = [(p, i) for i in range(n) for p in ("name", "path", "type")]
+    best = [F.greatest(f"_o_{p}_{i}", f"_a_{p}_{i}").alias(f"_{p}_{i}") for p, i in each]
+    own = [((F.col(f"_o_{p}_{i}") >= F.col(f"_a_{p}_{i}")) & (F.col(f"_o_{p}_{i}") > 0)).alias(f"_{p}_own_{i}") for p, i in each]  # the original wins ties
+    rows = rows.select("*", *best, *own)
     c = F.col
     total = F.lit(0.0)
     counts = {x: F.lit(0) for x in ("name", "path", "type", "name_own", "path_own", "type_own", "matched", "own", "both")}
