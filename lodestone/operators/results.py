@@ -59,7 +59,9 @@ def list_folder(files: DataFrame, folder: str, mode: str = "Name") -> DataFrame:
 
 def round_robin(pending: DataFrame, budget: int, group: str, priority: str, key: str) -> DataFrame:
     """At most budget rows: every group's best first, then every group's second, groups by their best priority."""
-    rows = pending.withColumns({"turn": F.row_number().over(Window.partitionBy(group).orderBy(F.desc(priority), key)), "best": F.max(priority).over(Window.partitionBy(group))})
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(priority), key))
+    # no group can use more than the budget: Spark cuts each task's rows to that before it brings a group together
+    rows = pending.withColumn("turn", turn).where(F.col("turn") <= budget).withColumn("best", F.max(priority).over(Window.partitionBy(group)))
     return rows.orderBy("turn", F.desc("best"), group).limit(budget)
 
 
@@ -99,6 +101,12 @@ def readiness(documents: DataFrame, index: DataFrame, versions: list[str]) -> Da
     return joined.agg(F.count("*").alias("documents"), F.count_if(F.col("_v").isNotNull() & (F.col("_v") == F.col("_now"))).alias("current"), F.count_if(F.col("_v").isNotNull() & (F.col("_v") != F.col("_now"))).alias("stale"), F.count_if(F.col("_v").isNull()).alias("missing"))
 
 
+def text_facts(candidates: DataFrame, documents: DataFrame) -> DataFrame:
+    """path_key and the script profile of its text; null where no text is known."""
+    known = documents.select("path_key", T.script_profile(F.col("text")).alias("profile"))
+    return candidates.select("path_key").join(known, "path_key", "left")
+
+
 def first_by_key(lists: list[DataFrame], key: str) -> DataFrame:
     """The union of ordered lists with each key (whatever its case) once: the first list's row wins."""
     rows = reduce(DataFrame.unionByName, (x.withColumn("lane", F.lit(i)) for i, x in enumerate(lists)))

@@ -40,16 +40,21 @@ def search(files: DataFrame, test: Column, k: int, sort: str = "name", descendin
     return files.where(test).orderBy(by.desc() if descending else by.asc(), F.lower("full_path"), "full_path").limit(k)
 
 
-def postings(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """ch, n, ids (sorted): the files whose upper-case name holds a character. A file counts once a character."""
+def postings(files: DataFrame, key: str = "file_id", chunk: int = 1 << 20) -> DataFrame:
+    """ch, chunk, n, ids (sorted): the files whose upper-case name holds a character. A file counts once a character.
+
+    Keys are numbers; a list holds the files of one chunk of them, so that a common character's list stays bounded.
+    """
     chars = F.array_distinct(F.filter(F.split(F.upper("name"), ""), lambda x: x != ""))
-    return files.select(F.explode(chars).alias("ch"), key).groupBy("ch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
+    rows = files.select(F.explode(chars).alias("ch"), F.floor(F.col(key) / chunk).alias("chunk"), key)
+    return rows.groupBy("ch", "chunk").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
 
 
 def rarest(posting_sizes: DataFrame, query: str) -> DataFrame:
-    """The query's character with the fewest files; no row if one of its characters has none. posting_sizes: ch, n."""
+    """The query's character with the fewest files; no row if one of its characters has none. posting_sizes: ch, n (of any chunks)."""
     chars = sorted(set(query.upper()))
-    found = posting_sizes.where(F.col("ch").isin(*chars)).agg(F.min_by("ch", F.struct("n", "ch")).alias("ch"), F.min("n").alias("n"), F.count("*").alias("_c"))
+    sizes = posting_sizes.where(F.col("ch").isin(*chars)).groupBy("ch").agg(F.sum("n").alias("n"))
+    found = sizes.agg(F.min_by("ch", F.struct("n", "ch")).alias("ch"), F.min("n").alias("n"), F.count("*").alias("_c"))
     return found.where(F.col("_c") == len(chars)).drop("_c")
 
 

@@ -168,9 +168,9 @@ def title_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FILES_SQL}, c AS (SELECT file_id, unnest(list_distinct(string_split(upper(name), ''))) AS ch FROM files)
-SELECT ch, count(*) AS n, sha256(string_agg(file_id::VARCHAR, ',' ORDER BY file_id)) AS digest FROM c GROUP BY ch""")
+SELECT ch, file_id // 1048576 AS chunk, count(*) AS n, sha256(string_agg(file_id::VARCHAR, ',' ORDER BY file_id)) AS digest FROM c GROUP BY ch, chunk""")
 def character_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titles.postings(files(spark, sf_dir)).select("ch", "n", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("digest"))
+    return titles.postings(files(spark, sf_dir)).select("ch", "chunk", "n", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("digest"))
 
 
 @query(f"""WITH {FILES_SQL}, c AS (SELECT unnest(list_distinct(string_split(upper(name), ''))) AS ch FROM files), s AS (SELECT ch, count(*) AS n FROM c GROUP BY ch)

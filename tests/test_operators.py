@@ -140,7 +140,7 @@ def test_title_options(spark):
 
 def test_postings(spark):
     files = make_files(spark, [(f"plain_{i}.txt", "/a", 1, 1) for i in range(50)] + [("계정.txt", "/a", 1, 1)])
-    sizes = titles.postings(files).select("ch", "n")
+    sizes = titles.postings(files, chunk=20).select("ch", "n")
     assert titles.rarest(sizes, "계t").first()["n"] == 1 and titles.rarest(sizes, "계q").count() == 0
 
 
@@ -156,6 +156,19 @@ def test_round_robin_is_fair(spark):
     assert len({r["g"] for r in results.round_robin(rows, 7, "g", "p", "k").collect()}) == 7
 
 
+def test_text_facts_are_unknown_without_a_text(spark):
+    a = spark.createDataFrame([("x",), ("y",)], "path_key string")
+    b = spark.createDataFrame([("x", "가a1")], "path_key string, text string")
+    got = {r["path_key"]: r["profile"] for r in results.text_facts(a, b).collect()}
+    assert tuple(got["x"]) == (1, 1, 1, 2) and got["y"] is None
+
+
+def test_quotas_cut_before_groups_meet(spark):
+    rows = spark.createDataFrame([(i, "hot", i) for i in range(50)], "k int, g string, p int")
+    plan = results.round_robin(rows, 7, "g", "p", "k")._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_model_recovery(spark):
     def model(texts):
         if len(texts) > 1 or len(texts[0]) > 100:
