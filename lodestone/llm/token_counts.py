@@ -2,7 +2,7 @@
 
 No ids are made for a document. Two passes over the text: the first counts pre-tokens within each task, then over all
 tasks; the distinct ones are encoded once. The most frequent FREQUENT of them (a fixed bound, a few MB) are joined inside
-the second pass as a broadcast table; all others, in full, by a shuffled join, so that no word's rows meet in one task.
+the second pass as a broadcast table; all others, in full, by a shuffled join, so that no frequent word's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, most_frequent, table
 from .tokens import byte_bpe
 
 #: Rows of the broadcast part of the vocabulary, whatever the corpus.
@@ -62,7 +62,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     pieces = materialize(vocabulary_counts(docs, "text", path), "pre-tokens")
-    top = pieces.orderBy(F.desc("uses"), "pre_token").limit(frequent).select("pre_token", "n_pieces").toArrow()
+    top = most_frequent(pieces, "uses", frequent).select("pre_token", "n_pieces").toArrow()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
