@@ -218,8 +218,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(confirm(materialize(stars, "stars"), texts), "star-links")
     first = components(links)
     labelled = buckets.where("n > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialize(unconnected_pairs(labelled.join(mixed, "key"), signed), "rest")
+    # a large bucket's rows are dealt out by key and salt, for the bucket's rows on the other side are few
+    salts = F.ceil(F.col("n") / CHUNK)
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n")).where("low <> high").select("key", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    members = labelled.withColumn("salt", F.pmod(F.xxhash64("rep"), salts)).join(mixed, ["key", "salt"]).drop("salt")
+    rest = materialize(unconnected_pairs(members, signed), "rest")
     ends = components(links.union(confirm_blocks(rest, texts)))
     out = signs.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left")
