@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hash_sample, materialize, table
 
 #: Centroids of a half (64 at most: a mask is a long), rows the codebooks are fitted on, rounds of fitting.
 CENTROIDS, SAMPLE, ROUNDS = 64, 10_000, 12
@@ -136,7 +136,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CE
     """
     spark = rows.sparkSession
     rows, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL") for x in (rows, queries))
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    some = hash_sample(rows.withColumn("mark", F.xxhash64("vec_id")), "mark", sample).toArrow()
     kept, chosen = vectors(some.column("embedding").combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float64())))
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
