@@ -50,7 +50,7 @@ def hash_sample(df: DataFrame, hashed: str, k: int) -> DataFrame:
     """
     n = df.count()
     if n > k:
-        df = df.where(F.col(hashed) <= int(2**64 * min(1.0, (k + 8 * k**0.5) / n)) - 2**63)
+        df = df.where(F.col(hashed) <= min(2**63 - 1, int(2**64 * (k + 8 * k**0.5) / n) - 2**63))
     return df.orderBy(hashed).limit(k)
 
 

@@ -9,6 +9,8 @@ def test_hash_sample(spark):
     df = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
     want = sorted(r["h"] for r in df.collect())
     assert [r["h"] for r in common.hash_sample(df, "h", 100).collect()] == want[:100]
+    for k in (4600, 4999, 5000):  # the cut is above all hashes
+        assert [r["h"] for r in common.hash_sample(df, "h", k).collect()] == want[:k]
     assert common.hash_sample(df, "h", 9000).count() == 5000 and common.hash_sample(df.where("id < 0"), "h", 5).count() == 0
 
 
