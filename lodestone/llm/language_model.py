@@ -1,19 +1,20 @@
 """A hierarchical Pitman-Yor language model of words, trained and applied over the whole corpus.
 
 The restaurant of a context (the word before) seats a customer for each training token after it; the restaurants share one
-parent, whose customers are their tables, and whose base is uniform over the known words and one unknown. The CONTEXTS most
-frequent words have a restaurant each; rarer ones share one with the words that end alike. So what belongs to contexts is of
-bounded size and can be broadcast, while counts of (context, word) pairs stay distributed: all pairs of a word are in one
-part, but for words so frequent that their pairs are dealt to parts by context.
+parent, whose customers are their tables, and whose base is uniform over the known words and one unknown. Every word has a
+restaurant of its own as context, and so has the begin of a text. The totals of the CONTEXTS most frequent ones are broadcast;
+those of all others are summed in shards by context, and each part gets back the ones it asked for. Counts of (context, word)
+pairs stay distributed: all pairs of a word are in one part, but for words so frequent that their pairs are dealt by context.
 The passes: (1) count words; (2) send each chunk's pairs to the parts, packed, each pair once a chunk with the documents it
-occurs in; (3) in each part add the pairs up and seat their customers by Gibbs; (4) with all restaurants' totals known, seat them
-again and average the predictive probabilities of several samples; (5) add up each document's terms.
+occurs in; (3) in each part add the pairs up and seat their customers by Gibbs; (4) sum the restaurants' totals and send them to
+the parts; (5) seat again and average the predictive probabilities of several samples; (6) add up each document's terms.
 Seating is sampled for all pairs of a part at once: a step takes a random customer of every pair from its table, and seats it
 anew, at a table of that word or a new one, while the totals of other parts stay as they were known before.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import struct
 from collections.abc import Iterator
@@ -25,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _IS_SEPARATOR, materialize, mix, most_frequent, slices, table, utf8, word_hashes
+from .common import materialize, mix, most_frequent, slices, table, utf8, word_hashes
 
-#: Words with a restaurant of their own; restaurants for the others, by their last two bytes.
-CONTEXTS, CLASSES = 65_536, 4096
+#: Contexts whose totals are broadcast; parts whose questions about the others one shard answers, about.
+CONTEXTS, ASKERS = 65_536, 8
 #: Tokens of a part, about; text bytes of a chunk; the share of a part at which a word is dealt out by context.
 PART, CHUNK, HOT = 1_000_000, 4 << 20, 0.25
 #: Documents' terms that a task holds.
@@ -41,36 +42,23 @@ END = np.uint64(0x5851F42D4C957F2D)
 TOKENS, TABLES, ONCE, TWICE, PARENT_ONCE, PARENT_TWICE, WORDS = range(-7, 0)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: token hashes (END after each), the row of each, and the last two bytes of each (lower case, mixed)."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of all texts: token hashes (END after each), and the row of each."""
     data, offsets = utf8(texts)
     words, first = word_hashes(data, offsets)
     rows = len(offsets) - 1
-    place = np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(first))
-    out, tails = np.full(len(words) + rows, END), np.zeros(len(words) + rows, np.uint64)
-    out[place] = words
-    if len(words):
-        inside = ~_IS_SEPARATOR[data]  # a byte each
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        last = offsets[1:][offsets[1:] > 0] - 1
-        ends[last] = inside[last]
-        at = np.flatnonzero(ends)
-        tails[place] = _BYTE[data[at]] + _BYTE[data[np.maximum(at - 1, 0)]] * np.uint64(3)
-    return out, np.repeat(np.arange(rows), np.diff(first) + 1), tails
-
-
-def contexts(token: np.ndarray, row: np.ndarray, tails: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The number of the restaurant before each token: known words' places, then classes, then the begin of a text."""
-    out = np.full(len(token), len(known) + CLASSES, np.int64)
-    if len(token) > 1:
-        before = token[:-1]
-        i = np.searchsorted(known, before)
-        hit = known[np.minimum(i, len(known) - 1)] == before if len(known) else np.zeros(len(before), bool)
-        number = np.where(hit, i, len(known) + (mix(tails[:-1]) % np.uint64(CLASSES)).astype(np.int64))
-        same = row[1:] == row[:-1]
-        out[1:][same] = number[same]
-    return out
+    out = np.full(len(words) + rows, END)
+    out[np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(first))] = words
+    return out, np.repeat(np.arange(rows), np.diff(first) + 1)
+
+
+def contexts(token: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The restaurant before each token, and the rare words: known words' places, then the rare ones'. A text begins after an END."""
+    before = np.append(END, token)[:-1]
+    i = np.searchsorted(known, before)
+    hit = known[np.minimum(i, len(known) - 1)] == before if len(known) else np.zeros(len(before), bool)
+    rare = np.unique(before[~hit])
+    return np.where(hit, i, len(known) + np.searchsorted(rare, before)), rare
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -96,10 +84,10 @@ def small(x: np.ndarray) -> np.ndarray:
 
 def by_pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     """The order by word, then context."""
-    key = (word & ~np.uint64(0x1FFFF)) | context.astype(np.uint64)
+    key = (word & ~np.uint64(0xFFFFF)) | context.astype(np.uint64)
     order = np.argsort(key)
-    w, k = word[order], key[order] >> np.uint64(17)
-    return np.lexsort((context, word)) if ((k[1:] == k[:-1]) & (w[1:] != w[:-1])).any() or len(w) and context.max() > 0x1FFFF else order
+    w, k = word[order], key[order] >> np.uint64(20)
+    return np.lexsort((context, word)) if ((k[1:] == k[:-1]) & (w[1:] != w[:-1])).any() or len(w) and context.max() > 0xFFFFF else order
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
@@ -162,12 +150,19 @@ class Seating:
 
 
 class Part:
-    """The pairs of one part, from the chunks' packed blocks: word, context, training count; and who holds them."""
+    """The pairs of one part, from the chunks' packed blocks: word, context, training count; and who holds them.
+
+    Contexts from known on are the part's rare ones, in the order of their hashes.
+    """
 
-    def __init__(self, blocks: list[tuple[int, bytes]]):
+    def __init__(self, blocks: list[tuple[int, bytes]], known: int):
         raw = [unpack(x) for _, x in blocks]
+        self.rare = np.unique(np.concatenate([x[6] for x in raw]))
         word = np.concatenate([np.repeat(w, n) for w, n, *_ in raw])
         context = np.concatenate([x[2].astype(np.int64) for x in raw])
+        places = np.concatenate([np.repeat(i, len(x[2])) for i, x in zip(np.cumsum([0, *(len(x[6]) for x in raw[:-1])]), raw, strict=True)])
+        is_rare = context >= known
+        context[is_rare] = known + np.searchsorted(self.rare, np.concatenate([x[6] for x in raw]))[context[is_rare] - known + places[is_rare]]
         count = np.concatenate([x[3].astype(np.int64) for x in raw])
         order = by_pair(word, context)
         first = runs(word[order], context[order])
@@ -178,7 +173,7 @@ class Part:
         self.held = [(chunk, number[a:b], x[4], x[5]) for (chunk, _), x, a, b in zip(blocks, raw, edges, edges[1:], strict=False)]
 
     def pack(self) -> bytes:
-        held = [y for _, number, occurs, doc in self.held for y in (small(number), occurs, doc)]
+        held = [y for _, number, occurs, doc in self.held for y in (small(np.diff(number, prepend=0)), occurs, doc)]  # numbers ascend
         return pack([self.word, small(self.context), small(self.count), np.array([x[0] for x in self.held], np.int64), *held])
 
     @classmethod
@@ -186,7 +181,7 @@ class Part:
         self = cls.__new__(cls)
         self.word, context, count, chunks, *held = unpack(raw)
         self.context, self.count = context.astype(np.int64), count.astype(np.int64)
-        self.held = [(int(c), *held[3 * i : 3 * i + 3]) for i, c in enumerate(chunks)]
+        self.held = [(int(c), np.cumsum(held[3 * i], dtype=np.int64), *held[3 * i + 1 : 3 * i + 3]) for i, c in enumerate(chunks)]
         return self
 
 
@@ -196,12 +191,18 @@ class Model:
     def __init__(self, known: np.ndarray, counts: np.ndarray, hot: np.ndarray, total: int, distinct: int, parts: int):
         self.known, self.counts, self.hot, self.total, self.distinct, self.parts = known, counts, hot, total, distinct, parts
         self.discount = self.parent_discount = 0.75
-        rest = max(total - int(counts.sum()), 0)
-        self.customers = np.append(np.append(counts, np.full(CLASSES, rest // CLASSES + 1)), total // 100 + 1).astype(np.float64)
+        self.rare = max(total - int(counts.sum()), 0) / max(distinct - len(known), 1)  # a rare context's customers, as a mean
+        self.customers = counts.astype(np.float64)
         self.tables = self.customers / 2
         self.parent_customers, self.parent_tables = total / 2.0, total / 4.0
         self.hot_parent: np.ndarray | None = None
 
+    def having(self, tables: np.ndarray, customers: np.ndarray) -> Model:
+        """This model with totals of a part's rare contexts after those of the known ones."""
+        out = copy.copy(self)
+        out.tables, out.customers = np.append(self.tables, tables), np.append(self.customers, customers)
+        return out
+
     def number(self, word: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Each word's place in a sorted array, or -1."""
         if not len(of):
@@ -289,15 +290,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
         model, task = shared.value, TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches, "text", CHUNK)):
             chunk = task << 32 | number
-            token, row, tails = tokens(batch.column("text"))
-            context = contexts(token, row, tails, model.known)
+            token, row = tokens(batch.column("text"))
+            context, rare = contexts(token, model.known)
+            names = np.append(model.known, rare)
             is_train = np.asarray(batch.column("train").to_pylist(), bool)
             order = by_pair(token, context)
             token, context, row = token[order], context[order], row[order]
             part = ((token >> np.uint64(20)) % np.uint64(model.parts)).astype(np.int64)
             if len(model.hot):
                 is_hot = model.number(token, model.hot) >= 0
-                part[is_hot] = (mix(token[is_hot] + context[is_hot].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.parts)).astype(np.int64)
+                part[is_hot] = (mix(token[is_hot] + names[context[is_hot]] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(model.parts + 1))
             payload, numbers = [], []
@@ -307,8 +309,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
                 first = runs(w, c)
                 occurs = np.diff(np.append(first, len(i)))
                 trained = np.add.reduceat(is_train[d].astype(np.int64), first)
-                own = runs(w[first])
-                payload.append(pack([w[first][own], small(np.diff(np.append(own, len(first)))), small(c[first]), small(trained), small(occurs), small(d)]))
+                own, c = runs(w[first]), c[first]
+                is_rare = c >= len(model.known)
+                used, place = np.unique(c[is_rare], return_inverse=True)
+                c[is_rare] = len(model.known) + place
+                payload.append(pack([w[first][own], small(np.diff(np.append(own, len(first)))), small(c), small(trained), small(occurs), small(d), names[used]]))
                 numbers.append(p)
             sink = pa.BufferOutputStream()
             lengths = np.bincount(row, minlength=batch.num_rows)
@@ -319,33 +324,40 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             numbers.append(-1)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([chunk] * len(numbers), pa.int64()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
 
+    shards = math.ceil(parts / ASKERS)
+    limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by part: add up its pairs and seat them once. Documents' rows pass through."""
+        """Rows come sorted by part: add up its pairs, seat them once and ask for rare contexts' totals. Documents' rows pass through."""
         model, held, now = shared.value, [], None
 
         def out() -> pa.RecordBatch:
-            part = Part(held)
+            part = Part(held, len(model.known))
             held.clear()
             pa.default_memory_pool().release_unused()
-            *_, last = model.seat(part, now, 1)
+            guess = np.full(len(part.rare), model.rare)
+            *_, last = model.having(guess / 2, guess).seat(part, now, 1)
             first, _, _, count, is_hot, tables, customers, above, _ = last
             cool = is_hot < 0
-            ids = np.unique(part.context)
-            place = np.searchsorted(ids, part.context)
-            rows = [(ids, np.bincount(place, tables), np.bincount(place, part.count))]
+            of = [np.bincount(part.context, x, len(model.known) + len(part.rare)).astype(np.int64) for x in (tables, part.count)]
+            ids = np.flatnonzero(of[1][: len(model.known)])
+            rows = [(ids, of[0][ids], of[1][ids])]
+            asked, edges = [], [0, *np.searchsorted(part.rare, limits), len(part.rare)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                asked.append(pack([part.rare[a:b], *(small(x[len(model.known) :][a:b]) for x in of)]) if b > a else b"")
             hot_rows = np.flatnonzero(~cool)
             rows.append((-100 - is_hot[hot_rows], customers[hot_rows], count[hot_rows]))
             single = [(TOKENS, tables.sum()), (TABLES, above.sum()), (ONCE, (part.count == 1).sum()), (TWICE, (part.count == 2).sum()), (PARENT_ONCE, (customers[cool] == 1).sum()), (PARENT_TWICE, (customers[cool] == 2).sum())]
             rows.append((np.array([x[0] for x in single]), np.array([x[1] for x in single]), np.zeros(len(single))))
             stats = [np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([0], pa.int64()), pa.array([part.pack()], pa.binary()), pa.array([pack(stats)], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([0], pa.int64()), pa.array([part.pack()], pa.binary()), pa.array([pack(stats)], pa.binary()), pa.array([asked], pa.list_(pa.binary()))], names)
 
-        names = ["part", "chunk", "payload", "stats"]
+        names = ["part", "chunk", "payload", "stats", "asked"]
         for batch in batches:
             for row in range(batch.num_rows):
                 p, chunk, payload = (batch.column(i)[row].as_py() for i in range(3))
                 if p < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([payload], pa.binary()), pa.array([None], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([payload], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.binary()))], names)
                     continue
                 if p != now and held:
                     yield out()
@@ -356,7 +368,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
 
     spread = F.when(F.col("part") < 0, F.col("chunk")).otherwise(F.col("part"))
     dealt = docs.mapInArrow(deal, "part int, chunk long, payload binary").repartition(spread, "part").sortWithinPartitions("part", "chunk")
-    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, stats binary"), "parts")
+    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, stats binary, asked array<binary>"), "parts")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,27 +377,68 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
 
     known = {r["id"]: (r["tables"], r["customers"]) for r in gathered.where("part >= 0").select("stats").mapInArrow(totals, "id long, tables long, customers long").groupBy("id").agg(F.sum("tables").alias("tables"), F.sum("customers").alias("customers")).toLocalIterator()}
     get = lambda i: known.get(i, (0, 0))
-    slots = len(model.known) + CLASSES + 1
     final = Model(model.known, model.counts, model.hot, model.total, model.distinct, model.parts)
-    final.tables, final.customers = (np.array([get(i)[k] for i in range(slots)], np.float64) for k in (0, 1))
+    final.tables, final.customers = (np.array([get(i)[k] for i in range(len(model.known))], np.float64) for k in (0, 1))
     final.hot_parent = np.array([get(-100 - i)[0] for i in range(len(hot))], np.int64)
     final.parent_customers, final.parent_tables = float(get(TOKENS)[0]), float(get(TABLES)[0])
     share = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.75
     final.discount, final.parent_discount = share(get(ONCE)[0], get(TWICE)[0]), share(get(PARENT_ONCE)[0], get(PARENT_TWICE)[0])
     ready = spark.sparkContext.broadcast(final)
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard: add its contexts' tables and customers up, and send each part those it asked for, in its order."""
+        held, now = [], None
+
+        def out() -> pa.RecordBatch:
+            raw = [unpack(x) for _, x in held]
+            ids, place = np.unique(np.concatenate([x[0] for x in raw]), return_inverse=True)
+            sums = [np.bincount(place, np.concatenate([x[k] for x in raw])).astype(np.int64) for k in (1, 2)]
+            edges = np.cumsum([0, *(len(x[0]) for x in raw)])
+            payload = [pack([small(x[place[a:b]]) for x in sums]) for a, b in zip(edges, edges[1:], strict=False)]
+            to = [p for p, _ in held]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([now] * len(to), pa.int64()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
+
+        for batch in batches:
+            for p, shard, asked in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "payload")), strict=True):
+                if shard != now and held:
+                    yield out()
+                now = shard
+                held.append((p, asked))
+        if held:
+            yield out()
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per chunk: its documents' known tokens, base and model log probabilities, summed over the task's parts."""
-        model, held, size = ready.value, {}, 0
+        """Rows come sorted: a part, then its rare contexts' totals. Per chunk: its documents' known tokens, base and model log
+        probabilities, summed over the task's parts."""
+        model, held, size, now, whole, totals = ready.value, {}, 0, None, None, []
+
+        def add() -> int:
+            n = 0
+            rare = map(np.concatenate, zip(*map(unpack, totals), strict=True)) if totals else (np.zeros(0), np.zeros(0))
+            for chunk, *columns in terms_of(now, Part.unpacked(whole), model.having(*rare)):
+                held.setdefault(chunk, []).append(columns)
+                n += len(columns[0])
+            totals.clear()
+            pa.default_memory_pool().release_unused()
+            return n
+
         for batch in batches:
-            for row in range(batch.num_rows):  # a part at a time
-                for chunk, *columns in terms_of(batch.column("part")[row].as_py(), Part.unpacked(batch.column("payload")[row].as_py()), model):
-                    held.setdefault(chunk, []).append(columns)
-                    size += len(columns[0])
-                pa.default_memory_pool().release_unused()
+            for row in range(batch.num_rows):
+                p, shard, payload = (batch.column(c)[row].as_py() for c in ("part", "chunk", "payload"))
+                if shard >= 0:
+                    if p != now:
+                        raise ValueError("totals without their part")
+                    totals.append(payload)
+                    continue
+                if whole is not None:
+                    size += add()
+                now, whole = p, payload
                 if size > TERMS:
                     yield from out(held)
                     size = 0
+        if whole is not None:
+            add()
         yield from out(held)
 
     def out(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +488,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
         if docs is not None:
             yield out()
 
-    terms = gathered.where("part >= 0").select("part", "payload").mapInArrow(apply, "part int, chunk long, payload binary")
+    asked = gathered.where("part >= 0").select("part", F.posexplode("asked").alias("chunk", "payload")).where("length(payload) > 0")
+    answers = asked.select("part", F.col("chunk").cast("long").alias("chunk"), "payload").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(answer, "part int, chunk long, payload binary")
+    filled = gathered.where("part >= 0").select("part", F.lit(-1).cast("long").alias("chunk"), "payload").union(answers).repartition("part").sortWithinPartitions("part", "chunk")
+    terms = filled.mapInArrow(apply, "part int, chunk long, payload binary")
     rows = terms.union(gathered.where("part < 0").select("part", "chunk", "payload"))
     return rows.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(finish, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -183,3 +183,18 @@ def test_two_customers_share_a_table_as_often_as_they_should():
     for _ in range(30):
         seats.step(np.full(n, a))
     assert abs((seats.tables == 2).mean() - a / (a + 1 - d)) < 0.02
+
+
+@pytest.mark.parametrize("part", [3_000, 1_000_000])
+def test_rare_contexts_have_restaurants_of_their_own(spark, monkeypatch, part):
+    """Contexts whose totals are shuffled score as they do when all are broadcast: each of 600 contexts has its own next word."""
+    monkeypatch.setattr(language_model, "PART", part)
+    docs = spark.createDataFrame([(i, " ".join(f"{j}xx {j}yy" for j in range(i % 7, 600, 7))) for i in range(140)], "doc_id long, text string").repartition(3)
+    near, far = ({r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(docs, contexts_kept=k).collect()} for k in (language_model.CONTEXTS, 0))
+    assert max(abs(near[i] - far[i]) for i in near) < 0.02
+
+
+def test_no_two_contexts_share_a_restaurant():
+    token = np.arange(1, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    number, rare = language_model.contexts(token, np.sort(token[:50]))
+    assert len(np.unique(number)) == len(token) and len(rare) == len(token) - 50
