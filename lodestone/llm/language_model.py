@@ -8,13 +8,14 @@ pairs stay distributed: all pairs of a word are in one part, but for words so fr
 The passes: (1) count words; (2) send each chunk's pairs to the parts, packed, each pair once a chunk with the documents it
 occurs in; (3) in each part add the pairs up and seat their customers by Gibbs; (4) sum the restaurants' totals and send them to
 the parts; (5) seat again and average the predictive probabilities of several samples; (6) add up each document's terms.
-Seating is sampled for all pairs of a part at once: a step takes a random customer of every pair from its table, and seats it
-anew, at a table of that word or a new one, while the totals of other parts stay as they were known before.
+Seating is sampled for all pairs of a part at once: of a pair's tables only their number matters, which is drawn from its law
+given the weight of a new table, for pairs and parent in turn, while the totals of other parts stay as they were known before.
 """
 
 from __future__ import annotations
 
 import copy
+import functools
 import math
 import struct
 from collections.abc import Iterator
@@ -34,8 +35,10 @@ CONTEXTS, ASKERS = 65_536, 8
 PART, CHUNK, HOT = 1_000_000, 4 << 20, 0.25
 #: Documents' terms that a task holds.
 TERMS = 2_000_000
-#: Gibbs steps before the first sample, between samples, and samples averaged. Strength of all restaurants.
-BURN, BETWEEN, SAMPLES, STRENGTH = 8, 2, 4, 1.0
+#: Draws of all pairs and the parent before the first sample, between samples, and samples averaged. Strength of all restaurants.
+BURN, BETWEEN, SAMPLES, STRENGTH = 3, 1, 4, 1.0
+#: Customers of a pair up to which the law of its tables is tabulated; beyond, it is a binomial of nearly the same mean and variance.
+EXACT = 1000
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Rows of totals that aren't of contexts: tokens, parent tables, pairs seen once and twice, parent counts of one and two, distinct words.
@@ -99,8 +102,53 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+@functools.lru_cache(4)
+def seatings(discount: float) -> np.ndarray:
+    """log of the generalised Stirling numbers: the weight of all ways to seat n customers (first index) at t tables."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(EXACT + 1)
+    with np.errstate(divide="ignore"):
+        for n in range(1, EXACT):
+            out[n + 1, 1 : n + 2] = np.logaddexp(np.log(np.maximum(n - discount * t[1 : n + 2], 0)) + out[n, 1 : n + 2], out[n, : n + 1])
+    return out
+
+
+def moments(customers: np.ndarray, opens: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearly the mean and variance of the number of tables of many customers, by the saddle point x of its generating function."""
+    low, high = np.full(len(customers), -700.0), np.zeros(len(customers))
+    for _ in range(60):  # log(1 - x) where opens * x * (1 - x) ** (discount - 1) is customers
+        y = (low + high) / 2
+        over = np.log(opens) + np.log(-np.expm1(y)) + (discount - 1) * y > np.log(customers)
+        low, high = np.where(over, y, low), np.where(over, high, y)
+    x = -np.expm1(y)
+    mean = opens / discount * -np.expm1(discount * y)
+    return mean + np.minimum(1, x * (1 - discount) / (2 * (1 - discount * x) ** 2)), mean - customers * np.exp(y) / (1 - discount * x)
+
+
+def draw_tables(customers: np.ndarray, opens: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of many (restaurant, word) pairs: t with weight opens ** t times that of all seatings at t tables."""
+    tables = (customers > 0).astype(np.int64)  # one customer has one table
+    if len(some := np.flatnonzero((customers > 1) & (customers <= EXACT))):
+        c = customers[some]
+        start = np.cumsum(c) - c
+        t = np.arange(1, c.sum() + 1) - np.repeat(start, c)
+        weight = seatings(discount)[np.repeat(c, c), t] + t * np.repeat(np.log(opens[some]), c)
+        total = np.cumsum(np.exp(weight - np.repeat(np.maximum.reduceat(weight, start), c)))
+        below = np.append(0.0, total)[start]
+        at = np.searchsorted(total, below + random.random(len(c)) * (total[start + c - 1] - below), side="right")
+        tables[some] = np.clip(at - start + 1, 1, c)
+    if len(many := np.flatnonzero(customers > EXACT)):
+        c = customers[many]
+        mean, variance = moments(c, opens[many], discount)
+        mean = np.clip(mean - 1, 1e-9, c - 1)
+        p = np.clip(1 - variance / mean, 1e-6, 1)
+        tables[many] = np.minimum(c, 1 + random.binomial(np.ceil(mean / p).astype(np.int64), np.minimum(1, mean / np.ceil(mean / p))))
+    return tables
+
+
 class Seating:
-    """The tables of many (restaurant, word) pairs. opens: the weight of a new table for each pair."""
+    """The tables of many (restaurant, word) pairs, customer by customer: the yardstick of draw_tables. opens: the weight of a new table for each pair."""
 
     def __init__(self, customers: np.ndarray, opens: np.ndarray, discount: float, steps: int, random: np.random.Generator):
         self.tables = (customers > 0).astype(np.int64)
@@ -220,22 +268,19 @@ class Model:
         count = np.where(known >= 0, self.counts[known] if len(self.counts) else 0, np.add.reduceat(part.count, first))
         parent = (count + 1) / (self.total + self.distinct + 1)
         opens = (STRENGTH + self.discount * self.tables[part.context]) * np.repeat(parent, sizes)
-        steps = BURN + BETWEEN * max(samples - 1, 0)
-        seats, above = Seating(part.count, opens, self.discount, steps, random), None
         uniform = 1 / (self.distinct + 1)
+        share = np.full(len(words), (STRENGTH + self.parent_discount * self.parent_tables) * uniform)
+        first_round = self.hot_parent is None  # hot words' other parts aren't known yet
         for s in range(max(samples, 1)):
-            for _ in range(BETWEEN if s else BURN):
-                seats.step(opens)
-            customers = np.add.reduceat(seats.tables, first)
-            if self.hot_parent is not None:
-                customers = np.where(hot >= 0, self.hot_parent[hot] if len(self.hot_parent) else 0, customers)
-            share = np.full(len(words), (STRENGTH + self.parent_discount * self.parent_tables) * uniform)
-            above = Seating(customers, share, self.parent_discount, BETWEEN, random)
-            for _ in range(BETWEEN):
-                above.step(share)
-            parent = (customers - self.parent_discount * above.tables + share) / (STRENGTH + self.parent_customers)
-            opens = (STRENGTH + self.discount * self.tables[part.context]) * np.repeat(parent, sizes)
-            yield first, sizes, words, count, hot, seats.tables, customers, above.tables, (part.count - self.discount * seats.tables + opens) / (STRENGTH + self.customers[part.context])
+            for _ in range(1 if first_round else BETWEEN if s else BURN):
+                tables = draw_tables(part.count, opens, self.discount, random)
+                customers = np.add.reduceat(tables, first)
+                if not first_round:
+                    customers = np.where(hot >= 0, self.hot_parent[hot] if len(self.hot_parent) else 0, customers)
+                above = draw_tables(customers, share, self.parent_discount, random)
+                parent = (customers - self.parent_discount * above + share) / (STRENGTH + self.parent_customers)
+                opens = (STRENGTH + self.discount * self.tables[part.context]) * np.repeat(parent, sizes)
+            yield first, sizes, words, count, hot, tables, customers, above, (part.count - self.discount * tables + opens) / (STRENGTH + self.customers[part.context])
 
 
 def _train(key: str) -> F.Column:

@@ -198,3 +198,38 @@ def test_no_two_contexts_share_a_restaurant():
     token = np.arange(1, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     number, rare = language_model.contexts(token, np.sort(token[:50]))
     assert len(np.unique(number)) == len(token) and len(rare) == len(token) - 50
+
+
+@pytest.mark.parametrize("opens", [1.0, 20.0])
+def test_tables_of_frequent_pairs_are_those_of_full_sweeps(opens):
+    """300 customers a pair, against sweeps of every customer from the start formula."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    n, c, d = 60, 300, 0.75
+    drawn = language_model.draw_tables(np.full(20_000, c), np.full(20_000, opens), d, rng)
+    seats = language_model.Seating(np.full(n, c), np.full(n, opens), d, c, rng)
+    means = []
+    for step in range(60 * c):
+        seats.step(np.full(n, opens))
+        if step >= 30 * c and step % c == 0:
+            means.append(seats.tables.mean())
+    assert abs(drawn.mean() - np.mean(means)) < 0.06 * drawn.mean() + 0.1
+
+
+def test_the_law_of_many_customers_goes_on_from_the_table():
+    rng = np.random.Generator(np.random.PCG64(6))
+    for d in (0.5, 0.75, 0.9):
+        for opens in (0.01, 1.0, 20.0, 1000.0):
+            a, b = (language_model.draw_tables(np.full(20_000, language_model.EXACT + i), np.full(20_000, opens), d, rng) for i in (0, 1))
+            assert abs(a.mean() - b.mean()) < 0.02 * a.mean() + 0.05 and abs(a.std() - b.std()) < 0.05 * a.std() + 0.05
+
+
+def test_a_model_seats_frequent_pairs_by_their_law():
+    """Words that follow one context 300 times each, with nothing else."""
+    part = language_model.Part.__new__(language_model.Part)
+    part.word, part.context, part.count = np.arange(50).astype(np.uint64), np.zeros(50, np.int64), np.full(50, 300)
+    model = language_model.Model(part.word[:0], np.zeros(0, np.int64), part.word[:0], 15_000, 50, 1)
+    model.tables, model.customers = np.array([1000.0]), np.array([15_000.0])
+    *_, last = model.seat(part, 1, 1)
+    rng = np.random.Generator(np.random.PCG64(7))
+    want = language_model.draw_tables(np.full(5000, 300), np.full(5000, (1 + 0.75 * 1000) / 50), 0.75, rng).mean()
+    assert abs(last[5].mean() - want) < 2
