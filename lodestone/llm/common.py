@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's spark.checkpoint.dir. Only where that is unset (tests on one machine) is a temporary folder taken.
+    It is the cluster's spark.checkpoint.dir. Only where that is unset, and all run in one process (tests), is a temporary
+    folder taken; a cluster without a shared folder is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -125,6 +129,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """64-bit hashes of the lower-cased (A-Z) words of each row, and each row's first word's place (with the end: rows + 1)."""
     words, firsts, n = [np.zeros(0, np.uint64)], [], 0
     for a, b in row_groups(offsets):
+        if offsets[b] - offsets[a] > 2 * AT_ONCE:  # one long text: in pieces that end before a separator
+            firsts.append(np.array([n]))
+            at = int(offsets[a])
+            while at < offsets[b]:
+                end = _cut(data, at + AT_ONCE, int(offsets[b]))
+                words.append(_word_hashes(data[at:end], np.array([0, end - at]))[0])
+                n += len(words[-1])
+                at = end
+            continue
         w, first = _word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         words.append(w)
         firsts.append(first[:-1] + n)
@@ -132,6 +145,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(words), np.concatenate([*firsts, [n]]).astype(np.int64)
 
 
+def _cut(data: np.ndarray, at: int, end: int) -> int:
+    """The first separator's place from at on, or the end."""
+    while at < end:
+        found = np.flatnonzero(_IS_SEPARATOR[data[at : min(end, at + 65536)]])
+        if len(found):
+            return at + int(found[0])
+        at += 65536
+    return end
+
+
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
