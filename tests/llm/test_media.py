@@ -68,6 +68,88 @@ def test_op6(spark, sf_dir):
         raw = docs[r["doc_id"]]
         payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = gif.encode_gif(payload, palette=gif.INK, delay_ms=None, disposal=gif.DISPOSALS, transparent=gif.BLANK)
+        shown = gif.decode_gif(media)
+        histogram = np.sum([f.histogram for f in shown.frames], axis=0)
+        feature = f"{len(shown.frames)}x64x{shown.height};{sum(f.delay_ms for f in shown.frames)}ms;" + ",".join(f"{i}:{n}" for i, n in enumerate(histogram) if n)
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+    assert sum(r["media_bytes"] for r in rows) < sum(r["n_bytes"] for r in rows)
+
+
+def test_frames_coded_together_are_those_coded_alone():
+    rng = np.random.default_rng(3)
+    frames = [rng.integers(0, k, n).astype(np.uint8) for n in (1, 2, 64, 640, 4096, 9000) for k in (1, 2, 30, 256) for _ in range(10)]
+    streams = gif.lzw_compress_all(frames)
+    assert streams == [gif.lzw_compress(f.tobytes()) for f in frames]
+    for f, stream, decoded in zip(frames, streams, gif.lzw_decode_all(streams, 8, [len(f) for f in frames]), strict=True):
+        assert decoded.tobytes() == gif._by_code(stream, 8, len(f)).tobytes() == f.tobytes()
+
+
+@pytest.mark.parametrize("depth", [2, 5, 8])
+def test_streams_of_small_palettes(depth):
+    data = np.random.default_rng(depth).integers(0, 2**depth, 20_000).astype(np.uint8)
+    stream = gif.lzw_compress(data.tobytes(), depth)
+    assert gif.lzw_decode(stream, depth, len(data)).tobytes() == data.tobytes() and gif.lzw_decode(stream, depth, 777).tobytes() == data[:777].tobytes()
+
+
+def test_a_stream_goes_on_with_a_full_table():
+    """No clear code when the table is full: all later codes have 12 bits and make no entries."""
+    data = np.random.default_rng(2).integers(0, 8, 40_000).astype(np.uint8).tobytes()
+    codes, known, now = [256], {bytes([i]): i for i in range(256)}, b""
+    for b in data:
+        if (longer := now + bytes([b])) in known:
+            now = longer
+        else:
+            codes.append(known[now])
+            if len(known) + 2 < 4096:
+                known[longer] = len(known) + 2
+            now = bytes([b])
+    codes += [known[now], 257]
+    stream = gif._pack(np.array(codes), np.array([0, len(codes)]), 8)[0]
+    assert len(codes) > 8000 and gif.lzw_decode(stream, 8, len(data)).tobytes() == data == gif._by_code(stream, 8, len(data)).tobytes()
+
+
+def test_a_code_without_an_entry_ends_its_own_stream_only():
+    good = gif.lzw_compress(b"abcabcabc")
+    bad = gif._pack(np.array([256, 97, 98, 300, 97, 257]), np.array([0, 6]), 8)[0]
+    assert [x.tobytes() for x in gif.lzw_decode_all([good, bad, good], 8, [9, 9, 9])] == [b"abcabcabc", b"ab", b"abcabcabc"]
+    broken = gif.encode_gif(bytes(64 * 3), compress=False).replace(gif.lzw_literal(np.zeros(192, np.uint8)), bad.ljust(len(gif.lzw_literal(np.zeros(192, np.uint8))), b"\0"))
+    assert gif.decode_gif(broken).error and not gif.decode_gif(broken).frames
+
+
+def test_huge_canvases_are_errors():
+    head = gif.encode_gif(bytes(64))
+    assert "pixels" in gif.decode_gif(head[:6] + b"\xff\xff\xff\xff" + head[10:]).error
+
+
+def test_texts_use_the_dictionary_palette_transparency_and_disposal(spark):
+    prose = " ".join(f"the {w} of a day in spring" for w in ("light", "rain", "song", "end", "heat")) + "\n"
+    text = prose * 70
+    raw = text.encode()
+    payload = raw + bytes(-len(raw) % 64)
+    row = gif.encode_texts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    m = gif.decode_gif(bytes(row["media"]), with_rgba=True)
+    assert len(row["media"]) < len(raw) // 2 and m.error is None
+    assert [f.disposal for f in m.frames] == [1, 2, 3] and {f.transparent for f in m.frames} == {32}
+    assert [f.delay_ms for f in m.frames] == [f.height * 20 for f in m.frames] and b"".join(f.samples.tobytes() for f in m.frames) == payload
+    ink = np.frombuffer(gif.INK, np.uint8).reshape(256, 3)
+    canvas = np.zeros((64, 64, 4), int)  # brute force: pixel by pixel
+    for f in m.frames:
+        before = canvas.copy()
+        for y in range(f.height):
+            for x in range(64):
+                if (v := int(f.samples[y, x])) != 32:
+                    canvas[y, x] = [*ink[v], 255]
+        assert np.array_equal(f.rgba, canvas)
+        want = np.zeros(64, int)
+        for r, g, b, a in canvas.reshape(-1, 4):
+            if a:
+                want[(r >> 6) * 16 + (g >> 6) * 4 + (b >> 6)] += 1
+        assert list(f.histogram) == list(want)
+        if f.disposal == 2:
+            canvas[: f.height] = 0
+        elif f.disposal == 3:
+            canvas = before
 
 
 PAGES = [(1, "http://a/1", "x"), (2, None, "x"), (3, "http://a/3", None), (4, "http://b/\r\nX: y", ""), (5, "u", "é" * 5000), (None, "n", "x"), (7, "u", "only"), (7, "u", "only")]
