@@ -1,9 +1,10 @@
 """Encoding and decoding with merge-type (BPE) SentencePiece vocabularies.
 
 A text is normalised and split before each run of word marks; no piece of the vocabulary crosses such a place (checked when
-the model is loaded; otherwise a text is one segment). A segment's characters are merged by an agenda: a heap of adjacent
-symbol pairs, best score first, leftmost among equals. What no piece covers falls back to bytes. Segments are remembered
-in a bounded table a worker. Each Arrow batch is checked against the sentencepiece library.
+the model is loaded; otherwise a text is one segment). A segment's characters are merged by an agenda of adjacent symbol
+pairs, best score first, leftmost among equals: a heap for a long segment; short ones that are new in a batch have a row each
+in a matrix, and every row takes its best pair at the same time. What no piece covers falls back to bytes. Segments are
+remembered in a bounded table a worker. Each Arrow batch is checked against the sentencepiece library.
 Inside this module a word mark is a space, so that Latin text stays one byte a character.
 """
 
@@ -28,8 +29,11 @@ from .common import slices, table
 MARK = "▁"
 #: Segments that a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 1_000_000, 48
-#: Characters of a segment whose agenda is searched as a list; the cost of a pair that is no piece.
-SHORT, NEVER = 24, float("inf")
+#: Characters of a segment whose agenda is searched as a list; the cost of a pair that is no piece, and its rank.
+SHORT, NEVER, LAST = 24, float("inf"), np.iinfo(np.int32).max
+#: Above any symbol: pieces, and characters after them. Lengths up to which new segments share a matrix.
+SPACE = 1 << 31
+WIDTHS = (6, 8, 10, 12, 16, 24, LONGEST)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -89,6 +93,83 @@ class PieceBPE:
         self.cost = {p: -score for p, (score, _) in self.ids.items()}.get
         self.seen: dict[str, bytes] = {}
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Every pair of pieces that makes a piece: its key (sorted), rank by score and what it makes, as arrays."""
+        self.symbols = self.library.vocab_size()
+        rank = {score: i for i, score in enumerate(sorted({x for x, _ in self.ids.values()}, reverse=True))}
+        rows = []
+        for piece, (score, number) in self.ids.items():
+            for cut in range(1, len(piece)):
+                if (a := self.ids.get(piece[:cut])) and (b := self.ids.get(piece[cut:])):
+                    rows.append((a[1] * SPACE + b[1], rank[score], number))
+        rows.sort()
+        self.pair, self.rank, self.makes = (np.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (np.int64, np.int32, np.int32), strict=True))
+        self.letter = np.full(0x110000, -1, np.int32)  # of each character, its piece
+        for piece, (_, number) in self.ids.items():
+            if len(piece) == 1:
+                self.letter[ord(piece)] = number
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (LAST: none) and piece of each pair."""
+        if not len(self.pair):
+            return np.full(left.shape, LAST, np.int32), np.zeros(left.shape, np.int32)
+        key = left * SPACE + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], LAST), self.makes[at]
+
+    def agendas(self, segments: list[str]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of each segment."""
+        out = np.full(len(segments), b"", object)
+        every, length = np.array(segments, object), np.fromiter(map(len, segments), np.int64, len(segments))
+        kind = np.searchsorted(WIDTHS, length)
+        for k in np.unique(kind):
+            group = np.flatnonzero(kind == k)
+            if k < len(WIDTHS):
+                self._matrix("".join([x.ljust(WIDTHS[k], "\0") for x in every[group]]), WIDTHS[k], length[group], group, out)
+            else:
+                for i in group:
+                    ids = self.agenda(segments[i])
+                    out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        return out.tolist()
+
+    def _matrix(self, text: str, width: int, length: np.ndarray, who: np.ndarray, out: np.ndarray) -> None:
+        """A row of symbols a segment. Each step merges the best pair of every row, and rows without one leave.
+        A character that is no piece is a symbol beyond the pieces, and ends as its bytes."""
+        point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width).astype(np.int64)
+        symbol = self.letter[point].astype(np.int64)
+        symbol[symbol < 0] = self.symbols + point[symbol < 0]
+        symbol[np.arange(width) >= length[:, None]] = self.symbols
+        rank, makes = self._look(symbol[:, :-1], symbol[:, 1:])
+        while len(who):
+            width = symbol.shape[1]
+            best = rank.argmin(axis=1) if width > 1 else np.zeros(len(who), np.int64)
+            done = rank[np.arange(len(who)), best] == LAST if width > 1 else np.ones(len(who), bool)
+            if done.any():
+                ends = np.flatnonzero(done)
+                made, size = symbol[ends], length[ends]
+                whole = made.astype("<u4").tobytes()
+                out[who[ends]] = [whole[n : n + 4 * k] for n, k in zip(range(0, 4 * width * len(ends), 4 * width), size.tolist(), strict=True)]
+                for i in np.flatnonzero(((made >= self.symbols) & (np.arange(width) < size[:, None])).any(axis=1)):
+                    ids = [y for x in made[i, : size[i]].tolist() for y in ([x] if x < self.symbols else [self.bytes[b] for b in chr(x - self.symbols).encode()])]
+                    out[who[ends[i]]] = struct.pack(f"<{len(ids)}I", *ids)
+                rest = ~done
+                who, symbol, length, rank, makes, best = (x[rest] for x in (who, symbol, length, rank, makes, best))
+                if not len(who):
+                    break
+            rows = np.arange(len(who))
+            made = makes[rows, best]
+            source = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
+            symbol = np.take_along_axis(symbol, source, axis=1)
+            symbol[rows, best] = made
+            source = source[:, : width - 2]
+            rank, makes = np.take_along_axis(rank, source, axis=1), np.take_along_axis(makes, source, axis=1)
+            length = length - 1
+            if width > 2:
+                for at in (best - 1, best):  # the pairs left and right of what was made
+                    there = np.flatnonzero((at >= 0) & (at < width - 2))
+                    rank[there, at[there]], makes[there, at[there]] = self._look(symbol[there, at[there]], symbol[there, at[there] + 1])
 
     def normalize(self, text: str) -> str:
         """One mark before the text; other rules are the library's."""
@@ -153,24 +234,30 @@ class PieceBPE:
             i = after[i]
         return out
 
-    def __missing(self, key: str, segment: str) -> bytes:
-        ids = self.agenda(segment)
-        made = struct.pack(f"<{len(ids)}I", *ids)
-        if len(segment) <= LONGEST:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[key] = made
-        return made
+    def keys(self, text: str) -> list[str]:
+        """A normalised text's segments: words without their mark, others after a space."""
+        if text[:1] == " " and "  " not in text and not self.crosses and text[-1] != " ":
+            return text[1:].split(" ")
+        word = lambda s: len(s) > 1 and s[0] == " " != s[1]
+        return [s[1:] if word(s) and not self.crosses else " " + s for s in self.segments.findall(text)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Of each text, its ids as little-endian unsigned 32-bit, with begin and end."""
+        keys = [self.keys(self.normalize(x)) for x in texts]
+        new = set().union(*keys)
+        if len(self.seen) + len(new) > REMEMBERED:
+            self.seen.clear()
+        new = list(new.difference(self.seen))
+        self.seen.update(zip(new, self.agendas([x[1:] if x[0] == " " else " " + x for x in new]), strict=True))
+        begin, end, ids = struct.pack("<I", self.begin), struct.pack("<I", self.end), self.seen.__getitem__
+        out = [b"".join([begin, *map(ids, x), end]) for x in keys]
+        for x in new:
+            if len(x) > LONGEST:
+                del self.seen[x]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit, with begin and end."""
-        seen, missing, text = self.seen.get, self.__missing, self.normalize(text)
-        if text[:1] == " " and "  " not in text and not self.crosses and text[-1] != " ":
-            ids = [seen(w) or missing(w, " " + w) for w in text[1:].split(" ")]  # remembered without its mark
-        else:
-            word = lambda s: len(s) > 1 and s[0] == " " != s[1]
-            ids = [seen(k := s[1:] if word(s) else "\0" + s) or missing(k, s) for s in self.segments.findall(text)]
-        return struct.pack("<I", self.begin) + b"".join(ids) + struct.pack("<I", self.end)
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -192,12 +279,13 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
         bpe = piece_bpe(path)
         for batch in slices(batches, "text", 4 << 20):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            raw = [bpe.encode(x) for x in texts]
-            ids = [np.frombuffer(x, "<u4").tolist() for x in raw]
-            if check and (theirs := bpe.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)) != ids:
-                wrong = next(i for i, x in enumerate(ids) if theirs[i] != x)
-                raise ValueError(f"ids differ from the library's for {key} {batch.column(0)[wrong]}")
-            decoded = bpe.library.decode(ids, num_threads=1)
+            raw = bpe.encode_all(texts)
+            if check:
+                for i, (own, x) in enumerate(zip(raw, texts, strict=True)):
+                    if bpe.library.encode(x, add_bos=True, add_eos=True, return_type="numpy").astype("<u4", copy=False).tobytes() != own:
+                        raise ValueError(f"ids differ from the library's for {key} {batch.column(0)[i]}")
+            ids = [np.frombuffer(x, "<i4") for x in raw]
+            decoded = [bpe.library.decode(x) for x in ids]
             arrays = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

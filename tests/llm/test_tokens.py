@@ -138,5 +138,25 @@ def test_agendas_agree():
         assert bpe._short(s) == bpe._long(s)
 
 
+def test_segments_together_are_encoded_as_alone():
+    bpe = PieceBPE(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    segments = ["".join(rng.choice(list("theandiг é.\n\0🙂텍\uffff"), n)) for n in [*range(1, 60)] * 4]
+    together = bpe.agendas(segments)
+    assert [list(np.frombuffer(x, "<u4")) for x in together] == [bpe.agenda(x) for x in segments]
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(piece_bpe, "REMEMBERED", 5)
+    bpe = PieceBPE(public_tokenizers.path("piece_bpe_32k.model"))
+    for texts in (["a b c d", "c d e f g h"], ["a  b", "\0abc \0", "", "x " * 50 + "y" * 60]):
+        assert bpe.encode_all(texts) == [np.array(PIECES.encode(x, add_bos=True, add_eos=True), "<u4").tobytes() for x in texts]
+
+
 def test_op8(spark, sf_dir):
-    assert piece_bpe.op8_piece_encoding(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = piece_bpe.op8_piece_encoding(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        x = PIECES.encode(docs[r["doc_id"]], add_bos=True, add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(PIECES.decode(x).encode()).hexdigest())
