@@ -2,33 +2,40 @@
 
 The two halves of the vectors have a codebook each, fitted on a bounded sample. Every vector has a cell: the pair of its
 halves' nearest centroids. A query walks the pairs by summed distance with a heap (the multi-sequence order) until the cells
-it has seen hold enough rows, and all rows of those cells are reranked by the exact inner product.
-Rows are stored in blocks of one first centroid each, hot ones in several; queries go in blocks too, with a bit mask of the
-wanted second centroids for each first. A pair of blocks is one matrix product, whose unwanted entries are masked.
-Only pairs of blocks are joined, on the block's number; a task keeps the best k of each query before the shuffle. The k-th
-best score among the sample's rows in a query's cells is a floor: rows below it can't be among the query's k best.
+it has seen hold enough rows, and all rows of those cells are reranked by the exact inner product. Nearness is the inner
+product, so the distance of a half is how far below zero the centroid's inner product lies, less SPREAD deviations of what
+its rows add to that: long vectors, whose cells are wide, aren't passed over.
+Cells are dealt into blocks of rows, hot ones into several; queries go in blocks too, each with the distance of the last cell
+it has walked to, and meet every block that holds a cell of theirs. A pair of blocks is one matrix product, whose unwanted
+entries are masked. Rows are shuffled once; a task keeps the best k of each query. The k-th best score among the sample's
+rows in a query's cells is a floor: rows below it can't be among the query's k best.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import hash_sample, materialize, table
+from .common import hash_sample, materialize, mix, table
 
 #: Centroids of a half (64 at most: a mask is a long), rows the codebooks are fitted on, rounds of fitting.
 CENTROIDS, SAMPLE, ROUNDS = 64, 10_000, 12
-#: A query looks at cells that hold this share of all rows, and at least so many rows. Near-random vectors need it this high.
-PROBE, LEAST = 0.5, 4096
-#: Rows of a stored block, and queries of a query block, at most.
-BLOCK, QUERIES = 8192, 256
+#: A query looks at cells that hold this share of all rows (near-random vectors need it this high), and at least so many rows
+#: for each neighbour wanted. Deviations of a cell's rows that count for it.
+PROBE, LEAST, SPREAD = 0.5, 4, 2.0
+#: Rows of a block at most, blocks that even a small table has, and queries of a query block.
+BLOCK, BLOCKS, QUERIES = 32_768, 16, 256
 #: Candidates that a task holds.
 HELD = 500_000
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def fit(sample: np.ndarray, centroids: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -45,46 +52,55 @@ def fit(sample: np.ndarray, centroids: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None]
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(axis=1)[None] - 2 * x @ c.T).argmin(axis=1)
 
 
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return distances(x, c).argmin(axis=1)
+def spreads(sample: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of each centroid, the deviation of its rows from it in one direction, drawn towards that of all rows."""
+    a = nearest(sample, c)
+    r = ((sample - c[a]) ** 2).sum(axis=1)
+    return np.sqrt((np.bincount(a, r, len(c)) + r.mean()) / (np.bincount(a, minlength=len(c)) + 1) / c.shape[1])
+
+
+def distances(q: np.ndarray, c: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Of queries' halves to centroids: small where large inner products are to be expected."""
+    return -(q @ c.T) - SPREAD * np.linalg.norm(q, axis=1)[:, None] * spread[None]
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
-    """Masks of the second centroids to look at, for each first: pairs by summed distance until their cells hold enough rows."""
+def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> float:
+    """The summed distance of the last pair to look at: pairs in order of it until their cells hold enough rows."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     da, db, size = first[a].tolist(), second[b].tolist(), counts[np.ix_(a, b)].tolist()
     n, m = len(da), len(db)
     taken = [0] * n  # how many of a row's pairs have been taken: pairs of a row come in order
-    masks, seen, bits = [0] * n, 0, [1 << int(x) for x in b]
+    seen, last = 0, -np.inf
     heap = [(da[0] + db[0], 0, 0)]
     while heap and seen < enough:
-        _, i, j = heapq.heappop(heap)
-        masks[i] |= bits[j]
+        last, i, j = heapq.heappop(heap)
         seen += size[i][j]
         taken[i] = j + 1
         if j + 1 < m and (i == 0 or taken[i - 1] > j + 1):
             heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
         if i + 1 < n and taken[i + 1] == j:
             heapq.heappush(heap, (da[i + 1] + db[j], i + 1, j))
-    out = np.zeros(n, np.uint64)
-    out[a] = np.array(masks, np.uint64)
-    return out
+    return last
 
 
-def best_in_block(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.ndarray, x_ids: np.ndarray, seconds: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k best rows of the block, ties by id; scores are summed in one fixed order."""
+def in_reach(d: list[np.ndarray], reach: np.ndarray) -> np.ndarray:
+    """queries x firsts x seconds: the cells that each query looks at."""
+    return d[0][:, :, None] + d[1][:, None, :] <= (reach + 1e-9 * (1 + np.abs(reach)))[:, None, None]
+
+
+def best_in_block(q: np.ndarray, q_ids: np.ndarray, cells: np.ndarray, x: np.ndarray, x_ids: np.ndarray, cell: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows of the block, ties by id; scores are summed in one fixed order.
+    cells: queries x cells, those looked at; cell: each row's."""
     out = []
     step = max(1, HELD // len(x))
     for s in range(0, len(q), step):
         part, ids = q[s : s + step], q_ids[s : s + step]
-        wanted = (masks[s : s + step, None] >> seconds[None].astype(np.uint64)) & np.uint64(1) > 0
-        wanted &= ids[:, None] != x_ids[None]
         scores = part @ x.T
-        wanted &= scores >= floors[s : s + step, None]
+        wanted = cells[s : s + step][:, cell] & (scores >= floors[s : s + step, None]) & (ids[:, None] != x_ids[None])
         scores[~wanted] = -np.inf
         least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(part), -np.inf)
         i, j = np.nonzero(wanted & (scores >= (least - 1e-9 * (1 + np.abs(least)))[:, None])) if np.isfinite(least).any() else np.nonzero(wanted)
@@ -94,11 +110,10 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.nda
     return best(*map(np.concatenate, zip(*out, strict=True)), k) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def floor(q: np.ndarray, q_ids: np.ndarray, masks: np.ndarray, x: np.ndarray, x_ids: np.ndarray, firsts: np.ndarray, seconds: np.ndarray, k: int) -> np.ndarray:
+def floor(q: np.ndarray, q_ids: np.ndarray, cells: np.ndarray, x: np.ndarray, x_ids: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
     """A score that each query's k best rows reach: the k-th best of some rows that it looks at."""
     scores = q @ x.T
-    seen = (masks[:, firsts] >> seconds[None].astype(np.uint64)) & np.uint64(1) > 0
-    scores[~seen | (q_ids[:, None] == x_ids[None])] = -np.inf
+    scores[~cells[:, cell] | (q_ids[:, None] == x_ids[None])] = -np.inf
     if scores.shape[1] < k:
         return np.full(len(q), -np.inf)
     least = np.partition(scores, -k, axis=1)[:, -k]
@@ -113,120 +128,138 @@ def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.
     return q[rank < k], ids[rank < k], score[rank < k]
 
 
-def vectors(column: pa.Array, dimensions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that take part, and their vectors: whole, finite, not zero, of one size."""
-    keep, found = [], []
-    for i, v in enumerate(column):
-        if not v.is_valid:
-            continue
-        x = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-        dimensions = dimensions or len(x) or None
-        if len(x) == dimensions and np.isfinite(x).all() and x.any():
-            keep.append(i)
-            found.append(x)
-    return np.array(keep, np.int64), np.array(found).reshape(len(found), dimensions or 0)
+def vectors(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that take part, and their vectors: whole, finite, not zero, of the given size."""
+    column = column.cast(pa.list_(pa.float64()))
+    size = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1)
+    keep = np.flatnonzero(size == dimensions)
+    x = np.asarray(column.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keep), dimensions)
+    good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+    return keep[good], x[good]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CENTROIDS, probe: float = PROBE, least: int = LEAST, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CENTROIDS, probe: float = PROBE, least: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """rows, queries: vec_id long, embedding. Per query its k nearest rows found: query_id, rank (from 1), vec_id, score.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id; rows with the query's own vec_id aren't
-    candidates. Null, zero, non-finite or incomplete vectors, null ids, and vectors of another size than the sample's first
-    take no part. Repeated rows are candidates each. Other columns are ignored. Empty tables give an empty result.
+    candidates. Null, zero, non-finite or incomplete vectors, null ids, and vectors of another size than the most common
+    (among like counts, the largest) take no part. Repeated rows are candidates each. Other columns are ignored. Empty tables
+    give an empty result. least: rows that a query looks at at least (default LEAST for each neighbour).
     """
     spark = rows.sparkSession
-    rows, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL") for x in (rows, queries))
-    some = hash_sample(rows.withColumn("mark", F.xxhash64("vec_id")), "mark", sample).toArrow()
-    kept, chosen = vectors(some.column("embedding").combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float64())))
-    if not len(chosen):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimensions = chosen.shape[1]
+    short = isinstance(rows.schema["embedding"].dataType.elementType, FloatType) and rows.schema["embedding"].dataType == queries.schema["embedding"].dataType
+    kind, stored_as = ("array<float>", np.float32) if short else ("array<double>", np.float64)
+    rows, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL") for x in (rows, queries))
+    common = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    if common is None:
+        return spark.createDataFrame([], RESULT)
+    dimensions = common["size"]
+    fit_for = rows.where((F.size("embedding") == dimensions) & F.forall("embedding", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
+    some = hash_sample(fit_for.withColumn("mark", F.xxhash64("vec_id")), "mark", sample).toArrow()
+    if not some.num_rows:
+        return spark.createDataFrame([], RESULT)
+    chosen = vectors(some.column("embedding").combine_chunks(), dimensions)[1]
     half = max(1, dimensions // 2)
     halves = (slice(0, half), slice(half, dimensions)) if dimensions > 1 else (slice(0, 1), slice(0, 1))
-    books = spark.sparkContext.broadcast([fit(chosen[:, h], min(centroids, 64)) for h in halves])
-    anchors = spark.sparkContext.broadcast((chosen, some.column("vec_id").to_numpy()[kept], *(nearest(chosen[:, h], c) for h, c in zip(halves, books.value, strict=True))))
+    books = [fit(chosen[:, h], min(centroids, 64)) for h in halves]
+    books = spark.sparkContext.broadcast([(c, spreads(chosen[:, h], c)) for h, c in zip(halves, books, strict=True)])
+    shape = tuple(len(c) for c, _ in books.value)
+
+    def cell_of(x: np.ndarray) -> np.ndarray:
+        i, j = (nearest(x[:, h], c) for h, (c, _) in zip(halves, books.value, strict=True))
+        return i * shape[1] + j
+
+    def far(q: np.ndarray) -> list[np.ndarray]:
+        return [distances(q[:, h], c, spread) for h, (c, spread) in zip(halves, books.value, strict=True)]
+
+    anchors = spark.sparkContext.broadcast((chosen, some.column("vec_id").to_numpy(), cell_of(chosen)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, x = vectors(batch.column("embedding"), dimensions)
-            i, j = (nearest(x[:, h], c) for h, c in zip(halves, books.value, strict=True)) if len(x) else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["vec_id", "vector", "first", "second"])
-
-    index = materialize(rows.mapInArrow(assign, "vec_id long, vector binary, first int, second int"), "multi-index")
-    shape = tuple(map(len, books.value))
-    counts = np.zeros(shape, np.int64)
-    for r in index.groupBy("first", "second").count().toLocalIterator():  # 4096 rows at most
-        counts[r["first"], r["second"]] = r["count"]
+            raw, size = x.astype(stored_as).tobytes(), dimensions * stored_as().itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * size).astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), packed, pa.array(cell_of(x) if len(x) else keep, pa.int32())], ["vec_id", "vector", "cell"])
+
+    index = materialize(rows.mapInArrow(assign, "vec_id long, vector binary, cell int"), "multi-index")
+    counts = np.zeros(shape[0] * shape[1], np.int64)
+    for r in index.groupBy("cell").count().toLocalIterator():  # 4096 rows at most
+        counts[r["cell"]] = r["count"]
     total = int(counts.sum())
-    size = int(min(block, max(64, total // (2 * shape[0]))))
-    salts = np.maximum(1, -(-counts.sum(axis=1) // size)).tolist()
-    enough = max(least, int(probe * total))
-    salt = F.element_at(F.array(*map(F.lit, salts)), F.col("first") + 1)
-    pack = "first int, salt long, ids binary, vectors binary, seconds binary"
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block."""
-        held: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            key, ids, vecs, seconds = held[0][:2], np.array([x[2] for x in held], np.int64), b"".join(x[3] for x in held), np.array([x[4] for x in held], np.uint8)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([ids.tobytes()]), pa.array([vecs]), pa.array([seconds.tobytes()])], ["first", "salt", "ids", "vectors", "seconds"])
-
+    enough = max(LEAST * k if least is None else least, math.ceil(probe * total))
+    size = max(1, min(block, -(-total // BLOCKS)))
+    base, salts, blocks, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for c, n in enumerate(counts.tolist()):  # cells of a first centroid lie together; a hot cell has blocks of its own
+        if n >= size or held + n > size:
+            blocks, held = blocks + (held > 0), 0
+        base[c], salts[c] = blocks, max(1, -(-n // size))
+        held += n
+        if n >= size:
+            blocks, held = blocks + int(salts[c]), 0
+    owned = [np.flatnonzero((counts > 0) & (base <= b) & (b < base + salts)) for b in range(blocks + (held > 0))]
+    layout = spark.sparkContext.broadcast((base, salts, owned))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a batch that go to one block, packed."""
+        base, salts, _ = layout.value
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("first", "salt", "vec_id", "vector", "second")), strict=True):
-                if held and (held[0][:2] != row[:2] or len(held) >= BLOCK):
-                    yield out()
-                held.append(row)
-        if held:
-            yield out()
+            ids, cell = batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
+            to = base[cell] + (mix(ids.astype(np.uint64)) % salts[cell].astype(np.uint64)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                if len(part):
+                    raw = b"".join(batch.column("vector").take(pa.array(part)).to_pylist())
+                    yield message(int(to[part[0]]), 0, ids[part], raw, cell[part].astype(np.int16).tobytes(), b"")
 
-    stored = index.withColumn("salt", F.pmod(F.xxhash64("vec_id", "vector"), salt).cast("long")).repartition("first", "salt").sortWithinPartitions("first", "salt").mapInArrow(blocks, pack)
+    def message(to: int, asks: int, ids: np.ndarray, raw: bytes, cells: bytes, floors: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([asks], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), raw, cells, floors))], names)
+
+    names, sent = ["block", "asks", "ids", "vectors", "cells", "floors"], "block int, asks int, ids binary, vectors binary, cells binary, floors binary"
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_cell = counts.reshape(shape)
         for batch in batches:
             keep, x = vectors(batch.column("embedding"), dimensions)
             ids = batch.column("vec_id").take(pa.array(keep)).to_numpy()
             for s in range(0, len(x), QUERIES):
-                part = x[s : s + QUERIES]
-                d = [distances(part[:, h], c) for h, c in zip(halves, books.value, strict=True)]
-                masks = np.stack([walk(a, b, counts, enough) for a, b in zip(*d, strict=True)])
-                floors = floor(part, ids[s : s + QUERIES], masks, *anchors.value, k)
-                for i in range(shape[0]):
-                    used = np.flatnonzero(masks[:, i])
-                    if len(used) and counts[i].any():
-                        one = ids[s : s + QUERIES][used].tobytes(), part[used].tobytes(), masks[used, i].tobytes(), floors[used].tobytes()
-                        n = salts[i]
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int32()), pa.array(range(n), pa.int64()), *(pa.array([v] * n, pa.binary()) for v in one)], ["first", "salt", *asking])
-
-    asking = ["q_ids", "q_vectors", "q_masks", "q_floors"]
-    asked = queries.mapInArrow(route, "first int, salt long, q_ids binary, q_vectors binary, q_masks binary, q_floors binary")
+                part, mine = x[s : s + QUERIES], ids[s : s + QUERIES]
+                d = far(part)
+                reach = np.array([walk(a, b, by_cell, enough) for a, b in zip(*d, strict=True)])
+                cells = in_reach(d, reach).reshape(len(part), -1)
+                floors = floor(part, mine, cells, *anchors.value, k)
+                for b, own in enumerate(layout.value[2]):
+                    if len(used := np.flatnonzero(cells[:, own].any(axis=1))):
+                        yield message(b, 1, mine[used], part[used].astype(stored_as).tobytes(), reach[used].tobytes(), floors[used].tobytes())
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def cut() -> tuple:
-            return best(*map(np.concatenate, zip(*held, strict=True)), k)
-
-        def out(x: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(list(map(pa.array, x)), ["query_id", "vec_id", "score"])
-
-        n = 0
+        """Rows come sorted by block: its vectors, then the queries that want some of them."""
+        read = lambda raw: np.frombuffer(raw, stored_as).reshape(-1, dimensions).astype(np.float64)
+        now, parts, whole, found, n = None, [], None, [], 0
+        out = lambda x: pa.RecordBatch.from_arrays(list(map(pa.array, x)), ["query_id", "vec_id", "score"])
+        cut = lambda: best(*map(np.concatenate, zip(*found, strict=True)), k)
         for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["q_vectors"]).reshape(-1, dimensions)
-                x = np.frombuffer(row["vectors"]).reshape(-1, dimensions)
-                held.append(best_in_block(q, np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_masks"], np.uint64), x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["seconds"], np.uint8), k, np.frombuffer(row["q_floors"])))
-                n += len(held[-1][0])
+            for to, asks, ids, raw, cells, floors in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if to != now:
+                    now, parts, whole = to, [], None
+                ids = np.frombuffer(ids, np.int64)
+                if not asks:
+                    parts.append((read(raw), ids, np.frombuffer(cells, np.int16)))
+                    continue
+                if parts:
+                    whole, parts = [np.concatenate(x) for x in zip(*parts, strict=True)], []
+                q = read(raw)
+                found.append(best_in_block(q, ids, in_reach(far(q), np.frombuffer(cells)).reshape(len(q), -1), *whole, k, np.frombuffer(floors)))
+                n += len(found[-1][0])
                 if n > HELD:
-                    held[:] = [cut()]
-                    if (n := len(held[0][0])) > HELD // 2:
-                        yield out(held.pop())
+                    found = [cut()]
+                    if (n := len(found[0][0])) > HELD // 2:
+                        yield out(found.pop())
                         n = 0
-        if held:
+        if found:
             yield out(cut())
 
-    found = asked.join(stored, ["first", "salt"]).select(*asking, "ids", "vectors", "seconds").mapInArrow(rerank, "query_id long, vec_id long, score double")
+    met = index.mapInArrow(deal, sent).union(queries.mapInArrow(route, sent)).repartition("block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -224,14 +224,14 @@ def found(df):
     return out
 
 
-def test_small_tables_are_searched_whole(spark):
+def test_all_cells_are_all_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(40)]  # ties
     bad = [(400, None), (401, [0.0] * 6), (402, [float("nan")] * 6), (403, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (404, [float("inf")] * 6), (405, [1.0]), (None, rows[0][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows + bad], "vec_id long, embedding array<double>, first int").repartition(3)
     queries = df.where("vec_id % 20 = 0 OR vec_id IN (401, 402)")
-    got = found(multi_index.search(df, queries, 20))
+    got = found(multi_index.search(df, queries, 20, probe=1.0))
     want = exact(rows, [r for r in rows if r[0] % 20 == 0], 20)
     assert {i: [j for j, _ in x] for i, x in got.items()} == {i: [j for j, _ in x] for i, x in want.items()}
     assert all(a[1] == pytest.approx(b[1], abs=1e-12) for i in want for a, b in zip(got[i], want[i]))
@@ -260,9 +260,45 @@ def test_recall_where_cells_are_left_out(spark):
 def test_walk_takes_pairs_in_order():
     rng = np.random.default_rng(7)
     a, b = rng.random(6), rng.random(5)
-    masks = multi_index.walk(a, b, np.ones((6, 5), np.int64), 11)
-    taken = {(i, j) for i in range(6) for j in range(5) if int(masks[i]) >> j & 1}
-    assert taken == {divmod(int(x), 5) for x in np.argsort((a[:, None] + b[None]).ravel())[:11]}
+    reach = multi_index.walk(a, b, np.ones((6, 5), np.int64), 11)
+    cells = multi_index.in_reach([a[None], b[None]], np.array([reach]))[0]
+    assert set(zip(*map(list, np.nonzero(cells)), strict=True)) == {divmod(int(x), 5) for x in np.argsort((a[:, None] + b[None]).ravel())[:11]}
+
+
+def recall(spark, x, every=20):
+    """Of the production parameters, by brute force; and the share of rows that a query has looked at can't be all."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = found(multi_index.search(df, df.where(f"vec_id % {every} = 0")))
+    scores, hits = x[::every] @ x.T, 0
+    for n, row in enumerate(scores):
+        row[n * every] = -np.inf
+        hits += len({j for j, _ in got[n * every]} & set(np.argsort(-row)[:20].tolist()))
+    assert len(got) == len(scores)
+    return hits / 20 / len(scores)
+
+
+@pytest.mark.parametrize("lengths", [0.0, 0.5])
+def test_recall_at_the_defaults(spark, lengths):
+    """12,000 random vectors, the hardest case: of one length, and of log-normal ones."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 64))
+    x *= np.exp(rng.normal(size=(12_000, 1)) * lengths) / np.linalg.norm(x, axis=1)[:, None]
+    assert 0.9 <= recall(spark, x, 60) < 1
+
+
+def test_malformed_vectors_do_not_decide_the_size(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(200)] + [(1000 + i, [1.0] * (4 + i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert set(found(multi_index.search(df, df))) == set(range(200))
+
+
+def test_a_hot_cell_is_dealt_into_blocks(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(700)] + [(1000 + i, rng.normal(size=4).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(multi_index.search(df, df.where("vec_id IN (0, 60, 1020)"), probe=1.0, block=64))
+    want = exact(rows, [r for r in rows if r[0] in (0, 60, 1020)], 20)
+    assert {i: [j for j, _ in x] for i, x in got.items()} == {i: [j for j, _ in x] for i, x in want.items()}
 
 
 def test_op9(spark, sf_dir):
