@@ -4,8 +4,9 @@ Reading plans one partition per group of whole files, takes filters on record_ty
 by Spark, or as options), and parses a record's headers first. A record that no filter wants is passed over without decoding
 its payload: each gzip member carries its compressed length in an extra field 'sl', so the reader seeks to the next; members of
 other writers, without that field, are inflated and dropped. Option payload=false skips payloads of wanted records too.
-Writing puts each task's records in a file of its own; only files named in the manifest, which the driver writes on commit,
-are read, so failed or repeated task attempts leave nothing behind that counts.
+A member may hold several records (an archive compressed as one stream); then they are read one after the other.
+Writing puts each task's records in a file of its own; only files named in a manifest are read, of which the driver writes one
+on each commit, so failed or repeated task attempts leave nothing behind that counts, and appending keeps what is there.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import new_path, table
+from .common import most_frequent, new_path, slices, table
 
-MANIFEST = "_manifest.json"
+MANIFEST = re.compile(r"_manifest-\w+\.json$")
 SCHEMA = "record_id string, record_type string, target_uri string, payload binary, payload_length long, payload_digest string, refers_to string, headers map<string,string>, file string, offset long"
 #: Bytes of archives that one partition reads, and rows in a batch.
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Rows of equal payloads that stay together, and larger groups that are dealt out (any other is a 4096th of all rows at most).
+GROUP, HOT = 1024, 4096
 _PUSHED = ("record_type", "record_id", "target_uri")
 
 
@@ -51,8 +54,8 @@ def member(raw: bytes, level: int = 6) -> bytes:
     """One gzip member whose extra field 'sl' holds its compressed and uncompressed lengths."""
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(raw) + packer.flush()
-    whole = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, whole & 0xFFFFFFFF, len(raw) & 0xFFFFFFFF)
+    form, size = ("<HII", 8) if len(body) < 2**31 and len(raw) < 2**32 else ("<HQQ", 16)
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", size + 4) + b"sl" + struct.pack(form, size, 10 + 2 + size + 4 + len(body) + 8, len(raw))
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
@@ -89,18 +92,18 @@ def _skip_length(head: bytes) -> int | None:
     while at + 4 <= len(extra):
         size = struct.unpack("<H", extra[at + 2 : at + 4])[0]
         if extra[at : at + 2] == b"sl" and size >= 8:
-            return struct.unpack("<I", extra[at + 4 : at + 8])[0]
+            return struct.unpack("<Q", extra[at + 4 : at + 12])[0] if size >= 16 else struct.unpack("<I", extra[at + 4 : at + 8])[0]
         at += 4 + size
     return None
 
 
 class Inflating:
-    """The bytes of one gzip member, inflated as far as they are asked for."""
+    """The records of one gzip member, inflated as far as they are asked for."""
 
     def __init__(self, source: io.RawIOBase, start: int):
         self.source, self.start = source, start
         source.seek(start)
-        self.fed, self.buffer, self.unpacker = 0, bytearray(), zlib.decompressobj(31)
+        self.fed, self.buffer, self.unpacker, self.total = 0, bytearray(), zlib.decompressobj(31), 0
         self.length = _skip_length(first := source.read(4096))
         self._feed(first)
 
@@ -118,23 +121,35 @@ class Inflating:
         return True
 
     def headers(self) -> dict[str, str] | None:
-        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+        """Of the record that comes next; None if there is none."""
+        while (end := self.buffer.find(b"\r\n\r\n", len(self.buffer) - len(self.buffer.lstrip(b"\r\n")))) < 0:
             if not self.more():
+                if self.buffer.strip():
+                    raise ValueError(f"a record without headers, in the gzip member that begins at {self.start}")
                 return None
         self.body = end + 4
-        return parse_headers(bytes(self.buffer[:end]))
+        return parse_headers(bytes(self.buffer[:end]).lstrip(b"\r\n"))
 
     def block(self, length: int) -> bytes:
         while len(self.buffer) < self.body + length and self.more():
             pass
         return bytes(self.buffer[self.body : self.body + length])
 
-    def end(self) -> int:
+    def next(self) -> bool:
+        """Pass over the record's block. Whether the member may hold another record: one of known length has one only."""
         if self.length:
-            return self.start + self.length
-        while self.more():
-            self.buffer = self.buffer[-4:]
-        return self.start + self.fed - len(self.unpacker.unused_data)
+            return False
+        left = self.body + self.total
+        while len(self.buffer) < left:
+            left -= len(self.buffer)
+            self.buffer.clear()
+            if not self.more():
+                return False
+        del self.buffer[:left]
+        return True
+
+    def end(self) -> int:
+        return self.start + (self.length or self.fed - len(self.unpacker.unused_data))
 
 
 @dataclass
@@ -152,6 +167,20 @@ class Written(WriterCommitMessage):
     size: int = 0
 
 
+def archives(system: fs.FileSystem, root: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the archives at or below root: those that manifests name, or all if there is no manifest."""
+    info = system.get_file_info(root)
+    infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    manifests = [i.path for i in infos if MANIFEST.search(i.path)]
+    if not manifests:
+        return [(i.path, i.size) for i in infos if i.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", i.path)]
+    files = []
+    for path in manifests:
+        with system.open_input_file(path) as f:
+            files += [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
+    return files
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -170,14 +199,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         system, root = fs.FileSystem.from_uri(self.path)
-        found = system.get_file_info([f"{root}/{MANIFEST}"])[0]
-        if found.type == fs.FileType.File:
-            with system.open_input_file(found.path) as f:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
-        else:
-            info = system.get_file_info(root)
-            infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-            files = [(i.path, i.size) for i in infos if i.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", i.path)]
+        files = archives(system, root)
         parts, held = [[]], 0
         for path, size in sorted(files):
             if parts[-1] and held + size > PARTITION_BYTES:
@@ -208,33 +230,36 @@ class WarcReader(DataSourceReader):
         plain = path.endswith(".warc")
         while at < size:
             one = Plain(source, at) if plain else Inflating(source, at)
-            if (h := one.headers()) is None:
-                return
-            strip = lambda k: h[k].removeprefix("<").removesuffix(">") if k in h else None
-            values = {"record_type": h.get("warc-type"), "record_id": strip("warc-record-id"), "target_uri": h.get("warc-target-uri")}
-            one.total = int(h.get("content-length", 0))
-            if self._wants(values):
-                payload = None
-                length = int(h["x-payload-length"]) if "x-payload-length" in h else None
-                if self.payload and values["record_type"] == "response":
-                    block = one.block(one.total)
-                    payload = block.partition(b"\r\n\r\n")[2] if "application/http" in h.get("content-type", "") else block
-                    length = len(payload)
-                yield values["record_id"], values["record_type"], values["target_uri"], payload, length, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, strip("warc-refers-to"), list(h.items()), path, at
-            at = one.end()
+            while (h := one.headers()) is not None:
+                strip = lambda k: h[k].removeprefix("<").removesuffix(">") if k in h else None  # noqa: E731, B023
+                values = {"record_type": h.get("warc-type"), "record_id": strip("warc-record-id"), "target_uri": h.get("warc-target-uri")}
+                one.total = int(h.get("content-length", 0))
+                if self._wants(values):
+                    payload = None
+                    length = int(h["x-payload-length"]) if "x-payload-length" in h else None
+                    if self.payload and values["record_type"] == "response":
+                        block = one.block(one.total)
+                        payload = block.partition(b"\r\n\r\n")[2] if "application/http" in h.get("content-type", "") else block
+                        length = len(payload)
+                    yield values["record_id"], values["record_type"], values["target_uri"], payload, length, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, strip("warc-refers-to"), list(h.items()), path, at
+                if not one.next():
+                    break
+            at = max(one.end(), at + 1)
 
 
 class Plain:
     """A record of an archive without compression."""
 
     def __init__(self, source, start: int):
-        self.source, self.start, self.total = source, start, 0
+        self.source, self.start, self.total, self.body = source, start, 0, 0
 
     def headers(self) -> dict[str, str] | None:
         self.source.seek(self.start)
         raw = b""
-        while (end := raw.find(b"\r\n\r\n")) < 0:
+        while (end := raw.find(b"\r\n\r\n", len(raw) - len(raw.lstrip(b"\r\n")))) < 0:
             if not (x := self.source.read(4096)):
+                if raw.strip():
+                    raise ValueError(f"a record without headers, at {self.start}")
                 return None
             raw += x
         self.body = self.start + end + 4
@@ -244,8 +269,11 @@ class Plain:
         self.source.seek(self.body)
         return self.source.read(length)
 
+    def next(self) -> bool:
+        return False
+
     def end(self) -> int:
-        return self.body + self.total + 4
+        return self.body + self.total if self.body else self.source.size()
 
 
 _ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("file", pa.string()), ("offset", pa.int64())])
@@ -258,8 +286,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class WarcWriter(DataSourceArrowWriter):
     """Columns: record_id, record_type, payload; target_uri, payload_digest, refers_to, warc_date if there."""
 
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.date = options.get("date", "1970-01-01T00:00:00Z")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -270,9 +298,10 @@ class WarcWriter(DataSourceArrowWriter):
             for batch in batches:
                 if out is None and batch.num_rows:
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
-                for row in batch.to_pylist():
-                    payload = row["payload"] or b""
-                    out.write(member(record(row["record_id"], row["record_type"], row.get("target_uri"), payload, row.get("payload_digest") or digest(payload), row.get("refers_to"), row.get("warc_date") or self.date)))
+                for part in slices([batch], "payload"):
+                    for row in part.to_pylist():
+                        payload = row["payload"] or b""
+                        out.write(member(record(row["record_id"], row["record_type"], row.get("target_uri"), payload, row.get("payload_digest") or digest(payload), row.get("refers_to"), row.get("warc_date") or self.date)))
             size = out.tell() if out is not None else 0
         finally:
             if out is not None:
@@ -280,10 +309,18 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name if out is not None else None, size)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """One more manifest. Overwriting takes the old ones away; archives that were there without one are named too."""
         system, root = fs.FileSystem.from_uri(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps([(m.name, m.size) for m in messages if m is not None and m.name]).encode())
+        old = [i.path for i in system.get_file_info(fs.FileSelector(root)) if MANIFEST.search(i.path)]
+        made = [(m.name, m.size) for m in messages if m is not None and m.name]
+        if not old and not self.overwrite:
+            own = {name for name, _ in made}
+            made += [(path.removeprefix(root).lstrip("/"), size) for path, size in archives(system, root) if path.rsplit("/", 1)[-1] not in own]
+        with system.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps(made).encode())
+        for path in old if self.overwrite else []:
+            system.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = fs.FileSystem.from_uri(self.path)
@@ -306,7 +343,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -323,12 +360,15 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """
     register(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    if least_bytes:
-        rows = rows.withColumn("sha1", F.when(F.octet_length("payload") >= least_bytes, F.col("sha1")).otherwise(F.concat("sha1", F.lit("-"), F.uuid())))
-    first = rows.groupBy("sha1").agg(F.max("page_id").alias("first"))
-    revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    equal = pages.select("page_id", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).where(F.octet_length("payload") >= least_bytes).select("page_id", F.sha1("payload").alias("sha1"))
+    groups = equal.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a large group's rows are dealt out by salt; of other groups, each has few rows
+    hot = F.broadcast(most_frequent(groups.where(F.col("n") > GROUP), "n", HOT).select("sha1", F.ceil(F.col("n") / GROUP).cast("int").alias("salts")))
+    first = groups.join(hot, "sha1", "left").select("sha1", "first", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    rows = rows.join(hot, "sha1", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    revisits = F.col("first").isNotNull() & (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
-    out = rows.join(first, "sha1").select(
+    out = rows.join(first, ["sha1", "salt"], "left").select(
         urn(F.col("page_id")).alias("record_id"), F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), "payload", F.when(revisits, urn(F.col("first"))).alias("refers_to")
     )
     out.write.format("warc").mode("append").save(path)

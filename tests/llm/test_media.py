@@ -202,6 +202,46 @@ def test_archives_of_others_without_lengths(tmp_path):
         list(b for p in reader.partitions() for b in reader.read(p))
 
 
+def test_archives_of_one_stream_and_broken_records(tmp_path):
+    record = lambda i: warc.record(f"urn:{i}", "response", "u", b"pay" * i, "D", None, "1970-01-01T00:00:00Z")
+    read = lambda: [r["payload"] for p in warc.WarcReader({"path": str(tmp_path)}).partitions() for b in warc.WarcReader({"path": str(tmp_path)}).read(p) for r in b.to_pylist()]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(record(i) for i in (1, 50_000, 0, 3))) + gzip.compress(record(2)))
+    assert read() == [b"pay" * i for i in (1, 50_000, 0, 3, 2)]
+    reader = warc.WarcReader({"path": str(tmp_path), "record_id": "urn:3,urn:2"})
+    assert [r["record_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == ["urn:3", "urn:2"]
+    for name, raw in (("b.warc.gz", gzip.compress(b"no headers here")), ("b.warc", b"no headers here")):
+        (tmp_path / name).write_bytes(raw)
+        with pytest.raises(ValueError, match="without headers"):
+            read()
+        (tmp_path / name).unlink()
+
+
+def test_lengths_over_32_bits():
+    head = b"\x1f\x8b\x08\x04" + bytes(6) + (20).to_bytes(2, "little") + b"sl" + (16).to_bytes(2, "little") + (5 << 32).to_bytes(8, "little") + bytes(8)
+    assert warc._skip_length(head) == 5 << 32 and warc._skip_length(warc.member(b"abc")) == len(warc.member(b"abc"))
+
+
+def test_appending_keeps_and_overwriting_replaces(spark):
+    warc.register(spark)
+    path = new_path(spark, "warc-test")
+    rows = lambda *ids: spark.createDataFrame([(f"urn:page:{i}", "response", bytearray(b"x%d" % i)) for i in ids], "record_id string, record_type string, payload binary")
+    have = lambda: sorted(r["record_id"][-1] for r in spark.read.format("warc").load(path).collect())
+    rows(1, 2).write.format("warc").mode("append").save(path)
+    rows(3).write.format("warc").mode("append").save(path)
+    assert have() == ["1", "2", "3"]
+    rows(4).write.format("warc").mode("overwrite").save(path)
+    assert have() == ["4"]
+
+
+def test_a_large_group_of_equal_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "GROUP", 7)
+    path = new_path(spark, "warc-test")
+    warc.archive_pages(spark.range(100).selectExpr("id AS page_id", "concat('u', id) AS url", "if(id % 10 < 8, 'same', concat('own', id)) AS html"), path)
+    for r in warc.read_pages(spark, path).collect():
+        same = r["page_id"] % 10 < 8
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 97) if same and r["page_id"] != 97 else ("response", None))
+
+
 def test_empty_pages(spark):
     path = new_path(spark, "warc-test")
     warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
