@@ -47,6 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores after it until no column has it (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_sample(df: DataFrame, hashed: str, k: int) -> DataFrame:
     """The rows with the k smallest values of a column of 64-bit hashes (all, if there are no more), in order.
 

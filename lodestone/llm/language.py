@@ -141,24 +141,24 @@ def held_out(key: F.Column) -> F.Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: F.Column | None = None, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """All columns of docs and lang_pred, score (cosine, 0 to 1).
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: F.Column | None = None, dimensions: int = DIMENSIONS, seed: int = SEED, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs and lang_pred, score (cosine, 0 to 1), or what names calls these two.
 
     Learns from rows where train holds (default: not held out) and lang isn't null; lang, key and others are never inputs of a
-    prediction. Null texts and texts without letters get UNKNOWN and 0. Repeated rows get a row each. Columns of docs named
-    lang_pred or score are replaced. Without training rows all are UNKNOWN.
+    prediction. Null texts and texts without letters get UNKNOWN and 0. Repeated rows get a row each. Columns of docs that are
+    named so are replaced. Without training rows all are UNKNOWN.
     """
     found = learn_prototypes(docs.where(~held_out(F.col(key)) if train is None else train).select(F.col(text).alias("text"), F.col(lang).alias("lang")), dimensions, seed)
-    names = list(found)
+    langs_known = list(found)
     shared = docs.sparkSession.sparkContext.broadcast(np.array([v / np.linalg.norm(v) for v in found.values()]).reshape(-1, dimensions))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, AT_ONCE):
-            langs, score = predict(_read(batch, text), names, shared.value, dimensions, seed)
-            yield batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(score))
+            langs, score = predict(_read(batch, text), langs_known, shared.value, dimensions, seed)
+            yield batch.append_column(names[0], pa.array(langs, pa.string())).append_column(names[1], pa.array(score))
 
-    docs = docs.drop("lang_pred", "score").withColumn(text, F.col(text).cast("string"))
-    return docs.mapInArrow(label, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    docs = docs.drop(*names).withColumn(text, F.col(text).cast("string"))
+    return docs.mapInArrow(label, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

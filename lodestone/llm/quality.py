@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialize, mix, slices, table, utf8
+from .common import fresh, hash_sample, materialize, mix, slices, table, utf8
 
 BUCKETS, GRAM, SHRINK = 1 << 18, 4, 5.0
 #: The share of the target's documents below which the threshold lies, and how far below.
@@ -183,15 +183,15 @@ def sample_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     if fitted.least is None:
         return docs
     least, weigh, columns = fitted.least, fitted.weigh, docs.columns
-    extra = ["__key", "__text", "__mark", "__id"]
+    extra = [fresh(columns, x) for x in ("__key", "__text", "__mark", "__id")]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", AT_ONCE):
+        for batch in slices(batches, extra[1], AT_ONCE):
             inner = pa.RecordBatch.from_arrays([batch.column(c) for c in extra], ["key", "text", "mark", "id"])
             yield batch.select(columns).filter(pa.array(weigh(inner)[-1].to_numpy() >= least))
 
     text_column = F.col(text).cast("string")
-    marked = docs.withColumns({"__key": F.col(key), "__text": text_column, "__mark": F.xxhash64(F.col(key), text_column), "__id": F.xxhash64(F.col(key))})
+    marked = docs.withColumns(dict(zip(extra, (F.col(key), text_column, F.xxhash64(F.col(key), text_column), F.xxhash64(F.col(key))), strict=True)))
     return marked.mapInArrow(keep, docs.schema)
 
 

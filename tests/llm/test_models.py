@@ -41,6 +41,39 @@ def test_languages(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 and r["lang_pred"] in {*docs.values(), "und"} for r in rows)
 
 
+def test_languages_by_brute_force(spark):
+    """Bundles, prototypes, cosines and scores, letter by letter."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("The dog!", "en"), ("le chat est là", "fr"), ("der Hund", "de"), ("a dog sat", None), ("chat", None), ("42", None), (None, "fr"), ("", "de")])]
+    train = F.col("lang").isNotNull()
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2), train=train).collect()
+    vector = {}
+
+    def letter(c):
+        if c not in vector:
+            vector[c] = language.letter_vectors(np.array([ord(c) if c != " " else 0]), language.DIMENSIONS, language.SEED)[0].astype(int)
+        return vector[c]
+
+    def bundle(text):
+        s = re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in f" {text or ''} "))
+        out = np.zeros(language.DIMENSIONS, int)
+        for j in range(len(s) - 2 if s.strip() else 0):
+            out += np.roll(letter(s[j]), 2) * np.roll(letter(s[j + 1]), 1) * letter(s[j + 2])
+        return out
+
+    prototypes = {}
+    for _, t, lang in rows:
+        if lang is not None:
+            prototypes[lang] = prototypes.get(lang, 0) + bundle(t)
+    for r in got:
+        b = bundle(r["text"])
+        if not b.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosine = {n: float(b @ p / np.linalg.norm(b) / np.linalg.norm(p)) for n, p in prototypes.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(min(1, max(0, cosine[best])), abs=1e-6)
+
+
 def test_language_of_odd_documents(odd_docs, no_docs):
     rows = identify(odd_docs).collect()
     assert len(rows) == odd_docs.count() and set(rows[0].asDict()) == {*odd_docs.columns, "lang_pred"}
