@@ -27,7 +27,7 @@ from .common import materialize, slices, table
 
 WIDTH, MOST_ROWS = 64, 64
 #: Entries of the tables of frames that are coded together, and frames that go one by one instead.
-TABLES, FEW = 1 << 24, 32
+TABLES, FEW = 1 << 23, 32
 #: Pixels of a canvas or frame that the decoder reads; larger ones are errors (a header can ask for 4 billion).
 MOST_PIXELS = 1 << 26
 #: Payloads are filled with bytes 0 to a positive multiple of this.
@@ -521,7 +521,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 3 << 20):
             raw = [(x or "").encode() for x in batch.column(1).to_pylist()]
             media = encode_gifs([x + bytes(-len(x) % UNIT or UNIT * (not x)) for x in raw], palette=INK, delay_ms=None, disposal=DISPOSALS, transparent=BLANK)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
@@ -536,7 +536,7 @@ def decode_media(rows: DataFrame, key: str = "doc_id", media: str = "media", wit
     arrow = to_arrow_schema(schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", 2 << 20):
+        for batch in slices(batches, "media", 1 << 20):
             found = decode_gifs(batch.column(1).to_pylist(), with_rgba)
             frames = [f for m in found for f in m.frames]
             kinds = arrow.field("frames").type.value_type
