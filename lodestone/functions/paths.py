@@ -73,6 +73,70 @@ def concepts(ext: Column) -> Column:
     return lookup(ext, fixed.CONCEPTS, F.array().cast("array<string>"))
 
 
+def category_label(kind: Column) -> Column:
+    return lookup(kind, fixed.CATEGORY_LABELS, F.lit(fixed.CATEGORY_LABELS["Other"]))
+
+
+def type_display(ext: Column, is_directory: Column) -> Column:
+    """How a file's type is shown: by its extension, its category, or its extension in capitals."""
+    bare = F.upper(F.substring(ext, 2, 255))
+    kind = category(ext)
+    other = F.when(kind.isin("ThreeDimensionalModel", "CadDrawing"), F.concat_ws(" ", bare, category_label(kind))).when(ext == "", F.lit(fixed.FILE_DISPLAY)).otherwise(F.concat_ws(" ", bare, F.lit(fixed.FILE_DISPLAY)))
+    return F.when(is_directory, F.lit(fixed.FOLDER_DISPLAY)).otherwise(lookup(ext, fixed.EXTENSION_DISPLAYS, lookup(kind, fixed.TYPE_DISPLAYS, other)))
+
+
+#: Version of the descriptor's wording, a part of it: stored vectors of other versions are stale.
+DESCRIPTOR_VERSION = 2
+
+
+def format_description(ext: Column) -> Column:
+    """What an extension's format is for, or its category and name."""
+    bare = F.substring(ext, 2, 255)
+    return F.when(F.size(concepts(ext)) > 0, F.array_join(concepts(ext), ", ")).when(ext == "", category_label(category(ext))).otherwise(F.concat_ws(", ", category_label(category(ext)), bare))
+
+
+def descriptor(file_name: Column, folder: Column, ext: Column, root: str, version: int = DESCRIPTOR_VERSION) -> Column:
+    """The sentence that stands for a file without readable text."""
+    from .text import split_identifier
+
+    words, kind = split_identifier(stem(file_name)), category(ext)
+    parts = [
+        F.concat(F.lit(f"메타데이터 설명 버전 {version}. 파일명 "), stem(file_name), F.lit(".")),
+        F.when(words != "", F.concat(F.lit(" 파일명 단어 "), words, F.lit("."))),
+        F.concat(F.lit(" 폴더 "), relative(folder, root), F.lit(". 종류 "), category_label(kind), F.lit(".")),
+        F.when(ext != "", F.concat(F.lit(" 확장자 "), F.substring(ext, 2, 255), F.lit("."))),
+        F.when(F.size(concepts(ext)) > 0, F.concat(F.lit(" 형식 의미 "), F.array_join(concepts(ext), ", "), F.lit("."))).when(kind == "Other", F.lit(" 사용자 정의 또는 특수 파일 형식.")),
+    ]
+    return F.concat_ws("", *parts)
+
+
+def path_priority(folder: Column, home: str | None) -> Column:
+    """A user's folders first: desktop, documents and downloads, then the rest of their own folder."""
+    if not home:
+        return F.lit(0) + F.lit(0)  # a bare number would be a place in an ORDER BY
+    key = F.lower(folder)
+    inside = [F.when(in_root(key, f"{home.rstrip('/')}/{name}"), value).otherwise(0) for name, value in fixed.USER_FOLDERS]
+    return F.greatest(F.lit(0), F.when(in_root(key, home), fixed.USER_FOLDER).otherwise(0), *inside)
+
+
+def generated_image_priority(file_name: Column, folder: Column) -> Column:
+    """How likely a file is a generated image: by its folders, then by its name."""
+    names = F.transform(F.filter(parts(folder), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x)))
+    made = F.exists(names, lambda x: x.isin(*fixed.GENERATED_FOLDERS) | F.contains(x, F.lit(fixed.GENERATED_PARTS[0])) | F.contains(x, F.lit(fixed.GENERATED_PARTS[1])))
+    base = F.lower(stem(file_name))
+    digits = F.length(F.regexp_replace(base, r"[^\p{Nd}]", ""))
+    named = F.contains(base, F.lit("comfy")) | F.startswith(base, F.lit("nai_")) | F.contains(base, F.lit("generated"))
+    opaque = (F.length(base) >= 5) & (digits >= F.floor(F.length(base) * 3 / 4))
+    return F.when(made, 60_000.0).when(F.exists(names, lambda x: x.isin(*fixed.PICTURE_FOLDERS)), 18_000.0).otherwise(0.0) + F.when(named, 20_000.0).when(opaque, 2_000.0).otherwise(0.0)
+
+
+def size_short(size: Column) -> Column:
+    """The shorter form: at most one decimal, none for bytes, up to terabytes."""
+    step = F.least(F.lit(4), F.when(size < 1024, 0).otherwise(F.floor(F.log(2.0, F.greatest(size, F.lit(1)).cast("double")) / 10))).cast("int")
+    value = F.round(size / F.pow(F.lit(1024.0), step), 1)
+    return F.concat_ws(" ", F.regexp_replace(F.format_string("%.1f", value), r"\.0$", ""), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1))
+
+
 def size_display(size: Column, is_directory: Column) -> Column:
     number = lambda c, d: F.format_number(c, d)
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3

@@ -85,19 +85,56 @@ def priority(kind: Column, count: Column, visual_query: bool = False) -> Column:
 
 
 def relative_confidence(similarity: Column, best: Column) -> Column:
-    return clamp(1.0 - (best - similarity) / 0.08)
+    """1 for the best, 0 from 0.08 below it on; 0 where nothing is known."""
+    known = clamp(1.0 - F.greatest(F.lit(0.0), best - similarity) / 0.08)
+    return F.when(similarity.isNull() | best.isNull() | (best <= 5e-324), F.lit(0.0)).otherwise(known)
 
 
-def match_percent(kind: Column, coverage: Column, name_ratio: Column, semantic: Column, best_semantic: Column, visual: Column, best_visual: Column) -> Column:
-    """What is shown: rounded half up."""
-    clear = clamp(coverage, 0.5, 1.0)
+def semantic_signal(similarity: Column) -> Column:
+    """A cosine of a text model as a ranking signal: 0.68 is nothing, 0.92 is all."""
+    return F.when(similarity.isNull(), F.lit(0.0)).otherwise(clamp((similarity - 0.68) / 0.24))
+
+
+def match_percent(kind: Column, evidence: Column, coverage: Column, name_matches: Column, total_terms: Column, semantic: Column, best_semantic: Column, visual: Column, best_visual: Column) -> Column:
+    """What is shown, rounded half up. coverage, semantic and visual may be null; evidence: all kinds of the row."""
+    clear = clamp(F.coalesce(coverage, F.lit(0.5)), 0.5, 1.0)
+    share = F.when(total_terms <= 0, 0.5).otherwise(clamp(name_matches / F.greatest(total_terms, F.lit(1))))
+    seen = clamp(35.0 + 55.0 * clamp((visual - 0.04) / 0.26) + 5.0 * relative_confidence(visual, best_visual), 35.0, 95.0)
     return (
-        F.when(kind == "ExactName", F.lit(99.0))
-        .when(kind == "Combined", F.round(92.0 + 7.0 * coverage))
-        .when(kind == "NameCandidate", F.round(62.0 + 24.0 * name_ratio))
-        .when(kind == "Content", F.round(72.0 + 24.0 * clear))
+        F.when(kind == "ExactName", F.when((total_terms > 0) & (name_matches >= total_terms), 99.0).otherwise(92.0))
+        .when(kind == "Combined", F.round(92.0 + 7.0 * clear))
+        .when(kind == "NameCandidate", F.round(62.0 + 24.0 * share))
+        .when(kind == "Content", F.when(F.array_contains(evidence, "ExactName"), 99.0).otherwise(F.round(72.0 + 24.0 * clear)))
         .when(kind == "Path", F.lit(45.0))
         .when(kind == "SemanticCandidate", F.round(45.0 + 27.0 * relative_confidence(semantic, best_semantic)))
-        .when(kind == "VisualCandidate", F.round(clamp(35.0 + 55.0 * clamp((visual - 0.04) / 0.26) + 5.0 * relative_confidence(visual, best_visual), 35.0, 95.0)))
-        .otherwise(F.lit(40.0))
+        .when(kind == "VisualCandidate", F.when(visual.isNull(), 35.0).otherwise(F.round(seen)))
+        .otherwise(F.lit(70.0))
     )
+
+
+def badge(kind: Column, percent: Column, advanced: Column) -> Column:
+    """A result's short label."""
+    number = F.round(percent).cast("int").cast("string")
+    fill = lambda text: F.concat(*(F.lit(x) if i == 0 else F.concat(number, F.lit(x)) for i, x in enumerate(text.split("{}"))))
+    out = F.when(advanced, fill(fixed.ADVANCED_BADGE))
+    for name, text in fixed.BADGES.items():
+        out = out.when(kind == name, fill(text))
+    return out.otherwise(fill(fixed.OTHER_BADGE))
+
+
+def relevance(kind: Column, percent: Column) -> Column:
+    """A result's long label: its evidence, or how high its percentage is."""
+    out = reduce(lambda c, kv: c.when(kind == kv[0], F.lit(kv[1])), fixed.RELEVANCE.items(), F)
+    return reduce(lambda c, kv: c.when(percent >= kv[0], F.lit(kv[1])), fixed.RELEVANCE_STEPS[:-1], out).otherwise(F.lit(fixed.RELEVANCE_STEPS[-1][1]))
+
+
+def display_reason(reasons: Column, wish: str = "") -> Column:
+    """The three weightiest of a row's reasons, each once whatever its case, in their first order among equals."""
+    first = F.filter(reasons, lambda x, i: x.isNotNull() & (F.array_position(F.transform(reasons, lambda y: F.lower(y)), F.lower(x)) == i + 1))
+
+    def weight(x: Column) -> Column:
+        return reduce(lambda c, kv: c.when(F.contains(F.lower(x), F.lit(kv[0])), kv[1]), fixed.REASON_PRIORITIES, F).otherwise(1)
+
+    ranked = F.array_sort(F.transform(first, lambda x, i: F.struct((-weight(x)).alias("w"), i.alias("i"), x.alias("text"))))
+    shown = F.array_join(F.transform(F.slice(ranked, 1, 3), lambda x: x["text"]), " ")
+    return F.trim(F.concat_ws(" ", shown, F.lit(wish))) if wish else shown

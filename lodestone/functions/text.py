@@ -6,6 +6,7 @@ only (\\p{Nd}).
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans import fixed
+
 HANGUL, LATIN, DIGIT, LETTER = "가-힣ᄀ-ᇿ㄰-㆏", "A-Za-z", r"\p{Nd}", r"\p{L}"
 #: Occurrences of a word that count.
 MOST_OCCURRENCES = 8
@@ -55,8 +58,23 @@ def attribute(predicate: tuple[str, str, str], name: Column, path: Column, conte
     return {"Name": by_name, "Path": by_path, "Content": by_text}[scope]
 
 
+#: A word with an ending that leaves two characters or a short word; the longest such ending goes.
+_ENDED = f"^([{''.join(sorted(fixed.SHORT_WORDS))}]|.{{2,}}?)(?:{'|'.join(fixed.ENDINGS)})$"
+
+
 def tokens(column: Column) -> Column:
-    return F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Words of letters and numbers in lower case, without their Korean endings."""
+    found = F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(column.rlike("[가-힣]"), F.transform(found, lambda w: F.regexp_replace(w, _ENDED, "$1"))).otherwise(found)
+
+
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000"
+_NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
+
+
+def narrow(column: Column) -> Column:
+    """Full-width forms as ordinary letters, digits and signs: the part of compatibility composition that names need, built in."""
+    return F.translate(column, _WIDE, _NARROW)
 
 
 def normalized(column: Column) -> Column:
@@ -90,7 +108,12 @@ def has_word(column: Column, word: str) -> Column:
 
 def whole_word(column: Column, word: str) -> Column:
     """Bounded by no letter or digit, as typed."""
-    return column.rlike(rf"(?<![\p{{L}}\p{{Nd}}])\Q{word}\E(?![\p{{L}}\p{{Nd}}])")
+    return column.rlike(rf"(?<![\p{{L}}\p{{Nd}}]){quoted(word)}(?![\p{{L}}\p{{Nd}}])")
+
+
+def quoted(word: str) -> str:
+    """A Java pattern of exactly these characters."""
+    return re.sub(r"([^\w\s])", r"\\\1", word)
 
 
 def clean(column: Column, most: int) -> Column:
@@ -110,13 +133,25 @@ def compact_segment(column: Column) -> Column:
 
 
 def sample_parts(column: Column, most: int) -> Column:
-    """At most so many characters: the first half, a quarter from the middle, the rest from the end."""
+    """At most so many characters: the first half, a quarter from the middle (not before the first's end), the rest from the end."""
     head, middle = most // 2, most // 4
     tail = most - head - middle
-    start = F.floor((F.length(column) - middle) / 2).cast("int") + 1
+    start = F.greatest(F.lit(head), F.floor(F.length(column) / 2).cast("int") - middle // 2) + 1
     return F.when(F.length(column) <= most, column).otherwise(F.concat_ws("\n…\n", F.substring(column, 1, head), F.substring(column, start, F.lit(middle)), F.right(column, F.lit(tail))))
 
 
+def sample_ends(column: Column, most: int) -> Column:
+    """At most so many characters: the first two thirds and the rest from the end."""
+    head = most * 2 // 3
+    return F.when(F.length(column) <= most, column).otherwise(F.concat_ws("\n…\n", F.substring(column, 1, head), F.right(column, F.lit(most - head))))
+
+
+def tag_terms(column: Column) -> Column:
+    """A tag as one run of letters and digits, and its parts."""
+    parts = F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    return F.array_distinct(F.filter(F.concat(F.array(F.array_join(parts, "")), parts), lambda x: x != ""))
+
+
 def segments(column: Column, count: int = 5, width: int = 240) -> Column:
     """Up to count windows of width characters, evenly spaced, once each."""
     span = F.greatest(F.length(column) - width, F.lit(0))
@@ -124,11 +159,17 @@ def segments(column: Column, count: int = 5, width: int = 240) -> Column:
     return F.array_distinct(windows)
 
 
+#: The patterns of fixed.FLOOR for floors below ground, and for those above, as Java has them (lower case).
+_UNDER = r"(?:지하[\s._-]*0*(\d{1,3})[\s._-]*층|(?<![a-z0-9])b[\s._-]*0*(\d{1,3})[\s._-]*(?:f|층)?(?![a-z0-9]))"
+_GROUND = r"(?<![\p{L}\p{N}])0*(\d{1,3})[\s._-]*층"
+
+
 def floor_references(column: Column) -> Column:
-    """Distinct floors named: 'B3' and '지하 3층' are -3, '2층' is 2."""
-    under = F.regexp_extract_all(F.lower(column), F.lit(r"(?:지하|(?<![a-z0-9])b)[\s._-]*0*(\d{1,3})[\s._-]*(?:층|f(?![a-z0-9]))"), F.lit(1))
-    ground = F.regexp_extract_all(F.regexp_replace(F.lower(column), r"(?:지하|(?<![a-z0-9])b)[\s._-]*0*\d{1,3}[\s._-]*(?:층|f(?![a-z0-9]))", " "), F.lit(r"(?<!\d)0*(\d{1,3})[\s._-]*층"), F.lit(1))
-    return F.array_distinct(F.filter(F.concat(F.transform(under, lambda x: -x.cast("int")), F.transform(ground, lambda x: x.cast("int"))), lambda x: x != 0))
+    """Distinct floors named, 1 to 999: 'B3', 'b3f' and '지하 3층' are -3, '2층' is 2."""
+    lower = F.lower(narrow(column))
+    number = lambda i: F.transform(F.regexp_extract_all(lower, F.lit(_UNDER), F.lit(i)), lambda x: F.when(x != "", -x.cast("int")))
+    ground = F.transform(F.regexp_extract_all(F.regexp_replace(lower, _UNDER, " "), F.lit(_GROUND), F.lit(1)), lambda x: x.cast("int"))
+    return F.array_distinct(F.filter(F.concat(number(1), number(2), ground), lambda x: x.isNotNull() & (x != 0)))
 
 
 def has_all_floors(column: Column, wanted: tuple[tuple[bool, int], ...]) -> Column:

@@ -5,12 +5,20 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import scores as S
 from ..functions import text as T
-from ..plans.intent import Term
+from ..functions.phonetic import LEAST, sounds_like
+from ..plans.intent import Intent, Term, tokenize
+from .metadata import hard_filters, script_tests
+
+#: Instead of a time limit on each row, which a column expression can't have: patterns that can't backtrack without end.
+MOST_PATTERN, NESTED = 512, re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
 
 
 def matcher(query: str, whole_word: bool = False, match_case: bool = False, use_regex: bool = False, kind: str = "all", name: str = "name", path: str = "full_path") -> Column:
@@ -27,11 +35,16 @@ def matcher(query: str, whole_word: bool = False, match_case: bool = False, use_
 
 
 def validate(pattern: str) -> None:
-    """A bad pattern is refused before anything is planned."""
+    """A bad pattern is refused before anything is planned: the Java engine that runs it compiles it, where a session is there."""
+    if len(pattern) > MOST_PATTERN or NESTED.search(pattern):
+        raise ValueError("a pattern that is too long, or repeats what repeats, may take for ever")
+    session = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
+        re.compile(pattern) if session is None else session._jvm.java.util.regex.Pattern.compile(pattern)
     except re.error as e:
         raise ValueError(f"not a regular expression: {e}") from e
+    except (Py4JJavaError, IllegalArgumentException) as e:
+        raise ValueError(f"not a regular expression: {e}") from e
 
 
 def search(files: DataFrame, test: Column, k: int, sort: str = "name", descending: bool = False) -> DataFrame:
@@ -58,29 +71,101 @@ def rarest(posting_sizes: DataFrame, query: str) -> DataFrame:
     return found.where(F.col("_c") == len(chars)).drop("_c")
 
 
-def ladder(files: DataFrame, query: str, terms: tuple[Term, ...], k: int) -> DataFrame:
-    """file_id, score, percent, exact by the first rung that holds; best first."""
-    n = len(terms)
-    title, context = T.normalized(P.stem(F.col("name"))), T.normalized(P.parent_context(F.col("directory_path")))
-    words = " ".join(re.findall(r"[^\W_]+", query.lower()))
-    holds = lambda where, t: reduce(lambda a, b: a | b, (F.contains(where, F.lit(w)) if " " in w or not re.fullmatch("[a-z0-9]+", w) else T.has_word(where, w) for w in (x.lower() for x in t.names)))
-    rows = files.select("file_id", "name", title.alias("_title"), context.alias("_context"), T.compact(P.stem(F.col("name"))).alias("_compact"))
-    c = F.col
-    count = lambda tests: reduce(lambda a, b: a + b, (x.cast("int") for x in tests))
-    in_title, in_path, original = ([holds(c("_title"), t) for t in terms], [holds(c("_context"), t) for t in terms], [T.has_word(c("_title"), t.original) for t in terms])
-    rows = rows.withColumns({"_t": count(in_title), "_p": count(in_path), "_o": count(original), "_m": count([a | b for a, b in zip(in_title, in_path, strict=True)])})
-    phrase = "".join(t.original for t in terms)
-    equal, inside = c("_title") == words, F.contains(c("_title"), F.lit(words)) & F.lit(len(words) >= 2)
-    coverage = c("_m") / float(n)
+def normal(text: str) -> str:
+    """A query's word as T.normalized has titles."""
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+
+def holds(where: Column, term: Term) -> Column:
+    """Whether a normalized text has a term: phrases and Hangul anywhere, Latin words whole, or by sound."""
+    tests = []
+    for w in dict.fromkeys(normal(x) for x in term.names):
+        if w:
+            tests.append(T.has_word(where, w) if re.fullmatch("[a-z0-9]+", w) else F.contains(where, F.lit(w)))
+    if re.search("[가-힣]", term.original) and any(re.fullmatch("[a-z0-9]+", normal(x)) for x in term.names):
+        tests.append(sounds_like(where, term.original) >= LEAST)
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _count(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, (x.cast("int") for x in tests), F.lit(0))
+
+
+def ladder(files: DataFrame, intent: Intent, k: int, now_micros: int = 0, from_micros: int | None = None, to_micros: int | None = None) -> DataFrame:
+    """file_id, score, percent, exact, rung by the first rung that holds; best first.
+
+    The rungs: type only, folder only, floors only, literal words only, scripts only; then the whole query as the title or in it,
+    literal words, the terms as one phrase, all as they were typed, all in the title, all in title and folders, and some.
+    A wish (newest first, say) is added to the score. Words of the query stand in for terms where it has no condition at all.
+    """
+    c, terms, literals = F.col, intent.terms, intent.literal_terms
+    kinds = bool(intent.extensions or intent.categories)
+    if not (terms or literals or kinds or intent.floors or intent.predicates or intent.folders_only or intent.files_only):
+        terms = tuple(Term(w, (w,), (w,)) for w in dict.fromkeys(tokenize(intent.query)) if len(w) >= 2)
+    n, words = len(terms), normal(intent.query)
+    rows = files.where(hard_filters(intent, c("modified"), from_micros, to_micros))
+    place = P.parent_context(c("directory_path"))
+    if intent.floors:
+        rows = rows.where(T.has_all_floors(F.concat_ws(" ", c("name"), place), intent.floors))
+    scripts = script_tests(intent.predicates, c("name"), place, c("is_directory"))
+    for test in scripts:  # what isn't known doesn't count against a title
+        rows = rows.where(F.coalesce(test, F.lit(True)))
+    keep = ["file_id", "name", "is_directory", *(x for x in ("created", "modified", "size_bytes") if x in files.columns)]
+    rows = rows.select(*keep, T.normalized(c("name")).alias("_title"), T.normalized(place).alias("_context"), T.compact(c("name")).alias("_compact"), _count([F.coalesce(x, F.lit(False)) for x in scripts]).alias("_scripts"))
+    in_title, in_path = ([holds(c(w), t) for t in terms] for w in ("_title", "_context"))
+    original = [F.contains(c("_title"), F.lit(normal(t.original))) for t in terms]
+    rows = rows.withColumns({
+        "_t": _count(in_title), "_p": _count(in_path), "_o": _count(original), "_m": _count([a | b for a, b in zip(in_title, in_path, strict=True)]),
+        "_lt": _count([holds(c("_title"), t) for t in literals]), "_lp": _count([holds(c("_context"), t) for t in literals]),
+    })
+    literal, phrase = c("_lt") + c("_lp") > 0, "".join(normal(t.original) for t in terms)
+    equal = (c("_title") == words) & F.lit(bool(words))
+    inside = F.contains(c("_title"), F.lit(words)) & F.lit(len(words) >= 2)
+    none, no = F.lit(n == 0), F.lit(0.0)
+    few = F.when(c("_lt") > 0, F.lit(1)).otherwise(F.lit(0))
+    coverage = c("_m") / float(max(n, 1))
+    typed = F.when(~c("is_directory") & F.lit(kinds), 80.0).otherwise(0.0)
+    strict = c("_t") > 0 if intent.is_name_lookup else F.lit(True)
     rungs = (
-        (equal, F.lit(1000.0), F.lit(100.0)),
-        (inside, F.lit(930.0), F.lit(98.0)),
-        ((c("_m") == n) & F.contains(c("_compact"), F.lit(phrase)), 900.0 + F.least(F.lit(40), F.length("_title")), F.lit(96.0)),
-        (c("_o") == n, 850.0 + F.least(F.lit(40), 5 * c("_o")), F.lit(92.0)),
-        (c("_t") == n, 825.0 + F.least(F.lit(35), 5 * c("_t")), F.lit(90.0)),
-        (c("_m") == n, 760.0 + 18.0 * c("_t") + 10.0 * c("_p"), F.lit(88.0)),
+        ("type", none & ~c("is_directory") & F.lit(kinds), F.lit(880.0 if intent.extensions else 760.0), F.lit(96.0 if intent.extensions else 88.0)),
+        ("folder", none & c("is_directory") & F.lit(intent.folders_only), F.lit(760.0), F.lit(88.0)),
+        ("floor", none & F.lit(bool(intent.floors)), F.lit(820.0), F.lit(92.0)),
+        ("literal", none & literal, 805.0 + 25.0 * c("_lt"), 86.0 + 7.0 * few),
+        ("script", none & (c("_scripts") > 0), 835.0 + 20.0 * c("_scripts"), F.lit(94.0)),
+        ("equal", equal, F.lit(1000.0), F.lit(100.0)),
+        ("inside", inside, F.lit(930.0), F.lit(98.0)),
+        ("word", F.lit(n > 0) & strict & (c("_m") == 0) & literal, 790.0 + 25.0 * c("_lt"), 84.0 + 8.0 * few),
+        ("phrase", F.lit(len(phrase) >= 2) & strict & (c("_m") == n) & F.contains(c("_compact"), F.lit(phrase)), F.lit(900.0 + min(40, len(phrase))), F.lit(96.0)),
+        ("typed", F.lit(n > 0) & strict & (c("_m") > 0) & (c("_o") == n), F.lit(850.0 + min(40, 5 * n)), F.lit(92.0)),
+        ("title", F.lit(n > 0) & strict & (c("_t") == n), F.lit(825.0 + min(35, 5 * n)), F.lit(90.0)),
+        ("path", F.lit(n > 0) & strict & (c("_m") == n), 760.0 + 18.0 * c("_t") + 10.0 * c("_p"), F.lit(88.0)),
+        ("some", F.lit(n > 0) & strict & (c("_m") > 0), 540.0 + 190.0 * coverage + 10.0 * c("_o") + 9.0 * c("_t") + 4.0 * c("_p") + typed, S.clamp(60.0 + 28.0 * coverage, 61.0, 88.0)),
     )
-    last = 540.0 + 190.0 * coverage + 10.0 * c("_o") + 9.0 * c("_t") + 4.0 * c("_p"), F.greatest(F.lit(61.0), F.least(F.lit(88.0), 60.0 + 28.0 * coverage))
-    pick = lambda i: reduce(lambda w, r: w.when(r[0], r[i]), rungs, F).otherwise(last[i - 1])
-    rows = rows.where(equal | inside | (c("_m") > 0)).select("file_id", "name", pick(1).cast("double").alias("score"), pick(2).cast("double").alias("percent"), equal.alias("exact"))
-    return rows.orderBy(F.desc("score"), F.desc("exact"), "name", "file_id").limit(k).drop("name")
+    pick = lambda i: reduce(lambda w, r: w.when(r[1], F.lit(r[0]) if i == 0 else r[i]), rungs, F)
+    score = pick(2).cast("double")
+    if intent.directives:
+        signals = {x: c(y) if y in files.columns else F.lit(None).cast("long") for x, y in (("created", "created"), ("modified", "modified"), ("size", "size_bytes"))}
+        score = score + S.adjustment(intent.directives, signals, now_micros)
+    out = rows.select("file_id", "name", score.alias("score"), F.coalesce(pick(3).cast("double"), no).alias("percent"), (equal | inside).alias("exact"), pick(0).alias("rung")).where("rung IS NOT NULL")
+    return out.orderBy(F.desc("score"), F.desc("exact"), F.lower("name"), "file_id").limit(k).drop("name")
+
+
+def merge_titles(previous: DataFrame, incoming: DataFrame, k: int = 3000) -> DataFrame:
+    """path_key, name, score, percent: the better row of each path, best first."""
+    best = previous.unionByName(incoming).groupBy("path_key").agg(F.max(F.struct("score", "percent", "name")).alias("_b")).select("path_key", "_b.*")
+    return best.orderBy(F.desc("score"), F.desc("percent"), F.lower("name"), "path_key").limit(k)
+
+
+def live_hits(indexed: DataFrame, live: DataFrame) -> DataFrame:
+    """path_key, score, percent: what is seen in the current folder counts for more than what an index says, and each path once."""
+    seen = live.select("path_key", F.greatest(F.lit(930.0), F.col("score") + 140.0).alias("score"), F.greatest(F.lit(94.0), F.col("percent")).alias("percent"))
+    return seen.unionByName(indexed.select("path_key", "score", "percent").join(seen.select("path_key"), "path_key", "left_anti"))
+
+
+def posting_order(posting_sizes: DataFrame, queries: list[str]) -> DataFrame:
+    """query, ch, n: each query's rarest character, queries of rare characters first; a query whose character has no file is left out."""
+    spark = posting_sizes.sparkSession
+    wanted = spark.createDataFrame([(q, c) for q in queries for c in sorted(set(q.upper()))], "query string, ch string")
+    sizes = posting_sizes.groupBy("ch").agg(F.sum("n").alias("n"))
+    found = F.broadcast(wanted).join(sizes, "ch", "left") if queries else wanted.join(sizes, "ch", "left")
+    return found.groupBy("query").agg(F.min_by("ch", F.struct("n", "ch")).alias("ch"), F.min("n").alias("n"), F.count_if(F.col("n").isNull()).alias("_none")).where("_none = 0").drop("_none").orderBy("n", "query")

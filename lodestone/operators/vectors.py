@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import vectors as V
+from ..plans.visual import Profile
 
 LEAST, BELOW_BEST, EXPANDED, MOST = 0.76, 0.05, 120, 240
 
@@ -22,13 +23,14 @@ def semantic_search(index: DataFrame, query: list[float], k: int, least: float =
     Strong rows are within below_best of the best. m = min(k, MOST, max(expanded, strong rows)); the m best strong rows, or the
     m best of all if the strong ones are fewer. Only MOST rows reach the window.
     """
-    near = index.select(key, V.cosine_bytes(V.unit(query), F.col("quantized")).alias("similarity")).where(F.col("similarity") >= least)
     most = min(max(1, k), MOST)
-    best = near.agg(F.max("similarity").alias("best"))
-    strong = near.crossJoin(F.broadcast(best)).agg(F.count_if(F.col("similarity") >= F.greatest(F.lit(least), F.col("best") - below_best)).alias("strong"))
-    top = near.orderBy(F.desc("similarity"), key).limit(most)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))  # MOST rows at most
-    return ranked.crossJoin(F.broadcast(strong)).where(F.col("rank") <= F.least(F.lit(most), F.greatest(F.lit(expanded), F.col("strong")))).drop("strong")
+    near = index.select(key, V.cosine_bytes(V.unit(query), F.col("quantized")).alias("similarity")).where(F.col("similarity") >= least)
+    # one pass: the best MOST + expanded rows tell how many are strong, as far as that matters
+    top = near.orderBy(F.desc("similarity"), key).limit(MOST)
+    every = Window.partitionBy()  # MOST rows at most
+    ranked = top.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("similarity"), key)), "_best": F.max("similarity").over(every)})
+    ranked = ranked.withColumn("_strong", F.count_if(F.col("similarity") >= F.greatest(F.lit(least), F.col("_best") - below_best)).over(every))
+    return ranked.where(F.col("rank") <= F.least(F.lit(most), F.greatest(F.lit(expanded), F.col("_strong")))).drop("_best", "_strong")
 
 
 def visual_similarity(regions: Column, prompts: list[list[float]], named: bool) -> Column:
@@ -40,15 +42,27 @@ def visual_similarity(regions: Column, prompts: list[list[float]], named: bool)
     return V.blend(F.array(*map(best, prompts)), named)
 
 
-def visual_search(index: DataFrame, prompts: list[list[float]], k: int, least: float, below_best: float, named: bool = False, corroboration: Column | None = None, tag: Column | None = None, key: str = "vec_id") -> DataFrame:
-    """key, similarity, score. corroboration (0 or 110 to 340) and tag (confidence from 0.5 on) let a row pass whatever its similarity."""
+def visual_search(index: DataFrame, prompts: list[list[float]], k: int, least: float, below_best: float, named: bool = False, corroboration: Column | None = None, tag: Column | None = None, key: str = "vec_id", wanted: Profile | None = None, interface: list[float] | None = None, character: list[float] | None = None) -> DataFrame:
+    """key, similarity, score. corroboration (0 or 110 to 340: a name, path or character tag) and tag (confidence from 0.5 on) let
+    a row pass whatever its similarity.
+
+    wanted: the query's profile. Where it suppresses interfaces, a row must be more like the prompts than like the interface
+    prompt by its margin, and a named subject must be corroborated; what lifts it over any character counts for its score.
+    """
     extra = F.lit(0.0) if corroboration is None else F.coalesce(corroboration, F.lit(0.0))
     confidence = F.lit(0.0) if tag is None else F.coalesce(tag, F.lit(0.0))
-    rows = index.select(key, visual_similarity(F.col("regions"), prompts, named).alias("similarity"), extra.alias("_extra"), confidence.alias("_tag"))
-    rows = rows.where((F.col("similarity") >= least) | (F.col("_extra") > 0) | (F.col("_tag") >= 0.5))
+    against = lambda prompt: visual_similarity(F.col("regions"), [prompt], False) if prompt is not None else F.lit(0.0)
+    rows = index.select(key, visual_similarity(F.col("regions"), prompts, named).alias("similarity"), extra.alias("_extra"), confidence.alias("_tag"), against(interface).alias("_ui"), against(character).alias("_any"))
+    rows = rows.where((F.col("similarity") >= least) | (F.col("_extra") >= 220) | (F.col("_tag") >= 0.5) | (F.lit(wanted is None) & (F.col("_extra") > 0)))
+    lift = F.lit(0.0)
+    if wanted is not None and wanted.suppresses_interfaces and interface is not None and wanted.margin is not None:
+        rows = rows.where((F.col("similarity") - F.col("_ui") >= wanted.margin) | ((F.col("_extra") >= 220) & (F.col("_extra") != 240)))
+    if wanted is not None and wanted.named:
+        rows = rows.where(F.col("_extra") > 0)
+        lift = F.lit(0.0) if character is None else 160.0 * F.greatest(F.lit(0.0), F.col("similarity") - F.col("_any"))
     best = rows.agg(F.max("similarity").alias("_best"))
-    rows = rows.crossJoin(F.broadcast(best)).where((F.col("similarity") >= F.col("_best") - below_best) | (F.col("_extra") > 0))
-    score = 175.0 + 420.0 * F.col("similarity") + F.col("_extra") + 90.0 * F.col("_tag")
+    rows = rows.crossJoin(F.broadcast(best)).where((F.col("similarity") >= F.greatest(F.lit(least), F.col("_best") - below_best)) | (F.col("_extra") > 0))
+    score = 175.0 + 420.0 * F.col("similarity") + F.col("_extra") + lift + 90.0 * F.col("_tag")
     return rows.select(key, "similarity", score.alias("score")).orderBy(F.desc("score"), F.desc("similarity"), key).limit(min(k, 500))
 
 

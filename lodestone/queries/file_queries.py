@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,8 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..operators import metadata, results, titles
 from ..plans import fixed
-from ..plans.intent import Directive, Intent, Term
-from .registry import DAY, FILES_SQL, NOW, files, query, table
+from ..plans.intent import Directive, Intent, Term, date_range
+from .registry import DAY, FILES_SQL, NOW, files, placed, query, table
 
 RED = Term("red", ("red", "crimson"), ("red",))
 WIDGET = Term("widget", ("widget",), ("widget",))
@@ -46,10 +49,62 @@ def identifiers_and_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_id", T.split_identifier(P.stem(F.col("name"))).alias("words"), F.size(P.concepts(F.col("extension"))).cast("long").alias("n_concepts"))
 
 
-@query(f"""WITH {FILES_SQL} SELECT file_id, concat_ws('. ', 'name ' || regexp_replace(name, '\\.[^.]*$', ''), 'folder ' || substr(directory_path, 8), 'kind ' || {_CATEGORY}, CASE WHEN extension <> '' THEN 'extension ' || substr(extension, 2) END) AS descriptor FROM files""")
+def _cases(column: str, values: dict, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {other} END"
+
+
+_LABEL = _cases(f"({_CATEGORY})", fixed.CATEGORY_LABELS, "''")
+_PPK = ", ".join(fixed.CONCEPTS[".ppk"])
+
+
+@query(f"""WITH {FILES_SQL}, w AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM files)
+SELECT file_id, '메타데이터 설명 버전 2. 파일명 ' || stem || '.' || ' 파일명 단어 ' || trim(regexp_replace(lower(stem), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) || '.' || ' 폴더 ' || substr(directory_path, 8) || '. 종류 ' || {_LABEL} || '.'
+  || CASE WHEN extension <> '' THEN ' 확장자 ' || substr(extension, 2) || '.' ELSE '' END || CASE WHEN extension = '.ppk' THEN ' 형식 의미 {_PPK}.' WHEN {_CATEGORY} = 'Other' THEN ' 사용자 정의 또는 특수 파일 형식.' ELSE '' END AS descriptor FROM w""")
 def descriptor_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("file_id", P.descriptor(F.col("name"), F.col("directory_path"), F.col("extension"), "/store").alias("descriptor"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT file_id, {_LABEL} AS label, CASE WHEN is_directory THEN '파일 폴더' WHEN extension = '.xlsx' THEN 'Excel 통합 문서' WHEN extension = '.txt' THEN '텍스트 문서' WHEN extension = '.png' THEN '이미지 파일' WHEN extension = '.py' THEN '소스 코드' WHEN extension = '.pdf' THEN 'PDF 문서'
+  WHEN extension = '.zip' THEN '압축 파일' WHEN extension = '.docx' THEN 'Word 문서' WHEN extension = '.blend' THEN 'BLEND 3D 모델' ELSE upper(substr(extension, 2)) || ' 파일' END AS shown,
+  CASE WHEN extension = '.ppk' THEN '{_PPK}' WHEN extension = '' THEN '일반 파일' ELSE {_LABEL} || ', ' || substr(extension, 2) END AS format FROM files""")
+def type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return files(spark, sf_dir).select("file_id", F.concat_ws(". ", F.concat(F.lit("name "), P.stem(c("name"))), F.concat(F.lit("folder "), P.relative(c("directory_path"), "/store")), F.concat(F.lit("kind "), P.category(c("extension"))), F.when(c("extension") != "", F.concat(F.lit("extension "), F.substring("extension", 2, 32)))).alias("descriptor"))
+    return files(spark, sf_dir).select("file_id", P.category_label(P.category(c("extension"))).alias("label"), P.type_display(c("extension"), c("is_directory")).alias("shown"), P.format_description(c("extension")).alias("format"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT file_id, CASE WHEN starts_with(lower(directory_path), '/store/promo/') THEN 30 ELSE 0 END::BIGINT AS own, CASE WHEN contains(directory_path, '/brand_1') THEN 18000.0 ELSE 0.0 END + CASE WHEN starts_with(name, 'red') OR contains(name, 'generated') THEN 20000.0 ELSE 0.0 END AS made FROM
+(SELECT file_id, directory_path, name FROM files)""")
+def path_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own folder, and folders and names of generated images; 'images' and 'nai_' stand for a brand and a colour here."""
+    rows = files(spark, sf_dir)
+    folder, name = F.regexp_replace("directory_path", "/brand_1[^/]*", "/images"), F.regexp_replace("name", "^red", "nai_red")
+    return rows.select("file_id", P.path_priority(F.col("directory_path"), "/Store/Promo").cast("long").alias("own"), P.generated_image_priority(name, folder).alias("made"))
+
+
+_BADGED = "SELECT l_orderkey, l_linenumber, ['ExactName', 'Combined', 'Content', 'SemanticCandidate', 'VisualCandidate', 'Web', 'Path'][(l_orderkey % 7 + 1)::INT] AS kind, (l_quantity * 2)::DOUBLE AS pct, l_linenumber = 7 AS adv FROM lineitem"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN adv THEN '정밀 AI ' || round(pct)::INT || '%' WHEN kind = 'ExactName' THEN '정확 일치' WHEN kind = 'Combined' THEN '이름·내용 일치' WHEN kind = 'Content' THEN '본문 일치' WHEN kind = 'Path' THEN '경로 단서' WHEN kind = 'SemanticCandidate' THEN 'AI 후보 ' || round(pct)::INT || '%' WHEN kind = 'VisualCandidate' THEN '시각 후보 ' || round(pct)::INT || '%' ELSE '검색 일치 ' || round(pct)::INT || '%' END AS badge,
+  CASE WHEN kind = 'ExactName' THEN '파일명 직접 일치' WHEN kind = 'Combined' THEN '이름·내용 근거' WHEN kind = 'Content' THEN '본문 근거' WHEN kind = 'Path' THEN '상위 경로 근거' WHEN pct >= 90 THEN '연관성 매우 높음' WHEN pct >= 75 THEN '연관성 높음' WHEN pct >= 55 THEN '연관성 보통' ELSE '연관성 낮음' END AS relevance FROM ({_BADGED})""")
+def match_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("ExactName", "Combined", "Content", "SemanticCandidate", "VisualCandidate", "Web", "Path")))
+    kind, percent = F.element_at(kinds, (F.col("l_orderkey") % 7 + 1).cast("int")), F.col("l_quantity") * 2.0
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.badge(kind, percent, F.col("l_linenumber") == 7).alias("badge"), S.relevance(kind, percent).alias("relevance"))
+
+
+@query("""SELECT doc_id, CASE n WHEN 4 THEN '파일명 a 본문 c 경로 b' ELSE CASE n WHEN 3 THEN '본문 c 경로 b other' ELSE '경로 b other' END END AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 4 WHEN doc_id % 3 = 1 THEN 3 ELSE 2 END AS n FROM documents)""")
+def display_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three weightiest reasons of a row, each once."""
+    k = F.col("doc_id") % 3
+    reasons = F.array(F.lit("other"), F.lit("경로 b"), F.when(k < 2, F.lit("본문 c")), F.lit("경로 B"), F.when(k == 0, F.lit("파일명 a")))
+    return table(spark, sf_dir, "documents").select("doc_id", S.display_reason(reasons).alias("reason"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN regexp_replace(format('{:.1f}', round(b / 1024.0, 1)), '\\.0$', '') || ' KB' WHEN b < 1073741824 THEN regexp_replace(format('{:.1f}', round(b / 1048576.0, 1)), '\\.0$', '') || ' MB' ELSE regexp_replace(format('{:.1f}', round(b / 1073741824.0, 1)), '\\.0$', '') || ' GB' END AS shown
+FROM (SELECT o_orderkey, (o_orderkey * 1024 * (o_orderkey % 1000) + o_orderkey % 1024)::BIGINT AS b FROM orders)""")
+def size_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.size_short(k * 1024 * (k % 1000) + k % 1024).alias("shown"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN b < 1024 THEN format('{:,}', b::BIGINT) || ' B' WHEN b < 1048576 THEN format('{:,.1f}', b / 1024.0) || ' KB' WHEN b < 1073741824 THEN format('{:,.1f}', b / 1048576.0) || ' MB' ELSE format('{:,.1f}', b / 1073741824.0) || ' GB' END AS shown
@@ -74,20 +129,30 @@ def hard_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(metadata.hard_filters(intent, F.col("modified"), 1_706_745_600_000_000, 1_709_251_200_000_000)).select("file_id")
 
 
-@query("""SELECT o_orderkey, date_trunc('week', o_orderdate)::DATE AS week, date_trunc('month', o_orderdate)::DATE AS month, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS next_month,
-  o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' AS this_year FROM orders""")
-def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-open ranges of days: weeks begin on Monday."""
-    d = F.col("o_orderdate").cast("date")
-    month = F.trunc(d, "month")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.trunc(d, "week").alias("week"), month.alias("month"), F.add_months(month, 1).alias("next_month"), ((d >= F.lit("1998-01-01").cast("date")) & (d < F.lit("1999-01-01").cast("date"))).alias("this_year"))
+_PHRASES = ("오늘", "어제", "지난달", "이번달", "지난주", "이번주", "작년", "올해")
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort([x FOR x IN list_distinct(list_concat(list_transform(regexp_extract_all(t, '(?:지하|b)[\\s._-]*0*(\\d{1,3})[\\s._-]*(?:층|f)', 1), lambda v: -v::INT), list_transform(regexp_extract_all(regexp_replace(t, '(?:지하|b)[\\s._-]*0*\\d{1,3}[\\s._-]*(?:층|f)', ' ', 'g'), '0*(\\d{1,3})[\\s._-]*층', 1), lambda v: v::INT))) IF x <> 0]), ',') AS floors
-FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '지하 ' || (p_size % 20) || '층 도면' WHEN 1 THEN 'plan B' || p_size || 'F' WHEN 2 THEN p_size || '층, ' || p_size || '층' ELSE 'none' END AS u, lower(u) AS t FROM part)""")
+@query("""WITH n AS (SELECT TIMESTAMP '1996-07-17' AS d), r AS (SELECT '오늘' AS phrase, d AS a, d + INTERVAL 1 DAY AS b FROM n UNION ALL SELECT '어제', d - INTERVAL 1 DAY, d FROM n UNION ALL SELECT '지난달', date_trunc('month', d) - INTERVAL 1 MONTH, date_trunc('month', d) FROM n
+UNION ALL SELECT '이번달', date_trunc('month', d), date_trunc('month', d) + INTERVAL 1 MONTH FROM n UNION ALL SELECT '지난주', date_trunc('week', d) - INTERVAL 7 DAY, date_trunc('week', d) FROM n UNION ALL SELECT '이번주', date_trunc('week', d), date_trunc('week', d) + INTERVAL 7 DAY FROM n
+UNION ALL SELECT '작년', date_trunc('year', d) - INTERVAL 1 YEAR, date_trunc('year', d) FROM n UNION ALL SELECT '올해', date_trunc('year', d), date_trunc('year', d) + INTERVAL 1 YEAR FROM n)
+SELECT phrase, (SELECT count(*) FROM orders WHERE o_orderdate >= r.a AND o_orderdate < r.b) AS n FROM r""")
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders within the half-open range of days that each phrase names on 1996-07-17; weeks begin on Monday. One scan."""
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    counts = []
+    for phrase in _PHRASES:
+        a, b = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in date_range(phrase, datetime(1996, 7, 17, 15, 30)))
+        counts.append(F.struct(F.lit(phrase).alias("phrase"), F.count_if((day >= a) & (day < b)).alias("n")))
+    return table(spark, sf_dir, "orders").agg(F.array(*counts).alias("found")).select(F.explode("found").alias("f")).select("f.*")
+
+
+@query("""WITH t AS (SELECT p_partkey, lower(CASE p_partkey % 5 WHEN 0 THEN '지하 ' || (p_size % 20) || '층 도면' WHEN 1 THEN 'plan B' || p_size || 'F' WHEN 2 THEN p_size || '층, ' || p_size || '층' WHEN 3 THEN 'plan b-' || p_size || ' and b' || p_size || 'x' ELSE 'none' END) AS t FROM part),
+u AS (SELECT p_partkey, list_concat(regexp_extract_all(t, '지하[\\s._-]*0*(\\d{1,3})[\\s._-]*층', 1), regexp_extract_all(t, '(?:^|[^a-z0-9])b[\\s._-]*0*(\\d{1,3})[\\s._-]*(?:f|층)?(?:$|[^a-z0-9])', 1)) AS under,
+  regexp_extract_all(regexp_replace(t, '지하[\\s._-]*0*\\d{1,3}[\\s._-]*층', ' ', 'g'), '(?:^|[^\\p{L}\\p{N}])0*(\\d{1,3})[\\s._-]*층', 1) AS ground FROM t)
+SELECT p_partkey, coalesce(array_to_string(list_sort([x FOR x IN list_distinct(list_concat(list_transform(under, lambda v: -v::INT), list_transform(ground, lambda v: v::INT))) IF x <> 0]), ','), '') AS floors FROM u""")
 def floor_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
-    t = F.when(k % 4 == 0, F.concat(F.lit("지하 "), s % 20, F.lit("층 도면"))).when(k % 4 == 1, F.concat(F.lit("plan B"), s, F.lit("F"))).when(k % 4 == 2, F.concat(s, F.lit("층, "), s, F.lit("층"))).otherwise("none")
+    t = F.when(k % 5 == 0, F.concat(F.lit("지하 "), s % 20, F.lit("층 도면"))).when(k % 5 == 1, F.concat(F.lit("plan B"), s, F.lit("F"))).when(k % 5 == 2, F.concat(s, F.lit("층, "), s, F.lit("층"))).when(k % 5 == 3, F.concat(F.lit("plan b-"), s, F.lit(" and b"), s, F.lit("x"))).otherwise("none")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(F.array_sort(T.floor_references(t)), lambda x: x.cast("string")), ",").alias("floors"))
 
 
@@ -113,7 +178,7 @@ def _metadata_sql(terms: tuple[Term, ...]) -> str:
     add = lambda k: " + ".join(f"{p[k]}::INT" for p in parts)
     phrase = " ".join(t.original for t in terms)
     return f"""WITH {FILES_SQL},
-w AS (SELECT *, regexp_extract_all(lower(CASE WHEN is_directory THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END), '[a-z0-9]+') AS nm, regexp_extract_all(lower(directory_path), '[\\p{{L}}\\p{{N}}]+') AS pt,
+w AS (SELECT *, regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+') AS nm, regexp_extract_all(lower(directory_path), '[\\p{{L}}\\p{{N}}]+') AS pt,
   CASE WHEN extension = '' THEN []::VARCHAR[] ELSE list_concat([substr(extension, 2)], CASE WHEN extension = '.ppk' THEN regexp_extract_all(lower('{' '.join(fixed.CONCEPTS['.ppk'])}'), '[\\p{{L}}\\p{{N}}]+') ELSE []::VARCHAR[] END) END AS ty FROM files),
 f AS (SELECT *, {', '.join(fits)} FROM w),
 g AS (SELECT *, {add('name')} AS kn, {add('path')} AS kp, {add('type')} AS kt, {add('o_n')} AS on_, {add('o_p')} AS op_, {add('o_t')} AS ot_, {add('hit')} AS m, {add('own')} AS ow, {add('both')} AS bo, {' + '.join(p['sum'] for p in parts)} AS s0 FROM f),
@@ -153,8 +218,7 @@ SELECT file_id, name, (SELECT count(*) FROM m) AS total FROM m ORDER BY lower(na
 def title_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir)
     test = titles.matcher("ring")
-    total = rows.where(test).agg(F.count("*").alias("total"))
-    return titles.search(rows, test, 100).crossJoin(F.broadcast(total)).select("file_id", "name", "total")
+    return results.with_total(rows.where(test), titles.search(rows, test, 100)).select("file_id", "name", "total")
 
 
 @query(f"""WITH {FILES_SQL} SELECT file_id, size_bytes FROM files WHERE regexp_matches(lower(name), '(^|[^\\p{{L}}\\p{{Nd}}])red($|[^\\p{{L}}\\p{{Nd}}])') AND NOT is_directory ORDER BY coalesce(size_bytes, -1) DESC, lower(full_path) LIMIT 50""")
@@ -179,30 +243,74 @@ def rarest_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.rarest(titles.postings(files(spark, sf_dir)).select("ch", "n"), "widget")
 
 
-@query(f"""WITH {FILES_SQL}, b AS (SELECT file_id, name, trim(regexp_replace(lower(regexp_replace(name, '\\.[^.]*$', '')), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS t, trim(regexp_replace(lower(directory_path), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS c FROM files),
-d AS (SELECT *, (contains(' ' || t || ' ', ' red ') OR contains(' ' || t || ' ', ' crimson '))::INT AS t1, contains(' ' || t || ' ', ' widget ')::INT AS t2, (contains(' ' || c || ' ', ' red ') OR contains(' ' || c || ' ', ' crimson '))::INT AS c1, contains(' ' || c || ' ', ' widget ')::INT AS c2, contains(' ' || t || ' ', ' red ')::INT AS o1 FROM b),
-e AS (SELECT *, t1 + t2 AS kt, c1 + c2 AS kp, o1 + t2 AS ko, greatest(t1, c1) + greatest(t2, c2) AS m FROM d)
-SELECT file_id, t = 'red widget' AS exact, (CASE WHEN t = 'red widget' THEN 1000 WHEN contains(t, 'red widget') THEN 930 WHEN m = 2 AND contains(replace(t, ' ', ''), 'redwidget') THEN 900 + least(40, length(t)) WHEN ko = 2 THEN 850 + least(40, 5 * ko) WHEN kt = 2 THEN 825 + least(35, 5 * kt) WHEN m = 2 THEN 760 + 18 * kt + 10 * kp
-  ELSE 540 + 190 * (m / 2.0) + 10 * ko + 9 * kt + 4 * kp END)::DOUBLE AS score FROM e WHERE t = 'red widget' OR contains(t, 'red widget') OR m > 0 ORDER BY score DESC, exact DESC, name, file_id LIMIT 120""")
+_TITLES_SQL = f"""{FILES_SQL}, b AS (SELECT file_id, name, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS t, trim(regexp_replace(lower(directory_path), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS c FROM files),
+d AS (SELECT *, (contains(' ' || t || ' ', ' red ') OR contains(' ' || t || ' ', ' crimson '))::INT AS t1, contains(' ' || t || ' ', ' widget ')::INT AS t2, (contains(' ' || c || ' ', ' red ') OR contains(' ' || c || ' ', ' crimson '))::INT AS c1, contains(' ' || c || ' ', ' widget ')::INT AS c2, contains(t, 'red')::INT + contains(t, 'widget')::INT AS ko FROM b),
+e AS (SELECT *, t1 + t2 AS kt, c1 + c2 AS kp, greatest(t1, c1) + greatest(t2, c2) AS m FROM d),
+l AS (SELECT file_id, name, t = 'red widget' OR contains(t, 'red widget') AS exact, (CASE WHEN t = 'red widget' THEN 1000 WHEN contains(t, 'red widget') THEN 930 WHEN m = 2 AND contains(replace(t, ' ', ''), 'redwidget') THEN 909 WHEN m > 0 AND ko = 2 THEN 860 WHEN kt = 2 THEN 835 WHEN m = 2 THEN 760 + 18 * kt + 10 * kp
+  ELSE 540 + 190 * (m / 2.0) + 10 * ko + 9 * kt + 4 * kp END)::DOUBLE AS score, (CASE WHEN t = 'red widget' THEN 100 WHEN contains(t, 'red widget') THEN 98 WHEN m = 2 AND contains(replace(t, ' ', ''), 'redwidget') THEN 96 WHEN m > 0 AND ko = 2 THEN 92 WHEN kt = 2 THEN 90 WHEN m = 2 THEN 88 ELSE greatest(61, least(88, 60 + 28 * (m / 2.0))) END)::DOUBLE AS percent
+  FROM e WHERE t = 'red widget' OR contains(t, 'red widget') OR m > 0)"""
+
+
+@query(f"WITH {_TITLES_SQL} SELECT file_id, exact, score, percent FROM l ORDER BY score DESC, exact DESC, lower(name), file_id LIMIT 120")
 def title_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titles.ladder(files(spark, sf_dir), "red widget", (RED, WIDGET), 120).select("file_id", "exact", "score")
+    return titles.ladder(files(spark, sf_dir), Intent("red widget", (RED, WIDGET)), 120).select("file_id", "exact", "score", "percent")
+
+
+@query(f"""WITH {FILES_SQL}, n AS (SELECT *, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS t, trim(regexp_replace(lower(directory_path), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS c FROM files)
+SELECT 'type' AS rung, 880.0::DOUBLE AS score, 96.0::DOUBLE AS percent, count(*) AS n FROM n WHERE extension = '.pdf' UNION ALL SELECT 'type', 760, 88, count(*) FROM n WHERE extension = '.png' UNION ALL SELECT 'folder', 760, 88, count(*) FROM n WHERE is_directory
+UNION ALL SELECT 'floor', 820, 92, count(*) FROM n WHERE regexp_matches(lower(name), '(^|[^a-z0-9])7층') HAVING count(*) > 0
+UNION ALL SELECT 'literal', 830, 93, count(*) FROM n WHERE contains(' ' || t || ' ', ' red ') UNION ALL SELECT 'literal', 805, 86, count(*) FROM n WHERE NOT contains(' ' || t || ' ', ' red ') AND contains(' ' || c || ' ', ' red ') HAVING count(*) > 0
+UNION ALL SELECT 'script', 855, 94, count(*) FROM n WHERE regexp_matches(regexp_replace(name, '\\.[^.]*$', ''), '[0-9]')""")
+def title_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries without words of their own: a type by extension and category, folders, a floor, a literal word, a script."""
+    red = (Term("red", ("red",), ("red",)),)
+    wanted = (
+        Intent("", extensions=frozenset((".pdf",)), files_only=True), Intent("", categories=frozenset(("Image",)), files_only=True), Intent("", folders_only=True),
+        Intent("", floors=((False, 7),)), Intent("", literal_terms=red), Intent("", predicates=(("Digit", "Name", "Contains"),)),
+    )
+    rows = files(spark, sf_dir)
+    return reduce(DataFrame.union, (titles.ladder(rows, i, 10_000_000).groupBy("rung", "score", "percent").agg(F.count("*").alias("n")) for i in wanted))
+
+
+@query(f"""WITH {_TITLES_SQL}, p AS (SELECT * FROM l WHERE file_id % 2 = 0), q AS (SELECT file_id, name, exact, score + 5 AS score, percent FROM l WHERE file_id % 3 = 0), u AS (SELECT * FROM p UNION ALL SELECT * FROM q)
+SELECT file_id AS path_key, score, percent FROM u QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, percent DESC) = 1 ORDER BY score DESC, percent DESC, lower(name), file_id LIMIT 300""")
+def title_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of title hits as one: the better row of each path."""
+    rows = files(spark, sf_dir)
+    hits = titles.ladder(rows, Intent("red widget", (RED, WIDGET)), 10_000_000).join(rows.select("file_id", "name"), "file_id").withColumnRenamed("file_id", "path_key").select("path_key", "name", "score", "percent")
+    return titles.merge_titles(hits.where("path_key % 2 = 0"), hits.where("path_key % 3 = 0").withColumn("score", F.col("score") + 5), 300).drop("name")
+
+
+@query(f"""WITH {_TITLES_SQL} SELECT file_id AS path_key, CASE WHEN file_id % 4 = 0 THEN greatest(930, score + 140) ELSE score END AS score, CASE WHEN file_id % 4 = 0 THEN greatest(94, percent) ELSE percent END AS percent FROM l""")
+def live_title_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the hits is seen in the current folder as well."""
+    hits = titles.ladder(files(spark, sf_dir), Intent("red widget", (RED, WIDGET)), 10_000_000).withColumnRenamed("file_id", "path_key").select("path_key", "score", "percent")
+    return titles.live_hits(hits, hits.where("path_key % 4 = 0"))
+
+
+@query(f"""WITH {FILES_SQL}, c AS (SELECT unnest(list_distinct(string_split(upper(name), ''))) AS ch FROM files), s AS (SELECT ch, count(*) AS n FROM c GROUP BY ch), q AS (SELECT * FROM (VALUES ('widget'), ('red'), ('promo~')) v(query)), w AS (SELECT query, unnest(list_distinct(string_split(upper(query), ''))) AS ch FROM q)
+SELECT query, arg_min(w.ch, struct_pack(n := n, c := w.ch)) AS ch, min(n) AS n FROM w LEFT JOIN s USING (ch) GROUP BY query HAVING count(*) = count(n)""")
+def posting_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles.posting_order(titles.postings(files(spark, sf_dir)).select("ch", "n"), ["widget", "red", "promo~"])
 
 
 # ---- listings and results ----
-@query(f"""WITH {FILES_SQL} SELECT file_id, (row_number() OVER (ORDER BY is_directory DESC, coalesce(size_bytes, 0) DESC, lower(name), full_path))::BIGINT AS place FROM files WHERE directory_path = '/store/promo/brand_1'""")
-def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results.list_folder(files(spark, sf_dir), "/store/promo/brand_1", "Size")
-    from pyspark.sql import Window
+_LISTED = {"Name": "lower(name)", "Modified": "modified DESC, lower(name)", "Type": "extension, lower(name)", "Size": "coalesce(size_bytes, 0) DESC, lower(name)"}
+
 
-    order = Window.orderBy(F.desc("is_directory"), F.desc(F.coalesce("size_bytes", F.lit(0))), F.lower("name"), "full_path")  # one folder's rows
-    return rows.select("file_id", F.row_number().over(order).cast("long").alias("place"))
+@query(f"WITH {FILES_SQL} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, file_id, (row_number() OVER (ORDER BY is_directory DESC, {o}, full_path))::BIGINT AS place FROM files WHERE directory_path = '/store/promo/brand_1'" for m, o in _LISTED.items()))
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder's entries in all four modes."""
+    rows = files(spark, sf_dir)
+    listed = [placed(results.list_folder(rows, "/store/promo/brand_1", m).select("file_id")).withColumn("mode", F.lit(m)) for m in _LISTED]
+    return reduce(DataFrame.unionByName, listed)
 
 
 @query(f"WITH {FILES_SQL} SELECT DISTINCT directory_path, regexp_replace(directory_path, '/[^/]*$', '') AS parent FROM files")
 def child_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("directory_path", P.directory(F.col("directory_path")).alias("parent")).distinct()
+    return results.parents(files(spark, sf_dir))
 
 
 @query(f"WITH {FILES_SQL} SELECT directory_path, sum(size_bytes)::BIGINT AS bytes, count(*) AS n, sum(is_directory::INT)::BIGINT AS folders FROM files GROUP BY ROLLUP (directory_path)")
 def directory_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).rollup("directory_path").agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("n"), F.sum(F.col("is_directory").cast("long")).alias("folders"))
+    return results.folder_sizes(files(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ from ..functions import vectors as V
 from ..functions.phonetic import phonetic_similarity
 from ..operators import content, fusion, metadata, results
 from ..operators import vectors as VO
-from ..plans.intent import Intent, Term
-from .file_queries import PROMO, RED, WIDGET
-from .registry import CONTENTS_SQL, DAY, FILES_SQL, NOW, contents, files, query, table
-from .texts import WANTED
+from ..plans import fixed
+from ..plans.intent import Directive, Intent, Term
+from .file_queries import PROMO, RED, WIDGET, _metadata_sql
+from .registry import CONTENTS_SQL, DAY, FILES_SQL, NOW, contents, files, placed, query, table
+from .texts import _BM25, WANTED
 
 
 def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -85,11 +88,11 @@ def rerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- merging lanes ----
 _LANES_SQL = f"""{CONTENTS_SQL},
-m AS (SELECT 'doc_' || doc_id AS path_key, 0 AS lane, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS lane_rank, 400.0 + n_chars / 100.0 AS score, CASE WHEN doc_id % 10 = 0 THEN 'ExactName' WHEN doc_id % 3 = 0 THEN 'Path' ELSE 'NameCandidate' END AS evidence, 0.5 AS coverage, (doc_id % 5) / 4.0 AS name_ratio, NULL::DOUBLE AS semantic, NULL::DOUBLE AS visual, doc_id AS modified FROM contents QUALIFY lane_rank < 150),
-c AS (SELECT 'doc_' || doc_id AS path_key, 1 AS lane, row_number() OVER (ORDER BY length(text) * (doc_id % 7) DESC, doc_id) - 1 AS lane_rank, 500.0 + doc_id % 7 AS score, 'Content' AS evidence, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.6 END AS coverage, NULL::DOUBLE AS name_ratio, NULL::DOUBLE AS semantic, NULL::DOUBLE AS visual, doc_id AS modified FROM contents QUALIFY lane_rank < 200),
-s AS (SELECT 'doc_' || vec_id AS path_key, 2 AS lane, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS lane_rank, 90 + 260 * greatest(0, embedding[1]::DOUBLE - 0.1) AS score, 'SemanticCandidate' AS evidence, NULL::DOUBLE AS coverage, NULL::DOUBLE AS name_ratio, embedding[1]::DOUBLE AS semantic, NULL::DOUBLE AS visual, vec_id AS modified FROM embeddings QUALIFY lane_rank < 120),
+m AS (SELECT 'doc_' || doc_id AS path_key, 0 AS lane, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS lane_rank, 400.0 + n_chars / 100.0 AS score, CASE WHEN doc_id % 10 = 0 THEN 'ExactName' WHEN doc_id % 3 = 0 THEN 'Path' ELSE 'NameCandidate' END AS evidence, 0.5 AS coverage, doc_id % 5 AS name_matches, NULL::DOUBLE AS semantic, NULL::DOUBLE AS visual, doc_id AS modified FROM contents QUALIFY lane_rank < 150),
+c AS (SELECT 'doc_' || doc_id AS path_key, 1 AS lane, row_number() OVER (ORDER BY length(text) * (doc_id % 7) DESC, doc_id) - 1 AS lane_rank, 500.0 + doc_id % 7 AS score, 'Content' AS evidence, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.6 END AS coverage, NULL AS name_matches, NULL::DOUBLE AS semantic, NULL::DOUBLE AS visual, doc_id AS modified FROM contents QUALIFY lane_rank < 200),
+s AS (SELECT 'doc_' || vec_id AS path_key, 2 AS lane, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS lane_rank, 90 + 260 * greatest(0, embedding[1]::DOUBLE - 0.1) AS score, 'SemanticCandidate' AS evidence, NULL::DOUBLE AS coverage, NULL AS name_matches, embedding[1]::DOUBLE AS semantic, NULL::DOUBLE AS visual, vec_id AS modified FROM embeddings QUALIFY lane_rank < 120),
 l AS (SELECT * FROM m UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s),
-g AS (SELECT path_key, arg_min(score, lane) + 0.55 * (sum(score) - arg_min(score, lane)) AS score, sum(1.0 / (61 + lane_rank)) AS rrf, max(coverage) AS coverage, max(name_ratio) AS name_ratio, max(semantic) AS semantic, max(modified) AS modified, list_sort(list(DISTINCT evidence)) AS evidence FROM l GROUP BY path_key)"""
+g AS (SELECT path_key, arg_min(score, lane) + 0.55 * (sum(score) - arg_min(score, lane)) AS score, sum(1.0 / (61 + lane_rank)) AS rrf, max(coverage) AS coverage, max(name_matches) AS name_matches, max(semantic) AS semantic, max(modified) AS modified, list_sort(list(DISTINCT evidence)) AS evidence FROM l GROUP BY path_key)"""
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -97,11 +100,11 @@ def _lanes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     c = F.col
     key = F.concat(F.lit("doc_"), c("doc_id").cast("string"))
     evidence = F.when(c("doc_id") % 10 == 0, "ExactName").when(c("doc_id") % 3 == 0, "Path").otherwise("NameCandidate")
-    names = fusion.ranked(docs.select("doc_id", "n_chars", key.alias("path_key"), evidence.alias("evidence")), [F.desc("n_chars"), c("doc_id")], 150).select("path_key", F.lit(0).alias("lane"), "lane_rank", (400.0 + c("n_chars") / 100.0).alias("score"), "evidence", F.lit(0.5).alias("coverage"), ((c("doc_id") % 5) / 4.0).alias("name_ratio"), none.alias("semantic"), none.alias("visual"), c("doc_id").alias("modified"))
-    texts = fusion.ranked(docs.select("doc_id", key.alias("path_key"), (F.length("text") * (c("doc_id") % 7)).alias("_w")), [F.desc("_w"), c("doc_id")], 200).select("path_key", F.lit(1).alias("lane"), "lane_rank", (500.0 + c("doc_id") % 7).alias("score"), F.lit("Content").alias("evidence"), F.when(c("doc_id") % 2 == 0, 1.0).otherwise(0.6).alias("coverage"), none.alias("name_ratio"), none.alias("semantic"), none.alias("visual"), c("doc_id").alias("modified"))
+    names = fusion.ranked(docs.select("doc_id", "n_chars", key.alias("path_key"), evidence.alias("evidence")), [F.desc("n_chars"), c("doc_id")], 150).select("path_key", F.lit(0).alias("lane"), "lane_rank", (400.0 + c("n_chars") / 100.0).alias("score"), "evidence", F.lit(0.5).alias("coverage"), (c("doc_id") % 5).cast("int").alias("name_matches"), F.lit(4).alias("total_terms"), none.alias("semantic"), none.alias("visual"), c("doc_id").alias("modified"))
+    texts = fusion.ranked(docs.select("doc_id", key.alias("path_key"), (F.length("text") * (c("doc_id") % 7)).alias("_w")), [F.desc("_w"), c("doc_id")], 200).select("path_key", F.lit(1).alias("lane"), "lane_rank", (500.0 + c("doc_id") % 7).alias("score"), F.lit("Content").alias("evidence"), F.when(c("doc_id") % 2 == 0, 1.0).otherwise(0.6).alias("coverage"), none.alias("semantic"), none.alias("visual"), c("doc_id").alias("modified"))
     first = c("embedding")[0].cast("double")
-    near = fusion.ranked(table(spark, sf_dir, "embeddings").select("vec_id", first.alias("_s")), [F.desc("_s"), c("vec_id")], 120).select(F.concat(F.lit("doc_"), c("vec_id").cast("string")).alias("path_key"), F.lit(2).alias("lane"), "lane_rank", (90 + 260 * F.greatest(F.lit(0.0), c("_s") - 0.1)).alias("score"), F.lit("SemanticCandidate").alias("evidence"), none.alias("coverage"), none.alias("name_ratio"), c("_s").alias("semantic"), none.alias("visual"), c("vec_id").alias("modified"))
-    return [names, texts, near]
+    near = fusion.ranked(table(spark, sf_dir, "embeddings").select("vec_id", first.alias("_s")), [F.desc("_s"), c("vec_id")], 120).select(F.concat(F.lit("doc_"), c("vec_id").cast("string")).alias("path_key"), F.lit(2).alias("lane"), "lane_rank", (90 + 260 * F.greatest(F.lit(0.0), c("_s") - 0.1)).alias("score"), F.lit("SemanticCandidate").alias("evidence"), none.alias("coverage"), c("_s").alias("semantic"), none.alias("visual"), c("vec_id").alias("modified"))
+    return [fusion.lane(x) for x in (names, texts, near)]
 
 
 @query(f"WITH {_LANES_SQL} SELECT path_key, round(score, 6) AS score, round(rrf, 9) AS rrf, array_to_string(evidence, ',') AS evidence, coverage::DOUBLE AS coverage FROM g")
@@ -113,48 +116,101 @@ def lane_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LANES_SQL}, k AS (SELECT *, CASE WHEN list_contains(evidence, 'ExactName') THEN 'ExactName' WHEN list_contains(evidence, 'Content') AND list_contains(evidence, 'NameCandidate') AND coverage >= 0.99 THEN 'Combined' WHEN list_contains(evidence, 'NameCandidate') THEN 'NameCandidate'
   WHEN list_contains(evidence, 'Content') THEN 'Content' WHEN list_contains(evidence, 'Path') THEN 'Path' ELSE 'SemanticCandidate' END AS kind, max(semantic) OVER () AS bs FROM g),
 o AS (SELECT *, CASE kind WHEN 'ExactName' THEN 3 WHEN 'Combined' THEN 2 ELSE 1 END AS guardrail, CASE kind WHEN 'ExactName' THEN 800 WHEN 'Combined' THEN 760 WHEN 'NameCandidate' THEN 700 WHEN 'Content' THEN 620 WHEN 'Path' THEN 540 ELSE 450 END + len(evidence) + 30000 * rrf AS hybrid FROM k)
-SELECT path_key, kind, guardrail::BIGINT AS guardrail, round(hybrid, 6) AS hybrid, CASE kind WHEN 'ExactName' THEN 99.0 WHEN 'Combined' THEN round(92 + 7 * coverage) WHEN 'NameCandidate' THEN round(62 + 24 * name_ratio) WHEN 'Content' THEN round(72 + 24 * greatest(0.5, least(1, coverage))) WHEN 'Path' THEN 45.0
+SELECT path_key, kind, guardrail::BIGINT AS guardrail, round(hybrid, 6) AS hybrid, CASE kind WHEN 'ExactName' THEN CASE WHEN name_matches >= 4 THEN 99.0 ELSE 92.0 END WHEN 'Combined' THEN round(92 + 7 * greatest(0.5, least(1, coverage))) WHEN 'NameCandidate' THEN round(62 + 24 * name_matches / 4.0) WHEN 'Content' THEN round(72 + 24 * greatest(0.5, least(1, coverage))) WHEN 'Path' THEN 45.0
   ELSE round(45 + 27 * greatest(0, least(1, 1 - (bs - semantic) / 0.08))) END::DOUBLE AS percent FROM o ORDER BY guardrail DESC, hybrid DESC, score DESC, modified DESC, path_key LIMIT 100""")
 def hybrid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fusion.order(fusion.merge(_lanes(spark, sf_dir)), 100)
     return rows.select("path_key", "kind", F.col("guardrail").cast("long").alias("guardrail"), F.round("hybrid", 6).alias("hybrid"), "percent")
 
 
-@query(f"""WITH {_LANES_SQL} SELECT path_key, lane_rank FROM s WHERE NOT (SELECT max(evidence = 'ExactName') FROM m) OR path_key IN (SELECT path_key FROM m UNION SELECT path_key FROM c)""")
+@query(f"""WITH {_LANES_SQL}, k AS (SELECT path_key FROM m UNION SELECT path_key FROM c) SELECT 'strong' AS lexical, path_key, lane_rank FROM s WHERE path_key IN (SELECT path_key FROM k) UNION ALL SELECT 'weak', path_key, lane_rank FROM s""")
 def precision_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a strong lexical row somewhere, and with none: only the first drops what only vectors have found."""
     names, texts, near = _lanes(spark, sf_dir)
-    return fusion.without_unsupported(near, names.unionByName(texts), F.col("evidence") == "ExactName").select("path_key", F.col("lane_rank").cast("long").alias("lane_rank"))
+    every = names.unionByName(texts)
+    found = [fusion.without_unsupported(near, every, test).withColumn("lexical", F.lit(x)) for x, test in (("strong", F.col("evidence") == "ExactName"), ("weak", F.col("coverage") > 2))]
+    return found[0].unionByName(found[1]).select("lexical", "path_key", F.col("lane_rank").cast("long").alias("lane_rank"))
 
 
-@query(f"""WITH {_LANES_SQL} SELECT path_key, lane_rank FROM c WHERE length(path_key) > 5""")
+@query(f"""WITH {_LANES_SQL} SELECT path_key, lane_rank FROM c WHERE path_key LIKE '%3' OR path_key LIKE '%7'""")
 def rank_before_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later filter doesn't renumber a lane."""
-    return _lanes(spark, sf_dir)[1].where(F.length("path_key") > 5).select("path_key", F.col("lane_rank").cast("long").alias("lane_rank"))
+    """A later filter (a floor's, in a search) doesn't renumber a lane: here it keeps a fifth of it."""
+    return _lanes(spark, sf_dir)[1].where(F.col("path_key").rlike("[37]$")).select("path_key", F.col("lane_rank").cast("long").alias("lane_rank"))
+
+
+@query(f"""WITH {_LANES_SQL} SELECT count(*) AS results, sum(list_contains(evidence, 'ExactName')::INT)::BIGINT AS exact_names, sum(list_contains(evidence, 'Content')::INT)::BIGINT AS contents, 0::BIGINT AS combined, sum(list_contains(evidence, 'SemanticCandidate')::INT)::BIGINT AS semantic, 0::BIGINT AS visual FROM g""")
+def search_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.diagnostics(fusion.merge(_lanes(spark, sf_dir)))
+
+
+@query(f"""WITH {_LANES_SQL}, k AS (SELECT *, CASE WHEN list_contains(evidence, 'ExactName') THEN 3 WHEN list_contains(evidence, 'Content') AND list_contains(evidence, 'NameCandidate') AND coverage >= 0.99 THEN 2 ELSE 1 END AS guardrail, pow(0.5, (2000 - modified) / 30.0) AS recency, greatest(0, least(1, (semantic - 0.68) / 0.24)) AS sem FROM g)
+SELECT path_key, guardrail::BIGINT AS guardrail, round(recency, 6) AS wish FROM k ORDER BY guardrail DESC, recency DESC, path_key LIMIT 60""")
+def wished_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest first as a primary wish: it decides among rows of one guardrail. Days stand for row numbers."""
+    rows = fusion.merge(_lanes(spark, sf_dir)).withColumn("modified", F.col("modified") * F.lit(DAY))
+    newest = (Directive("ModifiedRecency", True, 0.65, True, 30.0),)
+    found = fusion.order(rows, 60, newest, 2000 * DAY)
+    return found.select("path_key", F.col("guardrail").cast("long").alias("guardrail"), F.round(F.pow(F.lit(0.5), (2000 - F.col("modified") / DAY) / 30.0), 6).alias("wish"))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS priority, round(o_totalprice, 0) AS score, 1 AS stage FROM orders WHERE o_orderkey % 3 <> 0), i AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END, round(o_totalprice / 2, 0), 0 FROM orders WHERE o_orderkey % 2 = 0),
-b AS (SELECT * FROM p UNION ALL SELECT * FROM i) SELECT k AS path_key, priority::BIGINT AS priority, score FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY priority DESC, score DESC, stage) = 1 ORDER BY score DESC, priority DESC, k LIMIT 500""")
+_UPSERT = """WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS pr, round(o_totalprice / 1000, 0) AS sc, o_orderkey % 7 AS pc, o_orderkey AS rk FROM orders WHERE o_orderkey % 3 <> 0),
+i AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END AS pr, round(o_totalprice / 2000, 0) AS sc, o_orderkey % 5 AS pc, 1000000 - o_orderkey AS rk FROM orders WHERE o_orderkey % 2 = 0),
+b AS (SELECT coalesce(p.k, i.k) AS k, p.rk AS was, i.rk AS new, CASE WHEN p.k IS NULL THEN true WHEN i.k IS NULL THEN false WHEN i.pr <> p.pr THEN i.pr > p.pr ELSE i.sc >= p.sc OR i.pc >= p.pc END AS take, p.pr AS ppr, p.sc AS psc, p.pc AS ppc, i.pr AS ipr, i.sc AS isc, i.pc AS ipc FROM p FULL JOIN i ON p.k = i.k),
+m AS (SELECT k, was, new, CASE WHEN take THEN ipr ELSE ppr END AS pr, CASE WHEN take THEN isc ELSE psc END AS sc, CASE WHEN take THEN ipc ELSE ppc END AS pc FROM b)
+"""
+
+
+@query(_UPSERT + "SELECT * FROM (SELECT 'plain' AS ranking, k AS path_key, pr::BIGINT AS priority, sc AS score FROM m ORDER BY pr DESC, sc DESC, pc DESC, new NULLS LAST, was NULLS LAST, k LIMIT 500) UNION ALL SELECT * FROM (SELECT 'custom', k, pr::BIGINT, sc FROM m ORDER BY sc DESC, pr DESC, pc DESC, new NULLS LAST, was NULLS LAST, k LIMIT 500)")
 def progressive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence first; where the query has wishes of its own, score first."""
     o = table(spark, sf_dir, "orders")
     c = F.col
-    row = lambda d, p, s: d.select(c("o_orderkey").alias("path_key"), p.alias("priority"), s.alias("score"), F.lit(0.0).alias("percent"), F.lit("").alias("name"))
-    before = row(o.where(c("o_orderkey") % 3 != 0), F.when(c("o_orderstatus") == "F", 2).otherwise(1), F.round("o_totalprice", 0))
-    new = row(o.where(c("o_orderkey") % 2 == 0), F.when(c("o_orderpriority") == "1-URGENT", 3).otherwise(1), F.round(c("o_totalprice") / 2, 0))
-    return fusion.upsert(before, new, 500).select("path_key", c("priority").cast("long").alias("priority"), "score")
+    row = lambda d, p, s, q, r: d.select(c("o_orderkey").alias("path_key"), p.alias("priority"), s.alias("score"), q.cast("double").alias("percent"), F.lit("").alias("name"), r.cast("long").alias("rank"))
+    before = row(o.where(c("o_orderkey") % 3 != 0), F.when(c("o_orderstatus") == "F", 2).otherwise(1), F.round(c("o_totalprice") / 1000, 0), c("o_orderkey") % 7, c("o_orderkey"))
+    new = row(o.where(c("o_orderkey") % 2 == 0), F.when(c("o_orderpriority") == "1-URGENT", 3).otherwise(1), F.round(c("o_totalprice") / 2000, 0), c("o_orderkey") % 5, 1_000_000 - c("o_orderkey"))
+    found = [fusion.upsert(before, new, 500, x == "custom").select(F.lit(x).alias("ranking"), "path_key", c("priority").cast("long").alias("priority"), "score") for x in ("plain", "custom")]
+    return found[0].union(found[1])
 
 
 # ---- results ----
-_REFINE = f"""WITH {FILES_SQL}, n AS (SELECT file_id, trim(regexp_replace(lower(regexp_replace(name, '\\.[^.]*$', '')), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS a, trim(regexp_replace(lower(directory_path), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS b, substr(extension, 2) AS c FROM files),
-t AS (SELECT file_id, (contains(' ' || a, ' red') OR contains(' ' || a, ' crimson'))::INT AS a1, (contains(' ' || b, ' red') OR contains(' ' || b, ' crimson'))::INT AS b1, (contains(' ' || c, ' red'))::INT AS c1, contains(' ' || a, ' promo')::INT AS a2, contains(' ' || b, ' promo')::INT AS b2, contains(' ' || c, ' promo')::INT AS c2, contains(' ' || a, ' pdf')::INT AS a3, contains(' ' || b, ' pdf')::INT AS b3, contains(' ' || c, ' pdf')::INT AS c3 FROM n),
-m AS (SELECT file_id, greatest(a1, b1, c1) + greatest(a2, b2, c2) + greatest(a3, b3, c3) AS matched, a1 + a2 + a3 AS na, b1 + b2 + b3 AS nb, c1 + c2 + c3 AS nc FROM t)
-SELECT file_id, matched::BIGINT AS matched, (100 * matched + 55 * na + 22 * nb + 18 * nc)::BIGINT AS match FROM m WHERE matched >= 2"""
+_SHOWN = "CASE WHEN is_directory THEN '파일 폴더' WHEN extension = '.xlsx' THEN 'excel 통합 문서' WHEN extension = '.txt' THEN '텍스트 문서' WHEN extension = '.png' THEN '이미지 파일' WHEN extension = '.py' THEN '소스 코드' WHEN extension = '.pdf' THEN 'pdf 문서' WHEN extension = '.zip' THEN '압축 파일' WHEN extension = '.docx' THEN 'word 문서' WHEN extension = '.blend' THEN 'blend 3d 모델' ELSE 'ppk 파일' END"
+_REFINE = f"""WITH {FILES_SQL}, n AS (SELECT file_id, modified, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS a, trim(regexp_replace(lower(directory_path), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS b,
+  {_SHOWN} || ' ' || substr(extension, 2) AS c, CASE WHEN extension = '.ppk' THEN lower('{" ".join(fixed.CONCEPTS[".ppk"])}') ELSE '' END AS d FROM files),
+t AS (SELECT file_id, modified, (contains(' ' || a, ' red') OR contains(' ' || a, ' crimson'))::INT AS a1, (contains(' ' || b, ' red') OR contains(' ' || b, ' crimson'))::INT AS b1, 0 AS c1, 0 AS d1, contains(' ' || a, ' promo')::INT AS a2, contains(' ' || b, ' promo')::INT AS b2, 0 AS c2, 0 AS d2,
+  contains(' ' || a, ' key')::INT AS a3, contains(' ' || b, ' key')::INT AS b3, contains(' ' || c, ' key')::INT AS c3, contains(' ' || d, ' key')::INT AS d3 FROM n),
+m AS (SELECT file_id, modified, greatest(a1, b1, c1) + greatest(a2, b2, c2) + greatest(a3, b3, c3) AS matched, a1 + a2 + a3 AS na, b1 + b2 + b3 AS nb, greatest(c1, d1) + greatest(c2, d2) + greatest(c3, d3) AS nc FROM t)
+SELECT file_id, matched::BIGINT AS matched, (100 * matched + 55 * na + 22 * nb + 18 * nc)::BIGINT AS match, round(pow(0.5, greatest(0, ({NOW} - modified) / {DAY}.0) / 90), 6) AS wish FROM m WHERE matched >= 2"""
 
 
 @query(_REFINE)
 def refine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms in names, folders and types (a key file's concepts count for its type alone), newest first among equals."""
     rows = files(spark, sf_dir).withColumn("orig_idx", F.col("file_id"))
-    found = results.refine(rows, (RED, PROMO, Term("pdf", ("pdf",), ("pdf",))), P.stem(F.col("name")), F.col("directory_path"), F.substring("extension", 2, 32))
-    return found.select("file_id", F.col("matched").cast("long").alias("matched"), F.col("match").cast("long").alias("match"))
+    wanted = Intent("", (RED, PROMO, Term("key", ("key",), ("key",))), directives=(Directive("ModifiedRecency"),))
+    found = results.refine(rows, wanted, NOW)
+    return found.select("file_id", F.col("matched").cast("long").alias("matched"), F.col("match").cast("long").alias("match"), F.round("wish", 6).alias("wish"))
+
+
+@query(f"""WITH {FILES_SQL}, x AS (SELECT f.*, CASE WHEN l.doc_id IS NOT NULL THEN d.text END AS text FROM files f LEFT JOIN documents d ON f.file_id = d.doc_id LEFT JOIN labels l ON f.file_id = l.doc_id)
+SELECT file_id, 120::BIGINT AS match FROM x WHERE extension IN ('.pdf', '.txt') AND regexp_matches(text, '[0-9]') AND modified >= 1706745600000000""")
+def refine_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate on texts that are known for some rows only, a type and a date."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("path_key"), "text")
+    rows = files(spark, sf_dir).withColumns({"orig_idx": F.col("file_id"), "path_key": F.col("file_id").cast("string")})
+    known = rows.join(results.result_text_facts(rows, docs).select("path_key", "profile"), "path_key")
+    wanted = Intent("", extensions=frozenset((".pdf", ".txt")), predicates=(("Digit", "Content", "Contains"),))
+    found = results.refine(known, wanted, NOW, 1_706_745_600_000_000, None, F.col("profile"))
+    return found.select("file_id", F.col("match").cast("long").alias("match"))
+
+
+@query("""WITH k AS (SELECT d.doc_id, d.text FROM documents d JOIN labels l USING (doc_id)), e AS (SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id) ORDER BY doc_id::VARCHAR LIMIT 25)
+SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS wanted, ((SELECT count(DISTINCT doc_id) FROM k) + (SELECT count(*) FROM e))::BIGINT AS known, (SELECT sum(length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')))::BIGINT FROM (SELECT text FROM k UNION ALL SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM e))) AS digits""")
+def result_text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of labelled documents are indexed; 25 others are read on demand."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path_key"), "text")
+    have = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    facts = results.result_text_facts(docs, have, docs, 25)
+    return facts.agg(F.count("*").alias("wanted"), F.count_if("known").alias("known"), F.sum("profile.digits").alias("digits"))
 
 
 @query(f"""WITH {CONTENTS_SQL}, x AS (SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN NULL ELSE l.quality = 1 END AS v FROM contents LEFT JOIN labels l USING (doc_id)) SELECT count(*) AS total, sum(CASE WHEN v THEN 1 ELSE 0 END)::BIGINT AS holds, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown FROM x""")
@@ -164,11 +220,15 @@ def refine_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.unknown_count(joined, F.col("quality") == 1)
 
 
-@query(f"""WITH {FILES_SQL} SELECT file_id, row_number() OVER (ORDER BY modified DESC, file_id) AS place FROM files""")
+_SORTED = {"Relevance": "file_id", "TopLevelPath": "lower(top_level), lower(name), file_id", "Name": "lower(name), file_id", "Modified": "modified DESC, file_id"}
+
+
+@query(f"WITH {FILES_SQL}, t AS (SELECT *, '/' || string_split(full_path, '/')[3] AS top_level FROM files) " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS mode, file_id, row_number() OVER (ORDER BY {o}) AS place FROM t QUALIFY place <= 200)" for m, o in _SORTED.items()))
 def sort_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest first; the place is counted by one window for the check only."""
-    rows = results.sort_results(files(spark, sf_dir).withColumn("orig_idx", F.col("file_id")), "Modified")
-    return rows.select("file_id", F.row_number().over(Window.orderBy(F.desc("modified"), "file_id")).cast("long").alias("place"))
+    """The first 200 rows in each of the four modes."""
+    rows = files(spark, sf_dir).withColumns({"orig_idx": F.col("file_id"), "top_level": P.top_level(F.regexp_replace("full_path", "^/store", ""))})
+    listed = [placed(results.sort_results(rows, m).select("file_id").limit(200)).withColumn("mode", F.lit(m)) for m in _SORTED]
+    return reduce(DataFrame.unionByName, listed)
 
 
 # ---- index maintenance ----
@@ -251,13 +311,80 @@ def tag_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("k", "category").agg(F.count("*").alias("n"), F.round(F.max("confidence"), 6).alias("best"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS app_id, p_name AS name, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS t FROM part),
-m AS (SELECT app_id, name, (contains(t, 'red') OR contains(t, 'crimson'))::INT + contains(t, 'widget')::INT AS matched, (contains(' ' || t || ' ', ' red ') OR contains(' ' || t || ' ', ' crimson '))::INT + contains(' ' || t || ' ', ' widget ')::INT AS whole FROM a)
-SELECT app_id, least(820, 500 + 100 * matched + 60 * whole)::BIGINT AS score FROM m WHERE matched >= 2 ORDER BY score DESC, name, app_id LIMIT 120""")
+_APPS = """WITH a AS (SELECT p_partkey AS app_id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN '공용 바탕 화면' WHEN 1 THEN '사용자 시작 메뉴' ELSE '설치 목록' END AS source, trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS t FROM part),
+m AS (SELECT *, (contains(t, 'red') OR contains(replace(t, ' ', ''), 'red'))::INT + (contains(t, 'widget') OR contains(replace(t, ' ', ''), 'widget'))::INT AS own,
+  (contains(t, 'red') OR contains(replace(t, ' ', ''), 'red') OR contains(t, 'crimson') OR contains(replace(t, ' ', ''), 'crimson'))::INT + (contains(t, 'widget') OR contains(replace(t, ' ', ''), 'widget'))::INT AS matched FROM a),
+s AS (SELECT app_id, name, 780 + 85 * matched + 55 * own + CASE WHEN contains(t, 'red widget') THEN 110 ELSE 0 END + CASE WHEN t = 'red widget' THEN 80 ELSE 0 END + CASE WHEN source = '공용 바탕 화면' THEN 70 WHEN source = '사용자 시작 메뉴' THEN 55 ELSE 35 END AS score,
+  CASE WHEN t = 'red widget' THEN 100.0 WHEN contains(t, 'red widget') THEN 98.0 ELSE 92.0 END::DOUBLE AS percent FROM m WHERE matched >= 2)
+"""
+
+
+@query(_APPS + "SELECT app_id, score::BIGINT AS score, least(820, score)::BIGINT AS shown, percent FROM s ORDER BY score DESC, lower(name), app_id LIMIT 120")
 def application_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apps = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("app_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), "p_name")
-    rows = results.search_applications(apps, (RED, WIDGET), 1_000_000).orderBy(F.desc("score"), "p_name", "app_id").limit(120)
-    return rows.select("app_id", F.col("score").cast("long").alias("score"))
+    k = F.col("p_partkey")
+    source = F.when(k % 3 == 0, "공용 바탕 화면").when(k % 3 == 1, "사용자 시작 메뉴").otherwise("설치 목록")
+    apps = table(spark, sf_dir, "part").select(k.alias("app_id"), F.col("p_name").alias("name"), source.alias("source"))
+    found = results.search_applications(apps, (RED, WIDGET), 120)
+    shown = results.application_rows(found).select("app_id", F.col("score").alias("shown"))
+    return found.join(shown, "app_id").select("app_id", F.col("score").cast("long").alias("score"), F.col("shown").cast("long").alias("shown"), "percent")
+
+
+@query(f"WITH x AS ({_metadata_sql((RED, WIDGET, PROMO))}) SELECT file_id, CASE WHEN name_matches >= 3 THEN 'ExactName' WHEN name_matches > 0 THEN 'NameCandidate' ELSE 'Path' END AS kind, CASE WHEN name_matches >= 3 THEN 99.0 WHEN name_matches > 0 THEN round(62 + 24 * name_matches / 3.0) ELSE 45.0 END::DOUBLE AS percent FROM x")
+def quick_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the metadata lane shows while other lanes run."""
+    found = metadata.search(files(spark, sf_dir), Intent("red widget promo", (RED, WIDGET, PROMO)), 300)
+    return results.quick_rows(found, 3).select("file_id", "kind", "percent")
+
+
+@query(f"""WITH {FILES_SQL}, w AS (SELECT *, CASE WHEN starts_with(directory_path, '/store/promo/') THEN 30 ELSE 0 END AS pr, file_id % 4 = 0 AS has_text FROM files WHERE file_id % 2 = 0) SELECT file_id FROM w ORDER BY pr DESC, has_text DESC, modified DESC, file_id::VARCHAR LIMIT 96""")
+def pending_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).where("file_id % 2 = 0").withColumns({"has_text": F.col("file_id") % 4 == 0, "path_key": F.col("file_id").cast("string")})
+    return results.pending_order(rows, 96, "/store/promo").select("file_id")
+
+
+@query(f"""WITH {FILES_SQL}, s AS (SELECT file_id, p_retailprice AS score FROM files JOIN part ON p_partkey = file_id WHERE file_id % 3 = 0) SELECT file_id FROM files LEFT JOIN s USING (file_id) WHERE extension = '.xlsx' ORDER BY (score IS NOT NULL) DESC, coalesce(score, 0) DESC, CASE WHEN starts_with(directory_path, '/store/promo/') THEN 30 ELSE 0 END DESC, modified DESC, file_id LIMIT 64""")
+def preferred_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("file_id"), F.col("p_retailprice").alias("score"))
+    return results.preferred_sheets(files(spark, sf_dir), 64, scores, "/store/promo").select("file_id")
+
+
+@query(f"""WITH {FILES_SQL}, k AS (SELECT *, lower(full_path) AS path_key FROM files), d AS (SELECT path_key, min(text) AS text FROM k JOIN documents ON doc_id = file_id WHERE file_id % 3 = 0 AND trim(text, ' ') <> '' GROUP BY path_key), r AS (SELECT greatest(0, 400 - count(*)) AS room FROM d),
+o AS (SELECT path_key, row_number() OVER (ORDER BY modified DESC, path_key) AS place FROM k WHERE NOT is_directory AND path_key NOT IN (SELECT path_key FROM d))
+SELECT path_key, false AS described, length(text) AS n FROM d UNION ALL SELECT path_key, true, NULL FROM o, r WHERE place <= least(room, 400)""")
+def semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a third of the files, and descriptors of the newest others up to 400 in all."""
+    rows = files(spark, sf_dir)
+    docs = rows.where("file_id % 3 = 0").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text"), "file_id").select(F.lower("full_path").alias("path_key"), "text")
+    found = results.semantic_documents(rows, docs, "/store", 400)
+    return found.select("path_key", "described", F.when(~F.col("described"), F.length("text")).cast("long").alias("n"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, 'doc_' || doc_id || '.ppk' AS name FROM documents)
+SELECT doc_id::VARCHAR AS path_key, sha256('파일명: ' || name || chr(10) || '폴더: a/b' || chr(10) || '형식: """ + ", ".join(fixed.CONCEPTS[".ppk"]) + """' || chr(10) || '내용: ' || CASE WHEN length(t) <= 420 THEN t ELSE substr(t, 1, 210) || chr(10) || '…' || chr(10) || substr(t, greatest(210, length(t) // 2 - 52) + 1, 105) || chr(10) || '…' || chr(10) || right(t, 105) END) AS passage,
+  sha256('파일명: ' || name || chr(10) || '경로: /r/a/b' || chr(10) || '파일 형식: PPK 파일' || chr(10) || '기존 검색 근거: x' || chr(10) || '본문: ' || CASE WHEN length(t) <= 1800 THEN t ELSE substr(t, 1, 1200) || chr(10) || '…' || chr(10) || right(t, 600) END) AS judged FROM d""")
+def model_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a text model is given of a document, and what a result is judged by."""
+    k = F.col("doc_id").cast("string")
+    rows = table(spark, sf_dir, "documents").select(k.alias("path_key"), F.concat(F.lit("doc_"), k, F.lit(".ppk")).alias("name"), F.lit("/r/a/b").alias("directory_path"), F.lit(".ppk").alias("extension"), F.lit(False).alias("is_directory"), F.lit("x").alias("reason"), "text")
+    one, two = results.embedding_passage(rows, "/r"), results.rerank_passage(rows)
+    return one.join(two.withColumnRenamed("passage", "judged"), "path_key").select("path_key", F.sha2("passage", 256).alias("passage"), F.sha2("judged", 256).alias("judged"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS k, CASE l_linenumber % 4 WHEN 0 THEN 'red_fox' WHEN 1 THEN 'fox' WHEN 2 THEN 'blue hat' ELSE 'foxes' END AS name, CASE WHEN l_returnflag = 'R' THEN 'Character' ELSE 'General' END AS category, l_quantity / 50 AS c FROM lineitem), h AS (SELECT * FROM t WHERE name IN ('red_fox', 'fox'))
+SELECT k, category = 'Character' AS character, max(c) AS best FROM h GROUP BY ALL""")
+def matching_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surest character tag and the surest other that one of the aliases names, whole or in part."""
+    n = F.col("l_linenumber") % 4
+    name = F.when(n == 0, "red_fox").when(n == 1, "fox").when(n == 2, "blue hat").otherwise("foxes")
+    tags = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), name.alias("name"), F.when(F.col("l_returnflag") == "R", "Character").otherwise("General").alias("category"), (F.col("l_quantity") / 50).alias("confidence"))
+    found = [results.matching_tag(tags, ["The Fox", "ox"], "k", x).select("k", F.lit(x).alias("character"), F.col("confidence").alias("best")) for x in (True, False)]
+    return found[0].union(found[1])
+
+
+@query("SELECT vec_id FROM embeddings WHERE embedding[1]::DOUBLE >= 0.06 AND embedding[1]::DOUBLE - embedding[2]::DOUBLE >= 0.015")
+def tagger_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda i: F.col("embedding")[i].cast("double")
+    return table(spark, sf_dir, "embeddings").where(results.tagger_gate(one(0), one(1))).select("vec_id")
 
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT >= 50""")
@@ -276,22 +403,44 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(union, "union").union(count(d("is_directory").intersect(d("extension = '.pdf'")), "intersect")).union(count(f.select("directory_path").distinct().join(d("is_directory").distinct(), "directory_path", "left_anti"), "except"))
 
 
-@query()
+def _squeeze(column: str) -> str:
+    """DuckDB: one letter for each run of the sounds' letters."""
+    codes, letters = "".join(c * len(x) for c, x in fixed.SOUNDS.items()), "".join(fixed.SOUNDS.values())
+    out = f"translate(regexp_replace({column}, '[^{letters}]', '', 'g'), '{letters}', '{codes}')"
+    for c in fixed.SOUNDS:
+        out = f"regexp_replace({out}, '{c}+', '{c}', 'g')"
+    return out
+
+
+#: Readings of the word, and the consonants by sound that they share.
+_READINGS, _SOUND = ("wijet", "wizet"), "WZT"
+_LIKENESS = " UNION ALL ".join(f"SELECT file_id, greatest(1 - levenshtein(f, '{r}') / greatest(length(f), 5), CASE WHEN length(k) >= 3 THEN 1 - levenshtein(k, '{_SOUND}') / greatest(length(k), 3) ELSE 0 END) AS x FROM s WHERE abs(length(f) - 5) <= greatest(3, greatest(length(f), 5) // 2)" for r in _READINGS)
+
+
+@query(f"""WITH {FILES_SQL}, w AS (SELECT file_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: length(x) >= 4))) AS w FROM files),
+f AS (SELECT file_id, w AS f FROM w UNION SELECT file_id, substr(w, i::INT, n::INT) FROM w, range(4, 8) a(n), range(1, 40) b(i) WHERE length(w) > 7 AND n <= length(w) - 1 AND i <= length(w) - n + 1), s AS (SELECT file_id, f, {_squeeze('f')} AS k FROM f), l AS ({_LIKENESS})
+SELECT file_id, round(max(x), 6) AS likeness FROM l GROUP BY file_id HAVING round(max(x), 6) >= 0.5""")
 def phonetic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much names sound like a Hangul word: an Arrow UDF, as no built-in reads Hangul."""
+    """How much names sound like a Hangul word."""
     return files(spark, sf_dir).select("file_id", F.round(phonetic_similarity(F.col("name"), "위젯"), 6).alias("likeness")).where("likeness >= 0.5")
 
 
-@query()
+@query(f"""WITH m AS (SELECT 'doc_' || file_id AS path_key, 0 AS lane, row_number() OVER (ORDER BY score DESC, 'doc_' || file_id) - 1 AS lane_rank, score, name_matches, CASE WHEN name_matches >= 3 THEN 'ExactName' WHEN name_matches > 0 THEN 'NameCandidate' ELSE 'Path' END AS evidence, NULL::DOUBLE AS coverage, NULL::DOUBLE AS semantic FROM ({_metadata_sql((RED, WIDGET, PROMO)).replace('LIMIT 300', 'LIMIT 200')})),
+t AS (SELECT 'doc_' || doc_id AS path_key, 1 AS lane, row_number() OVER (ORDER BY score DESC, 'doc_' || doc_id) - 1 AS lane_rank, score + 340 AS score, 0 AS name_matches, 'Content' AS evidence, matched / 3.0 AS coverage, NULL::DOUBLE AS semantic FROM ({_BM25.replace('LIMIT 50', 'LIMIT 200')})),
+v AS (SELECT 'doc_' || vec_id AS path_key, 2 AS lane, rank - 1 AS lane_rank, 90 + 260 * greatest(0, similarity - 0.1) AS score, 0 AS name_matches, 'SemanticCandidate' AS evidence, NULL::DOUBLE AS coverage, similarity AS semantic FROM ({_SEMANTIC})),
+l AS (SELECT * FROM m UNION ALL SELECT * FROM t UNION ALL SELECT * FROM v), g AS (SELECT path_key, arg_min(score, lane) + 0.55 * (sum(score) - arg_min(score, lane)) AS score, sum(1.0 / (61 + lane_rank)) AS rrf, max(coverage) AS coverage, max(name_matches) AS nm, max(semantic) AS semantic, list_sort(list(DISTINCT evidence)) AS evidence FROM l GROUP BY path_key),
+k AS (SELECT *, CASE WHEN list_contains(evidence, 'ExactName') THEN 'ExactName' WHEN list_contains(evidence, 'Content') AND list_contains(evidence, 'NameCandidate') AND coverage >= 0.99 THEN 'Combined' WHEN list_contains(evidence, 'NameCandidate') THEN 'NameCandidate' WHEN list_contains(evidence, 'Content') THEN 'Content' WHEN list_contains(evidence, 'Path') THEN 'Path' ELSE 'SemanticCandidate' END AS kind, max(semantic) OVER () AS bs FROM g),
+o AS (SELECT *, CASE kind WHEN 'ExactName' THEN 3 WHEN 'Combined' THEN 2 ELSE 1 END AS guardrail, CASE kind WHEN 'ExactName' THEN 800 WHEN 'Combined' THEN 760 WHEN 'NameCandidate' THEN 700 WHEN 'Content' THEN 620 WHEN 'Path' THEN 540 ELSE 450 END + len(evidence) + 30000 * rrf AS hybrid FROM k)
+SELECT path_key, kind, guardrail::BIGINT AS guardrail, round(hybrid, 6) AS hybrid, CASE kind WHEN 'ExactName' THEN 99.0 WHEN 'Combined' THEN round(92 + 7 * greatest(0.5, least(1, coverage))) WHEN 'NameCandidate' THEN round(62 + 24 * nm / 3.0) WHEN 'Content' THEN round(72 + 24 * greatest(0.5, least(1, coverage))) WHEN 'Path' THEN 45.0
+  ELSE round(45 + 27 * greatest(0, least(1, 1 - (bs - semantic) / 0.08))) END::DOUBLE AS percent FROM o ORDER BY guardrail DESC, hybrid DESC, score DESC, path_key LIMIT 100""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lanes of one sentence over documents, files and vectors, merged and ordered."""
-    none = F.lit(None).cast("double")
     docs = contents(spark, sf_dir)
-    text = content.search(docs, WANTED, 200).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path_key"), (F.col("score") + 340.0).alias("score"), "coverage")
-    text = fusion.ranked(text, [F.desc("score"), F.col("path_key")], 200).select("path_key", F.lit(1).alias("lane"), "lane_rank", "score", F.lit("Content").alias("evidence"), "coverage", none.alias("name_ratio"), none.alias("semantic"), none.alias("visual"), F.lit(0).cast("long").alias("modified"))
+    text = content.search(docs, WANTED, 200).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path_key"), F.round("score", 6).alias("score"), "coverage")
+    text = fusion.ranked(text, [F.desc("score"), F.col("path_key")], 200).withColumns({"lane": F.lit(1), "score": F.col("score") + 340.0, "evidence": F.lit("Content"), "total_terms": F.lit(3)})
     meta = metadata.search(files(spark, sf_dir), Intent("red widget promo", (RED, WIDGET, PROMO)), 200)
-    meta = meta.select(F.concat(F.lit("doc_"), F.col("file_id").cast("string")).alias("path_key"), "score", F.when(F.col("name_matches") >= 3, "ExactName").when(F.col("name_matches") > 0, "NameCandidate").otherwise("Path").alias("evidence"), (F.col("matched") / 3.0).alias("coverage"), (F.col("name_matches") / 3.0).alias("name_ratio"))
-    meta = fusion.ranked(meta, [F.desc("score"), F.col("path_key")], 200).select("path_key", F.lit(0).alias("lane"), "lane_rank", "score", "evidence", "coverage", "name_ratio", none.alias("semantic"), none.alias("visual"), F.lit(0).cast("long").alias("modified"))
+    meta = meta.select(F.concat(F.lit("doc_"), F.col("file_id").cast("string")).alias("path_key"), F.round("score", 6).alias("score"), results.evidence_of(3).alias("evidence"), "name_matches", F.lit(3).alias("total_terms"))
+    meta = fusion.ranked(meta, [F.desc("score"), F.col("path_key")], 200).withColumn("lane", F.lit(0))
     near = VO.semantic_search(VO.index_rows(table(spark, sf_dir, "embeddings")), _query_vector(spark, sf_dir), 60, 0.1, 0.75, 20)
-    near = near.select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("path_key"), F.lit(2).alias("lane"), (F.col("rank") - 1).alias("lane_rank"), (90 + 260 * F.greatest(F.lit(0.0), F.col("similarity") - 0.1)).alias("score"), F.lit("SemanticCandidate").alias("evidence"), none.alias("coverage"), none.alias("name_ratio"), F.col("similarity").alias("semantic"), none.alias("visual"), F.lit(0).cast("long").alias("modified"))
+    near = near.select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("path_key"), F.lit(2).alias("lane"), (F.col("rank") - 1).alias("lane_rank"), (90 + 260 * F.greatest(F.lit(0.0), F.round("similarity", 6) - 0.1)).alias("score"), F.lit("SemanticCandidate").alias("evidence"), F.round("similarity", 6).alias("semantic"))
     return fusion.order(fusion.merge([meta, text, near]), 100).select("path_key", "kind", F.col("guardrail").cast("long").alias("guardrail"), F.round("hybrid", 6).alias("hybrid"), "percent")

@@ -102,7 +102,7 @@ def occurrences_and_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM documents)
 SELECT doc_id, length(substr(t, 1, 12000)) AS cleaned, length(t) > 12000 AS was_truncated,
   CASE WHEN length(t) <= 240 THEN t ELSE substr(t, 1, 165) || ' … ' || right(t, 72) END AS segment,
-  CASE WHEN length(t) <= 420 THEN t ELSE substr(t, 1, 210) || chr(10) || '…' || chr(10) || substr(t, (floor((length(t) - 105) / 2.0))::INT + 1, 105) || chr(10) || '…' || chr(10) || right(t, 105) END AS sampled FROM c""")
+  CASE WHEN length(t) <= 420 THEN t ELSE substr(t, 1, 210) || chr(10) || '…' || chr(10) || substr(t, greatest(210, length(t) // 2 - 52) + 1, 105) || chr(10) || '…' || chr(10) || right(t, 105) END AS sampled FROM c""")
 def extraction_and_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space, truncation at 12000 characters, the compact segment and the three-part sample of 420."""
     t = F.trim(F.regexp_replace("text", r"\s+", " "))

@@ -1,10 +1,14 @@
 from datetime import datetime
 
+import json
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.functions.phonetic import aliases, romanize, similarity
-from lodestone.plans import fixed
-from lodestone.plans.intent import classify, compile_intent, date_range, detect_categories, directives, floors, half_life, lanes, normalize_token, references_previous, script_predicates, sort_mode, tokenize
+from lodestone.functions.phonetic import aliases, phonetic_similarity, romanize, skeleton
+from lodestone.plans import fixed, model_plan, visual
+from lodestone.plans.intent import classify, compile_intent, explicit_extensions, needs_targeted_scan, script_clauses, date_range, detect_categories, directives, floors, half_life, lanes, normalize_token, references_previous, script_predicates, sort_mode, tokenize
 
 NOW = datetime(2024, 7, 17, 15, 30)
 
@@ -66,10 +70,101 @@ def test_classes_and_lanes():
     assert classify(compile_intent("'aws key'", NOW)) == "ExactName"
     assert classify(compile_intent("계약 관련 자료", NOW)) == "TopicRelated"
     assert lanes(compile_intent("wifi", NOW)).precision_first and not lanes(compile_intent("wifi 오류", NOW)).precision_first
-    assert references_previous("이 중 엑셀만") and not references_previous("엑셀")
-
-
-def test_phonetics():
-    assert romanize("위젯") == "wijet"
-    assert similarity("my network drive", "네트워크") >= 0.76 > similarity("zebra", "네트워크")
-    assert aliases("abc") == []
+    assert references_previous("그 중 엑셀만") and references_previous("방금 찾은 것") and not references_previous("엑셀")
+
+
+def fragments(word, length):
+    yield word
+    if len(word) > length + 2:
+        for n in range(max(4, length - 2), min(len(word) - 1, length + 2) + 1):
+            for i in range(len(word) - n + 1):
+                yield word[i : i + n]
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def likeness(text, term):
+    """Brute force over words, readings and fragments."""
+    best = 0.0
+    for word in {w for w in re.findall("[a-z0-9]+", text.lower()) if len(w) >= 4}:
+        for reading in aliases(term):
+            for part in fragments(word, len(reading)):
+                longest = max(len(part), len(reading))
+                if abs(len(part) - len(reading)) > max(3, longest // 2):
+                    continue
+                best = max(best, 1 - edit(part, reading) / longest)
+                a, b = skeleton(part), skeleton(reading)
+                if min(len(a), len(b)) >= 3:
+                    best = max(best, 1 - edit(a, b) / max(len(a), len(b)))
+    return best
+
+
+def test_phonetics(spark):
+    assert romanize("위젯") == "wijet" and aliases("abc") == []
+    assert aliases("위젯") == ["wijet", "wizet"] and aliases("네트워크") == ["neteuwokeu", "netuwoku"] and aliases("빌드")[-1] == "vildu"
+    assert romanize("값없다") == "gapeopda" and romanize("핥") == "hal"
+    texts = ["my network drive", "zebra", "", None, "networking12 ab", "wizard widgets", "the WIDGET of a widgetmaker", "xyz netwrk"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for term in ("네트워크", "위젯", "abc"):
+        got = {r["i"]: r["x"] for r in df.select("i", phonetic_similarity(F.col("t"), term).alias("x")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == pytest.approx(likeness(t or "", term)), (term, t)
+    assert likeness("my network drive", "네트워크") >= 0.76 > likeness("zebra", "네트워크")
+
+
+def test_floors_without_an_ending():
+    assert floors("plan B3, b-13 and B2F") == ((True, 3), (True, 13), (True, 2)) and floors("ab3 b3x 1234층") == ()
+
+
+def test_extensions_as_they_are_written():
+    assert explicit_extensions("*.c++ .7z_old x.y .tar.gz") == {".c++", ".7z_old"}
+    assert compile_intent("한글 문서 찾아줘", NOW).extensions == {".hwp", ".hwpx"}
+
+
+def test_script_clauses():
+    assert script_clauses("한글로 작성된 문서").predicates == (("Hangul", "Content", "Predominantly"),)
+    assert script_clauses("숫자가 없는 파일명").predicates == (("Digit", "Name", "Excludes"),)
+    found = script_clauses("영문만 포함된 파일")
+    assert found.predicates == (("Latin", "Name", "Only"),) and found.files_only and not found.hwp
+
+
+def test_sorts_and_wishes():
+    assert sort_mode(compile_intent("보고서 최신순", NOW)) == "ModifiedNewest" and sort_mode(compile_intent("오래된 순 생성일", NOW)) == "CreatedOldest"
+    assert compile_intent("최신순", NOW).has_criteria and compile_intent("폴더를 찾아줘", NOW).folders_only
+    assert not lanes(compile_intent("키", NOW)).precision_first and lanes(compile_intent("강아지", NOW)).visual and lanes(compile_intent("*.png", NOW)).visual
+    i = compile_intent("aws key", NOW)
+    assert needs_targeted_scan(i, 0, 0, 10) and needs_targeted_scan(i, 5, 0, 10) and not needs_targeted_scan(i, 5, 1, 10)
+    assert needs_targeted_scan(compile_intent("*.stl", NOW), 3, 0, 10)
+
+
+def test_image_profiles_and_prompts():
+    named = compile_intent("사오토메 란마 이미지", NOW)
+    p = visual.profile(named)
+    assert (p.kind, p.named, p.least, p.margin, p.lift) == ("Character", True, 0.075, 0.015, 0.02)
+    assert "saotome" in visual.identity_aliases(named) and "ranma" in visual.identity_aliases(named)
+    dog = compile_intent("강아지 사진", NOW)
+    assert visual.profile(dog) == visual.Profile("General", False, 0.055, 0.1) and "dog" in visual.tag_aliases(dog)
+    assert visual.prompts(dog.query, visual.profile(dog))[1].startswith("강아지 사진, dog photo, ")
+    assert visual.profile(compile_intent("프로그램 화면 스크린샷", NOW)).kind == "UserInterface"
+    assert visual.tag_terms("saotome_ranma (girl)") == ["saotomeranmagirl", "saotome", "ranma", "girl"]
+
+
+def test_plans_of_a_model():
+    i = compile_intent("그 중 계약 보고서", NOW)
+    own = model_plan.from_intent(i, 3)
+    assert own.use_previous and own.target == "Any" and [t for t, _ in own.terms] == [t.original for t in i.terms]
+    raw = {"termGroups": [{"term": " a\n b ", "alternatives": ["x", "X", "", 3]}, {"term": ""}, 7], "requestedExtensions": [".PDF", ".pdf"], "target": "FILE", "sort": "large_first", "confidence": 3, "interpretation": "q" * 500, "usePreviousResults": True}
+    p = model_plan.parse(json.dumps(raw), i.query, own, 3)
+    assert p.terms == (("a b", ("x",)),) and p.extensions == (".PDF",) and (p.target, p.sort, p.confidence, len(p.summary)) == ("File", "LargeFirst", 1.0, 200)
+    weak = model_plan.parse('{"confidence": 0.3, "target": "folder"}', i.query, own)
+    assert (weak.target, weak.confidence, weak.by_model) == ("Any", 0.3, True) and model_plan.parse("null", "", own) is own
+    run = model_plan.interpret(i, lambda q: json.dumps(raw), 3)
+    assert run.extensions == () and run.target == "Any" and run.by_model and not run.use_previous  # a model never widens a search
+    assert model_plan.interpret(i, lambda q: "no json", 3) == own and model_plan.sanitize("a\r\n  b", 3) == "a b"

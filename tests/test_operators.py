@@ -97,8 +97,8 @@ def test_blend(spark):
 
 
 def lane(spark, number, rows):
-    out = [(p, number, i, float(s), e, c, None, None, None, 0) for i, (p, s, e, c) in enumerate(rows)]
-    return spark.createDataFrame(out, "path_key string, lane int, lane_rank int, score double, evidence string, coverage double, name_ratio double, semantic double, visual double, modified long")
+    out = [(p, number, i, float(s), e, c, 0) for i, (p, s, e, c) in enumerate(rows)]
+    return fusion.lane(spark.createDataFrame(out, "path_key string, lane int, lane_rank int, score double, evidence string, coverage double, modified long"))
 
 
 def test_merge_and_guardrails(spark):
@@ -144,11 +144,85 @@ def test_postings(spark):
     assert titles.rarest(sizes, "계t").first()["n"] == 1 and titles.rarest(sizes, "계q").count() == 0
 
 
+def found_rows(spark, rows):
+    """(name, folder, modified) with places and types."""
+    out = [(i, n, d, "." + n.rpartition(".")[2] if "." in n else "", "." not in n, m) for i, (n, d, m) in enumerate(rows)]
+    return spark.createDataFrame(out, "orig_idx int, name string, directory_path string, extension string, is_directory boolean, modified long")
+
+
 def test_refinement_keeps_order_and_counts_unknown(spark):
-    rows = spark.createDataFrame([(0, "wifi list", None), (1, "wifi error", 1), (2, "notes", 1)], "orig_idx int, name string, v int")
-    out = results.refine(rows, (term("wifi"), term("error")), F.col("name"), F.lit(""), F.lit(""))
+    rows = found_rows(spark, [("wifi list.txt", "/a", 1), ("wifi error.txt", "/a", 1), ("notes.txt", "/a", 1)])
+    out = results.refine(rows, Intent("", (term("wifi"), term("error"))))
     assert [r["orig_idx"] for r in out.collect()] == [1, 0]
-    assert results.unknown_count(rows, F.col("v") == 1).first() == (3, 2, 1)
+    v = spark.createDataFrame([(None,), (1,), (1,)], "v int")
+    assert results.unknown_count(v, F.col("v") == 1).first() == (3, 2, 1)
+
+
+def test_refinement_by_floor_type_wish_and_unspaced_words(spark):
+    rows = found_rows(spark, [("지하 3층 계정목록.xlsx", "/a", 1), ("B3 plan.dwg", "/b", 3), ("B13 plan.dwg", "/b", 4), ("old.dwg", "/지하 3층", 2), ("folder", "/b3", 9)])
+    ids = lambda i, **k: [r["orig_idx"] for r in results.refine(rows, i, **k).collect()]
+    assert ids(Intent("", floors=((True, 3),))) == [0, 1, 3, 4]
+    assert ids(Intent("", floors=((True, 3),), extensions=frozenset((".dwg",)))) == [1, 3, 4]  # a folder with the floor is direct evidence
+    assert ids(Intent("", (term("계정 목록"),))) == [] and ids(Intent("", (Term("목록", ("목록",), ("목록",)),))) == [0]
+    assert ids(Intent("", extensions=frozenset((".dwg",)), directives=(Directive("ModifiedRecency", half_life_days=1.0),)), now_micros=4 * DAY) == [2, 1, 3]
+    assert ids(Intent("", (Term("계정", ("account", "계정"), ()),))) == [0]
+
+
+def test_rungs_of_titles(spark):
+    files = make_files(spark, [("network account.xlsx", "/a", 1, 1), ("account list network.xlsx", "/a", 1, 1), ("account.txt", "/network", 1, 1), ("notes.txt", "/account", 1, 1), ("계정.txt", "/a", 1, 1)])
+    files = files.withColumn("file_id", F.col("name"))
+    account = Term("account", ("account", "계정"), ())
+    got = {r["file_id"]: (r["rung"], r["score"], r["exact"]) for r in titles.ladder(files, Intent("network account xlsx", (term("network"), account)), 10).collect()}
+    assert got == {
+        "network account.xlsx": ("equal", 1000.0, True), "account list network.xlsx": ("typed", 860.0, False), "account.txt": ("path", 760.0 + 18 + 10, False),
+        "notes.txt": ("some", 540 + 95 + 4.0, False), "계정.txt": ("some", 540 + 95 + 9.0, False),
+    }
+    one = titles.ladder(files, Intent("account", (account,)), 10).collect()
+    assert "notes.txt" not in {r["file_id"] for r in one}  # one word must be in the title
+    assert {r["rung"] for r in titles.ladder(files, Intent("xyz abc"), 10).collect()} == set()
+
+
+def test_applications_by_source_and_without_gaps(spark):
+    apps = spark.createDataFrame([(1, "Red Widget", "공용 바탕 화면"), (2, "RedWidget Pro", "공용 시작 메뉴"), (3, "Widget", None), (4, "the red widget", None)], "app_id int, name string, source string")
+    got = {r["app_id"]: (r["score"], r["percent"]) for r in results.search_applications(apps, (term("red"), term("widget")), 10).collect()}
+    assert got == {1: (780 + 170 + 110 + 110 + 80 + 70.0, 100.0), 2: (780 + 170 + 110 + 55.0, 92.0), 4: (780 + 170 + 110 + 110 + 35.0, 98.0)}
+    assert {r["score"] for r in results.application_rows(results.search_applications(apps, (term("red"), term("widget")), 10)).collect()} == {820.0}
+
+
+def test_percentages(spark):
+    def one(kind, evidence=(), coverage=None, names=0, terms=0, semantic=None, best=0.0, visual=None):
+        f = lambda x: F.lit(x).cast("double")
+        kinds = F.array(*map(F.lit, evidence)) if evidence else F.array().cast("array<string>")
+        return spark.range(1).select(S.match_percent(F.lit(kind), kinds, f(coverage), F.lit(names), F.lit(terms), f(semantic), f(best), f(visual), f(best))).first()[0]
+
+    assert [one("ExactName", names=2, terms=2), one("ExactName", names=1, terms=2), one("Other"), one("NameCandidate"), one("Combined"), one("Combined", coverage=0.2)] == [99.0, 92.0, 70.0, 74.0, 96.0, 96.0]
+    assert [one("Content"), one("Content", ("ExactName",)), one("SemanticCandidate", semantic=0.8), one("SemanticCandidate", semantic=0.8, best=0.8), one("VisualCandidate"), one("VisualCandidate", visual=0.08, best=0.08)] == [84.0, 99.0, 45.0, 72.0, 35.0, 48.0]
+
+
+def test_targets_of_paths(spark):
+    row = spark.createDataFrame([("nai_001.png", "/home/u/Pictures/ComfyUI/output", 1536), ("20240101123.jpg", "/home/u/Desktop/x", 0)], "n string, d string, b long")
+    got = row.select(P.generated_image_priority(F.col("n"), F.col("d")), P.path_priority(F.col("d"), "/home/U"), P.size_short(F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(80_000.0, 30, "1.5 KB"), (2_000.0, 50, "0 B")]
+    assert results.scope_roots("FolderAndNetwork", "/a", [], ["//s", "//S", "/a"], []) == ["/a", "//s"] and results.scope_roots("Folder", None, [], [], []) == []
+    assert results.title_root_order(["/x", "//net", "/cur", "/X"], "/CUR") == ["/cur", "//net", "/x"]
+
+
+def test_patterns_that_may_not_end_are_refused():
+    for bad in ("(a+)+$", "x" * 600):
+        with pytest.raises(ValueError):
+            titles.validate(bad)
+
+
+def test_labels_of_a_tagger(spark, tmp_path):
+    (tmp_path / "tags.csv").write_text('tag_id,name,category,count\n1,"a, ""b""",4,9\n2,c ,9,1\n3,d,0,1\n4,e,x,1\n5,f\n', encoding="utf-8")
+    assert [tuple(r) for r in results.tag_labels(spark, str(tmp_path / "tags.csv")).orderBy("tag_id").collect()] == [("1", 'a, "b"', "Character"), ("2", "c", "Rating"), ("3", "d", "General")]
+
+
+def test_upsert_keeps_what_is_better(spark):
+    rows = lambda *x: spark.createDataFrame(x, "path_key string, priority int, score double, percent double, name string, rank long")
+    before, new = rows(("a", 2, 5.0, 50.0, "a", 0), ("b", 1, 9.0, 50.0, "b", 1)), rows(("a", 1, 99.0, 99.0, "a", 0), ("b", 1, 8.0, 60.0, "b", 1), ("c", 3, 1.0, 1.0, "c", 2))
+    got = lambda **k: [(r["path_key"], r["priority"], r["score"], r["rank"]) for r in fusion.upsert(before, new, 9, **k).orderBy("rank").collect()]
+    assert got() == [("c", 3, 1.0, 0), ("a", 2, 5.0, 1), ("b", 1, 8.0, 2)] and [x[0] for x in got(custom_ranking=True)] == ["b", "a", "c"]
 
 
 def test_round_robin_is_fair(spark):
