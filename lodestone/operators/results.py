@@ -229,6 +229,13 @@ def evidence_of(total_terms: int) -> Column:
     return F.when(c("name_matches") >= max(1, total_terms), "ExactName").when(c("name_matches") > 0, "NameCandidate").when(c("type_matches") > 0, "Metadata").otherwise("Path")
 
 
+def application_catalogue(sources: list[DataFrame]) -> DataFrame:
+    """Applications of several lists (desktop, start menu, registry: name, full_path, source, is_directory, modified) as one: of
+    rows with one path the first list's, with an id."""
+    rows = first_by_key(sources, "full_path").drop("lane")
+    return rows.withColumn("app_id", F.xxhash64(F.lower("full_path")))
+
+
 # ---- folders and roots ----
 def child_folders(files: DataFrame, folder: str) -> DataFrame:
     """A folder's own folders, by name."""

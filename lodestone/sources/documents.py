@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
 # Bytes of plain text that are read, characters kept, cells and characters of a sheet, and extensions by reader.
@@ -103,6 +104,31 @@ def extract(raw: bytes | None, extension: str) -> tuple[str | None, str | None,
         return None, None, False, f"{type(e).__name__}: {e}"[:200]
 
 
+def read_texts(files: DataFrame, most_bytes: int = 48 << 20) -> DataFrame:
+    """files: path_key, full_path, extension, modified, size_bytes. With text, source, was_truncated, error: each file is opened
+    where its row is. Larger files, and those that have gone, have an error."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path, extension, size in zip(*(b.column(c).to_pylist() for c in ("full_path", "extension", "size_bytes")), strict=True):
+                if size is not None and size > most_bytes:
+                    found.append((None, None, False, "too large"))
+                    continue
+                try:
+                    system, place = fs.FileSystem.from_uri(path)
+                    with system.open_input_file(place) as f:
+                        found.append(extract(f.read(most_bytes + 1), extension or ""))
+                except OSError as e:
+                    found.append((None, None, False, f"{type(e).__name__}: {e}"[:200]))
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            arrays = [b.column(c) for c in keep] + [pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "text", "source", "was_truncated", "error"])
+
+    keep = ["path_key", "extension", "modified", "size_bytes"]
+    return files.select(*keep, "full_path").mapInArrow(read, "path_key string, extension string, modified long, size_bytes long, text string, source string, was_truncated boolean, error string")
+
+
 def extract_text(files: DataFrame) -> DataFrame:
     """files: path_key, extension, modified, size_bytes, content. With text, source, was_truncated, error, without content."""
 

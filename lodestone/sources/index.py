@@ -6,6 +6,7 @@ A reader sees the old version until the header is written, so a failed or repeat
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,14 @@ class Index:
         header = [(root, key, FORMATS[self.kind], now_micros, root_modified, is_complete, cap, count, version)]
         self.spark.createDataFrame(header, INDEX_HEADER + ", version string").coalesce(1).write.mode("append").parquet(f"{self.base}/headers")
 
+    def get_or_build(self, root: str, build: Callable[[], DataFrame], now_micros: int, root_modified: int = 0, cap: int = 0, minutes: int = 30) -> DataFrame:
+        """A root's usable rows; where there are none, they are built, written and read back."""
+        fresh = usable(self.headers(), FORMATS[self.kind], now_micros, cap, minutes).where((F.col("root_key") == root_key(root)) & (F.col("root_modified") >= root_modified))
+        if fresh.isEmpty():
+            rows = build()
+            self.write(root, rows, now_micros, root_modified, cap=cap)
+        return self.read([root])
+
     def read(self, roots: list[str] | None = None, fresh: int | None = None, cap: int = 0, minutes: int = 30) -> DataFrame:
         """The rows of usable versions. fresh: the present time; older snapshots than minutes then count as missing."""
         headers = self.headers().where(F.col("format_version") == FORMATS[self.kind])

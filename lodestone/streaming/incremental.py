@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import fusion, results
+from ..schema import FAILED_ATTEMPT
 
 
 def read_rows(spark: SparkSession, folder: str, schema: str, files_each: int = 1) -> DataFrame:
@@ -21,50 +22,93 @@ def exhaust(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "300 milliseconds") -> StreamingQuery:
+    """Hits as they come: a batch each interval. Stop it (pause) for other work; another call goes on from the checkpoint."""
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def pause(query: StreamingQuery) -> None:
+    """Give way to a user's search: what has been written stays, and a later call with the same checkpoint goes on."""
+    query.stop()
+
+
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+
+
 class ProgressiveResults:
     """Result rows merged batch by batch into a bounded table of the best k: rows are replaced, never cleared.
 
     Each batch writes a new version, named by the batch's number: a repeated batch writes the same version again, from the
-    version before it.
+    version before it. A new object over the same folder goes on where the last one ended.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, k: int):
-        self.spark, self.folder, self.k, self.last = spark, folder.rstrip("/"), k, -1
+    def __init__(self, spark: SparkSession, folder: str, k: int, custom_ranking: bool = False):
+        self.spark, self.folder, self.k, self.custom_ranking = spark, folder.rstrip("/"), k, custom_ranking
+
+    @property
+    def last(self) -> int:
+        """The newest whole version, or -1."""
+        done = [int(n) for n in _children(self.spark, self.folder) if n.isdigit() and "_SUCCESS" in _children(self.spark, f"{self.folder}/{n}")]
+        return max(done, default=-1)
 
     def current(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/{self.last}") if self.last >= 0 else None
+        return self.spark.read.parquet(f"{self.folder}/{last}") if (last := self.last) >= 0 else None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        before = self.spark.read.parquet(f"{self.folder}/{number - 1}") if number else batch.limit(0)
-        fusion.upsert(before, batch, self.k).write.mode("overwrite").parquet(f"{self.folder}/{number}")
-        self.last = number
+        if "rank" not in batch.columns:
+            batch = fusion.ranked(batch, [F.desc("priority"), F.desc("score"), F.col("path_key")], self.k).withColumnRenamed("lane_rank", "rank")
+        batch = batch.select("path_key", "priority", "score", "percent", "name", F.col("rank").cast("long").alias("rank"))
+        before = self.spark.read.schema(batch.schema).parquet(f"{self.folder}/{number - 1}") if number else batch.limit(0)
+        out = fusion.upsert(before, batch, self.k, self.custom_ranking)
+        out.select(*batch.columns[:-1], F.col("rank").cast("long").alias("rank")).write.mode("overwrite").parquet(f"{self.folder}/{number}")
 
 
 class IndexUpdates:
     """Documents of a stream that aren't current in an index go through work and are added to it; failures wait a day.
 
-    index and attempts are Parquet folders with a part for each batch, so repeated batches replace their own part.
+    index and attempts are Parquet folders with a part for each batch, so repeated batches replace their own part. A document
+    that work gives no row for has failed: it is tried again, in the same version, only after hours. Every compact_each batches
+    the index's latest rows are written as one part, which older parts are then read instead of.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, versions: list[str], work: Callable[[DataFrame], DataFrame], now_micros: int):
-        self.spark, self.folder, self.versions, self.work, self.now = spark, folder.rstrip("/"), versions, work, now_micros
+    def __init__(self, spark: SparkSession, folder: str, versions: list[str], work: Callable[[DataFrame], DataFrame], now_micros: int, hours: int = 24, compact_each: int = 50):
+        self.spark, self.folder, self.versions, self.work, self.now, self.hours, self.compact_each = spark, folder.rstrip("/"), versions, work, now_micros, hours, compact_each
+
+    def _parts(self, kind: str) -> list[str]:
+        """Paths of the parts that count: the newest whole compaction and what came after it."""
+        names = _children(self.spark, f"{self.folder}/{kind}")
+        whole = max((int(n.split("=")[1]) for n in names if n.startswith("upto=") and "_SUCCESS" in _children(self.spark, f"{self.folder}/{kind}/{n}")), default=-1)
+        later = [n for n in names if n.startswith("batch=") and int(n.split("=")[1]) > whole]
+        return [f"{self.folder}/{kind}/{n}" for n in ([f"upto={whole}"] if whole >= 0 else []) + later]
 
     def rows(self, schema: str) -> DataFrame:
         """The index so far: the latest row of each path."""
-        try:
-            rows = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.folder}/index")
-            rows.isEmpty()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        parts = self._parts("index")
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        columns = [c for c in rows.columns if c != "batch"]
-        return rows.groupBy("path_key").agg(F.max_by(F.struct(*(c for c in columns if c != "path_key")), "batch").alias("r")).select("path_key", "r.*")
+        rows = self.spark.read.schema(f"{schema}, added long").parquet(*parts)
+        columns = [c for c in rows.columns if c != "added"]
+        return rows.groupBy("path_key").agg(F.max_by(F.struct(*(c for c in columns if c != "path_key")), "added").alias("r")).select("path_key", "r.*")
+
+    def attempts(self) -> DataFrame:
+        parts = self._parts("attempts")
+        return self.spark.read.schema(FAILED_ATTEMPT).parquet(*parts) if parts else self.spark.createDataFrame([], FAILED_ATTEMPT)
 
     def sink(self, schema: str) -> Callable[[DataFrame, int], None]:
         def add(batch: DataFrame, number: int) -> None:
-            waiting = results.pending(batch, self.rows(schema), self.versions)
-            self.work(waiting).write.mode("overwrite").parquet(f"{self.folder}/index/batch={number}")
+            waiting = results.pending(batch, self.rows(schema), self.versions).withColumn("version", F.xxhash64(*self.versions))
+            waiting = results.without_recent_failures(waiting, self.attempts(), self.now, self.hours)
+            path = f"{self.folder}/index/batch={number}"
+            self.work(waiting.drop("version")).withColumn("added", F.lit(number).cast("long")).write.mode("overwrite").parquet(path)
+            made = self.spark.read.schema(schema).parquet(path).select("path_key")
+            failed = waiting.join(made, "path_key", "left_anti").select("path_key", "version", F.lit(self.now).cast("long").alias("attempted")).distinct()
+            failed.write.mode("overwrite").parquet(f"{self.folder}/attempts/batch={number}")
+            if number and number % self.compact_each == 0:
+                self.rows(schema).withColumn("added", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/index/upto={number}")
 
         return add
 

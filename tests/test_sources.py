@@ -1,13 +1,15 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import results
+from lodestone.functions import models
+from lodestone.operators import maintenance, results
 from lodestone.schema import SEMANTIC_VECTOR
-from lodestone.sources.documents import decode, extract, extract_text
-from lodestone.sources.files import read_binary, scan
+from lodestone.sources.documents import decode, extract, extract_text, read_texts
+from lodestone.sources.files import TreeReader, current_folder, is_complete, read_binary, scan
 from lodestone.sources.index import Index
 from lodestone.streaming.incremental import IndexUpdates, ProgressiveResults, exhaust, read_rows
 
@@ -96,3 +98,112 @@ def test_progressive_results(spark, tmp_path):
     exhaust(read_rows(spark, str(tmp_path / "in"), "path_key string, priority int, score double, percent double, name string"), sink, str(tmp_path / "check")).awaitTermination()
     got = sink.current().collect()
     assert len(got) == 20 and len({r["path_key"] for r in got}) == 20
+    again = ProgressiveResults(spark, str(tmp_path / "out"), 20)  # a restart goes on from what is there
+    assert again.last == sink.last >= 0 and {r["path_key"] for r in again.current().collect()} == {r["path_key"] for r in got}
+
+
+def test_failures_wait_a_day_and_indexes_are_compacted(spark, tmp_path):
+    schema, calls = "path_key string, size long", []
+
+    def work(waiting):
+        calls.append(sorted(r["path_key"] for r in waiting.collect()))
+        return waiting.where("path_key <> 'bad'").select("path_key", "size")
+
+    batch = spark.createDataFrame([("a", 1), ("bad", 1)], schema)
+    at = lambda now: IndexUpdates(spark, str(tmp_path / "i"), ["size"], work, now, compact_each=2).sink(schema)
+    hour = 3_600_000_000
+    at(100 * hour)(batch, 0)
+    at(110 * hour)(batch, 1)  # neither the current nor the failed one
+    at(125 * hour)(batch, 2)
+    at(126 * hour)(spark.createDataFrame([("a", 2), ("bad", 2)], schema), 3)  # other versions are tried at once
+    assert calls == [["a", "bad"], [], ["bad"], ["a", "bad"]]
+    index = IndexUpdates(spark, str(tmp_path / "i"), ["size"], work, 0)
+    assert len(index._parts("index")) == 2 and [tuple(r) for r in index.rows(schema).collect()] == [("a", 2)]
+
+
+def test_budgets_quotas_and_progress(spark):
+    assert maintenance.budget(False, 4).texts == 0 and maintenance.budget(True, 0).texts == 48 and maintenance.next_delay(True, True) == 20
+    assert [maintenance.recognition_quota(n) for n in (10, 1600, 10**6)] == [96, 200, 512]
+    assert [maintenance.progress(1, 3), maintenance.progress(1, 9, 40), maintenance.progress(9, 9), maintenance.progress(9, 9, 99, True)] == [33, 40, 99, 100]
+    rows = spark.range(10).select(F.concat(F.lit("p"), "id").alias("path_key"))
+    now, later = maintenance.split_by_quota(rows, 4)
+    assert (now.count(), later.count()) == (4, 6)
+
+
+def test_preparation_goes_on_until_nothing_is_left(spark):
+    docs = spark.createDataFrame([(f"p{i}", "/a", True, i, i) for i in range(10)], "path_key string, directory_path string, has_text boolean, modified long, size long")
+    made = []
+    index = lambda: spark.createDataFrame(made, "path_key string, size long")
+    out = maintenance.prepare(docs, index, lambda d: made.extend((r["path_key"], r["size"]) for r in d.collect()), ["size"], each=4)
+    assert out == {"passes": 3, "pending": 0, "documents": 10} and [p for p, _ in made[:4]] == ["p9", "p8", "p7", "p6"]
+    assert maintenance.prepare(docs, index, lambda d: None, ["path_key", "size"], each=4)["passes"] == 0
+
+
+def test_deep_folders_are_several_partitions(spark, tmp_path):
+    for i in range(5):
+        for j in range(4):
+            (tmp_path / "one" / f"a{i}" / f"b{j}").mkdir(parents=True)
+            (tmp_path / "one" / f"a{i}" / f"b{j}" / "x.txt").write_text("x")
+    (tmp_path / "one" / "back").symlink_to(tmp_path / "one")
+    reader = TreeReader({"path": str(tmp_path), "folders": "6"})
+    assert sum(p.recursive for p in reader.partitions()) >= 6
+    rows = scan(spark, [str(tmp_path / "one" / "a0"), str(tmp_path / "one" / "a1")])
+    assert rows.count() == 16 and is_complete(rows, 16) and not is_complete(rows, 15)
+    assert {r["name"] for r in current_folder(spark, str(tmp_path / "one" / "a0")).collect()} == {f"b{j}" for j in range(4)}
+
+
+def test_texts_are_read_where_their_files_are(spark, tree):
+    files = scan(spark, [str(tree)])
+    chosen = maintenance.content_order(files, 10)
+    got = {r["path_key"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in read_texts(chosen).collect()}
+    assert got["top.txt"] == ("top", None) and "NEPTUNE-FW-8842" in got["book.xlsx"][0]
+    gone = chosen.withColumn("full_path", F.lit("/no/such/file"))
+    assert all(r["error"] and r["text"] is None for r in read_texts(gone).collect())
+    assert [r["name"] for r in maintenance.content_order(files, 1).collect()] == ["book.XLSX"]
+
+
+def test_a_snapshot_is_built_once(spark, tmp_path):
+    index, built = Index(spark, str(tmp_path), "semantic", SEMANTIC_VECTOR), []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([("p", len(built), 1, 1, "h", "m", [1, 2])], SEMANTIC_VECTOR)
+
+    hour = 3_600_000_000
+    get = lambda now: [r["modified"] for r in index.get_or_build("/r", build, now).collect()]
+    assert get(hour) == [1] and get(hour + 1) == [1] and get(2 * hour) == [2] and len(built) == 2
+
+
+def test_model_hooks(spark):
+    image = np.zeros((10, 20, 3), np.uint8)
+    image[:, 10:] = 255
+    whole, middle = models.frames(image)
+    assert len(whole) == len(middle) == 3 * 224 * 224 and whole[0] == -1.0 and whole[223] == 1.0 and len(models.frames(image[:, :10])) == 1
+    df = spark.createDataFrame([(b"ab",), (b"bad",), (None,)], "x binary")
+
+    def decoder():
+        def decode(raw):
+            if raw == b"bad":
+                raise ValueError
+            return np.full((4, 4, 3), 255, np.uint8)
+
+        return decode
+
+    assert [len(r[0]) for r in df.select(models.image_frames(F.col("x"), decoder)).collect()] == [1, 0, 0]
+    rows = df.select(models.recognize_pages(F.col("x"), lambda: (len, lambda d, i: f"page {i}"), 9).alias("p")).select("p.*").collect()
+    assert [tuple(r) for r in rows] == [("page 0 pa", 2, 2, True), ("page 0 pa", 3, 3, True), (None, 0, 0, False)]
+    assert [r[0] for r in df.select(models.recognize_text(F.col("x"), lambda: lambda raw: raw.decode(), most_bytes=2)).collect()] == ["ab", None, None]
+    assert models.pages_of(9) == [0, 4, 8]
+
+
+def test_pieces_of_prompts(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    long = "word " * 200
+    got = [tuple(r[0]) for r in spark.createDataFrame([("A  Red\nFox",), (long,), (None,)], "t string").select(models.prompt_pieces(F.col("t"), path)).collect()]
+    red = [*model.encode("a red fox"), model.eos_id()]
+    assert got[0][0][: len(red)] == red and sum(got[0][1]) == len(red) and len(got[0][0]) == 64
+    assert got[1][0][-1] == model.eos_id() and sum(got[1][1]) == 64 and sum(got[2][1]) == 1
