@@ -1,15 +1,17 @@
 """A hierarchical Pitman-Yor language model of words, trained and applied over the whole corpus.
 
-The restaurant of a context (the word before) seats a customer for each training token after it; the restaurants share one
-parent, whose customers are their tables, and whose base is uniform over the known words and one unknown. Every word has a
-restaurant of its own as context, and so has the begin of a text. The totals of the CONTEXTS most frequent ones are broadcast;
-those of all others are summed in shards by context, and each part gets back the ones it asked for. Counts of (context, word)
-pairs stay distributed: all pairs of a word are in one part, but for words so frequent that their pairs are dealt by context.
-The passes: (1) count words; (2) send each chunk's pairs to the parts, packed, each pair once a chunk with the documents it
-occurs in; (3) in each part add the pairs up and seat their customers by Gibbs; (4) sum the restaurants' totals and send them to
+A token's context is the two words before it (the begin of a text counts as END). The restaurant of two words seats a customer for
+each training token after them; its tables are customers of the restaurant of the nearer word, whose tables are customers of
+one root, whose base is uniform over the known words and one unknown. A near word of more than ROOM tokens has several rooms,
+dealt out by the word before it: each is a restaurant of its own.
+Everything that a restaurant of one or two words needs is in one part: (near word, far word, word) triples are dealt by the near
+word and room. Of the root a part needs its words' customers: those of the KNOWN most frequent words are broadcast; those of all
+others are summed in shards by word, and each part gets back the ones it asked for.
+The passes: (1) count words; (2) send each chunk's triples to the parts, packed, each triple once a chunk with the documents it
+occurs in; (3) in each part add the triples up and seat their customers by Gibbs; (4) sum the words' customers and send them to
 the parts; (5) seat again and average the predictive probabilities of several samples; (6) add up each document's terms.
-Seating is sampled for all pairs of a part at once: of a pair's tables only their number matters, which is drawn from its law
-given the weight of a new table, for pairs and parent in turn, while the totals of other parts stay as they were known before.
+Seating is sampled for all dishes of a part at once, level by level: of a dish's tables only their number matters, which is
+drawn from its law given the weight of a new table, while other parts' customers of the root stay as they were known before.
 """
 
 from __future__ import annotations
@@ -29,20 +31,23 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, most_frequent, slices, table, utf8, word_hashes
 
-#: Contexts whose totals are broadcast; parts whose questions about the others one shard answers, about.
-CONTEXTS, ASKERS = 65_536, 8
-#: Tokens of a part, about; text bytes of a chunk; the share of a part at which a word is dealt out by context.
-PART, CHUNK, HOT = 1_000_000, 4 << 20, 0.25
+#: Words whose customers of the root are broadcast; parts whose questions about the others one shard answers, about.
+KNOWN, ASKERS = 65_536, 8
+#: Tokens of a part, about, and of a room; text bytes of a chunk.
+PART, ROOM, CHUNK = 1_000_000, 250_000, 4 << 20
 #: Documents' terms that a task holds.
 TERMS = 2_000_000
-#: Draws of all pairs and the parent before the first sample, between samples, and samples averaged. Strength of all restaurants.
+#: Draws of all levels before the first sample, between samples, and samples averaged. Strength of all restaurants.
 BURN, BETWEEN, SAMPLES, STRENGTH = 3, 1, 4, 1.0
-#: Customers of a pair up to which the law of its tables is tabulated; beyond, it is a binomial of nearly the same mean and variance.
+#: Draws of the root's tables until their number has settled.
+ROOT_DRAWS = 12
+#: Customers of a dish up to which the law of its tables is tabulated; beyond, it is a binomial of nearly the same mean and variance.
 EXACT = 1000
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
-#: Rows of totals that aren't of contexts: tokens, parent tables, pairs seen once and twice, parent counts of one and two, distinct words.
-TOKENS, TABLES, ONCE, TWICE, PARENT_ONCE, PARENT_TWICE, WORDS = range(-7, 0)
+#: Rows of totals that aren't of words: the root's customers, tables of its rare words; triples, dishes of one word and rare words with one customer and with two.
+CUSTOMERS, TABLES, ONE_3, TWO_3, ONE_2, TWO_2, ONE_1, TWO_1 = range(-8, 0)
+_FAR, _WORD, _ROOM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +60,23 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(rows), np.diff(first) + 1)
 
 
-def contexts(token: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The restaurant before each token, and the rare words: known words' places, then the rare ones'. A text begins after an END."""
-    before = np.append(END, token)[:-1]
-    i = np.searchsorted(known, before)
-    hit = known[np.minimum(i, len(known) - 1)] == before if len(known) else np.zeros(len(before), bool)
-    rare = np.unique(before[~hit])
-    return np.where(hit, i, len(known) + np.searchsorted(rare, before)), rare
+def before(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token, and the one before that. A text begins after ENDs."""
+    near = np.append(END, token)[: len(token)]
+    return near, np.where(near == END, END, np.append([END, END], token)[: len(token)])
+
+
+def places(word: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Each word's place in a sorted array, or -1."""
+    if not len(of):
+        return np.full(len(word), -1)
+    i = np.minimum(np.searchsorted(of, word), len(of) - 1)
+    return np.where(of[i] == word, i, -1)
+
+
+def triples(near: np.ndarray, far: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each triple."""
+    return mix(near + far * _FAR + word * _WORD)
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -85,14 +100,6 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
-def by_pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The order by word, then context."""
-    key = (word & ~np.uint64(0xFFFFF)) | context.astype(np.uint64)
-    order = np.argsort(key)
-    w, k = word[order], key[order] >> np.uint64(20)
-    return np.lexsort((context, word)) if ((k[1:] == k[:-1]) & (w[1:] != w[:-1])).any() or len(w) and context.max() > 0xFFFFF else order
-
-
 def runs(*columns: np.ndarray) -> np.ndarray:
     """Where a run of equal rows begins."""
     new = np.zeros(len(columns[0]), bool)
@@ -198,89 +205,116 @@ class Seating:
 
 
 class Part:
-    """The pairs of one part, from the chunks' packed blocks: word, context, training count; and who holds them.
+    """The triples of one part, from the chunks' packed blocks, and who holds them.
 
-    Contexts from known on are the part's rare ones, in the order of their hashes.
+    near: each triple's restaurant of one word, from 0; pair: that of two words; word: its word's place in words; count: training
+    tokens; dish: the (near, word) it is of. dish_near, dish_word: of each dish. own: customers of the root from pass (3).
     """
 
-    def __init__(self, blocks: list[tuple[int, bytes]], known: int):
+    def __init__(self, blocks: list[tuple[int, bytes]], known: np.ndarray):
         raw = [unpack(x) for _, x in blocks]
-        self.rare = np.unique(np.concatenate([x[6] for x in raw]))
-        word = np.concatenate([np.repeat(w, n) for w, n, *_ in raw])
-        context = np.concatenate([x[2].astype(np.int64) for x in raw])
-        places = np.concatenate([np.repeat(i, len(x[2])) for i, x in zip(np.cumsum([0, *(len(x[6]) for x in raw[:-1])]), raw, strict=True)])
-        is_rare = context >= known
-        context[is_rare] = known + np.searchsorted(self.rare, np.concatenate([x[6] for x in raw]))[context[is_rare] - known + places[is_rare]]
-        count = np.concatenate([x[3].astype(np.int64) for x in raw])
-        order = by_pair(word, context)
-        first = runs(word[order], context[order])
-        self.word, self.context, self.count = word[order][first], context[order][first], np.add.reduceat(count[order], first)
+        name = lambda x, i: np.append(known, x[7])[i.astype(np.int64)]
+        near = np.concatenate([np.repeat(x[0], x[1]) for x in raw])
+        far, word = (np.concatenate([name(x, x[i]) for x in raw]) for i in (2, 3))
+        count = np.concatenate([x[4].astype(np.int64) for x in raw])
+        which = triples(near, far, word)
+        order = np.lexsort((which, near))
+        first = runs(near[order], which[order])
         number = np.empty(len(order), np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        self.count = np.add.reduceat(count[order], first)
+        near, far, word = near[order][first], far[order][first], word[order][first]
+        self.near = np.cumsum(np.append(False, near[1:] != near[:-1]))
+        self.pair = np.unique(mix(near + far * _FAR), return_inverse=True)[1]
+        self.words, self.word = np.unique(word, return_inverse=True)
+        self.own = np.zeros(len(self.words), np.int64)
         edges = np.cumsum([0, *(len(x[2]) for x in raw)])
-        self.held = [(chunk, number[a:b], x[4], x[5]) for (chunk, _), x, a, b in zip(blocks, raw, edges, edges[1:], strict=False)]
+        self.held = [(chunk, number[a:b], x[5], x[6]) for (chunk, _), x, a, b in zip(blocks, raw, edges, edges[1:], strict=False)]
+        self._dishes()
+
+    def _dishes(self) -> None:
+        names, self.dish = np.unique(self.near.astype(np.int64) << 32 | self.word, return_inverse=True)
+        self.dish_near, self.dish_word = names >> 32, names & 0xFFFFFFFF
 
     def pack(self) -> bytes:
-        held = [y for _, number, occurs, doc in self.held for y in (small(np.diff(number, prepend=0)), occurs, doc)]  # numbers ascend
-        return pack([self.word, small(self.context), small(self.count), np.array([x[0] for x in self.held], np.int64), *held])
+        held = []
+        for _, number, occurs, doc in self.held:
+            order = np.argsort(number)  # as steps, in the order of triples; an occurrence list goes with its triple
+            starts = np.cumsum(occurs, dtype=np.int64) - occurs
+            take = np.repeat(starts[order], occurs[order]) + (np.arange(len(doc)) - np.repeat(np.cumsum(occurs[order], dtype=np.int64) - occurs[order], occurs[order]))
+            held += [small(np.diff(number[order], prepend=0)), occurs[order], doc[take]]
+        return pack([self.words, small(np.bincount(self.near)), small(self.pair), small(self.word), small(self.count), small(self.own), np.array([x[0] for x in self.held], np.int64), *held])
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Part:
         self = cls.__new__(cls)
-        self.word, context, count, chunks, *held = unpack(raw)
-        self.context, self.count = context.astype(np.int64), count.astype(np.int64)
+        self.words, sizes, *rest, chunks = (x for x in unpack(raw)[:7])
+        self.near = np.repeat(np.arange(len(sizes)), sizes)
+        self.pair, self.word, self.count, self.own = (x.astype(np.int64) for x in rest)
+        held = unpack(raw)[7:]
         self.held = [(int(c), np.cumsum(held[3 * i], dtype=np.int64), *held[3 * i + 1 : 3 * i + 3]) for i, c in enumerate(chunks)]
+        self._dishes()
         return self
 
 
 class Model:
-    """What is known of all parts: counts of the known words, and totals of restaurants once they have been seated."""
-
-    def __init__(self, known: np.ndarray, counts: np.ndarray, hot: np.ndarray, total: int, distinct: int, parts: int):
-        self.known, self.counts, self.hot, self.total, self.distinct, self.parts = known, counts, hot, total, distinct, parts
-        self.discount = self.parent_discount = 0.75
-        self.rare = max(total - int(counts.sum()), 0) / max(distinct - len(known), 1)  # a rare context's customers, as a mean
-        self.customers = counts.astype(np.float64)
-        self.tables = self.customers / 2
-        self.parent_customers, self.parent_tables = total / 2.0, total / 4.0
-        self.hot_parent: np.ndarray | None = None
-
-    def having(self, tables: np.ndarray, customers: np.ndarray) -> Model:
-        """This model with totals of a part's rare contexts after those of the known ones."""
-        out = copy.copy(self)
-        out.tables, out.customers = np.append(self.tables, tables), np.append(self.customers, customers)
+    """What is known of all parts: counts of the known words, contexts with rooms, and the root once its customers have been counted."""
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray, hot: np.ndarray, rooms: np.ndarray, total: int, distinct: int, parts: int):
+        self.known, self.counts, self.hot, self.rooms, self.total, self.distinct, self.parts = known, counts, hot, rooms, total, distinct, parts
+        self.discounts = (0.75, 0.75, 0.75)  # of the root, of one word, of two
+        self.root: np.ndarray | None = None  # customers of the known words
+        self.customers, self.tables = 0.0, float(distinct)  # of the root: all its words'
+
+    def restaurant(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The name of the restaurant of one word that a token is in."""
+        i = places(near, self.hot)
+        room = np.where(i >= 0, mix(far.copy()) % (self.rooms[i] if len(self.rooms) else np.uint64(1)), 0).astype(np.uint64)
+        return mix(near + room * _ROOM)
+
+    def of_words(self, words: np.ndarray, known: np.ndarray | None, rare: np.ndarray) -> np.ndarray:
+        """Values of a part's words: of known ones by their places, of the others in their order."""
+        i = places(words, self.known)
+        out = np.zeros(len(words), np.float64)
+        if known is not None:
+            out[i >= 0] = known[i[i >= 0]]
+        out[i < 0] = rare
         return out
 
-    def number(self, word: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Each word's place in a sorted array, or -1."""
-        if not len(of):
-            return np.full(len(word), -1)
-        i = np.minimum(np.searchsorted(of, word), len(of) - 1)
-        return np.where(of[i] == word, i, -1)
-
-    def seat(self, part: Part, seed: int, samples: int) -> Iterator[tuple]:
-        """Per sample: tables of each pair, parent customers and tables of each word, and each pair's probability."""
+    def seat(self, part: Part, seed: int, samples: int, root: np.ndarray | None, counts: np.ndarray) -> Iterator[tuple]:
+        """Per sample: tables of each triple, customers and tables of each dish, the part's customers of each word, and each
+        triple's probability. root: the words' customers in all parts (None: not known yet; words are then as frequent as counts say)."""
         random = np.random.Generator(np.random.PCG64([seed, samples]))
-        first = runs(part.word)
-        sizes = np.diff(np.append(first, len(part.word)))
-        words = part.word[first]
-        known, hot = self.number(words, self.known), self.number(words, self.hot)
-        count = np.where(known >= 0, self.counts[known] if len(self.counts) else 0, np.add.reduceat(part.count, first))
-        parent = (count + 1) / (self.total + self.distinct + 1)
-        opens = (STRENGTH + self.discount * self.tables[part.context]) * np.repeat(parent, sizes)
-        uniform = 1 / (self.distinct + 1)
-        share = np.full(len(words), (STRENGTH + self.parent_discount * self.parent_tables) * uniform)
-        first_round = self.hot_parent is None  # hot words' other parts aren't known yet
+        d1, d2, d3 = self.discounts
+        new = (STRENGTH + d1 * self.tables) / (self.distinct + 1)
+        guests = np.bincount(part.pair, part.count)
+        tables3 = (part.count > 0).astype(np.int64)
+        pair_tables = np.bincount(part.pair, tables3)
+        dishes = len(part.dish_near)
+        customers = np.bincount(part.dish, tables3, dishes).astype(np.int64)
+        tables = (customers > 0).astype(np.int64)
+        near_customers, near_tables = np.bincount(part.dish_near, customers), np.bincount(part.dish_near, tables)
+        base = (counts + 1) / (self.total + self.distinct + 1)
+        own = part.own
         for s in range(max(samples, 1)):
-            for _ in range(1 if first_round else BETWEEN if s else BURN):
-                tables = draw_tables(part.count, opens, self.discount, random)
-                customers = np.add.reduceat(tables, first)
-                if not first_round:
-                    customers = np.where(hot >= 0, self.hot_parent[hot] if len(self.hot_parent) else 0, customers)
-                above = draw_tables(customers, share, self.parent_discount, random)
-                parent = (customers - self.parent_discount * above + share) / (STRENGTH + self.parent_customers)
-                opens = (STRENGTH + self.discount * self.tables[part.context]) * np.repeat(parent, sizes)
-            yield first, sizes, words, count, hot, tables, customers, above, (part.count - self.discount * tables + opens) / (STRENGTH + self.customers[part.context])
+            for _ in range(BETWEEN if s else BURN):
+                if root is not None:
+                    all_customers = np.maximum(root + own - part.own, 0).astype(np.int64)
+                    above = draw_tables(all_customers, np.full(len(all_customers), new), d1, random)
+                    base = (all_customers - d1 * above + new) / (STRENGTH + self.customers + (own - part.own).sum())
+                # a dish's own tables aren't there while they are drawn, and come one by one; a quarter of them agrees best with
+                # seating single customers (a test compares)
+                open_dish = (STRENGTH + d2 * near_tables[part.dish_near]) * base[part.dish_word]
+                chance = (customers - d2 * tables + open_dish) / (STRENGTH + near_customers[part.dish_near])
+                tables3 = draw_tables(part.count, (STRENGTH + d3 * np.maximum(pair_tables[part.pair] - (tables3 + 1) / 4, 0)) * chance[part.dish], d3, random)
+                pair_tables = np.bincount(part.pair, tables3)
+                customers = np.bincount(part.dish, tables3, dishes).astype(np.int64)
+                tables = draw_tables(customers, (STRENGTH + d2 * np.maximum(near_tables[part.dish_near] - (tables + 1) / 4, 0)) * base[part.dish_word], d2, random)
+                near_customers, near_tables = np.bincount(part.dish_near, customers), np.bincount(part.dish_near, tables)
+                own = np.bincount(part.dish_word, tables, len(part.words)).astype(np.int64)
+            open_dish = (STRENGTH + d2 * near_tables[part.dish_near]) * base[part.dish_word]
+            chance = (customers - d2 * tables + open_dish) / (STRENGTH + near_customers[part.dish_near])
+            yield tables3, customers, tables, own, (part.count - d3 * tables3 + (STRENGTH + d3 * pair_tables[part.pair]) * chance[part.dish]) / (STRENGTH + guests[part.pair])
 
 
 def _train(key: str) -> F.Column:
@@ -310,7 +344,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", train: F.Column | None = None, contexts_kept: int = CONTEXTS) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", train: F.Column | None = None, words_kept: int = KNOWN) -> DataFrame:
     """Per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
     Learns from the rows where train holds (default: crc32 of the key as text, modulo 7, is not 2; a null key counts as an
@@ -321,12 +355,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (_train(key) if train is None else train).alias("train"))
     counted = materialize(count_words(docs.where("train")), "words")
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    top = most_frequent(counted, "n", contexts_kept).toArrow()
+    top = most_frequent(counted, "n", words_kept).toArrow()
     word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(word)
     parts = max(1, math.ceil(sums["total"] / PART))
-    hot = np.sort(word[n > HOT * max(sums["total"], 1) / parts]) if parts > 1 else word[:0]
-    model = Model(word[order], n[order], hot, sums["total"], sums["distinct"], parts)
+    busy = counted.where(F.col("n") > ROOM).toArrow()  # total / ROOM words at most
+    hot, tokens_after = busy.column("word").to_numpy().view(np.uint64), busy.column("n").to_numpy()
+    by_hash = np.argsort(hot)
+    rooms = -(-tokens_after[by_hash] // ROOM)
+    model = Model(word[order], n[order], hot[by_hash], rooms.astype(np.uint64), sums["total"], sums["distinct"], parts)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -336,32 +373,30 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
         for number, batch in enumerate(slices(batches, "text", CHUNK)):
             chunk = task << 32 | number
             token, row = tokens(batch.column("text"))
-            context, rare = contexts(token, model.known)
-            names = np.append(model.known, rare)
+            near, far = before(token)
+            near = model.restaurant(near, far)
+            lengths = np.bincount(row, minlength=batch.num_rows)
             is_train = np.asarray(batch.column("train").to_pylist(), bool)
-            order = by_pair(token, context)
-            token, context, row = token[order], context[order], row[order]
-            part = ((token >> np.uint64(20)) % np.uint64(model.parts)).astype(np.int64)
-            if len(model.hot):
-                is_hot = model.number(token, model.hot) >= 0
-                part[is_hot] = (mix(token[is_hot] + names[context[is_hot]] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(model.parts + 1))
+            which = triples(near, far, token)
+            order = np.lexsort((which, near))
+            near, row, which = near[order], row[order], which[order]
+            first = runs(near, which)
+            ends = np.append(first, len(order))
+            far, token, near = far[order][first], token[order][first], near[first]
+            occurs, trained = np.diff(ends), np.add.reduceat(is_train[row].astype(np.int64), first)
+            numbers_of = [places(x, model.known) for x in (far, token)]
+            edges = [0, *np.searchsorted(near, borders), len(first)]
             payload, numbers = [], []
-            for p in np.flatnonzero(np.diff(edges)):
-                i = order[edges[p] : edges[p + 1]]
-                w, c, d = token[i], context[i], row[i]
-                first = runs(w, c)
-                occurs = np.diff(np.append(first, len(i)))
-                trained = np.add.reduceat(is_train[d].astype(np.int64), first)
-                own, c = runs(w[first]), c[first]
-                is_rare = c >= len(model.known)
-                used, place = np.unique(c[is_rare], return_inverse=True)
-                c[is_rare] = len(model.known) + place
-                payload.append(pack([w[first][own], small(np.diff(np.append(own, len(first)))), small(c), small(trained), small(occurs), small(d), names[used]]))
+            for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                if a == b:
+                    continue
+                names, who = runs(near[a:b]), []
+                rare = np.unique(np.concatenate([x[a:b][i[a:b] < 0] for x, i in zip((far, token), numbers_of, strict=True)]))
+                for x, i in zip((far, token), numbers_of, strict=True):
+                    who.append(small(np.where(i[a:b] >= 0, i[a:b], len(model.known) + np.searchsorted(rare, x[a:b]))))
+                payload.append(pack([near[a:b][names], small(np.diff(np.append(names, b - a))), *who, small(trained[a:b]), small(occurs[a:b]), small(row[ends[a] : ends[b]]), rare]))
                 numbers.append(p)
             sink = pa.BufferOutputStream()
-            lengths = np.bincount(row, minlength=batch.num_rows)
             inner = pa.RecordBatch.from_arrays([batch.column("key"), pa.array(~is_train), pa.array(lengths)], ["key", "held_out", "n_tokens"])
             with pa.ipc.new_stream(sink, inner.schema) as stream:
                 stream.write_batch(inner)
@@ -369,32 +404,33 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             numbers.append(-1)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([chunk] * len(numbers), pa.int64()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
 
+    borders = np.array([(s << 64) // parts for s in range(1, parts)], np.uint64)
     shards = math.ceil(parts / ASKERS)
     limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by part: add up its pairs, seat them once and ask for rare contexts' totals. Documents' rows pass through."""
+        """Rows come sorted by part: add up its triples, seat them and ask for rare words' customers. Documents' rows pass through."""
         model, held, now = shared.value, [], None
 
         def out() -> pa.RecordBatch:
-            part = Part(held, len(model.known))
+            part = Part(held, model.known)
             held.clear()
             pa.default_memory_pool().release_unused()
-            guess = np.full(len(part.rare), model.rare)
-            *_, last = model.having(guess / 2, guess).seat(part, now, 1)
-            first, _, _, count, is_hot, tables, customers, above, _ = last
-            cool = is_hot < 0
-            of = [np.bincount(part.context, x, len(model.known) + len(part.rare)).astype(np.int64) for x in (tables, part.count)]
-            ids = np.flatnonzero(of[1][: len(model.known)])
-            rows = [(ids, of[0][ids], of[1][ids])]
-            asked, edges = [], [0, *np.searchsorted(part.rare, limits), len(part.rare)]
+            local = np.bincount(part.word, part.count, len(part.words)).astype(np.int64)
+            is_known = places(part.words, model.known)
+            counts = model.of_words(part.words, model.counts, local[is_known < 0])
+            (_, customers, _, own, _), = model.seat(part, now, 1, None, counts)
+            part.own = own
+            rare, ids = part.words[is_known < 0], np.flatnonzero((is_known >= 0) & (own > 0))
+            asked, edges = [], [0, *np.searchsorted(rare, limits), len(rare)]
             for a, b in zip(edges, edges[1:], strict=False):
-                asked.append(pack([part.rare[a:b], *(small(x[len(model.known) :][a:b]) for x in of)]) if b > a else b"")
-            hot_rows = np.flatnonzero(~cool)
-            rows.append((-100 - is_hot[hot_rows], customers[hot_rows], count[hot_rows]))
-            single = [(TOKENS, tables.sum()), (TABLES, above.sum()), (ONCE, (part.count == 1).sum()), (TWICE, (part.count == 2).sum()), (PARENT_ONCE, (customers[cool] == 1).sum()), (PARENT_TWICE, (customers[cool] == 2).sum())]
-            rows.append((np.array([x[0] for x in single]), np.array([x[1] for x in single]), np.zeros(len(single))))
-            stats = [np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True)]
+                asked.append(pack([rare[a:b], *(small(x[is_known < 0][a:b]) for x in (own, local))]) if b > a else b"")
+            few = own[is_known < 0]
+            random = np.random.Generator(np.random.PCG64([now, 7]))
+            tables = draw_tables(few, np.full(len(few), (STRENGTH + model.discounts[0] * model.tables) / (model.distinct + 1)), model.discounts[0], random)
+            number = lambda x, k: int((x == k).sum())
+            single = [(CUSTOMERS, own.sum()), (TABLES, tables.sum()), (ONE_3, number(part.count, 1)), (TWO_3, number(part.count, 2)), (ONE_2, number(customers, 1)), (TWO_2, number(customers, 2)), (ONE_1, number(few, 1)), (TWO_1, number(few, 2))]
+            stats = [np.concatenate(x).astype(np.int64) for x in zip((is_known[ids], own[ids]), tuple(np.array(x) for x in zip(*single, strict=True)), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([0], pa.int64()), pa.array([part.pack()], pa.binary()), pa.array([pack(stats)], pa.binary()), pa.array([asked], pa.list_(pa.binary()))], names)
 
         names = ["part", "chunk", "payload", "stats", "asked"]
@@ -418,20 +454,22 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("stats").to_pylist():
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, unpack(raw))), ["id", "tables", "customers"])
-
-    known = {r["id"]: (r["tables"], r["customers"]) for r in gathered.where("part >= 0").select("stats").mapInArrow(totals, "id long, tables long, customers long").groupBy("id").agg(F.sum("tables").alias("tables"), F.sum("customers").alias("customers")).toLocalIterator()}
-    get = lambda i: known.get(i, (0, 0))
-    final = Model(model.known, model.counts, model.hot, model.total, model.distinct, model.parts)
-    final.tables, final.customers = (np.array([get(i)[k] for i in range(len(model.known))], np.float64) for k in (0, 1))
-    final.hot_parent = np.array([get(-100 - i)[0] for i in range(len(hot))], np.int64)
-    final.parent_customers, final.parent_tables = float(get(TOKENS)[0]), float(get(TABLES)[0])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, unpack(raw))), ["id", "customers"])
+
+    known = {r["id"]: r["customers"] for r in gathered.where("part >= 0").select("stats").mapInArrow(totals, "id long, customers long").groupBy("id").agg(F.sum("customers").alias("customers")).toLocalIterator()}
+    final = copy.copy(model)
+    final.root = np.array([known.get(i, 0) for i in range(len(model.known))], np.float64)
     share = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.75
-    final.discount, final.parent_discount = share(get(ONCE)[0], get(TWICE)[0]), share(get(PARENT_ONCE)[0], get(PARENT_TWICE)[0])
+    at = lambda i: known.get(i, 0)
+    final.discounts = (share(at(ONE_1) + (final.root == 1).sum(), at(TWO_1) + (final.root == 2).sum()), share(at(ONE_2), at(TWO_2)), share(at(ONE_3), at(TWO_3)))
+    final.customers, final.tables, random = float(at(CUSTOMERS)), float(at(TABLES) + (final.root > 0).sum()), np.random.Generator(np.random.PCG64(11))
+    for _ in range(ROOT_DRAWS):  # the root's tables of known words, given how many there are in all
+        opens = (STRENGTH + final.discounts[0] * final.tables) / (model.distinct + 1)
+        final.tables = float(at(TABLES) + draw_tables(final.root.astype(np.int64), np.full(len(final.root), opens), final.discounts[0], random).sum())
     ready = spark.sparkContext.broadcast(final)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard: add its contexts' tables and customers up, and send each part those it asked for, in its order."""
+        """Rows come sorted by shard: add its words' customers and counts up, and send each part those it asked for, in its order."""
         held, now = [], None
 
         def out() -> pa.RecordBatch:
@@ -454,14 +492,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             yield out()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted: a part, then its rare contexts' totals. Per chunk: its documents' known tokens, base and model log
+        """Rows come sorted: a part, then its rare words' totals. Per chunk: its documents' known tokens, base and model log
         probabilities, summed over the task's parts."""
         model, held, size, now, whole, totals = ready.value, {}, 0, None, None, []
 
         def add() -> int:
             n = 0
             rare = map(np.concatenate, zip(*map(unpack, totals), strict=True)) if totals else (np.zeros(0), np.zeros(0))
-            for chunk, *columns in terms_of(now, Part.unpacked(whole), model.having(*rare)):
+            for chunk, *columns in terms_of(now, Part.unpacked(whole), model, *rare):
                 held.setdefault(chunk, []).append(columns)
                 n += len(columns[0])
             totals.clear()
@@ -494,14 +532,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([chunk], pa.int64()), pa.array([body], pa.binary())], ["part", "chunk", "payload"])
         held.clear()
 
-    def terms_of(p: int, part: Part, model: Model) -> Iterator[tuple]:
+    def terms_of(p: int, part: Part, model: Model, customers: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
         mean = np.zeros(len(part.word))
-        for first, sizes, _, count, _, _, _, _, probability in model.seat(part, p, SAMPLES):
+        count = model.of_words(part.words, model.counts, counts)
+        for *_, probability in model.seat(part, p, SAMPLES, model.of_words(part.words, model.root, customers), count):
             mean += probability / SAMPLES
         del probability
         score = np.log10(mean)
-        base = np.repeat(np.log10((count + 1) / (model.total + model.distinct + 1)), sizes)
-        seen = np.repeat(count > 0, sizes)
+        base = np.log10((count + 1) / (model.total + model.distinct + 1))[part.word]
+        seen = (count > 0)[part.word]
         for chunk, number, occurs, doc in part.held:
             pair = np.repeat(number, occurs)
             ids, place = np.unique(doc, return_inverse=True)

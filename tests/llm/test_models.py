@@ -172,28 +172,115 @@ def test_lm_of_odd_documents(odd_docs, no_docs):
     assert len(untrained) == len(docs) and all(r["train_tokens"] == r["n_known"] == 0 for r in untrained)
 
 
+def make_part(near, far, word, count):
+    """A part of triples that are given by numbers."""
+    names = [np.asarray(x, np.uint64) + np.uint64(1) for x in (near, far, word)]
+    order = np.lexsort((language_model.triples(*names), names[0]))
+    n, f, w = (x[order] for x in names)
+    own = language_model.runs(n)
+    block = [n[own], np.diff(np.append(own, len(n))), f - np.uint64(1), w - np.uint64(1), np.asarray(count)[order], np.ones(len(n), np.int64), np.zeros(len(n), np.int64), np.arange(1, 200, dtype=np.uint64)]
+    return language_model.Part([(0, language_model.pack(block))], np.zeros(0, np.uint64)), order
+
+
+def make_model(part, total):
+    model = language_model.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), total, len(part.words), 1)
+    model.discounts = (0.5, 0.6, 0.7)
+    return model
+
+
+def settle(model, part, rounds=15):
+    """How many tables the root has, as the passes over a corpus learn it."""
+    zero, random = np.zeros(len(part.words)), np.random.Generator(np.random.PCG64(2))
+    for i in range(rounds):
+        tables = []
+        for _, _, _, own, _ in model.seat(part, i, 20, zero, zero):
+            tables.append(language_model.draw_tables(own, np.full(len(own), (1 + model.discounts[0] * model.tables) / (model.distinct + 1)), model.discounts[0], random).sum())
+        model.tables = float(np.mean(tables))
+
+
 def test_probabilities_of_a_context_add_up_to_one():
-    """Over the words of the only part and one unknown word, for a restaurant with and without customers."""
+    """Over all words and one unknown word, for restaurants with and without customers."""
     rng = np.random.default_rng(0)
-    token, context = rng.integers(0, 30, 400).astype(np.uint64) * np.uint64(7919), rng.integers(0, 3, 400)
-    order = language_model.by_pair(token, context)
-    first = language_model.runs(token[order], context[order])
-    count = np.diff(np.append(first, 400))
-    words = np.unique(token)
-    part = language_model.Part.__new__(language_model.Part)
-    every = [(w, c) for w in words for c in range(3)]
-    have = {(w, c): n for w, c, n in zip(token[order][first], context[order][first], count)}
-    part.word, part.context = np.array([w for w, _ in every]), np.array([c for _, c in every])
-    part.count = np.array([have.get(x, 0) for x in every])
-    model = language_model.Model(words[:0], np.zeros(0, np.int64), words[:0], 400, len(words), 1)
-    model.tables, model.customers = np.zeros(4097), np.zeros(4097)
-    *_, last = model.seat(part, 1, 1)
-    tables, customers, above = last[5], last[6], last[7]
-    model.tables[:3], model.customers[:3] = np.bincount(part.context, tables, 3), np.bincount(part.context, part.count, 3)
-    model.parent_customers, model.parent_tables = customers.sum(), above.sum()
-    *_, last = model.seat(part, 1, 1)  # the same seed: nearly the same tables
-    sums = np.bincount(part.context, last[8])
-    assert np.all(np.abs(sums - 1) < 0.1)
+    every = [(n, f, w) for n in range(3) for f in range(3) for w in range(30)]
+    count = [int(rng.integers(1, 5)) if n < 2 and f < 2 and rng.random() < 0.3 else 0 for n, f, _ in every]
+    part, _ = make_part(*zip(*every, strict=True), count)
+    model = make_model(part, sum(count))
+    settle(model, part)
+    *_, (_, _, _, own, probability) = model.seat(part, 1, 1, np.zeros(30), np.zeros(30))
+    sums = np.bincount(part.pair, probability)
+    assert np.all(np.abs(sums - 1) < 0.1) and len(sums) == 9
+
+
+class Restaurants:
+    """Customer by customer: the yardstick of a part's seating. Tables are lists of sizes by restaurant and dish."""
+
+    def __init__(self, discounts, words, rng):
+        self.d, self.words, self.rng, self.tables = discounts, words, rng, [{}, {}, {}]
+
+    def key(self, level, near, far):
+        return (() if level == 0 else (near,) if level == 1 else (near, far))
+
+    def chance(self, level, near, far, w):
+        if level < 0:
+            return 1 / (self.words + 1)
+        dishes = self.tables[level].get(self.key(level, near, far), {})
+        c, t = sum(map(sum, dishes.values())), sum(map(len, dishes.values()))
+        mine = dishes.get(w, [])
+        return (sum(mine) - self.d[level] * len(mine) + (1 + self.d[level] * t) * self.chance(level - 1, near, far, w)) / (1 + c)
+
+    def add(self, level, near, far, w):
+        dishes = self.tables[level].setdefault(self.key(level, near, far), {})
+        mine = dishes.setdefault(w, [])
+        weights = [x - self.d[level] for x in mine] + [(1 + self.d[level] * sum(map(len, dishes.values()))) * self.chance(level - 1, near, far, w)]
+        i = int(np.searchsorted(np.cumsum(weights), self.rng.random() * sum(weights)))
+        if i < len(mine):
+            mine[i] += 1
+        else:
+            mine.append(1)
+            if level:
+                self.add(level - 1, near, far, w)
+
+    def remove(self, level, near, far, w):
+        mine = self.tables[level][self.key(level, near, far)][w]
+        i = int(np.searchsorted(np.cumsum(mine), self.rng.random() * sum(mine), side="right"))
+        mine[i] -= 1
+        if not mine[i]:
+            del mine[i]
+            if level:
+                self.remove(level - 1, near, far, w)
+
+
+def test_a_part_is_seated_as_customer_by_customer():
+    """Numbers of tables of every level, and probabilities, against a sampler of single customers."""
+    rng = np.random.default_rng(3)
+    tokens_ = [(int(n), int(f), int(w)) for n, f, w in zip(rng.integers(0, 4, 500), rng.integers(0, 3, 500), rng.zipf(1.6, 500) % 12)]
+    seen = Counter(tokens_)
+    part, order = make_part(*zip(*seen, strict=True), list(seen.values()))
+    model = make_model(part, 500)
+    settle(model, part)
+    mine, probability, zero = [], [], np.zeros(len(part.words))
+    for i, (t3, _, t2, _, p) in enumerate(model.seat(part, 5, 400, zero, zero)):
+        if i >= 50:
+            mine.append((t3.sum(), t2.sum()))
+            probability.append(p)
+    whole = Restaurants(model.discounts, len(part.words), rng)
+    theirs, want = [], []
+    for t in tokens_:
+        whole.add(2, *t)
+    for sweep in range(120):
+        for t in tokens_:
+            whole.remove(2, *t)
+            whole.add(2, *t)
+        if sweep >= 20:
+            theirs.append([sum(len(x) for r in whole.tables[k].values() for x in r.values()) for k in (2, 1, 0)])
+            want.append([whole.chance(2, *t) for t in seen])
+    a, b = np.append(np.mean(mine, axis=0), model.tables), np.mean(theirs, axis=0)
+    assert np.all(np.abs(a / b - 1) < (0.06, 0.1, 0.15)), (a, b)  # draws of dishes together are near, not equal, to those of single customers
+    got, expected = np.log10(np.mean(probability, axis=0)), np.log10(np.mean(want, axis=0))
+    by_triple = dict(zip(seen, expected, strict=True))
+    in_order = [list(seen)[i] for i in order]
+    off = got - [by_triple[t] for t in in_order]
+    assert np.mean(np.abs(off)) < 0.02 and abs(np.mean(off)) < 0.005
 
 
 def test_seating_keeps_its_customers():
@@ -219,18 +306,56 @@ def test_two_customers_share_a_table_as_often_as_they_should():
 
 
 @pytest.mark.parametrize("part", [3_000, 1_000_000])
-def test_rare_contexts_have_restaurants_of_their_own(spark, monkeypatch, part):
-    """Contexts whose totals are shuffled score as they do when all are broadcast: each of 600 contexts has its own next word."""
+def test_rare_words_score_as_known_ones(spark, monkeypatch, part):
+    """Words whose customers are shuffled score as they do when all are broadcast: each of 600 contexts has its own next word."""
     monkeypatch.setattr(language_model, "PART", part)
     docs = spark.createDataFrame([(i, " ".join(f"{j}xx {j}yy" for j in range(i % 7, 600, 7))) for i in range(140)], "doc_id long, text string").repartition(3)
-    near, far = ({r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(docs, contexts_kept=k).collect()} for k in (language_model.CONTEXTS, 0))
+    near, far = ({r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(docs, words_kept=k).collect()} for k in (language_model.KNOWN, 0))
     assert max(abs(near[i] - far[i]) for i in near) < 0.02
 
 
+def test_rooms_change_little(spark, monkeypatch, sf_dir):
+    """Near words dealt out into rooms of 300 tokens, against one room each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = lambda: (lambda rows: sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows))([r for r in language_model.score_documents(docs).collect() if r["held_out"]])
+    one = held()
+    monkeypatch.setattr(language_model, "ROOM", 300)
+    assert abs(held() - one) < 0.05
+
+
+def test_a_text_that_was_seen_twice_scores_higher(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(8)
+    words = [f"q{i}" for i in range(400)]
+    own = [(10**6 + i, " ".join(rng.choice(words, 60))) for i in range(40)]
+    own = [x for x in own if zlib.crc32(str(x[0]).encode()) % 7 != 2]
+    twice = [(2 * 10**6 + i, t) for i, t in own[: len(own) // 2] if zlib.crc32(str(2 * 10**6 + i).encode()) % 7 != 2]
+    copied = {i - 2 * 10**6 for i, _ in twice}
+    rows = {r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(docs.union(spark.createDataFrame(own + twice, docs.schema))).collect()}
+    assert min(rows[i] for i, _ in own if i in copied) > max(rows[i] for i, _ in own if i not in copied)
+
+
 def test_no_two_contexts_share_a_restaurant():
-    token = np.arange(1, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    number, rare = language_model.contexts(token, np.sort(token[:50]))
-    assert len(np.unique(number)) == len(token) and len(rare) == len(token) - 50
+    word = np.arange(1, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    model = language_model.Model(word[:0], np.zeros(0, np.int64), np.sort(word[:5]), np.full(5, 3, np.uint64), 1, 1, 1)
+    far = np.roll(word, 7)
+    assert len(np.unique(model.restaurant(word, far))) == len(word)
+    assert len(np.unique(model.restaurant(np.repeat(np.sort(word[:5]), 1000), np.tile(far[:1000], 5)))) == 15
+    near, before = language_model.before(np.array([5, 6, language_model.END, 7, language_model.END, language_model.END], np.uint64))
+    end = language_model.END
+    assert list(near) == [end, 5, 6, end, 7, end] and list(before) == [end, end, 5, end, end, end]
+
+
+def test_a_part_travels_whole():
+    rng = np.random.default_rng(4)
+    triple = {(int(a), int(b), int(c)) for a, b, c in rng.integers(0, 9, (300, 3))}
+    part, _ = make_part(*zip(*triple, strict=True), rng.integers(0, 4, len(triple)))
+    part.held = [(7, rng.permutation(len(part.count))[:50], np.full(50, 2, np.uint8), np.arange(100, dtype=np.uint8))]
+    other = language_model.Part.unpacked(part.pack())
+    for name in ("words", "near", "pair", "word", "count", "own", "dish", "dish_near", "dish_word"):
+        assert np.array_equal(getattr(part, name), getattr(other, name)), name
+    pairs = lambda p: {(int(n), int(d)) for _, number, occurs, doc in p.held for n, d in zip(np.repeat(number, occurs), doc, strict=True)}
+    assert pairs(part) == pairs(other)
 
 
 @pytest.mark.parametrize("opens", [1.0, 20.0])
@@ -254,15 +379,3 @@ def test_the_law_of_many_customers_goes_on_from_the_table():
         for opens in (0.01, 1.0, 20.0, 1000.0):
             a, b = (language_model.draw_tables(np.full(20_000, language_model.EXACT + i), np.full(20_000, opens), d, rng) for i in (0, 1))
             assert abs(a.mean() - b.mean()) < 0.02 * a.mean() + 0.05 and abs(a.std() - b.std()) < 0.05 * a.std() + 0.05
-
-
-def test_a_model_seats_frequent_pairs_by_their_law():
-    """Words that follow one context 300 times each, with nothing else."""
-    part = language_model.Part.__new__(language_model.Part)
-    part.word, part.context, part.count = np.arange(50).astype(np.uint64), np.zeros(50, np.int64), np.full(50, 300)
-    model = language_model.Model(part.word[:0], np.zeros(0, np.int64), part.word[:0], 15_000, 50, 1)
-    model.tables, model.customers = np.array([1000.0]), np.array([15_000.0])
-    *_, last = model.seat(part, 1, 1)
-    rng = np.random.Generator(np.random.PCG64(7))
-    want = language_model.draw_tables(np.full(5000, 300), np.full(5000, (1 + 0.75 * 1000) / 50), 0.75, rng).mean()
-    assert abs(last[5].mean() - want) < 2
