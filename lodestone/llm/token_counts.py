@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent, table
+from .common import materialize, most_frequent, slices, table
 from .tokens import byte_bpe
 
 #: Rows of the broadcast part of the vocabulary, whatever the corpus.
@@ -67,30 +67,28 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, have = byte_bpe(path), known.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows, marks, sizes, words, uses, sums = [], [], [], [], [], []
-                for i, x in enumerate(part.column(1).to_pylist()):
-                    x = x or ""
-                    raw = x.encode()
-                    mark = xxhash.xxh3_128_intdigest(raw)
-                    low = (mark & (2**64 - 1)) - 2**63
-                    found, n = bpe.pre_tokens(x)
-                    rest = {}
-                    for w, f in Counter(found).items():
-                        if (k := have.get(w)) is not None:
-                            n += k * f
-                        else:
-                            rest[w] = f
-                    rows += [i] * (len(rest) + 1)
-                    marks += [low] * (len(rest) + 1)
-                    sizes += [len(raw), *[None] * len(rest)]
-                    sums += [n, *[0] * len(rest)]
-                    words += [f"\x00{mark:x}", *rest]  # no pre-token: digits never follow other signs in one
-                    uses += [0, *rest.values()]
-                keys = part.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(words, pa.string()), pa.array(uses, pa.int64())], names)
+        for part in slices(batches, "text", 4 << 20, 500):
+            rows, marks, sizes, words, uses, sums = [], [], [], [], [], []
+            for i, x in enumerate(part.column(1).to_pylist()):
+                x = x or ""
+                raw = x.encode()
+                mark = xxhash.xxh3_128_intdigest(raw)
+                low = (mark & (2**64 - 1)) - 2**63
+                found, n = bpe.pre_tokens(x)
+                rest = {}
+                for w, f in Counter(found).items():
+                    if (k := have.get(w)) is not None:
+                        n += k * f
+                    else:
+                        rest[w] = f
+                rows += [i] * (len(rest) + 1)
+                marks += [low] * (len(rest) + 1)
+                sizes += [len(raw), *[None] * len(rest)]
+                sums += [n, *[0] * len(rest)]
+                words += [f"\x00{mark:x}", *rest]  # no pre-token: digits never follow other signs in one
+                uses += [0, *rest.values()]
+            keys = part.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(words, pa.string()), pa.array(uses, pa.int64())], names)
 
     names = ["key", "mark", "n_bytes", "n_known", "pre_token", "uses"]
     kind = docs.schema["key"].dataType.simpleString()
