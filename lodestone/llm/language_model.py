@@ -80,9 +80,10 @@ def triples(near: np.ndarray, far: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays with their types and lengths, compressed."""
+    """Arrays with their types and lengths, compressed: of each array all first bytes, then all second ones, and so on."""
     head = struct.pack("<H", len(arrays)) + b"".join(struct.pack("<3sQ", a.dtype.str[:3].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
@@ -90,8 +91,10 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     (n,), at, out = struct.unpack_from("<H", raw), 2 + 11 * struct.unpack_from("<H", raw)[0], []
     for i in range(n):
         kind, size = struct.unpack_from("<3sQ", raw, 2 + 11 * i)
-        out.append(np.frombuffer(raw, kind.decode(), size, at))
-        at += out[-1].nbytes
+        kind = np.dtype(kind.decode())
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
+        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, size).T).reshape(-1).view(kind) if kind.itemsize > 1 else planes.view(kind))
+        at += size * kind.itemsize
     return out
 
 
@@ -217,15 +220,16 @@ class Part:
         near = np.concatenate([np.repeat(x[0], x[1]) for x in raw])
         far, word = (np.concatenate([name(x, x[i]) for x in raw]) for i in (2, 3))
         count = np.concatenate([x[4].astype(np.int64) for x in raw])
-        which = triples(near, far, word)
-        order = np.lexsort((which, near))
-        first = runs(near[order], which[order])
+        pair = mix(near + far * _FAR)
+        order = np.lexsort((word, pair, near))
+        near, pair, word = near[order], pair[order], word[order]
+        first = runs(near, pair, word)
         number = np.empty(len(order), np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         self.count = np.add.reduceat(count[order], first)
-        near, far, word = near[order][first], far[order][first], word[order][first]
-        self.near = np.cumsum(np.append(False, near[1:] != near[:-1]))
-        self.pair = np.unique(mix(near + far * _FAR), return_inverse=True)[1]
+        near, pair, word = near[first], pair[first], word[first]
+        new = np.append(False, near[1:] != near[:-1])
+        self.near, self.pair = np.cumsum(new), np.cumsum(new | np.append(False, pair[1:] != pair[:-1]))
         self.words, self.word = np.unique(word, return_inverse=True)
         self.own = np.zeros(len(self.words), np.int64)
         edges = np.cumsum([0, *(len(x[2]) for x in raw)])
@@ -243,15 +247,15 @@ class Part:
             starts = np.cumsum(occurs, dtype=np.int64) - occurs
             take = np.repeat(starts[order], occurs[order]) + (np.arange(len(doc)) - np.repeat(np.cumsum(occurs[order], dtype=np.int64) - occurs[order], occurs[order]))
             held += [small(np.diff(number[order], prepend=0)), occurs[order], doc[take]]
-        return pack([self.words, small(np.bincount(self.near)), small(self.pair), small(self.word), small(self.count), small(self.own), np.array([x[0] for x in self.held], np.int64), *held])
+        return pack([self.words, small(np.bincount(self.near)), small(np.bincount(self.pair)), small(self.word), small(self.count), small(self.own), np.array([x[0] for x in self.held], np.int64), *held])
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Part:
         self = cls.__new__(cls)
-        self.words, sizes, *rest, chunks = (x for x in unpack(raw)[:7])
-        self.near = np.repeat(np.arange(len(sizes)), sizes)
-        self.pair, self.word, self.count, self.own = (x.astype(np.int64) for x in rest)
-        held = unpack(raw)[7:]
+        self.words, nears, pairs, *rest, chunks = (arrays := unpack(raw))[:7]
+        self.near, self.pair = (np.repeat(np.arange(len(x)), x) for x in (nears, pairs))
+        self.word, self.count, self.own = (x.astype(np.int64) for x in rest)
+        held = arrays[7:]
         self.held = [(int(c), np.cumsum(held[3 * i], dtype=np.int64), *held[3 * i + 1 : 3 * i + 3]) for i, c in enumerate(chunks)]
         self._dishes()
         return self
@@ -378,7 +382,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             lengths = np.bincount(row, minlength=batch.num_rows)
             is_train = np.asarray(batch.column("train").to_pylist(), bool)
             which = triples(near, far, token)
-            order = np.lexsort((which, near))
+            # by restaurant, then by triple as far as the bits go: what isn't added up here is added up in the part
+            order = np.argsort((near & ~np.uint64(0xFFFFFF)) | (which & np.uint64(0xFFFFFF)))
             near, row, which = near[order], row[order], which[order]
             first = runs(near, which)
             ends = np.append(first, len(order))

@@ -175,7 +175,7 @@ def test_lm_of_odd_documents(odd_docs, no_docs):
 def make_part(near, far, word, count):
     """A part of triples that are given by numbers."""
     names = [np.asarray(x, np.uint64) + np.uint64(1) for x in (near, far, word)]
-    order = np.lexsort((language_model.triples(*names), names[0]))
+    order = np.lexsort((names[2], language_model.mix(names[0] + names[1] * language_model._FAR), names[0]))  # as a part orders them
     n, f, w = (x[order] for x in names)
     own = language_model.runs(n)
     block = [n[own], np.diff(np.append(own, len(n))), f - np.uint64(1), w - np.uint64(1), np.asarray(count)[order], np.ones(len(n), np.int64), np.zeros(len(n), np.int64), np.arange(1, 200, dtype=np.uint64)]
