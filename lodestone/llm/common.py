@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -47,6 +48,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner take away shuffle files that nothing refers to any more, such as those behind a written cut point: it
+    learns of them by the driver's garbage collection, which may be far off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(columns: list[str], name: str) -> str:
     """The name, with underscores after it until no column has it (whatever its case)."""
     taken = {c.lower() for c in columns}

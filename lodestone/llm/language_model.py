@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, most_frequent, slices, table, utf8, word_hashes
+from .common import materialize, mix, most_frequent, release, slices, table, utf8, word_hashes
 
 #: Words whose customers of the root are broadcast; parts whose questions about the others one shard answers, about.
 KNOWN, ASKERS = 65_536, 8
 #: Tokens of a part, about, and of a room; text bytes of a chunk.
-PART, ROOM, CHUNK = 1_000_000, 250_000, 4 << 20
+PART, ROOM, CHUNK = 500_000, 250_000, 4 << 20
 #: Documents' terms that a task holds.
 TERMS = 2_000_000
 #: Draws of all levels before the first sample, between samples, and samples averaged. Strength of all restaurants.
@@ -453,8 +453,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             yield out()
 
     spread = F.when(F.col("part") < 0, F.col("chunk")).otherwise(F.col("part"))
+    release(spark)
     dealt = docs.mapInArrow(deal, "part int, chunk long, payload binary").repartition(spread, "part").sortWithinPartitions("part", "chunk")
     gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, stats binary, asked array<binary>"), "parts")
+    del dealt
+    release(spark)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
