@@ -1,7 +1,9 @@
 """Quality rules by tokeniser fertility: how public vocabularies take a text, held against its language's or script's own bands.
 
 Of every text: characters per token in two vocabularies, the share of pieces that fall back to bytes, and the entropy of the
-tokens in windows of WINDOW (a share of the most that a window can have, so that it doesn't depend on a text's length).
+tokens in windows of WINDOW (a share of the most that a window can have, so that it doesn't depend on a text's length). The
+byte-level vocabulary takes the whole text; the one of pieces, whose pieces never go across white space, takes each distinct
+word once.
 Each group (a language; a script where the language is null) has a band for each measure: the quartiles of the group's
 distinct measurements, widened by WIDTHS interquartile ranges. A text outside a band of its group is rejected. Counting rules
 on words, signs and lines come before: what fails them has no part in the bands.
@@ -42,10 +44,10 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @functools.lru_cache(maxsize=2)
-def _pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray]:
+def _pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bool]]:
     """The library's model and which ids are single bytes."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+    return model, [model.is_byte(i) for i in range(model.get_piece_size())]
 
 
 def cut(text: str, most: int) -> Iterator[str]:
@@ -77,36 +79,36 @@ def word_ids(raw: bytes, index: defaultdict[bytes, int], most: int | None = None
 def repeated_words(ids: list[np.ndarray], width: int = REPEAT) -> np.ndarray:
     """Of each text's words: how many lie in a window of width words (8: a power of two) that occurs twice or more in the text.
 
-    Windows of 2, 4 and 8 words get numbers by pairs of shorter ones, so equal numbers are equal words; windows whose first or
-    second half occurs once in the text are left out on the way.
+    Windows of 2, 4 and 8 words get numbers by pairs of shorter ones, so equal numbers are equal words of one text; windows whose
+    first or second half occurs once in the text have none.
     """
     n = np.array([len(x) for x in ids], np.int64)
     code, owner = np.concatenate([np.zeros(0, np.int64), *ids]), np.repeat(np.arange(len(ids)), n)
-    place = np.arange(len(code))
-    covered, size = np.zeros(len(code), bool), 1
-    at = place  # begins of windows of size words that may be repeated
-    while size < width and len(at):
-        two = at[(at + size < len(code))]
-        two = two[(owner[np.minimum(two + size, len(code) - 1)] == owner[two]) & (code[np.minimum(two + size, len(code) - 1)] >= 0)]
-        first, second = np.unique(code[two], return_inverse=True)[1], np.unique(code[two + size], return_inverse=True)[1]
-        pair = first.astype(np.int64) * (second.max(initial=0) + 1) + second
-        _, pair = np.unique(pair, return_inverse=True)
-        mine, where, many = np.unique(owner[two] * np.int64(pair.max(initial=0) + 1) + pair, return_inverse=True, return_counts=True)
-        size *= 2
-        keep = many[where] > 1
-        code = np.full(len(code), -1, np.int64)
-        at = two[keep]
-        code[at] = pair[keep]
-    if len(at):
-        change = np.zeros(len(code) + 1, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, np.minimum(at + width, len(code)), -1)
-        covered = np.cumsum(change[:-1]) > 0
-    return np.bincount(owner[covered], minlength=len(ids)).astype(np.int64)
-
-
-def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
-    """The counts of BASE for each text."""
+    begins, size = np.arange(len(code)), 1
+    while size < width and len(begins):
+        two = begins[begins + size < len(code)]
+        two = two[(owner[two + size] == owner[two]) & (code[two + size] >= 0)]
+        first, second, text = code[two], code[two + size], owner[two] if size == 1 else np.zeros(len(two), np.int64)  # longer ones are of one text
+        base = int(code.max(initial=0)) + 1
+        if (int(text.max(initial=0)) + 1) * base * base >= 1 << 62:
+            first, base = np.unique(text * base + first, return_inverse=True)[1], base + len(two)
+            text = np.zeros(len(two), np.int64)
+        key = (text * base + first) * base + second
+        ordered = np.sort(key)
+        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        at = np.minimum(np.searchsorted(again, key), max(0, len(again) - 1))
+        keep = again[at] == key if len(again) else np.zeros(len(key), bool)
+        code, begins, size = np.full(len(code), -1, np.int64), two[keep], 2 * size
+        code[begins] = at[keep]
+    change = np.zeros(len(code) + 1, np.int64)
+    if len(begins):
+        np.add.at(change, begins, 1)
+        np.add.at(change, begins + width, -1)
+    return np.bincount(owner[np.cumsum(change[:-1]) > 0], minlength=len(ids)).astype(np.int64)
+
+
+def base_counts(texts: list[str]) -> tuple[dict[str, np.ndarray], list[np.ndarray], list[bytes]]:
+    """The counts of BASE for each text, the numbers of its words, and the distinct words by number."""
     index: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
     ids, chars, signs, lines = [], [], [], []
     for text in texts:
@@ -117,7 +119,36 @@ def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
         own = [x for x in raw.split(b"\n") if x.strip()]
         lines.append(len(own) - len(set(own)))
     counts = ([len(x) for x in ids], chars, signs, lines, repeated_words(ids))
-    return {c: np.array(v, np.int64) for c, v in zip(BASE, counts, strict=True)}
+    return {c: np.array(v, np.int64) for c, v in zip(BASE, counts, strict=True)}, ids, list(index)
+
+
+#: Words whose pieces a worker remembers, and their counts: pieces above 32 bits of those that are bytes. Bytes of a longest word
+#: that is encoded whole.
+REMEMBERED, LONGEST = 500_000, 4096
+_known: dict[str, dict[bytes, int]] = {}
+
+
+def piece_counts(words: list[bytes], pieces_path: str) -> np.ndarray:
+    """words x 2: pieces of each word alone, and how many of them are bytes."""
+    model, is_byte = _pieces(pieces_path)
+    known = _known.setdefault(pieces_path, {})
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = [w for w in words if w not in known and len(w) <= LONGEST]
+    for w, ids in zip(new, model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1) if new else [], strict=True):
+        known[w] = len(ids) << 32 | sum(map(is_byte.__getitem__, ids))
+    out = [known[w] if len(w) <= LONGEST else _long(w.decode("utf-8", "replace"), model, is_byte) for w in words]
+    out = np.array(out, np.int64).reshape(-1, 1)
+    return np.concatenate([out >> 32, out & 0xFFFFFFFF], axis=1)
+
+
+def _long(word: str, model: sentencepiece.SentencePieceProcessor, is_byte: list[bool]) -> int:
+    """The counts of a very long word, from parts of it."""
+    total = 0
+    for a in range(0, len(word), LONGEST):
+        ids = model.encode(word[a : a + LONGEST], num_threads=1)
+        total += len(ids) << 32 | sum(map(is_byte.__getitem__, ids))
+    return total
 
 
 def window_entropy(ids: np.ndarray, window: int = WINDOW) -> float:
@@ -132,20 +163,21 @@ def window_entropy(ids: np.ndarray, window: int = WINDOW) -> float:
     return float(1 - (n * np.log2(n)).sum() / (m * window) / np.log2(window))
 
 
-def fertility(text: str, path: str, pieces_path: str) -> tuple[float, float, float, float] | None:
-    """The four measures of WIDTHS; None for an empty text."""
-    if not text:
-        return None
-    bpe, (model, is_byte) = byte_bpe(path), _pieces(pieces_path)
-    tokens, pieces, fallbacks = [], 0, 0
-    for part in cut(text, AT_ONCE):
-        part = part.encode("utf-8", "replace").decode()
-        tokens.append(bpe.ids(part))
-        ids = np.array(model.encode(part, num_threads=1), np.int64)
-        pieces += len(ids)
-        fallbacks += int(is_byte[ids].sum())
-    tokens = np.concatenate(tokens)
-    return len(text) / max(1, len(tokens)), len(text) / max(1, pieces), fallbacks / max(1, pieces), window_entropy(tokens)
+def tokens_of(text: str, path: str) -> np.ndarray:
+    bpe = byte_bpe(path)
+    return np.concatenate([bpe.ids(part) for part in cut(text, AT_ONCE)])
+
+
+def measures_of(texts: list[str], counts: dict[str, np.ndarray], ids: list[np.ndarray], words: list[bytes], wanted: np.ndarray, path: str, pieces_path: str) -> list[tuple[float, float, float, float] | None]:
+    """The four measures of WIDTHS of the wanted texts (each has a word); None for others."""
+    by_word, out = piece_counts(words, pieces_path), []
+    for i, text in enumerate(texts):
+        if not wanted[i]:
+            out.append(None)
+            continue
+        tokens, (pieces, fallbacks) = tokens_of(text, path), by_word[ids[i]].sum(axis=0).tolist()
+        out.append((len(text) / max(1, len(tokens)), float(counts["word_chars"][i]) / max(1, pieces), fallbacks / max(1, pieces), window_entropy(tokens)))
+    return out
 
 
 def script_of(text: str) -> str:
@@ -162,9 +194,9 @@ def measure(docs: DataFrame, key: str, text: str, lang: str, path: str, pieces_p
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            counts = base_counts(texts)
+            counts, ids, words = base_counts(texts)
             failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
-            found = [None if bad else fertility(x, path, pieces_path) for x, bad in zip(texts, failed, strict=True)]
+            found = measures_of(texts, counts, ids, words, ~failed, path, pieces_path)
             groups = [f"lang {g}" if g is not None else f"script {script_of(x)}" for x, g in zip(texts, batch.column("lang").to_pylist(), strict=True)]
             measures = [pa.array([None if x is None else x[i] for x in found], pa.float64()) for i in range(len(WIDTHS))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(groups, pa.string()), *(pa.array(counts[c]) for c in BASE), pa.array(failed), *measures], names)
