@@ -33,10 +33,10 @@ def required(terms: int) -> int:
     return 1 if terms <= 1 else max(2, -(-terms // 2))
 
 
-def search(docs: DataFrame, terms: tuple[Term, ...], k: int, key: str = "doc_id", text: str = "text", name: Column | None = None, path: Column | None = None, where: Column | None = None, modified: Column | None = None) -> DataFrame:
+def search(docs: DataFrame, terms: tuple[Term, ...], k: int, key: str = "doc_id", text: str = "text", name: Column | None = None, path: Column | None = None, where: Column | None = None, modified: Column | None = None, known: DataFrame | None = None) -> DataFrame:
     """key, lexical, coverage, coherence, in_text, matched, score of the best documents. where: hard filters.
 
-    Statistics are over all documents. A term may match in the text, or else (by its wider words) in the name or path. The
+    Statistics are over all documents (known: one row of them, if they are already). A term may match in the text, or else (by its wider words) in the name or path. The
     one-row statistics are joined to each document; words are literals, so no term is exploded to rows.
     """
     if not terms:
@@ -46,7 +46,7 @@ def search(docs: DataFrame, terms: tuple[Term, ...], k: int, key: str = "doc_id"
     name = F.lit("") if name is None else F.lower(name)
     path = F.lit("") if path is None else F.lower(path)
     keep = [F.col(key), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), name.alias("_name"), path.alias("_path"), (F.lit(0) if modified is None else modified).alias("_modified")]
-    rows = base.select(*keep).crossJoin(F.broadcast(statistics(docs, terms, text)))
+    rows = base.select(*keep).crossJoin(F.broadcast(statistics(docs, terms, text) if known is None else known))
     lower, length = F.col("_text"), F.greatest(F.length("_text"), F.lit(1))
     best = []
     for i, t in enumerate(terms):

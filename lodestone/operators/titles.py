@@ -21,9 +21,14 @@ from .metadata import hard_filters, script_tests
 MOST_PATTERN, NESTED = 512, re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
 
 
+def on_paths(query: str) -> bool:
+    """Whether a query is one on whole paths: it has a separator or colon."""
+    return re.search(r"[\\/:]", query) is not None
+
+
 def matcher(query: str, whole_word: bool = False, match_case: bool = False, use_regex: bool = False, kind: str = "all", name: str = "name", path: str = "full_path") -> Column:
     """A filter on names, or on full paths if the query has a separator or colon. kind: all, files or folders."""
-    target = F.col(path if re.search(r"[\\/:]", query) and not use_regex else name)
+    target = F.col(path if on_paths(query) and not use_regex else name)
     if not match_case and not use_regex:
         target, query = F.lower(target), query.lower()
     if use_regex:
