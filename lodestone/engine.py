@@ -16,6 +16,9 @@ from .operators import content, fusion, metadata, results, titles
 from .operators import vectors as VO
 from .plans import fixed, visual
 from .plans.intent import Intent, classify, compile_intent, is_exact_lookup, lanes, needs_targeted_scan, once, references_previous, sort_mode, wants_applications
+from .sources.content_index import ContentIndex
+from .sources.shared import cut
+from .sources.title_index import TitleIndex
 
 #: Rows that the content, vector and title lanes pass on, distinct words of a query that a text model is given.
 CONTENT_MOST, VECTOR_MOST, TITLE_MOST, QUERY_TERMS = 2000, 240, 3000, 12
@@ -42,13 +45,15 @@ class Engine:
     """files: schema.FILE_RECORD. documents: path_key, text (source, was_truncated, analyzed_pages). vectors: path_key, modified,
     quantized. images: path_key, modified, regions, and tags (name, category, confidence). extract: path_key, text of files that
     can be read on demand. home: the user's own folder. Files that several roots hold count once.
+    title_index, content_index: indexes of the files and of the documents (doc_key: path_key). With the first, files is None and
+    the index's live rows are the files; with the second, documents is None and no text is read but of candidates.
 
     embed and embed_prompt give a query's vectors; without them the vector lanes are left out. All tables are DataFrames and a
     search is lazy. Lanes are cut to their bounds (5,000 rows at most) and persisted: they are read more than once while merging,
     and the merging is planned without their long expressions.
     """
 
-    files: DataFrame
+    files: DataFrame | None
     documents: DataFrame | None = None
     vectors: DataFrame | None = None
     images: DataFrame | None = None
@@ -60,9 +65,13 @@ class Engine:
 
     extract: DataFrame | None = None
     home: str | None = None
+    title_index: TitleIndex | None = None
+    content_index: ContentIndex | None = None
 
     def keyed(self) -> DataFrame:
-        """The files, each path once whatever its case: of several rows the newest."""
+        """The files, each path once whatever its case: of several rows the newest. An index holds each path once."""
+        if self.files is None and self.title_index is not None:
+            return self.title_index.rows()
         own = self.files.withColumn("path_key", F.lower("full_path"))
         rest = F.struct("modified", *(c for c in own.columns if c not in ("path_key", "modified")))
         return own.groupBy("path_key").agg(F.max(rest).alias("_r")).select("path_key", "_r.*")
@@ -77,8 +86,10 @@ class Engine:
             files = files if test is None else files.where(test)
         plan, parts = lanes(intent, self.embed is not None or self.embed_prompt is not None), []
         parts.append(self._metadata(intent, files, now, k))
-        if plan.content and self.documents is not None:
-            parts.append(self._content(intent, files, now, k))
+        if plan.content and self._indexed(intent):
+            parts.append(self._content_by_index(intent, files, now, k, _in_roots(roots, "doc_key")))
+        elif plan.content and (docs := self._documents()) is not None:
+            parts.append(self._content(intent, docs, files, now, k))
         if plan.semantic and self.vectors is not None and self.embed is not None:
             near = self._semantic(intent, files, now, k, plan.precision_first)
             lexical = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -93,11 +104,12 @@ class Engine:
         label = S.badge(F.col("kind"), F.col("percent"), F.lit(False))
         return ordered.select("path_key", "name", "full_path", "is_directory", "kind", "percent", label.alias("badge"), S.display_reason(F.col("reasons")).alias("reason"), "display_score", "created", "modified", "size_bytes")
 
-    def _lane(self, rows: DataFrame, number: int, most: int, evidence: Column, keep: Column | None = None, **columns: Column) -> DataFrame:
-        """A lane's rows in its own order. keep: a later filter, after which the places aren't counted anew."""
-        cut = fusion.ranked(rows, [F.desc("score"), F.col("path_key")], most)
-        cut = cut if keep is None else cut.where(keep)
-        out = fusion.lane(cut.select(*cut.columns, F.lit(number).alias("lane"), evidence.alias("evidence"), *(v.alias(n) for n, v in columns.items())))
+    def _lane(self, rows: DataFrame, number: int, most: int, evidence: Column, keep: Column | None = None, by: tuple[str, ...] = ("score", "modified"), **columns: Column) -> DataFrame:
+        """A lane's rows in its own order: by, largest first, then name. keep: a later filter, after which the places aren't
+        counted anew."""
+        best = fusion.ranked(rows, [*(F.desc_nulls_last(c) for c in by), F.lower("name"), F.col("path_key")], most)
+        best = best if keep is None else best.where(keep)
+        out = fusion.lane(best.select(*best.columns, F.lit(number).alias("lane"), evidence.alias("evidence"), *(v.alias(n) for n, v in columns.items())))
         self._kept.append(out.persist())
         return out
 
@@ -126,31 +138,52 @@ class Engine:
         self._kept.append(out.persist())
         return out
 
-    def _content(self, intent: Intent, files: DataFrame, now: datetime, k: int) -> DataFrame:
+    def _documents(self) -> DataFrame | None:
+        """The texts, where no index can answer: path_key, text."""
+        if self.documents is None and self.content_index is not None:
+            return self.content_index.documents().select(F.col("doc_key").alias("path_key"), "text")
+        return self.documents
+
+    def _indexed(self, intent: Intent) -> bool:
+        """Whether the index of texts answers: it knows words, not scripts."""
+        return self.content_index is not None and bool(intent.terms) and not intent.predicates
+
+    def _content_by_index(self, intent: Intent, files: DataFrame, now: datetime, k: int, within: Column | None) -> DataFrame:
+        """The content lane through the index of texts: its statistics are those of all its documents."""
+        where = metadata.hard_filters(intent, F.col("modified"), *self._range(intent))
+        found = cut(self.content_index.search(intent.terms, min(CONTENT_MOST, 6 * k), where if within is None else where & within, addresses=True))  # CONTENT_MOST rows at most
+        found = found.withColumnRenamed("doc_key", "path_key").join(self.content_index.texts_at(found), ["chunk", "place"])
+        own = files.select("path_key", "name", "directory_path", "extension", "is_directory", "created", "modified", "size_bytes")
+        return self._by_text(intent, found.join(own, "path_key"), F.lit("PlainText"))
+
+    def _content(self, intent: Intent, given: DataFrame, files: DataFrame, now: datetime, k: int) -> DataFrame:
         own = files.select("path_key", "name", "directory_path", "extension", "is_directory", "created", "modified", "size_bytes")
-        given = self.documents.columns
-        extra = [c for c in ("source", "was_truncated", "analyzed_pages") if c in given]
-        first = self.documents.groupBy("path_key").agg(F.min(F.struct("text", *extra)).alias("_d")).select("path_key", "_d.*")
+        extra = [c for c in ("source", "was_truncated", "analyzed_pages") if c in given.columns]
+        first = given.groupBy("path_key").agg(F.min(F.struct("text", *extra)).alias("_d")).select("path_key", "_d.*")
         docs = first.join(own, "path_key")
         where = metadata.hard_filters(intent, F.col("modified"), *self._range(intent))
         scripts = metadata.script_tests(intent.predicates, F.col("name"), F.col("directory_path"), F.col("is_directory"), T.script_profile(F.col("text")))
         for test in scripts:
             where = where & F.coalesce(test, F.lit(False))
         kind = F.col("source") if "source" in extra else F.lit("PlainText")
-        if not intent.terms:  # script predicates alone
-            found = docs.where(where).select("path_key", F.lit(380.0 + 80.0 * len(scripts)).alias("score"), F.lit(1.0).alias("coverage"), F.lit(0).alias("matched"), F.lit(0).alias("in_text"))
-            reason, n = F.concat(F.when(kind == "Spreadsheet", "엑셀 시트·셀").otherwise("파일 본문"), F.lit("에서 조건을 확인했습니다.")), 1
-            found = found.orderBy("path_key").limit(min(CONTENT_MOST, 6 * k))
-        else:
+        if intent.terms:
             found = content.search(docs, intent.terms, min(CONTENT_MOST, 6 * k), "path_key", "text", F.col("name"), F.col("directory_path"), where, F.col("modified"))
-            n = len(intent.terms)
-            words = {t.original: content.contains_any(F.lower("text"), t.texts) for t in intent.terms}
-            near = F.when(F.col("coherence") >= 0.75, " 같은 문맥에서 함께 나타납니다.").otherwise(" 관련 단서를 확인했습니다.")
-            both = F.when(F.col("matched") > F.col("in_text"), " 파일명·폴더 단서와 함께 일치합니다.").otherwise("")
-            reason = F.when(kind == "Spreadsheet", F.concat(F.lit("엑셀 시트·셀에서 "), quoted(words), F.lit(" 내용을 확인했습니다."), both)).otherwise(F.concat(F.lit("파일 본문에서 "), quoted(words), F.lit("가"), near, both))
-        found = found.join(docs.drop("coverage"), "path_key").withColumn("score", F.col("score") + 340.0).withColumn("reason", reason)
+            return self._by_text(intent, found.join(docs, "path_key"), kind)
+        # script predicates alone
+        found = docs.where(where).withColumns({"score": F.lit(380.0 + 80.0 * len(scripts)), "coverage": F.lit(1.0)})
+        found = found.orderBy("path_key").limit(min(CONTENT_MOST, 6 * k)).withColumn("score", F.col("score") + 340.0)
+        reason = F.concat(F.when(kind == "Spreadsheet", "엑셀 시트·셀").otherwise("파일 본문"), F.lit("에서 조건을 확인했습니다."))
+        return self._lane(found.withColumn("reason", reason), 1, CONTENT_MOST, F.lit("Content"), self._placed(intent), total_terms=F.lit(1))
+
+    def _by_text(self, intent: Intent, found: DataFrame, kind: Column) -> DataFrame:
+        """The lane of rows that the content search has found, with their texts and their files' columns."""
+        words = {t.original: content.contains_any(F.lower("text"), t.texts) for t in intent.terms}
+        near = F.when(F.col("coherence") >= 0.75, " 같은 문맥에서 함께 나타납니다.").otherwise(" 관련 단서를 확인했습니다.")
+        both = F.when(F.col("matched") > F.col("in_text"), " 파일명·폴더 단서와 함께 일치합니다.").otherwise("")
+        reason = F.when(kind == "Spreadsheet", F.concat(F.lit("엑셀 시트·셀에서 "), quoted(words), F.lit(" 내용을 확인했습니다."), both)).otherwise(F.concat(F.lit("파일 본문에서 "), quoted(words), F.lit("가"), near, both))
+        found = found.withColumn("score", F.col("score") + 340.0).withColumn("reason", reason)
         evidence = F.when(F.col("matched") > F.col("in_text"), "Combined").otherwise("Content")
-        return self._lane(found, 1, CONTENT_MOST, evidence, self._placed(intent), total_terms=F.lit(n))
+        return self._lane(found, 1, CONTENT_MOST, evidence, self._placed(intent), total_terms=F.lit(len(intent.terms)))
 
     def _semantic(self, intent: Intent, files: DataFrame, now: datetime, k: int, precise: bool) -> DataFrame:
         own = files.where(metadata.hard_filters(intent, F.col("modified"), *self._range(intent)))
@@ -159,7 +192,7 @@ class Engine:
         above = F.greatest(F.lit(0.0), F.col("similarity") - self.least_similarity)
         found = found.withColumn("score", 18.0 + 80.0 * above if precise else 90.0 + 260.0 * above).join(files, "path_key")
         found = found.withColumn("reason", F.lit("Multilingual E5가 의미가 가까운 것으로 판단했습니다."))
-        return self._lane(found, 2, VECTOR_MOST, F.lit("SemanticCandidate"), self._placed(intent), semantic=F.col("similarity"), total_terms=F.lit(len(intent.terms)))
+        return self._lane(found, 2, VECTOR_MOST, F.lit("SemanticCandidate"), self._placed(intent), ("similarity", "modified"), semantic=F.col("similarity"), total_terms=F.lit(len(intent.terms)))
 
     def _visual(self, intent: Intent, files: DataFrame, now: datetime, k: int) -> DataFrame:
         own = files.where(metadata.hard_filters(intent, F.col("modified"), *self._range(intent)))
@@ -180,7 +213,7 @@ class Engine:
         character = one(fixed.CHARACTER_PROMPT) if wanted.named else None
         found = VO.visual_search(current, vectors, min(k, 500), wanted.least, wanted.distance, wanted.named, corroboration, tag, "path_key", wanted, interface, character)
         found = found.join(files, "path_key").withColumn("reason", F.lit("SigLIP 2 시각 AI가 이미지와 검색 문장의 의미가 관련된 것으로 판단했습니다."))
-        return self._lane(found, 3, 500, F.lit("VisualCandidate"), self._placed(intent), visual=F.col("similarity"), total_terms=F.lit(len(intent.terms)))
+        return self._lane(found, 3, 500, F.lit("VisualCandidate"), self._placed(intent), ("score", "similarity", "modified"), visual=F.col("similarity"), total_terms=F.lit(len(intent.terms)))
 
     def release(self) -> None:
         """Let go of the lanes of earlier searches."""
@@ -188,16 +221,18 @@ class Engine:
             self._kept.pop().unpersist()
 
     def titles(self, query: str, k: int = 750, sort: str = "name", descending: bool = False, **options) -> DataFrame:
-        """Matches while one types; options as in titles.matcher."""
+        """Matches while one types; options as in titles.matcher. An index of the titles tells which files to read."""
+        if self.title_index is not None:
+            return self.title_index.search(query, k, sort, descending, **options)
         return titles.search(self.keyed(), titles.matcher(query, **options), k, sort, descending)
 
     def title_hits(self, intent: Intent, now: datetime, k: int = TITLE_MOST, live: DataFrame | None = None) -> DataFrame:
         """path_key, score, percent of the title ladder. live: the current folder's own records, which count for more."""
-        cut = (k, micros(now), *self._range(intent))
-        found = titles.ladder(self.keyed().withColumn("file_id", F.col("path_key")), intent, *cut).withColumnRenamed("file_id", "path_key")
+        bounds = (k, micros(now), *self._range(intent))
+        found = titles.ladder(self.keyed().withColumn("file_id", F.col("path_key")), intent, *bounds).withColumnRenamed("file_id", "path_key")
         if live is None:
             return found
-        seen = titles.ladder(live.withColumn("file_id", F.lower("full_path")), intent, *cut).withColumnRenamed("file_id", "path_key")
+        seen = titles.ladder(live.withColumn("file_id", F.lower("full_path")), intent, *bounds).withColumnRenamed("file_id", "path_key")
         return titles.live_hits(found, seen).orderBy(F.desc("score"), F.desc("percent"), "path_key").limit(k)
 
     def stages(self, query: str, now: datetime, k: int = 500) -> Iterator[tuple[str, DataFrame]]:
@@ -209,7 +244,7 @@ class Engine:
                 yield "applications", results.application_rows(results.search_applications(self.applications, intent.all_terms, 120))
         if is_exact_lookup(intent):
             return
-        yield "words", Engine(self.files, self.documents).run(intent, now, k)
+        yield "words", Engine(self.files, self.documents, title_index=self.title_index, content_index=self.content_index).run(intent, now, k)
         if self.vectors is not None or self.images is not None:
             yield "vectors", self.run(intent, now, k)
 
@@ -228,10 +263,11 @@ class Engine:
 
     def facts(self, found: DataFrame, most: int = 0) -> DataFrame:
         """path_key, known, profile of the rows of a result."""
-        if self.documents is None:
+        docs = self._documents()
+        if docs is None:
             none = found.select("path_key").withColumn("text", F.lit(None).cast("string"))
             return results.result_text_facts(found, none.limit(0), self.extract, most)
-        return results.result_text_facts(found, self.documents, self.extract, most)
+        return results.result_text_facts(found, docs, self.extract, most)
 
     def refine(self, found: DataFrame, query: str, now: datetime, most: int = 0) -> DataFrame:
         """A later sentence within a result, in the result's order among equals. The first result isn't changed, and a sentence
@@ -255,11 +291,11 @@ class Engine:
         return self.refine(previous, query, now) if previous is not None and references_previous(query) else self.search(query, now, k)
 
 
-def _in_roots(roots: list[str] | None) -> Column | None:
+def _in_roots(roots: list[str] | None, key: str = "path_key") -> Column | None:
     """A prefix test of the stored key for each root; they are few."""
     if not roots:
         return None
     test = F.lit(False)
     for r in roots:
-        test = test | P.in_root(F.col("path_key"), r)
+        test = test | P.in_root(F.col(key), r)
     return test

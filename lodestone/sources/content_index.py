@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import text as T
 from ..operators import content
 from ..plans.intent import Term
 from .chunks import CHUNK, DEAD, alive, bitmaps, bucket_of, has_bit, in_groups, next_chunk, number_of, numbered, read_parts
 from .log import Log, live
+from .shared import cut
 
 #: Documents of a chunk, chunks of a folder of texts, buckets of trigrams, bytes of a group of rows that is read as one.
 DOCS, CHUNKS_EACH, BUCKETS, ROW_GROUP = 1024, 64, 256, 4 << 20
@@ -210,7 +212,7 @@ class ContentIndex:
         grams = sorted({g for w in words for g in grams_of(w)})
         short = reduce(lambda a, b: a | b, (F.startswith("gram", F.lit(w)) for w in words if len(w) < 3), F.lit(False))
         if any(len(w) < 3 for w in words):
-            return posts.where(F.col("gram").isin(*grams) | short)
+            return posts.where((F.col("gram").isin(*grams) | short) if grams else short)
         return posts.where(F.col("bucket").isin(*{number_of(g, self.buckets) for g in grams}) & F.col("gram").isin(*grams)) if grams else posts.where(F.lit(False))
 
     def candidates(self, terms: tuple[Term, ...], parts: list[dict] | None = None) -> DataFrame:
@@ -241,48 +243,64 @@ class ContentIndex:
             current = self.spark.createDataFrame(list(versions.items()) or [("", 0)], "part string, version long")  # a row a part
             rows = self.spark.read.schema(DF).parquet(self.log.path("df")).where(F.col("term").isin(*keys)).join(F.broadcast(current), ["part", "version"])
             known = {(r["part"], r["term"]): r["df"] for r in rows.distinct().collect()}
-        for key, term in keys.items():
-            new = [p for p in parts if (p["part"], key) not in known]
-            if not new:
-                continue
-            counted = self._count(new, parts, term)
-            made = [(p["part"], versions[p["part"]], key, counted.get(p["part"], 0)) for p in new]
+        new = {key: [p for p in parts if (p["part"], key) not in known] for key in keys}
+        if asked := {key: keys[key] for key, ps in new.items() if ps}:
+            these = [p for p in parts if any(p in new[key] for key in asked)]
+            made = [(part, versions[part], key, n) for (part, key), n in self._count(these, parts, asked).items() if (part, key) not in known]
             self.spark.createDataFrame(made, DF).coalesce(1).write.mode("append").parquet(self.log.path("df"))
-            known |= {(part, key): n for part, _, _, n in made}
+            known |= {(part, key): n for part, _, key, n in made}
         return {key: sum(known[(p["part"], key)] for p in parts) for key in keys}
 
-    def _count(self, new: list[dict], parts: list[dict], term: Term) -> dict[str, int]:
-        """Documents of the new parts that hold the term. Three characters are a trigram: no text is read."""
-        found = alive(may_hold(self._postings(new, sorted({w.lower() for w in term.texts})), [sorted({w.lower() for w in term.texts})]), self._dead(parts))
-        if any(len(w) != 3 for w in term.texts):
-            found = self._texts(new, found).where(content.contains_any(F.lower("text"), term.texts))
+    def _count(self, new: list[dict], parts: list[dict], terms: dict[str, Term]) -> dict[tuple[str, str], int]:
+        """Documents of the new parts that hold each term, by part and term. Three characters are a trigram: where all words have so
+        many, no text is read."""
+        words = [sorted({w.lower() for w in t.texts if w}) for t in terms.values()]
+        found = alive(may_hold(self._postings(new, [w for ws in words for w in ws]), words), self._dead(parts))
+        holds = [F.col("caps")[i] > 0 for i in range(len(words))]
+        if any(len(w) != 3 for ws in words for w in ws):
+            found = cut(found)
+            found = self._texts(new, found, "text").join(found, ["chunk", "place"])
+            holds = [content.contains_any(F.lower("text"), t.texts) for t in terms.values()]
         owner = reduce(lambda w, p: w.when(F.shiftright("chunk", 20).between(p["first"], p["last"]), F.lit(p["part"])), new, F)
-        return {r["part"]: r["n"] for r in found.groupBy(owner.alias("part")).agg(F.count("*").alias("n")).collect()}
+        rows = {r["part"]: r for r in found.groupBy(owner.alias("part")).agg(*(F.count_if(h).alias(f"n_{i}") for i, h in enumerate(holds))).collect()}  # a row a part
+        return {(p["part"], key): rows[p["part"]][f"n_{i}"] if p["part"] in rows else 0 for p in new for i, key in enumerate(terms)}
 
-    def _texts(self, parts: list[dict], wanted: DataFrame) -> DataFrame:
-        """The documents at wanted (chunk, place), from the folders that hold one."""
+    def _texts(self, parts: list[dict], wanted: DataFrame, *columns: str) -> DataFrame:
+        """The documents (or some columns) at wanted (chunk, place), from the folders that hold one."""
         rows = in_groups(self._rows(parts), wanted, self.chunks_each, MOST_NAMED)
+        rows = rows.select("chunk", "place", *columns) if columns else rows
         return rows.join(wanted.select("chunk", "place"), ["chunk", "place"], "left_semi")
 
     # search
 
-    def search(self, terms: tuple[Term, ...], k: int, where: Column | None = None, ahead: int = AHEAD) -> DataFrame:
+    def texts_at(self, addresses: DataFrame) -> DataFrame:
+        """chunk, place, text of documents that a search found."""
+        return self._texts(self._state()[0], addresses, "text")
+
+    def search(self, terms: tuple[Term, ...], k: int, where: Column | None = None, ahead: int = AHEAD, addresses: bool = False) -> DataFrame:
         """What content.search gives over documents(), with doc_key as the key: doc_key, lexical, coverage, coherence, in_text,
-        matched, score. where: hard filters on a document's columns but its text."""
+        matched, score (addresses: chunk and place too). where: hard filters on doc_key, name, directory_path, modified, length,
+        is_directory (never) and extension."""
         parts, _ = self._state()
         stats = self.statistics(terms)
         fixed = stats.first()
+        words = [sorted({w.lower() for w in t.texts if w}) for t in terms]
+        postings = self._postings(parts, [w for ws in words for w in ws])
         rows = self._rows(parts).select("chunk", "place", "grp", "doc_key", "name", "directory_path", "modified", "length")
-        found = self.candidates(terms, parts)
-        near = in_groups(rows, found, self.chunks_each, MOST_NAMED).join(found, ["chunk", "place"])
-        near = near if where is None else near.where(where)
-        bound = self._bound(terms, fixed)
-        bounded = near.select("chunk", "place", bound.alias("bound"), "modified", "doc_key").where("bound IS NOT NULL")
-        exact = lambda addresses: content.search(self._texts(parts, addresses), terms, k, "doc_key", "text", F.col("name"), F.col("directory_path"), None, F.col("modified"), stats)
-        best = bounded.orderBy(F.desc("bound"), "doc_key").limit(ahead * k)
-        scores = exact(best).select("score").orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        near = in_groups(rows, postings, self.chunks_each, MOST_NAMED).join(self.candidates(terms, parts), ["chunk", "place"])
+        near = near if where is None else near.withColumns({"is_directory": F.lit(False), "extension": P.extension(F.col("name"))}).where(where)
+        bounded = cut(near.select("chunk", "place", self._bound(terms, fixed).alias("bound")).where("bound IS NOT NULL"))
+
+        def exact(wanted: DataFrame) -> DataFrame:
+            texts = self._texts(parts, wanted).withColumn("_at", F.struct("doc_key", "chunk", "place"))
+            return content.search(texts, terms, k, "_at", "text", F.col("name"), F.col("directory_path"), None, F.col("modified"), stats)
+
+        best = bounded.orderBy(F.desc("bound"), "chunk", "place").limit(ahead * k)
+        scores = exact(best).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
         floor = scores["least"] if scores["n"] == k else None
-        return exact(bounded if floor is None else bounded.where(F.col("bound") >= floor - 1e-9 * (1 + abs(floor))))
+        found = exact(bounded if floor is None else bounded.where(F.col("bound") >= floor - 1e-9 * (1 + abs(floor))))
+        own = [c for c in found.columns if c != "_at"]
+        return found.select("_at.*", *own) if addresses else found.select("_at.doc_key", *own)
 
     def _bound(self, terms: tuple[Term, ...], stats) -> Column:
         """The most that a document's score can be, of what is known without its text; null if it can't be a match."""

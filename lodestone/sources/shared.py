@@ -6,16 +6,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new place below the cluster's spark.checkpoint.dir. Only where that is unset, and all run in one process (tests), it is
-    a temporary folder; a cluster without a shared folder is an error."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Only where that is unset, and all run in one process (tests), it is a temporary folder;
+    a cluster without a shared folder is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place there."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder as long as it is in use."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine, micros
 from lodestone.operators.vectors import index_rows
+from lodestone.plans.intent import compile_intent
 from lodestone.schema import FILE_RECORD
 
 NOW = datetime(2024, 7, 17)
@@ -78,3 +79,25 @@ def test_titles(engine):
 def test_one_plan_without_products_of_rows(engine):
     plan = engine.search("wifi error", NOW).select(F.col("name"))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_indexes_answer_as_tables_do(spark, engine, tmp_path):
+    from lodestone.sources.content_index import ContentIndex
+    from lodestone.sources.title_index import TitleIndex
+
+    titles, texts = TitleIndex(spark, str(tmp_path / "t"), chunk=4), ContentIndex(spark, str(tmp_path / "c"), docs=2)
+    titles.add(engine.files, "a")
+    own = engine.files.select(F.lower("full_path").alias("doc_key"), "name", "directory_path", "modified")
+    texts.add(engine.documents.withColumnRenamed("path_key", "doc_key").join(own, "doc_key"), "a")
+    indexed = Engine(None, vectors=engine.vectors, embed=embed, title_index=titles, content_index=texts)
+    want = engine.search("계정 NEPTUNE", NOW, 10)
+    assert [tuple(r) for r in indexed.search("계정 NEPTUNE", NOW, 10).select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
+    assert names(indexed.titles("aws")) == names(engine.titles("aws"))
+    within = indexed._content_by_index(compile_intent("wifi error", NOW), indexed.keyed(), NOW, 10, F.startswith("doc_key", F.lit("/root/work/"))).collect()
+    assert [r["path_key"] for r in within] == ["/root/work/meeting_report.docx"]
+
+
+def test_equal_scores_of_a_lane_come_newest_first(spark):
+    files = spark.createDataFrame([(f"{c}.txt", f"/r/{c}.txt", "/r", ".txt", False, 1, 1, m) for c, m in (("a", 1), ("b", 9), ("c", 5))], FILE_RECORD)
+    docs = spark.createDataFrame([(f"/r/{c}.txt", "same words here") for c in "abc"], "path_key string, text string")
+    assert names(Engine(files, docs).search("same words", NOW)) == ["b.txt", "c.txt", "a.txt"]
