@@ -126,10 +126,10 @@ def split_reusable(scan: DataFrame, previous: DataFrame, versions: list[str], pa
     return scan.join(previous.select("path_key", *versions, payload), ["path_key", *versions], "left")
 
 
-def without_recent_failures(work: DataFrame, attempts: DataFrame, now_micros: int, hours: int = 24) -> DataFrame:
-    """Work that hasn't failed, in this version, within the last hours."""
-    recent = attempts.where(F.col("attempted") > now_micros - hours * 3_600_000_000).select("path_key", "version").distinct()
-    return work.join(recent, ["path_key", "version"], "left_anti")
+def without_recent_failures(work: DataFrame, attempts: DataFrame, now_micros: int, hours: int = 24, version: str = "version") -> DataFrame:
+    """Work that hasn't failed, in this version, within the last hours. version: how work calls the column of attempts."""
+    recent = attempts.where(F.col("attempted") > now_micros - hours * 3_600_000_000).select("path_key", F.col("version").alias(version)).distinct()
+    return work.join(recent, ["path_key", version], "left_anti")
 
 
 def usable(headers: DataFrame, version: int, now_micros: int, cap: int, minutes: int = 30) -> DataFrame:

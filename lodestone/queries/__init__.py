@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import file_queries, index_queries, result_queries, texts  # noqa: F401
+from . import file_queries, index_queries, result_queries, stream_queries, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import fusion, results
 from ..schema import FAILED_ATTEMPT
+from ..sources.log import Log, live, vacuum
+from ..sources.shared import cut
+
+
+def now_micros() -> int:
+    return time.time_ns() // 1000
 
 
 def read_rows(spark: SparkSession, folder: str, schema: str, files_each: int = 1) -> DataFrame:
@@ -70,48 +78,59 @@ class ProgressiveResults:
 class IndexUpdates:
     """Documents of a stream that aren't current in an index go through work and are added to it; failures wait a day.
 
-    index and attempts are Parquet folders with a part for each batch, so repeated batches replace their own part. A document
-    that work gives no row for has failed: it is tried again, in the same version, only after hours. Every compact_each batches
-    the index's latest rows are written as one part, which older parts are then read instead of.
+    Each batch writes what it has made, and what has failed, under new names and commits both at once. What a batch is compared
+    with is what has been committed, so a repeated batch, or one whose writer died before its commit, never takes or
+    loses rows of another: it finds its rows current and makes nothing, or makes them again. A document that work gives no row
+    for has failed: it is tried again, in the same version, only after hours, told by the clock of each batch. Every
+    compact_each commits the latest rows are written as one part, and parts that nobody needs any more are removed.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, versions: list[str], work: Callable[[DataFrame], DataFrame], now_micros: int, hours: int = 24, compact_each: int = 50):
-        self.spark, self.folder, self.versions, self.work, self.now, self.hours, self.compact_each = spark, folder.rstrip("/"), versions, work, now_micros, hours, compact_each
-
-    def _parts(self, kind: str) -> list[str]:
-        """Paths of the parts that count: the newest whole compaction and what came after it."""
-        names = _children(self.spark, f"{self.folder}/{kind}")
-        whole = max((int(n.split("=")[1]) for n in names if n.startswith("upto=") and "_SUCCESS" in _children(self.spark, f"{self.folder}/{kind}/{n}")), default=-1)
-        later = [n for n in names if n.startswith("batch=") and int(n.split("=")[1]) > whole]
-        return [f"{self.folder}/{kind}/{n}" for n in ([f"upto={whole}"] if whole >= 0 else []) + later]
-
-    def rows(self, schema: str) -> DataFrame:
-        """The index so far: the latest row of each path."""
-        parts = self._parts("index")
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, added long").parquet(*parts)
-        columns = [c for c in rows.columns if c != "added"]
-        return rows.groupBy("path_key").agg(F.max_by(F.struct(*(c for c in columns if c != "path_key")), "added").alias("r")).select("path_key", "r.*")
+    def __init__(self, spark: SparkSession, folder: str, versions: list[str], work: Callable[[DataFrame], DataFrame], clock: Callable[[], int] = now_micros, hours: int = 24, compact_each: int = 50):
+        self.spark, self.log, self.versions, self.work, self.clock, self.hours, self.compact_each = spark, Log(spark, folder), versions, work, clock, hours, compact_each
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        """The rows of all live parts of a kind, with the number of their commit."""
+        made = [self.spark.read.schema(schema).parquet(self.log.path(p[kind])).withColumn("added", F.lit(p["number"]).cast("long")) for p in live(self.log.entries()) if p.get(kind)]
+        return reduce(DataFrame.union, made) if made else self.spark.createDataFrame([], f"{schema}, added long")
+
+    def rows(self, schema: str, among: DataFrame | None = None) -> DataFrame:
+        """The index so far: the latest row of each path (of the paths of among only)."""
+        rows = self._read("part", schema)
+        rows = rows if among is None else rows.join(among.select("path_key").distinct(), "path_key", "left_semi")
+        columns = [c for c in rows.columns if c not in ("path_key", "added")]
+        return rows.groupBy("path_key").agg(F.max_by(F.struct(*columns), F.struct("added", *self.versions)).alias("r")).select("path_key", "r.*")
 
     def attempts(self) -> DataFrame:
-        parts = self._parts("attempts")
-        return self.spark.read.schema(FAILED_ATTEMPT).parquet(*parts) if parts else self.spark.createDataFrame([], FAILED_ATTEMPT)
+        return self._read("attempts", FAILED_ATTEMPT).drop("added")
 
     def sink(self, schema: str) -> Callable[[DataFrame, int], None]:
         def add(batch: DataFrame, number: int) -> None:
-            waiting = results.pending(batch, self.rows(schema), self.versions).withColumn("version", F.xxhash64(*self.versions))
-            waiting = results.without_recent_failures(waiting, self.attempts(), self.now, self.hours)
-            path = f"{self.folder}/index/batch={number}"
-            self.work(waiting.drop("version")).withColumn("added", F.lit(number).cast("long")).write.mode("overwrite").parquet(path)
-            made = self.spark.read.schema(schema).parquet(path).select("path_key")
-            failed = waiting.join(made, "path_key", "left_anti").select("path_key", "version", F.lit(self.now).cast("long").alias("attempted")).distinct()
-            failed.write.mode("overwrite").parquet(f"{self.folder}/attempts/batch={number}")
-            if number and number % self.compact_each == 0:
-                self.rows(schema).withColumn("added", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/index/upto={number}")
+            now = self.clock()
+            batch = batch.dropDuplicates(["path_key", *self.versions])
+            waiting = results.pending(batch, self.rows(schema, batch), self.versions).withColumn("_version", F.xxhash64(*self.versions))
+            waiting = cut(results.without_recent_failures(waiting, self.attempts(), now, self.hours, "_version"))
+            part, attempts = self.log.new_part("index"), self.log.new_part("attempts")
+            self.work(waiting.drop("_version")).write.parquet(self.log.path(part))
+            made = self.spark.read.schema(schema).parquet(self.log.path(part)).select("path_key", *self.versions)
+            failed = waiting.join(made, ["path_key", *self.versions], "left_anti").select("path_key", F.col("_version").alias("version"), F.lit(now).cast("long").alias("attempted")).distinct()
+            failed.write.parquet(self.log.path(attempts))
+            done = self.log.commit(lambda before: {"batch": number, "added": [{"part": part, "attempts": attempts}]})
+            if done["number"] and done["number"] % self.compact_each == 0:
+                self.compact(schema)
 
         return add
 
+    def compact(self, schema: str) -> None:
+        """The latest rows and the attempts that still count as one part; if another commit comes meanwhile, nothing changes."""
+        seen = self.log.entries()
+        parts, kept = live(seen), self.log.new_part("index")
+        recent = self.log.new_part("attempts")
+        self.rows(schema).write.parquet(self.log.path(kept))
+        self.attempts().where(F.col("attempted") > self.clock() - self.hours * 3_600_000_000).write.parquet(self.log.path(recent))
+        entry = {"batch": None, "removed": [p["part"] for p in parts], "added": [{"part": kept, "attempts": recent}]}
+        self.log.commit(lambda now: entry if len(now) == len(seen) else None)
+        vacuum(self.log, ["index", "attempts"], keep=self.compact_each)
+
 
 def windowed_counts(events: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
     """An extra: counts in windows of event time; rows later than the watermark allows are dropped by the stream."""

@@ -1,5 +1,7 @@
 import io
+import os
 import zipfile
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -11,7 +13,9 @@ from lodestone.schema import SEMANTIC_VECTOR
 from lodestone.sources.documents import decode, extract, extract_text, read_texts
 from lodestone.sources.files import TreeReader, current_folder, is_complete, read_binary, scan
 from lodestone.sources.index import Index
+from lodestone.sources.log import live
 from lodestone.streaming.incremental import IndexUpdates, ProgressiveResults, exhaust, read_rows
+from lodestone.streaming.state import PROVIDER, ROCKS, attempts
 
 
 def zipped(**parts):
@@ -103,22 +107,94 @@ def test_progressive_results(spark, tmp_path):
 
 
 def test_failures_wait_a_day_and_indexes_are_compacted(spark, tmp_path):
-    schema, calls = "path_key string, size long", []
+    schema, calls, hour, clock = "path_key string, size long", [], 3_600_000_000, [0]
 
     def work(waiting):
         calls.append(sorted(r["path_key"] for r in waiting.collect()))
         return waiting.where("path_key <> 'bad'").select("path_key", "size")
 
     batch = spark.createDataFrame([("a", 1), ("bad", 1)], schema)
-    at = lambda now: IndexUpdates(spark, str(tmp_path / "i"), ["size"], work, now, compact_each=2).sink(schema)
-    hour = 3_600_000_000
-    at(100 * hour)(batch, 0)
-    at(110 * hour)(batch, 1)  # neither the current nor the failed one
-    at(125 * hour)(batch, 2)
-    at(126 * hour)(spark.createDataFrame([("a", 2), ("bad", 2)], schema), 3)  # other versions are tried at once
+    index = IndexUpdates(spark, str(tmp_path / "i"), ["size"], work, lambda: clock[0], compact_each=2)
+    add = index.sink(schema)  # one sink for all: its clock goes on
+    for at, rows, number in ((100, batch, 0), (110, batch, 1), (125, batch, 2), (126, spark.createDataFrame([("a", 2), ("bad", 2)], schema), 3)):
+        clock[0] = at * hour
+        add(rows, number)
+    # neither the current nor the failed one, then the failed one, then other versions at once
     assert calls == [["a", "bad"], [], ["bad"], ["a", "bad"]]
-    index = IndexUpdates(spark, str(tmp_path / "i"), ["size"], work, 0)
-    assert len(index._parts("index")) == 2 and [tuple(r) for r in index.rows(schema).collect()] == [("a", 2)]
+    assert [tuple(r) for r in index.rows(schema).collect()] == [("a", 2)]
+    assert len(live(index.log.entries())) == 1 and index.attempts().count() == 2 and len(index.log.children("attempts")) < 6
+
+
+def test_a_repeated_batch_loses_nothing(spark, tmp_path):
+    schema, calls = "path_key string, size long", []
+
+    def work(waiting):
+        calls.append(waiting.count())
+        return waiting
+
+    index = IndexUpdates(spark, str(tmp_path), ["size"], work)
+    first, second = (spark.createDataFrame(x, schema) for x in ([("a", 1), ("b", 1)], [("a", 2), ("c", 1), ("c", 1)]))
+    add = index.sink(schema)
+    add(first, 0)
+    add(second, 1)
+    add(second, 1)  # its checkpoint was lost after the commit
+    assert sorted(map(tuple, index.rows(schema).collect())) == [("a", 2), ("b", 1), ("c", 1)] and calls == [2, 2, 0]
+    part = index.log.new_part("index")  # a writer that died before its commit
+    first.withColumn("size", F.lit(99).cast("long")).write.parquet(index.log.path(part))
+    add(first, 0)  # a stream that begins anew: an older version comes again as a newer row
+    assert sorted(map(tuple, index.rows(schema).collect())) == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_state_of_a_stream(spark, tmp_path):
+    schema = "path_key string, version long, text string, seen timestamp"
+    day = lambda n: datetime(2024, 1, n)
+    batches = [
+        [("a", 1, "x", day(1)), ("bad", 1, "fails once", day(1)), ("never", 1, "fails", day(1)), (None, 1, "x", day(1))],
+        [("a", 1, "x", day(1)), ("bad", 1, "fails once", day(1)), ("a", 0, "older", day(1))],
+        [("b", 1, None, day(2)), ("b", 2, "y", day(2))],
+        [("c", 1, "z", day(4)), ("a", 2, "xx", day(4))],
+        [("d", 1, "z", day(6))],
+        [("e", 1, "z", day(20))],
+        [("f", 1, "z", day(21))],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i:02}"))
+        for f in (tmp_path / "in" / f"{i:02}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i:02}-{f.name}")
+            os.utime(tmp_path / "in" / f"{i:02}-{f.name}", (1000 + i, 1000 + i))
+
+    def work(key, version, text):
+        if text == "fails" or (text == "fails once" and not os.path.exists(marker)):
+            open(marker, "w").close()
+            raise ValueError("no")
+        return f"{key}-{version}"
+
+    marker, got = str(tmp_path / "failed-once"), str(tmp_path / "got")
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        for end in (2, 99):  # a stop in the middle, and another run from the checkpoint
+            left = [end]
+
+            def sink(batch, number):
+                if left[0] == 0:
+                    raise RuntimeError("stopped")
+                left[0] -= 1
+                batch.write.mode("overwrite").parquet(f"{got}/{number}")
+
+            stream = attempts(read_rows(spark, str(tmp_path / "in"), schema), work, most=2)
+            query = stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+            except Exception:
+                assert end == 2
+    finally:
+        spark.conf.unset(PROVIDER)
+    rows = [r for n in sorted(os.listdir(got)) for r in spark.read.parquet(f"{got}/{n}").collect()]
+    made = sorted((r["path_key"], r["version"]) for r in rows if not r["failed"])
+    assert made == [("a", 1), ("a", 2), ("b", 2), ("bad", 1), ("c", 1), ("d", 1), ("e", 1), ("f", 1)]
+    assert sorted((r["path_key"], r["attempt"]) for r in rows if r["failed"]) == [("bad", 1), ("never", 1), ("never", 2)]
+    again = next(r for r in rows if r["path_key"] == "bad" and not r["failed"])
+    assert again["attempt"] == 2 and again["at"] - next(r["at"] for r in rows if r["path_key"] == "bad" and r["failed"]) == 24 * 3_600_000
 
 
 def test_budgets_quotas_and_progress(spark):
