@@ -79,8 +79,8 @@ class IndexUpdates:
     """Documents of a stream that aren't current in an index go through work and are added to it; failures wait a day.
 
     Each batch writes what it has made, and what has failed, under new names and commits both at once. What a batch is compared
-    with is what has been committed, so a repeated batch, or one whose writer died before its commit, never takes or
-    loses rows of another: it finds its rows current and makes nothing, or makes them again. A document that work gives no row
+    with is what has been committed, so a repeated batch, or one whose writer died before its commit, never takes or loses
+    rows of another: it finds its rows current and makes nothing, or makes them again. A document that work gives no row
     for has failed: it is tried again, in the same version, only after hours, told by the clock of each batch. Every
     compact_each commits the latest rows are written as one part, and parts that nobody needs any more are removed.
     """
@@ -106,7 +106,8 @@ class IndexUpdates:
     def sink(self, schema: str) -> Callable[[DataFrame, int], None]:
         def add(batch: DataFrame, number: int) -> None:
             now = self.clock()
-            batch = batch.dropDuplicates(["path_key", *self.versions])
+            columns = [c for c in batch.columns if c != "path_key"]
+            batch = batch.groupBy("path_key").agg(F.max_by(F.struct(*columns), F.struct(*self.versions)).alias("r")).select("path_key", "r.*")
             waiting = results.pending(batch, self.rows(schema, batch), self.versions).withColumn("_version", F.xxhash64(*self.versions))
             waiting = cut(results.without_recent_failures(waiting, self.attempts(), now, self.hours, "_version"))
             part, attempts = self.log.new_part("index"), self.log.new_part("attempts")

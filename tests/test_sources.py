@@ -133,7 +133,7 @@ def test_a_repeated_batch_loses_nothing(spark, tmp_path):
         return waiting
 
     index = IndexUpdates(spark, str(tmp_path), ["size"], work)
-    first, second = (spark.createDataFrame(x, schema) for x in ([("a", 1), ("b", 1)], [("a", 2), ("c", 1), ("c", 1)]))
+    first, second = (spark.createDataFrame(x, schema) for x in ([("a", 1), ("b", 1)], [("a", 2), ("c", 1), ("c", 1), ("a", 1)]))
     add = index.sink(schema)
     add(first, 0)
     add(second, 1)
