@@ -84,19 +84,32 @@ def without_unsupported(semantic: DataFrame, lexical: DataFrame, strong: Column)
     return semantic.crossJoin(F.broadcast(flag)).join(known, "path_key", "left").where(~F.col("_strong") | F.col("_known")).drop("_strong", "_known")
 
 
+#: How a result was analysed, from the most to the least: what decides between rows of one priority.
+FLAGS = ("was_advanced", "was_visual", "was_ai")
+
+
+def flagged(rows: DataFrame) -> DataFrame:
+    """rows with all FLAGS; those that aren't there are false."""
+    return rows.withColumns({f: F.coalesce(F.col(f), F.lit(False)) if f in rows.columns else F.lit(False) for f in FLAGS})
+
+
 def upsert(previous: DataFrame, incoming: DataFrame, k: int, custom_ranking: bool = False) -> DataFrame:
-    """path_key, priority, score, percent, name, rank (the place in its list): the better row of each path, best first.
+    """path_key, priority, score, percent, name, rank (the place in its list), FLAGS: the better row of each path, best first.
 
-    The incoming row replaces one of lower priority, or of equal priority whose score or percentage isn't higher. Rows come by
+    The incoming row replaces one of lower priority; of equal priority, one that wasn't analysed as far (the first flag in
+    which they differ tells); where these are equal too, one whose score or percentage isn't higher. Rows come by
     priority and score; by score and priority where the query has ranking wishes; then percentage, place in the incoming list,
     place in the previous one, and name. rank becomes the place in the result.
     """
     c = F.col
-    both = previous.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    one = F.struct("priority", "score", "percent", "name")
+    both = flagged(previous).withColumn("_new", F.lit(0)).unionByName(flagged(incoming).withColumn("_new", F.lit(1)))
+    one = F.struct("priority", *FLAGS, "score", "percent", "name")
     of = lambda new: F.max(F.when(c("_new") == new, one))
     rows = both.groupBy("path_key").agg(of(0).alias("_p"), of(1).alias("_i"), F.min(F.when(c("_new") == 1, c("rank"))).alias("_in"), F.min(F.when(c("_new") == 0, c("rank"))).alias("_was"))
-    better = F.when(c("_i.priority") != c("_p.priority"), c("_i.priority") > c("_p.priority")).otherwise((c("_i.score") >= c("_p.score")) | (c("_i.percent") >= c("_p.percent")))
+    better = F.when(c("_i.priority") != c("_p.priority"), c("_i.priority") > c("_p.priority"))
+    for f in FLAGS:
+        better = better.when(c(f"_i.{f}") != c(f"_p.{f}"), c(f"_i.{f}"))
+    better = better.otherwise((c("_i.score") >= c("_p.score")) | (c("_i.percent") >= c("_p.percent")))
     rows = rows.withColumn("_b", F.when(c("_p").isNull() | (c("_i").isNotNull() & better), c("_i")).otherwise(c("_p"))).select("path_key", "_b.*", "_in", "_was")
     keys = ["score", "priority"] if custom_ranking else ["priority", "score"]
     by = [*(F.desc(x) for x in keys), F.desc("percent"), F.asc_nulls_last("_in"), F.asc_nulls_last("_was"), F.lower("name"), c("path_key")]

@@ -5,21 +5,17 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import patterns
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.phonetic import LEAST, sounds_like
 from ..plans.intent import Intent, Term, tokenize
 from .metadata import hard_filters, script_tests
 
-#: Instead of a time limit on each row, which a column expression can't have: patterns that can't backtrack without end.
-MOST_PATTERN, NESTED = 512, re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
-
 
 def on_paths(query: str) -> bool:
     """Whether a query is one on whole paths: it has a separator or colon."""
@@ -27,31 +23,18 @@ def on_paths(query: str) -> bool:
 
 
 def matcher(query: str, whole_word: bool = False, match_case: bool = False, use_regex: bool = False, kind: str = "all", name: str = "name", path: str = "full_path") -> Column:
-    """A filter on names, or on full paths if the query has a separator or colon. kind: all, files or folders."""
+    """A filter on names, or on full paths if the query has a separator or colon. kind: all, files or folders. A pattern is matched
+    in linear time (functions/patterns.py): ValueError for one that can't be."""
     target = F.col(path if on_paths(query) and not use_regex else name)
     if not match_case and not use_regex:
         target, query = F.lower(target), query.lower()
     if use_regex:
-        validate(query)
-        test = target.rlike(query if match_case else f"(?i){query}")
+        test = patterns.matches(target, query, match_case)
     else:
         test = T.whole_word(target, query) if whole_word else F.contains(target, F.lit(query))
     return test & {"all": F.lit(True), "files": ~F.col("is_directory"), "folders": F.col("is_directory")}[kind]
 
 
-def validate(pattern: str) -> None:
-    """A bad pattern is refused before anything is planned: the Java engine that runs it compiles it, where a session is there."""
-    if len(pattern) > MOST_PATTERN or NESTED.search(pattern):
-        raise ValueError("a pattern that is too long, or repeats what repeats, may take for ever")
-    session = SparkSession.getActiveSession()
-    try:
-        re.compile(pattern) if session is None else session._jvm.java.util.regex.Pattern.compile(pattern)
-    except re.error as e:
-        raise ValueError(f"not a regular expression: {e}") from e
-    except (Py4JJavaError, IllegalArgumentException) as e:
-        raise ValueError(f"not a regular expression: {e}") from e
-
-
 def search(files: DataFrame, test: Column, k: int, sort: str = "name", descending: bool = False) -> DataFrame:
     """The first k matches by name, path, size or modified, then path."""
     by = {"name": F.lower("name"), "path": F.lower("full_path"), "size": F.coalesce("size_bytes", F.lit(-1)), "modified": F.col("modified")}[sort]
@@ -146,12 +129,15 @@ def ladder(files: DataFrame, intent: Intent, k: int, now_micros: int = 0, from_m
         ("path", F.lit(n > 0) & strict & (c("_m") == n), 760.0 + 18.0 * c("_t") + 10.0 * c("_p"), F.lit(88.0)),
         ("some", F.lit(n > 0) & strict & (c("_m") > 0), 540.0 + 190.0 * coverage + 10.0 * c("_o") + 9.0 * c("_t") + 4.0 * c("_p") + typed, S.clamp(60.0 + 28.0 * coverage, 61.0, 88.0)),
     )
-    pick = lambda i: reduce(lambda w, r: w.when(r[1], F.lit(r[0]) if i == 0 else r[i]), rungs, F)
+    # the first rung that holds, once; score and percent by its number
+    number = reduce(lambda w, r: w.when(r[1][1], F.lit(r[0])), enumerate(rungs), F)
+    rows = rows.withColumns({"_exact": equal | inside, "_rung": number}).where("_rung IS NOT NULL")
+    pick = lambda i: reduce(lambda w, r: w.when(c("_rung") == r[0], F.lit(r[1][0]) if i == 0 else r[1][i]), enumerate(rungs), F)
     score = pick(2).cast("double")
     if intent.directives:
         signals = {x: c(y) if y in files.columns else F.lit(None).cast("long") for x, y in (("created", "created"), ("modified", "modified"), ("size", "size_bytes"))}
         score = score + S.adjustment(intent.directives, signals, now_micros)
-    out = rows.select("file_id", "name", score.alias("score"), F.coalesce(pick(3).cast("double"), no).alias("percent"), (equal | inside).alias("exact"), pick(0).alias("rung")).where("rung IS NOT NULL")
+    out = rows.select("file_id", "name", score.alias("score"), F.coalesce(pick(3).cast("double"), no).alias("percent"), c("_exact").alias("exact"), pick(0).alias("rung"))
     return out.orderBy(F.desc("score"), F.desc("exact"), F.lower("name"), "file_id").limit(k).drop("name")
 
 

@@ -153,9 +153,9 @@ def wished_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path_key", F.col("guardrail").cast("long").alias("guardrail"), F.round(F.pow(F.lit(0.5), (2000 - F.col("modified") / DAY) / 30.0), 6).alias("wish"))
 
 
-_UPSERT = """WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS pr, round(o_totalprice / 1000, 0) AS sc, o_orderkey % 7 AS pc, o_orderkey AS rk FROM orders WHERE o_orderkey % 3 <> 0),
-i AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END AS pr, round(o_totalprice / 2000, 0) AS sc, o_orderkey % 5 AS pc, 1000000 - o_orderkey AS rk FROM orders WHERE o_orderkey % 2 = 0),
-b AS (SELECT coalesce(p.k, i.k) AS k, p.rk AS was, i.rk AS new, CASE WHEN p.k IS NULL THEN true WHEN i.k IS NULL THEN false WHEN i.pr <> p.pr THEN i.pr > p.pr ELSE i.sc >= p.sc OR i.pc >= p.pc END AS take, p.pr AS ppr, p.sc AS psc, p.pc AS ppc, i.pr AS ipr, i.sc AS isc, i.pc AS ipc FROM p FULL JOIN i ON p.k = i.k),
+_UPSERT = """WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS pr, round(o_totalprice / 1000, 0) AS sc, o_orderkey % 7 AS pc, o_orderkey AS rk, o_orderkey % 11 = 0 AS adv, o_orderkey % 4 = 0 AS vis, o_orderkey % 5 < 2 AS ai FROM orders WHERE o_orderkey % 3 <> 0),
+i AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END AS pr, round(o_totalprice / 2000, 0) AS sc, o_orderkey % 5 AS pc, 1000000 - o_orderkey AS rk, o_orderkey % 13 = 0 AS adv, o_orderkey % 8 = 0 AS vis, o_orderkey % 5 > 2 AS ai FROM orders WHERE o_orderkey % 2 = 0),
+b AS (SELECT coalesce(p.k, i.k) AS k, p.rk AS was, i.rk AS new, CASE WHEN p.k IS NULL THEN true WHEN i.k IS NULL THEN false WHEN i.pr <> p.pr THEN i.pr > p.pr WHEN i.adv <> p.adv THEN i.adv WHEN i.vis <> p.vis THEN i.vis WHEN i.ai <> p.ai THEN i.ai ELSE i.sc >= p.sc OR i.pc >= p.pc END AS take, p.pr AS ppr, p.sc AS psc, p.pc AS ppc, i.pr AS ipr, i.sc AS isc, i.pc AS ipc FROM p FULL JOIN i ON p.k = i.k),
 m AS (SELECT k, was, new, CASE WHEN take THEN ipr ELSE ppr END AS pr, CASE WHEN take THEN isc ELSE psc END AS sc, CASE WHEN take THEN ipc ELSE ppc END AS pc FROM b)
 """
 
@@ -165,9 +165,10 @@ def progressive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence first; where the query has wishes of its own, score first."""
     o = table(spark, sf_dir, "orders")
     c = F.col
-    row = lambda d, p, s, q, r: d.select(c("o_orderkey").alias("path_key"), p.alias("priority"), s.alias("score"), q.cast("double").alias("percent"), F.lit("").alias("name"), r.cast("long").alias("rank"))
-    before = row(o.where(c("o_orderkey") % 3 != 0), F.when(c("o_orderstatus") == "F", 2).otherwise(1), F.round(c("o_totalprice") / 1000, 0), c("o_orderkey") % 7, c("o_orderkey"))
-    new = row(o.where(c("o_orderkey") % 2 == 0), F.when(c("o_orderpriority") == "1-URGENT", 3).otherwise(1), F.round(c("o_totalprice") / 2000, 0), c("o_orderkey") % 5, 1_000_000 - c("o_orderkey"))
+    k = c("o_orderkey")
+    row = lambda d, p, s, q, r, *flags: d.select(k.alias("path_key"), p.alias("priority"), s.alias("score"), q.cast("double").alias("percent"), F.lit("").alias("name"), r.cast("long").alias("rank"), *(x.alias(f) for x, f in zip(flags, fusion.FLAGS, strict=True)))
+    before = row(o.where(c("o_orderkey") % 3 != 0), F.when(c("o_orderstatus") == "F", 2).otherwise(1), F.round(c("o_totalprice") / 1000, 0), c("o_orderkey") % 7, c("o_orderkey"), k % 11 == 0, k % 4 == 0, k % 5 < 2)
+    new = row(o.where(c("o_orderkey") % 2 == 0), F.when(c("o_orderpriority") == "1-URGENT", 3).otherwise(1), F.round(c("o_totalprice") / 2000, 0), c("o_orderkey") % 5, 1_000_000 - c("o_orderkey"), k % 13 == 0, k % 8 == 0, k % 5 > 2)
     found = [fusion.upsert(before, new, 500, x == "custom").select(F.lit(x).alias("ranking"), "path_key", c("priority").cast("long").alias("priority"), "score") for x in ("plain", "custom")]
     return found[0].union(found[1])
 

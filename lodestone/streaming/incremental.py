@@ -40,39 +40,40 @@ def pause(query: StreamingQuery) -> None:
     query.stop()
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    """Names in a folder; none if it isn't there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
-
-
 class ProgressiveResults:
     """Result rows merged batch by batch into a bounded table of the best k: rows are replaced, never cleared.
 
-    Each batch writes a new version, named by the batch's number: a repeated batch writes the same version again, from the
-    version before it. A new object over the same folder goes on where the last one ended.
+    Each batch commits a new table that takes the place of the one before it. A repeated batch starts from what earlier batches
+    left, so it gives the same table again. A new object over the same folder goes on where the last one ended; tables that
+    nobody needs any more are removed.
     """
 
+    COLUMNS = ("path_key", "priority", "score", "percent", "name", *fusion.FLAGS)
+
     def __init__(self, spark: SparkSession, folder: str, k: int, custom_ranking: bool = False):
-        self.spark, self.folder, self.k, self.custom_ranking = spark, folder.rstrip("/"), k, custom_ranking
+        self.spark, self.log, self.k, self.custom_ranking = spark, Log(spark, folder), k, custom_ranking
 
     @property
     def last(self) -> int:
-        """The newest whole version, or -1."""
-        done = [int(n) for n in _children(self.spark, self.folder) if n.isdigit() and "_SUCCESS" in _children(self.spark, f"{self.folder}/{n}")]
-        return max(done, default=-1)
+        """The number of the newest batch, or -1."""
+        entries = self.log.entries()
+        return entries[-1]["batch"] if entries else -1
 
     def current(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/{last}") if (last := self.last) >= 0 else None
+        parts = live(self.log.entries())
+        return self.spark.read.parquet(self.log.path(parts[-1]["part"])) if parts else None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         if "rank" not in batch.columns:
             batch = fusion.ranked(batch, [F.desc("priority"), F.desc("score"), F.col("path_key")], self.k).withColumnRenamed("lane_rank", "rank")
-        batch = batch.select("path_key", "priority", "score", "percent", "name", F.col("rank").cast("long").alias("rank"))
-        before = self.spark.read.schema(batch.schema).parquet(f"{self.folder}/{number - 1}") if number else batch.limit(0)
+        batch = fusion.flagged(batch).select(*self.COLUMNS, F.col("rank").cast("long").alias("rank"))
+        earlier = [e["added"][0]["part"] for e in self.log.entries() if e["batch"] < number]
+        before = self.spark.read.schema(batch.schema).parquet(self.log.path(earlier[-1])) if earlier else batch.limit(0)
+        part = self.log.new_part("results")
         out = fusion.upsert(before, batch, self.k, self.custom_ranking)
-        out.select(*batch.columns[:-1], F.col("rank").cast("long").alias("rank")).write.mode("overwrite").parquet(f"{self.folder}/{number}")
+        out.select(*self.COLUMNS, F.col("rank").cast("long").alias("rank")).write.parquet(self.log.path(part))
+        self.log.commit(lambda seen: {"batch": number, "added": [{"part": part}], "removed": [p["part"] for p in live(seen)]})
+        vacuum(self.log, ["results"])
 
 
 class IndexUpdates:

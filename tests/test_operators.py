@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
+from lodestone.functions import patterns
 from lodestone.functions import scores as S
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
@@ -207,10 +208,23 @@ def test_targets_of_paths(spark):
     assert results.title_root_order(["/x", "//net", "/cur", "/X"], "/CUR") == ["/cur", "//net", "/x"]
 
 
-def test_patterns_that_may_not_end_are_refused():
-    for bad in ("(a+)+$", "x" * 600):
-        with pytest.raises(ValueError):
-            titles.validate(bad)
+def test_patterns_end(spark):
+    long = "a" * 100_000
+    rows = spark.createDataFrame([(1, long + "!"), (2, "12.34"), (3, None), (4, "ÀB\n")], "i int, t string")
+    got = lambda p, **k: [r["i"] for r in rows.where(patterns.matches(F.col("t"), p, **k)).orderBy("i").collect()]
+    assert got("^(a+)+$") == [] and got("((a|aa)+)+b") == [] and got(r"(\d+)+") == [2] and got("^((a|aa)+)+!$") == [1]
+    assert got("àb", match_case=False) == [4] and got("àb") == []
+
+
+@pytest.mark.parametrize(("pattern", "why"), [(r"(a)\1", "back-references"), (r"(?P<x>a)(?P=x)", "back-references"), ("a(?=b)", "looking"), ("(?<!a)b", "looking"), ("(?>a)b", "atomic"), ("a++b", "possessive"), ("(", "not a regular"), ("[z-a]", "not a regular"), ("*a", "not a regular")])
+def test_what_no_automaton_can_tell_is_refused(pattern, why):
+    with pytest.raises(ValueError, match=why):
+        patterns.validate(pattern)
+
+
+def test_ordinary_patterns_pass():
+    for pattern in (r"(\d+)+", "((a+))+b", r"[(?=]+", r"\Q(?=\E", "x" * 600, "a{2,5}?", r"\\1"):
+        patterns.validate(pattern)
 
 
 def test_labels_of_a_tagger(spark, tmp_path):
@@ -225,6 +239,16 @@ def test_upsert_keeps_what_is_better(spark):
     assert got() == [("c", 3, 1.0, 0), ("a", 2, 5.0, 1), ("b", 1, 8.0, 2)] and [x[0] for x in got(custom_ranking=True)] == ["b", "a", "c"]
 
 
+def test_what_was_analysed_further_stays(spark):
+    kind = "path_key string, priority int, score double, percent double, name string, rank long, was_advanced boolean, was_visual boolean, was_ai boolean"
+    rows = lambda *x: spark.createDataFrame([(p, 1, s, s, p, 0, *f) for p, s, *f in x], kind)
+    no, yes = False, True
+    before = rows(("a", 9.0, yes, no, no), ("b", 1.0, no, yes, no), ("c", 9.0, no, no, no), ("d", 9.0, yes, no, yes), ("e", 9.0, no, None, no))
+    new = rows(("a", 99.0, no, yes, yes), ("b", 2.0, no, yes, no), ("c", 1.0, no, no, yes), ("d", 1.0, yes, yes, no), ("e", 1.0, no, no, no))
+    got = {r["path_key"]: r["score"] for r in fusion.upsert(before, new, 9).collect()}
+    assert got == {"a": 9.0, "b": 2.0, "c": 1.0, "d": 1.0, "e": 9.0}
+
+
 def test_round_robin_is_fair(spark):
     rows = spark.createDataFrame([(i, f"d{i % 6}" if i < 60 else "hot", i) for i in range(200)], "k int, g string, p int")
     assert len({r["g"] for r in results.round_robin(rows, 7, "g", "p", "k").collect()}) == 7
