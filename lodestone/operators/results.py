@@ -17,20 +17,32 @@ from ..plans.intent import Intent, Term, once
 from .metadata import script_tests
 
 
-def term_holds(text: Column, term: Term) -> Column:
-    """A phrase anywhere; Hangul and Han anywhere in the text without gaps; a word whole, or as a beginning from three letters on."""
-    normal, compact = T.normalized(T.narrow(text)), T.compact(T.narrow(text))
-
-    def one(w: str) -> Column:
+def read_forms(text: Column, name: str) -> dict[str, Column]:
+    """What terms are looked for in: a text's words with one space around each, and the text without gaps."""
+    narrow = T.narrow(text)
+    return {f"_words_{name}": F.concat(F.lit(" "), T.normalized(narrow), F.lit(" ")), f"_bare_{name}": T.compact(narrow)}
+
+
+def term_in(words: Column, bare: Column, term: Term) -> Column:
+    """Of a text's read_forms. A phrase anywhere; Hangul and Han anywhere in the text without gaps; a word whole, or as a beginning
+    from three letters on. All of a term's words but Hangul and Han are one pattern: these texts have only letters, digits and
+    spaces."""
+    plain, joined = [], []
+    for w in term.names:
         w = " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", w).lower()))
-        if " " in w:
-            return F.contains(normal, F.lit(w))
-        if re.search("[가-힣\u3400-\u9fff]", w):
-            return F.contains(compact, F.lit(w))
-        return T.has_word(normal, w) | (F.contains(F.concat(F.lit(" "), normal), F.lit(f" {w}")) if len(w) >= 3 else F.lit(False))
+        if not w:
+            continue
+        if " " not in w and re.search("[가-힣\u3400-\u9fff]", w):
+            joined.append(F.contains(bare, F.lit(w)))
+        else:
+            plain.append(w if " " in w else f" {w}" if len(w) >= 3 else f" {w} ")
+    tests = joined + ([words.rlike("|".join(dict.fromkeys(plain)))] if plain else [])
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-    words = [w for w in term.names if re.search(r"[^\W_]", w)]
-    return reduce(lambda a, b: a | b, (one(w) for w in words), F.lit(False))
+
+def term_holds(text: Column, term: Term) -> Column:
+    """term_in of a text."""
+    return term_in(*read_forms(text, "").values(), term)
 
 
 def refine(source: DataFrame, intent: Intent, now_micros: int = 0, from_micros: int | None = None, to_micros: int | None = None, profile: Column | None = None) -> DataFrame:
@@ -51,11 +63,13 @@ def refine(source: DataFrame, intent: Intent, now_micros: int = 0, from_micros:
     shown = P.type_display(c("extension"), c("is_directory"))
     # concepts count for the type's match, but not for a term's being matched at all
     meant = F.concat_ws(" ", shown, "extension", F.substring("extension", 2, 255), F.concat_ws(" ", P.concepts(c("extension"))))
-    in_name, in_path, in_type = ([term_holds(x, t) for t in terms] for x in (c("name"), c("directory_path"), meant))
-    plain = [term_holds(F.concat_ws(" ", shown, "extension"), t) for t in terms]
+    # each text is brought to its forms once; a row number in the condition keeps the filter above what it counts
+    texts = {"name": c("name"), "path": c("directory_path"), "type": meant, "shown": F.concat_ws(" ", shown, "extension")}
+    rows = rows.withColumns({k: v for name, text in texts.items() for k, v in read_forms(F.coalesce(text, F.lit("")), name).items()} | {"_row": F.monotonically_increasing_id()})
+    in_name, in_path, in_type, plain = ([term_in(c(f"_words_{x}"), c(f"_bare_{x}"), t) for t in terms] for x in texts)
     count = lambda tests: reduce(lambda a, b: a + b, (x.cast("int") for x in tests), F.lit(0))
     rows = rows.withColumns({"matched": count([a | b | d for a, b, d in zip(in_name, in_path, plain, strict=True)]), "in_name": count(in_name), "in_path": count(in_path), "in_kind": count(in_type)})
-    rows = rows.where(c("matched") >= (max(1, -(-n // 2)) if n else 0))
+    rows = rows.where((c("matched") >= (max(1, -(-n // 2)) if n else 0)) & (c("_row") >= 0)).drop("_row", *(f"_{k}_{x}" for k in ("words", "bare") for x in texts))
     if intent.folders_only or intent.files_only:
         rows = rows.where(c("is_directory") if intent.folders_only else ~c("is_directory"))
     if intent.categories or intent.extensions:
