@@ -12,7 +12,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.phonetic import phonetic_similarity
-from ..operators import content, fusion, metadata, results
+from ..operators import content, fusion, metadata, results, sounds
 from ..operators import vectors as VO
 from ..plans import fixed
 from ..plans.intent import Directive, Intent, Term
@@ -445,3 +445,25 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = VO.semantic_search(VO.index_rows(table(spark, sf_dir, "embeddings")), _query_vector(spark, sf_dir), 60, 0.1, 0.75, 20)
     near = near.select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("path_key"), F.lit(2).alias("lane"), (F.col("rank") - 1).alias("lane_rank"), (90 + 260 * F.greatest(F.lit(0.0), F.round("similarity", 6) - 0.1)).alias("score"), F.lit("SemanticCandidate").alias("evidence"), F.round("similarity", 6).alias("semantic"))
     return fusion.order(fusion.merge([meta, text, near]), 100).select("path_key", "kind", F.col("guardrail").cast("long").alias("guardrail"), F.round("hybrid", 6).alias("hybrid"), "percent")
+
+
+def _alike(term: str, readings: tuple[str, ...], sound: str, least: float) -> str:
+    """The names with a word, or a part of a longer one, that is as like as least to a reading, all words compared."""
+    each = []
+    for r in readings:
+        m = len(r)
+        parts = f"SELECT file_id, w AS f FROM w UNION SELECT file_id, substr(w, i::INT, n::INT) FROM w, range({max(4, m - 2)}, {m + 3}) a(n), range(1, 60) b(i) WHERE length(w) > {max(m + 2, 4)} AND n <= length(w) - 1 AND i <= length(w) - n + 1"
+        like = f"greatest(1 - levenshtein(f, '{r}') / greatest(length(f), {m}), CASE WHEN length(k) >= 3 THEN 1 - levenshtein(k, '{sound}') / greatest(length(k), {len(sound)}) ELSE 0 END)"
+        each.append(f"SELECT file_id, {like} AS x FROM (SELECT file_id, f, {_squeeze('f')} AS k FROM ({parts})) WHERE abs(length(f) - {m}) <= greatest(3, greatest(length(f), {m}) // 2)")
+    return f"SELECT '{term}' AS term, file_id, round(max(x), 6) AS likeness FROM ({' UNION ALL '.join(each)}) GROUP BY file_id HAVING max(x) >= {least}"
+
+
+@query(
+    f"WITH {FILES_SQL}, w AS (SELECT file_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: length(x) >= 4))) AS w FROM files) "
+    + " UNION ALL ".join((_alike("볼트", ("bolteu", "boltu", "voltu"), "FLT", 0.76), _alike("링", ("ring", "ling"), "LNK", 0.76), _alike("위젯", ("wijet", "wizet"), "WZT", 0.76)))
+)
+def sound_alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that sound like Hangul words, through the index of pairs."""
+    words = sounds.words_of(files(spark, sf_dir), "file_id")
+    found = sounds.sound_alike(words, sounds.pairs_of(words), ["볼트", "링", "위젯", "abc"], "file_id")
+    return found.select("term", "file_id", F.round("likeness", 6).alias("likeness"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.phonetic import aliases, phonetic_similarity, romanize, skeleton
+from lodestone.operators import sounds
 from lodestone.plans import fixed, model_plan, visual
 from lodestone.plans.intent import classify, compile_intent, explicit_extensions, needs_targeted_scan, script_clauses, date_range, detect_categories, directives, floors, half_life, lanes, normalize_token, references_previous, script_predicates, sort_mode, tokenize
 
@@ -119,6 +120,25 @@ def test_phonetics(spark):
     assert likeness("my network drive", "네트워크") >= 0.76 > likeness("zebra", "네트워크")
 
 
+def test_the_index_of_pairs_finds_all_that_sound_alike(spark):
+    import random
+
+    rng = random.Random(9)
+    names = ["network drive", "netwrk", "neteuwok", "wizard widgets", "wijett", "buildx server", "vildu", "bild", None, "", "xnetworkingx12", "server", "sever_log", "seobeo"]
+    for _ in range(400):
+        word = rng.choice(["network", "widget", "build", "server", "seobeo", "wijet"])
+        names.append("".join(rng.choice("aeiounrstwkdgb") if rng.random() < 0.15 else c for c in word) + rng.choice(["", "s", "ing", " x"]))
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    words, terms = sounds.words_of(df, "i"), ["네트워크", "위젯", "빌드", "서버", "abc"]
+    pairs = sounds.pairs_of(words)
+    got = {(r["term"], r["i"]): r["likeness"] for r in sounds.sound_alike(words, pairs, terms, "i").collect()}
+    want = {(t, r["i"]): r["x"] for t in terms for r in df.select("i", phonetic_similarity(F.col("name"), t).alias("x")).where("x >= 0.76").collect()}
+    assert got == want and len({t for t, _ in got}) == 4
+    assert sounds.sound_alike(words, pairs, [], "i").count() == 0
+    with pytest.raises(ValueError):
+        sounds.sound_alike(words, pairs, ["위젯"], "i", least=0.4)
+
+
 def test_floors_without_an_ending():
     assert floors("plan B3, b-13 and B2F") == ((True, 3), (True, 13), (True, 2)) and floors("ab3 b3x 1234층") == ()
 
