@@ -22,6 +22,8 @@ from .sources.title_index import TitleIndex
 
 #: Rows that the content, vector and title lanes pass on, distinct words of a query that a text model is given.
 CONTENT_MOST, VECTOR_MOST, TITLE_MOST, QUERY_TERMS = 2000, 240, 3000, 12
+#: Roots that are tested one by one; more are joined.
+FEW_ROOTS = 16
 
 
 def micros(moment: datetime) -> int:
@@ -82,11 +84,15 @@ class Engine:
 
     def run(self, intent: Intent, now: datetime, k: int = 500, roots: list[str] | None = None) -> DataFrame:
         files = self.keyed()
-        for test in (F.lit(False) if not intent.has_criteria else None, _in_roots(roots)):
-            files = files if test is None else files.where(test)
+        if not intent.has_criteria:
+            files = files.where(F.lit(False))
+        if roots and len(roots) > FEW_ROOTS:
+            files = results.in_any_root(files, files.sparkSession.createDataFrame([(r,) for r in roots], "root string"))
+        elif roots:
+            files = files.where(_in_roots(roots))
         plan, parts = lanes(intent, self.embed is not None or self.embed_prompt is not None), []
         parts.append(self._metadata(intent, files, now, k))
-        if plan.content and self._indexed(intent):
+        if plan.content and self._indexed(intent, len(roots or ()) <= FEW_ROOTS):
             parts.append(self._content_by_index(intent, files, now, k, _in_roots(roots, "doc_key")))
         elif plan.content and (docs := self._documents()) is not None:
             parts.append(self._content(intent, docs, files, now, k))
@@ -144,9 +150,9 @@ class Engine:
             return self.content_index.documents().select(F.col("doc_key").alias("path_key"), "text")
         return self.documents
 
-    def _indexed(self, intent: Intent) -> bool:
-        """Whether the index of texts answers: it knows words, not scripts."""
-        return self.content_index is not None and bool(intent.terms) and not intent.predicates
+    def _indexed(self, intent: Intent, few: bool) -> bool:
+        """Whether the index of texts answers: it knows words, not scripts, and tests few roots."""
+        return self.content_index is not None and bool(intent.terms) and not intent.predicates and few
 
     def _content_by_index(self, intent: Intent, files: DataFrame, now: datetime, k: int, within: Column | None) -> DataFrame:
         """The content lane through the index of texts: its statistics are those of all its documents."""
@@ -292,7 +298,7 @@ class Engine:
 
 
 def _in_roots(roots: list[str] | None, key: str = "path_key") -> Column | None:
-    """A prefix test of the stored key for each root; they are few."""
+    """A prefix test of the stored key for each root; they are FEW_ROOTS at most."""
     if not roots:
         return None
     test = F.lit(False)

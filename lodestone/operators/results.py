@@ -97,6 +97,30 @@ def refine(source: DataFrame, intent: Intent, now_micros: int = 0, from_micros:
     return rows.withColumns({"match": score, "wish": S.preference(intent.directives, signals, now_micros)}).orderBy(F.desc("match"), F.desc("wish"), "orig_idx")
 
 
+def _above(path_key: Column, itself: bool) -> Column:
+    """The folders that a path lies in (and itself), as keys without a last separator: that of / is empty."""
+    parts = F.split(path_key, "/")
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return every if itself else F.slice(every, F.lit(1), F.size(parts) - 1)
+
+
+def outermost(roots: DataFrame) -> DataFrame:
+    """root: the roots (whatever their case) that lie in no other, once each, as keys."""
+    keys = roots.where("root IS NOT NULL").select(F.regexp_replace(F.lower("root"), "/+$", "").alias("root")).distinct()
+    inner = keys.where("root <> ''").select("root", F.explode(_above(F.col("root"), False)).alias("above")).join(keys.select(F.col("root").alias("above")), "above", "left_semi")
+    return keys.join(inner.select("root").distinct(), "root", "left_anti")
+
+
+def in_any_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (path_key) that are a root of the table (root) or lie below one, once each.
+
+    A path meets its own folders' names in a join, so the plan is the same for one root and for any number of them; as no
+    root that counts lies in another, a path meets one at most.
+    """
+    near = rows.withColumn("_root", F.explode(_above(F.col("path_key"), True)))
+    return near.join(outermost(roots).select(F.col("root").alias("_root")), "_root", "left_semi").drop("_root")
+
+
 def unknown_count(source: DataFrame, attribute: Column) -> DataFrame:
     """One row: rows of source, those that surely hold, and those where nothing is known."""
     return source.agg(F.count("*").alias("total"), F.count_if(attribute).alias("holds"), F.count_if(attribute.isNull()).alias("unknown"))

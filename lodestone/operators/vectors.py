@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from ..functions import vectors as V
 from ..plans.visual import Profile
 
 LEAST, BELOW_BEST, EXPANDED, MOST = 0.76, 0.05, 120, 240
+#: Packed vectors that are multiplied at once.
+AT_ONCE = 4096
 
 
 def index_rows(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -17,14 +23,56 @@ def index_rows(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("quantized", V.quantize(F.col(vector)))
 
 
+def pack(index: DataFrame, quantized: str = "quantized") -> DataFrame:
+    """With packed in place of the quantized vector: its bytes, one for each dimension."""
+    byte = lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(F.lit(255))), 2, "0")
+    return index.withColumn("packed", F.unhex(F.array_join(F.transform(quantized, byte), ""))).drop(quantized)
+
+
+def nearest_packed(index: DataFrame, query: list[float], least: float, most: int, key: str) -> DataFrame:
+    """key, similarity of each task's best rows (most at most) over least: a matrix product for AT_ONCE vectors, and a bounded list
+    of the best. Vectors of another length than the query's, and missing ones, take no part."""
+    unit, names = np.array(V.unit(query), np.float64), ["key", "similarity"]
+
+    def best(found: list[pa.Table]) -> list[pa.Table]:
+        rows = pa.concat_tables(found)
+        return [rows.sort_by([("similarity", "descending"), ("key", "ascending")]).slice(0, most)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                raw = part.column(1).to_pylist()
+                whole = [i for i, x in enumerate(raw) if x is not None and len(x) == len(unit)]
+                if not whole:
+                    continue
+                x = np.frombuffer(b"".join([raw[i] for i in whole]), np.int8).reshape(len(whole), -1).astype(np.float64)
+                size = np.sqrt((x * x).sum(axis=1))
+                similarity = np.divide(x @ unit, size, out=np.zeros(len(x)), where=size > 0)
+                over = np.flatnonzero(similarity >= least)
+                if len(over):
+                    held.append(pa.table([part.column(0).take(pa.array(np.array(whole)[over])), pa.array(similarity[over])], names=names))
+                    if sum(map(len, held)) > 8 * most:
+                        held = best(held)
+        if held:
+            yield from best(held)[0].combine_chunks().to_batches()
+
+    kind = index.schema[key].dataType.simpleString()
+    return index.select(F.col(key).alias("key"), "packed").mapInArrow(search, f"key {kind}, similarity double").withColumnRenamed("key", key)
+
+
 def semantic_search(index: DataFrame, query: list[float], k: int, least: float = LEAST, below_best: float = BELOW_BEST, expanded: int = EXPANDED, key: str = "vec_id") -> DataFrame:
     """key, similarity, rank of the rows over the cut.
 
     Strong rows are within below_best of the best. m = min(k, MOST, max(expanded, strong rows)); the m best strong rows, or the
-    m best of all if the strong ones are fewer. Only MOST rows reach the window.
+    m best of all if the strong ones are fewer. Only MOST rows reach the window. index: quantized, an array, or packed.
     """
     most = min(max(1, k), MOST)
-    near = index.select(key, V.cosine_bytes(V.unit(query), F.col("quantized")).alias("similarity")).where(F.col("similarity") >= least)
+    if "packed" in index.columns:
+        near = nearest_packed(index, query, least, MOST, key)
+    else:
+        near = index.select(key, V.cosine_bytes(V.unit(query), F.col("quantized")).alias("similarity")).where(F.col("similarity") >= least)
     # one pass: the best MOST + expanded rows tell how many are strong, as far as that matters
     top = near.orderBy(F.desc("similarity"), key).limit(MOST)
     every = Window.partitionBy()  # MOST rows at most

@@ -48,6 +48,13 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_SEMANTIC)
+def semantic_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through packed vectors."""
+    rows = VO.semantic_search(VO.pack(VO.index_rows(table(spark, sf_dir, "embeddings"))), _query_vector(spark, sf_dir), 60, 0.1, 0.75, 20)
+    return rows.select("vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id // 2)""")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,3 +474,12 @@ def sound_alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = sounds.words_of(files(spark, sf_dir), "file_id")
     found = sounds.sound_alike(words, sounds.pairs_of(words), ["볼트", "링", "위젯", "abc"], "file_id")
     return found.select("term", "file_id", F.round("likeness", 6).alias("likeness"))
+
+
+@query(f"""WITH {FILES_SQL}, roots AS (SELECT DISTINCT directory_path AS r FROM files WHERE file_id % 5 = 0 UNION SELECT '/store/small')
+SELECT file_id FROM files WHERE EXISTS (SELECT 1 FROM roots WHERE starts_with(lower(full_path), lower(r) || '/'))""")
+def files_in_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files below any of many roots, some of which lie in others."""
+    rows = files(spark, sf_dir)
+    roots = rows.where("file_id % 5 = 0").select(F.upper("directory_path").alias("root")).union(spark.createDataFrame([("/store/small/",), ("/store/small/brand_1",)], "root string"))
+    return results.in_any_root(rows.withColumn("path_key", F.lower("full_path")), roots).select("file_id")

@@ -281,3 +281,26 @@ def test_model_recovery(spark):
 def test_sampled_pages(spark):
     rows = spark.createDataFrame([(1,), (3,), (9,)], "n int").select(sampled_pages(F.col("n")).alias("p")).collect()
     assert [r["p"] for r in rows] == [[0], [0, 1, 2], [0, 4, 8]]
+
+
+def test_packed_vectors_are_searched_as_arrays_are(spark, monkeypatch):
+    monkeypatch.setattr(VO, "AT_ONCE", 7)
+    rng = random.Random(4)
+    rows = [(f"k{i:03}", [rng.gauss(0, 1) for _ in range(16)]) for i in range(90)]
+    rows += [("twin-b", rows[5][1]), ("twin-a", rows[5][1]), ("zero", [0.0] * 16), ("none", None)]
+    index = VO.index_rows(spark.createDataFrame([(k, None if v is None else V.unit(v)) for k, v in rows], "path_key string, embedding array<float>")).repartition(3)
+    for least, k in ((0.0, 20), (0.3, 240), (-1.0, 3)):
+        want = [(r["path_key"], round(r["similarity"], 9), r["rank"]) for r in VO.semantic_search(index.where("embedding IS NOT NULL"), rows[5][1], k, least, 0.05, 2, "path_key").collect()]
+        got = [(r["path_key"], round(r["similarity"], 9), r["rank"]) for r in VO.semantic_search(VO.pack(index), rows[5][1], k, least, 0.05, 2, "path_key").collect()]
+        assert got == want and got[0][0] == "k005"
+    assert VO.semantic_search(VO.pack(index), [1.0, 0.0], 5, key="path_key").count() == 0  # another length
+    assert [r["packed"] for r in VO.pack(spark.createDataFrame([([-128, -1, 0, 127],)], "quantized array<tinyint>")).collect()] == [b"\x80\xff\x00\x7f"]
+
+
+def test_many_roots_are_one_join(spark):
+    paths = ["/a/b/x", "/a/bb/x", "/A/c", "/d", "/e/f/g/h", "/a/b", "rel/x"]
+    rows = spark.createDataFrame([(p, p.lower()) for p in paths], "full_path string, path_key string")
+    got = lambda *roots: sorted(r["full_path"] for r in results.in_any_root(rows, spark.createDataFrame([(r,) for r in roots], "root string")).collect())
+    assert got("/A/b", "/a/B/", "/e/f/g", "/e", None) == ["/a/b", "/a/b/x", "/e/f/g/h"] and got("/") == sorted(p for p in paths if p[0] == "/") and got("/zz") == []
+    assert got(*(f"/no/{i}" for i in range(3000)), "rel", "/d") == ["/d", "rel/x"]
+    assert [r["root"] for r in results.outermost(spark.createDataFrame([("/a",), ("/a/b/c",), ("/ab",)], "root string")).orderBy("root").collect()] == ["/a", "/ab"]
