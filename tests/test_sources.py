@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import models
 from lodestone.operators import maintenance, results
-from lodestone.schema import SEMANTIC_VECTOR
+from lodestone.schema import FILE_RECORD, SEMANTIC_VECTOR
 from lodestone.sources.documents import decode, extract, extract_text, read_texts
 from lodestone.sources.files import TreeReader, current_folder, is_complete, read_binary, scan
 from lodestone.sources.index import Index
@@ -197,6 +197,34 @@ def test_state_of_a_stream(spark, tmp_path):
     assert again["attempt"] == 2 and again["at"] - next(r["at"] for r in rows if r["path_key"] == "bad" and r["failed"]) == 24 * 3_600_000
 
 
+def test_a_reader_opens_only_files_that_may_hold_its_rows(spark, tmp_path):
+    index = Index(spark, str(tmp_path), "metadata", FILE_RECORD)
+    rows = [(f"f{i}", f"/R/d{i // 100}/f{i:04}", f"/R/d{i // 100}", "", False, 1, i, i) for i in range(1000)]
+    index.write("/R", spark.createDataFrame(rows, FILE_RECORD).repartition(5), 1, files=10)
+    index.write("/S", spark.createDataFrame([("x", None, None, "", False, 1, 1, None)], FILE_RECORD), 1)
+    everything = index.files()
+    assert len(everything) >= 9 and index.read().count() == 1001
+    assert index.read(below="/r/D3/").count() == 100 and len(index.files(below="/r/d3")) <= 3
+    assert index.read(modified=(250, 260)).count() == 10 and len(index.files(["/R"], modified=(250, 260))) <= 2
+    assert index.read(below="/r/d3", modified=(None, 305)).count() == 5 and index.read(below="/r/d33").count() == 0
+
+
+def test_two_writers_leave_whole_versions(spark, tmp_path):
+    one, other = (Index(spark, str(tmp_path), "semantic", SEMANTIC_VECTOR, keep=1) for _ in range(2))
+    rows = lambda n: spark.createDataFrame([(f"p{i}", n, 1, 1, "h", "m", [1, 2]) for i in range(n)], SEMANTIC_VECTOR)
+    put = one.log.put
+
+    def late(number, entry):  # the other writer commits first
+        one.log.put = put
+        other.write("/r", rows(7), 2)
+        return put(number, entry)
+
+    one.log.put = late
+    one.write("/r", rows(5), 1)
+    assert {r["modified"] for r in one.read().collect()} == {5} and one.read().count() == 5 and one.headers().count() == 1
+    assert len(one.log.children("rows")) == len(one.log.children("bounds")) == 1  # old versions are gone
+
+
 def test_budgets_quotas_and_progress(spark):
     assert maintenance.budget(False, 4).texts == 0 and maintenance.budget(True, 0).texts == 48 and maintenance.next_delay(True, True) == 20
     assert [maintenance.recognition_quota(n) for n in (10, 1600, 10**6)] == [96, 200, 512]
