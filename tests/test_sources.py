@@ -1,5 +1,6 @@
 import io
 import os
+import time
 import zipfile
 from datetime import datetime
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import models
-from lodestone.operators import maintenance, results
+from lodestone.operators import counts, maintenance, results
 from lodestone.schema import FILE_RECORD, SEMANTIC_VECTOR
 from lodestone.sources.documents import decode, extract, extract_text, read_texts
 from lodestone.sources.files import TreeReader, current_folder, is_complete, read_binary, scan
@@ -225,6 +226,35 @@ def test_two_writers_leave_whole_versions(spark, tmp_path):
     assert len(one.log.children("rows")) == len(one.log.children("bounds")) == 1  # old versions are gone
 
 
+def test_counts_in_passing(spark, tmp_path):
+    rows = spark.range(100).withColumn("odd", F.col("id") % 2 == 1)
+    shown, seen = counts.top_with_total(rows, [F.desc("id")], 3, odd=F.count_if("odd"))
+    assert [r["id"] for r in shown.collect()] == [99, 98, 97] and seen.get == {"total": 100, "odd": 50}
+    same, seen = counts.readiness_in_passing(rows, F.col("id") < 60, F.col("id") >= 90)
+    same.write.parquet(str(tmp_path / "rows"))
+    assert seen.get == {"documents": 100, "current": 60, "stale": 10} and spark.read.parquet(str(tmp_path / "rows")).count() == 100
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    listener = counts.Progress()
+    spark.streams.addListener(listener)
+    try:
+        for i in range(3):
+            spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = counts.watch(read_rows(spark, str(tmp_path / "in"), "id long"), "seen", odd=F.count_if(F.col("id") % 2 == 1))
+        query = exhaust(stream, lambda batch, number: batch.count(), str(tmp_path / "at"))
+        query.awaitTermination()
+        for _ in range(100):
+            if listener.of(query.id)["ended"]:
+                break
+            time.sleep(0.1)
+        found = listener.of(query.id)
+        assert found["rows"] == 30 and found["batches"] >= 3 and found["observed"]["seen"] == {"rows": 30, "odd": 15}
+        assert listener.percent(query.id, 60) == 100 and listener.percent("other", 5) == 0
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def test_budgets_quotas_and_progress(spark):
     assert maintenance.budget(False, 4).texts == 0 and maintenance.budget(True, 0).texts == 48 and maintenance.next_delay(True, True) == 20
     assert [maintenance.recognition_quota(n) for n in (10, 1600, 10**6)] == [96, 200, 512]
