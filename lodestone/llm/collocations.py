@@ -116,14 +116,28 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they have about most_bytes of a column's text: more equal rows meet."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column, most_bytes, 1 << 20):
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(column)).nbytes
+        if size >= most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def weighted(pieces: DataFrame, n: int, marks: Broadcast | None) -> DataFrame:
     """lang, phrase, f: n-grams of the pieces (with their multiplicities), equal ones of a chunk added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "piece", AT_ONCE, 1 << 20):
+        for batch in gathered(batches, "piece", AT_ONCE):
             data, owner, starts, ends, _ = grams(batch.column("lang").to_pylist(), batch.column("piece"), n, None if marks is None else marks.value)
-            for a in range(0, len(starts), 1 << 19):
-                part = slice(a, a + (1 << 19))
+            for a in range(0, len(starts), 1 << 20):
+                part = slice(a, a + (1 << 20))
                 who = pa.array(owner[part])
                 rows = pa.table({"lang": batch.column("lang").take(who), "phrase": strings(data, starts[part], ends[part]), "f": batch.column("m").take(who)})
                 out = rows.group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
