@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ AT_ONCE, MEMORY, BUCKETS, SALTS = 4 << 20, "192MB", 256, 64
 _PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _random = np.random.Generator(np.random.PCG64(1212))
 _PLACE = _random.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WEIGHT = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # by place in a word; later places begin anew
 
 
 def pieces_of(text: str) -> list[bytes]:
@@ -69,22 +71,22 @@ def distinct_pieces(docs: DataFrame) -> DataFrame:
 def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes; data has one byte after each word."""
     place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    weight = mix(place.astype(np.uint64) * np.uint64(512) + data)
+    weight = _WEIGHT[place & 255] * (data.astype(np.uint64) + np.uint64(1))
     weight[np.append(starts[1:] - 1, len(data) - 1)] = 0  # the space or end after a word
     return mix(np.add.reduceat(weight, starts) + lengths.astype(np.uint64))
 
 
-def grams(langs: list[str], pieces: pa.Array, n: int, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grams(langs: pa.Array, pieces: pa.Array, n: int, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Data, and of each n-gram whose both (n-1)-grams are marked: its piece, start, end in data and hash."""
-    texts = [x.as_buffer().to_pybytes() for x in pieces.cast(pa.binary())]
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces.cast(pa.string()))
+    data = np.frombuffer(pc.binary_join(whole, "\n")[0].as_buffer().to_pybytes() + b"\n", np.uint8)
     ends = np.flatnonzero((data == 32) | (data == 10))  # every word has one sign after it
     starts = np.append(0, ends[:-1] + 1)
     last = data[ends] == 10
     owner = np.append(0, np.cumsum(last)[:-1])
-    names, number = np.unique(np.array(langs, object).astype(str), return_inverse=True)
-    salt = np.array([int.from_bytes(x.encode()[:64].ljust(8, b"\0"), "little") % (1 << 64) for x in names], np.uint64)
-    h = word_hashes(data, starts, ends - starts) ^ mix(salt)[number.ravel()[owner]]
+    coded = langs.dictionary_encode()
+    salt = np.array([int.from_bytes(x.encode()[:64].ljust(8, b"\0"), "little") % (1 << 64) for x in coded.dictionary.to_pylist()], np.uint64)
+    h = word_hashes(data, starts, ends - starts) ^ mix(salt)[coded.indices.to_numpy()[owner]]
 
     def of(width: int) -> tuple[np.ndarray, np.ndarray]:
         """Begins of whole runs of width words, and a hash for each begin."""
@@ -135,13 +137,15 @@ def weighted(pieces: DataFrame, n: int, marks: Broadcast | None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, "piece", AT_ONCE):
-            data, owner, starts, ends, _ = grams(batch.column("lang").to_pylist(), batch.column("piece"), n, None if marks is None else marks.value)
+            data, owner, starts, ends, _ = grams(batch.column("lang"), batch.column("piece"), n, None if marks is None else marks.value)
+            coded = batch.column("lang").dictionary_encode()
             for a in range(0, len(starts), 1 << 20):
                 part = slice(a, a + (1 << 20))
                 who = pa.array(owner[part])
-                rows = pa.table({"lang": batch.column("lang").take(who), "phrase": strings(data, starts[part], ends[part]), "f": batch.column("m").take(who)})
+                rows = pa.table({"lang": coded.indices.take(who), "phrase": strings(data, starts[part], ends[part]), "f": batch.column("m").take(who)})
                 out = rows.group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
-                yield from out.select(["lang", "phrase", "f"]).cast(pa.schema({"lang": pa.string(), "phrase": pa.string(), "f": pa.int64()})).combine_chunks().to_batches()
+                langs = coded.dictionary.take(out.column("lang").combine_chunks())
+                yield from pa.table({"lang": langs, "phrase": out.column("phrase").cast(pa.string()), "f": out.column("f")}).combine_chunks().to_batches()
 
     return pieces.where(F.col("n_words") >= n).select("lang", "piece", "m").mapInArrow(count, "lang string, phrase string, f long")
 
@@ -182,7 +186,7 @@ def bit_map(counts: DataFrame, n: int) -> np.ndarray:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for batch in slices(batches, "phrase", AT_ONCE, 1 << 20):
-            _, _, _, _, hashes = grams(batch.column("lang").to_pylist(), batch.column("phrase"), n, None)
+            _, _, _, _, hashes = grams(batch.column("lang"), batch.column("phrase"), n, None)
             bit = np.unique(hashes & np.uint64(BITS - 1)).astype(np.int64)
             block = bit // (8 * BLOCK)
             for b, part in zip(np.unique(block).tolist(), np.split(bit, np.flatnonzero(np.diff(block)) + 1), strict=True):

@@ -148,9 +148,9 @@ def test_marks_have_no_false_negatives(spark):
     marks = collocations.bit_map(spark.createDataFrame([("en", p) for p in pieces], "lang string, phrase string"), 3)
     import pyarrow as pa
 
-    _, _, _, _, hashes = collocations.grams(["en"] * len(pieces), pa.array(pieces), 3, None)
+    _, _, _, _, hashes = collocations.grams(pa.array(["en"] * len(pieces)), pa.array(pieces), 3, None)
     assert len(hashes) == 30 and collocations.marked(marks, hashes).all()
-    _, _, _, _, others = collocations.grams(["de"] * len(pieces), pa.array(pieces), 3, None)
+    _, _, _, _, others = collocations.grams(pa.array(["de"] * len(pieces)), pa.array(pieces), 3, None)
     assert not collocations.marked(marks, others).any()
 
 
