@@ -82,12 +82,14 @@ class IndexUpdates:
     Each batch writes what it has made, and what has failed, under new names and commits both at once. What a batch is compared
     with is what has been committed, so a repeated batch, or one whose writer died before its commit, never takes or loses
     rows of another: it finds its rows current and makes nothing, or makes them again. A document that work gives no row
-    for has failed: it is tried again, in the same version, only after hours, told by the clock of each batch. Every
-    compact_each commits the latest rows are written as one part, and parts that nobody needs any more are removed.
+    for has failed: it is tried again, in the same version, only after hours, told by the clock at each batch (a number is a
+    moment that stands still). Every compact_each commits the latest rows are written as one part, and parts that nobody needs
+    any more are removed.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, versions: list[str], work: Callable[[DataFrame], DataFrame], clock: Callable[[], int] = now_micros, hours: int = 24, compact_each: int = 50):
-        self.spark, self.log, self.versions, self.work, self.clock, self.hours, self.compact_each = spark, Log(spark, folder), versions, work, clock, hours, compact_each
+    def __init__(self, spark: SparkSession, folder: str, versions: list[str], work: Callable[[DataFrame], DataFrame], clock: Callable[[], int] | int = now_micros, hours: int = 24, compact_each: int = 50):
+        self.spark, self.log, self.versions, self.work, self.hours, self.compact_each = spark, Log(spark, folder), versions, work, hours, compact_each
+        self.clock = clock if callable(clock) else lambda: clock
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         """The rows of all live parts of a kind, with the number of their commit."""
