@@ -130,11 +130,12 @@ def generated_image_priority(file_name: Column, folder: Column) -> Column:
     return F.when(made, 60_000.0).when(F.exists(names, lambda x: x.isin(*fixed.PICTURE_FOLDERS)), 18_000.0).otherwise(0.0) + F.when(named, 20_000.0).when(opaque, 2_000.0).otherwise(0.0)
 
 
-def size_short(size: Column) -> Column:
-    """The shorter form: at most one decimal, none for bytes, up to terabytes."""
-    step = F.least(F.lit(4), F.when(size < 1024, 0).otherwise(F.floor(F.log(2.0, F.greatest(size, F.lit(1)).cast("double")) / 10))).cast("int")
+def size_short(size: Column, largest: str = "TB") -> Column:
+    """The shorter form: at most one decimal, none for bytes, up to terabytes (or a smaller largest unit)."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    step = F.least(F.lit(units.index(largest)), F.when(size < 1024, 0).otherwise(F.floor(F.log(2.0, F.greatest(size, F.lit(1)).cast("double")) / 10))).cast("int")
     value = F.round(size / F.pow(F.lit(1024.0), step), 1)
-    return F.concat_ws(" ", F.regexp_replace(F.format_string("%.1f", value), r"\.0$", ""), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1))
+    return F.concat_ws(" ", F.regexp_replace(F.format_string("%.1f", value), r"\.0$", ""), F.element_at(F.array(*map(F.lit, units)), step + 1))
 
 
 def size_display(size: Column, is_directory: Column) -> Column:

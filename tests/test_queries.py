@@ -37,6 +37,23 @@ def test_query(spark, sf_dir, duck, name):
     assert as_counter(df.columns, rows) == as_counter(names, found.fetchall())
 
 
+def spread(duck, sf_dir, tmp_path, factor, **keys):
+    """The tables of keys with their keys multiplied, as larger tables have them, and a connection that sees them."""
+    c = duck.cursor()
+    for t, key in keys.items():
+        c.execute(f"COPY (SELECT * REPLACE ({key} * {factor} AS {key}) FROM '{sf_dir}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+        c.execute(f"CREATE TEMP VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    return str(tmp_path), c
+
+
+def test_sizes_of_large_keys(spark, sf_dir, duck, tmp_path):
+    where, c = spread(duck, sf_dir, tmp_path, 6007, orders="o_orderkey")
+    df = QUERIES["size_short"](spark, where)
+    found = c.execute(ORACLE_SQL["size_short"]).fetchall()
+    assert max(float(shown.split()[0]) for _, shown in found) > 1024  # more than a terabyte
+    assert Counter(map(tuple, df.select("o_orderkey", "shown").collect())) == Counter(found)
+
+
 def test_entry(spark):
     assert entry.entry(spark).schema.fieldNames() == ["doc_id", "lexical", "matched", "coherence", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
