@@ -63,18 +63,23 @@ def signals(rows: DataFrame) -> dict[str, Column]:
     return {"NameMatch": share("name_matches"), "PathMatch": share("path_matches"), "TypeMatch": share("type_matches"), "ContentMatch": S.clamp(F.coalesce("coverage", F.lit(0.0))), "SemanticMatch": S.semantic_signal(F.col("semantic")), "created": F.col("created"), "modified": F.col("modified"), "size": F.col("size_bytes")}
 
 
-def order(merged: DataFrame, k: int, directives: tuple[Directive, ...] = (), now_micros: int = 0, visual_query: bool = False) -> DataFrame:
-    """The k best: guardrail, primary wish, hybrid score. Adds kind, guardrail, hybrid, display score and percent."""
+def order(merged: DataFrame, k: int, directives: tuple[Directive, ...] = (), now_micros: int = 0, visual_query: bool = False, primary: Column | None = None, ties: tuple[str, ...] | None = None) -> DataFrame:
+    """The k best: guardrail, primary wish, hybrid score. Adds kind, guardrail, hybrid, display score and percent.
+
+    primary: a wish of the caller's own in place of the primary directives, which end at 1 (all moments to come are as good as now).
+    ties: the columns that decide after the wish, before the path; by default hybrid and score, the newer, the name.
+    """
     looks = signals(merged)
     wish = S.adjustment(directives, looks, now_micros) if directives else F.lit(0.0)
-    first = S.preference(directives, looks, now_micros, primary_only=True) if any(d.primary for d in directives) else F.lit(0.0)
+    first = primary if primary is not None else S.preference(directives, looks, now_micros, primary_only=True) if any(d.primary for d in directives) else F.lit(0.0)
     best = merged.agg(F.coalesce(F.max("semantic"), F.lit(0.0)).alias("_bs"), F.coalesce(F.max("visual"), F.lit(0.0)).alias("_bv"))
     rows = merged.crossJoin(F.broadcast(best)).withColumn("kind", S.primary_evidence(F.col("evidence"), F.col("coverage"), visual_query))
     rows = rows.withColumns({"guardrail": S.guardrail(F.col("kind"), visual_query), "_primary": first, "hybrid": S.priority(F.col("kind"), F.size("evidence"), visual_query) + 30_000.0 * F.col("rrf") + wish})
     percent = S.match_percent(F.col("kind"), F.col("evidence"), F.col("coverage"), F.col("name_matches"), F.col("total_terms"), F.col("semantic"), F.col("_bs"), F.col("visual"), F.col("_bv"))
     rows = rows.withColumns({"display_score": F.col("guardrail") * 1e6 + F.col("_primary") * 1e5 + F.col("hybrid"), "percent": percent})
     name = F.lower("name") if "name" in merged.columns else F.lit("")
-    return rows.drop("_bs", "_bv").orderBy(F.desc("guardrail"), F.desc("_primary"), F.desc("hybrid"), F.desc("score"), F.desc("modified"), name, "path_key").limit(k).drop("_primary")
+    then = [F.desc("hybrid"), F.desc("score"), F.desc("modified"), name] if ties is None else [F.desc(c) for c in ties]
+    return rows.drop("_bs", "_bv").orderBy(F.desc("guardrail"), F.desc("_primary"), *then, "path_key").limit(k).drop("_primary")
 
 
 def without_unsupported(semantic: DataFrame, lexical: DataFrame, strong: Column) -> DataFrame:

@@ -54,6 +54,13 @@ def test_sizes_of_large_keys(spark, sf_dir, duck, tmp_path):
     assert Counter(map(tuple, df.select("o_orderkey", "shown").collect())) == Counter(found)
 
 
+@pytest.mark.parametrize("factor", [40, 600])  # days to come; wishes that are infinite, so that only paths tell
+def test_wishes_of_large_keys(spark, sf_dir, duck, tmp_path, factor):
+    where, c = spread(duck, sf_dir, tmp_path, factor, documents="doc_id", embeddings="vec_id")
+    rows = [tuple(r) for r in QUERIES["wished_order"](spark, where).collect()]
+    assert rows == c.execute(ORACLE_SQL["wished_order"]).fetchall() and rows[0][2] > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).schema.fieldNames() == ["doc_id", "lexical", "matched", "coherence", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
