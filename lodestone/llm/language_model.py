@@ -7,7 +7,7 @@ dealt out by the word before it: each is a restaurant of its own.
 Everything that a restaurant of one or two words needs is in one part: (near word, far word, word) triples are dealt by the near
 word and room. Of the root a part needs its words' customers: those of the KNOWN most frequent words are broadcast; those of all
 others are summed in shards by word, and each part gets back the ones it asked for.
-The passes: (1) count words; (2) send each chunk's triples to the parts, packed, each triple once a chunk with the documents it
+The passes: (1) count words; (2) send each chunk's triples to groups of parts, packed, each triple once a chunk with the documents it
 occurs in; (3) in each part add the triples up and seat their customers by Gibbs; (4) sum the words' customers and send them to
 the parts; (5) seat again and average the predictive probabilities of several samples; (6) add up each document's terms.
 Seating is sampled for all dishes of a part at once, level by level: of a dish's tables only their number matters, which is
@@ -32,17 +32,22 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, most_frequent, release, slices, table, utf8, word_hashes
 
 #: Words whose customers of the root are broadcast; parts whose questions about the others one shard answers, about.
-KNOWN, ASKERS = 65_536, 8
-#: Tokens of a part, about, and of a room; text bytes of a chunk.
-PART, ROOM, CHUNK = 500_000, 250_000, 4 << 20
-#: Documents' terms that a task holds.
-TERMS = 2_000_000
+KNOWN, ASKERS = 65_536, 16
+#: Tokens of a part, about, and of a room; text bytes of a chunk; bits of a document's place in its chunk (slices() has 4096 rows at most).
+PART, ROOM, CHUNK, PLACE = 500_000, 250_000, 4 << 20, 12
+#: Parts whose triples of a chunk are packed as one: one for each SPLIT parts there are, at most. More parts, longer blocks, so that
+#: blocks don't become many and short as the corpus grows.
+SPLIT, MOST_GROUPED = 64, 12
+#: Documents' terms that a task holds, and chunks whose terms it adds up at once.
+TERMS, CHUNKS_AT_ONCE = 1_500_000, 32
 #: Draws of all levels before the first sample, between samples, and samples averaged. Strength of all restaurants.
 BURN, BETWEEN, SAMPLES, STRENGTH = 3, 1, 4, 1.0
 #: Draws of the root's tables until their number has settled.
 ROOT_DRAWS = 12
 #: Customers of a dish up to which the law of its tables is tabulated; beyond, it is a binomial of nearly the same mean and variance.
 EXACT = 1000
+#: Weights of numbers of tables that are drawn from at once; below which part of the largest (its -log) they are left out: all left out together are below a double's last bit.
+WEIGHTS, FAINT = 500_000, 44.0
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Rows of totals that aren't of words: the root's customers, tables of its rare words; triples, dishes of one word and rare words with one customer and with two.
@@ -80,8 +85,10 @@ def triples(near: np.ndarray, far: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays with their types and lengths, compressed: of each array all first bytes, then all second ones, and so on."""
+    """Arrays with their types and lengths, compressed: of each array all first bytes, then all second ones, and so on; of 64-bit
+    names, which come in order, what each is above the one before."""
     head = struct.pack("<H", len(arrays)) + b"".join(struct.pack("<3sQ", a.dtype.str[:3].encode(), len(a)) for a in arrays)
+    arrays = [np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a for a in arrays]
     planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
@@ -94,6 +101,8 @@ def unpack(raw: bytes) -> list[np.ndarray]:
         kind = np.dtype(kind.decode())
         planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
         out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, size).T).reshape(-1).view(kind) if kind.itemsize > 1 else planes.view(kind))
+        if kind == np.uint64:
+            out[-1] = np.cumsum(out[-1], dtype=np.uint64)
         at += size * kind.itemsize
     return out
 
@@ -136,18 +145,47 @@ def moments(customers: np.ndarray, opens: np.ndarray, discount: float) -> tuple[
     return mean + np.minimum(1, x * (1 - discount) / (2 * (1 - discount * x) ** 2)), mean - customers * np.exp(y) / (1 - discount * x)
 
 
+def likely(law: np.ndarray, customers: np.ndarray, log_opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From and to which number of tables a weight is at least exp(-FAINT) of the largest: weights rise to it, then fall."""
+    flat, row = law.ravel(), customers * law.shape[1]
+    weight = lambda t: flat[row + t] + t * log_opens
+
+    def first(holds, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least t from low to high that holds; high, if none below it does."""
+        low, high = low.copy(), high.copy()
+        for _ in range(int(np.max(high - low, initial=0)).bit_length()):
+            t = (low + high) // 2
+            yes = holds(t)
+            low, high = np.where(yes | (low == high), low, t + 1), np.where(yes, t, high)
+        return high
+
+    one = np.ones_like(customers)
+    best = first(lambda t: weight(np.minimum(t + 1, customers)) <= weight(t), one, customers)
+    least = weight(best) - FAINT
+    return first(lambda t: weight(t) >= least, one, best), np.maximum(best, first(lambda t: (t > customers) | (weight(np.minimum(t, customers)) < least), best, customers + 1) - 1)
+
+
 def draw_tables(customers: np.ndarray, opens: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
     """Numbers of tables of many (restaurant, word) pairs: t with weight opens ** t times that of all seatings at t tables."""
     tables = (customers > 0).astype(np.int64)  # one customer has one table
     if len(some := np.flatnonzero((customers > 1) & (customers <= EXACT))):
-        c = customers[some]
-        start = np.cumsum(c) - c
-        t = np.arange(1, c.sum() + 1) - np.repeat(start, c)
-        weight = seatings(discount)[np.repeat(c, c), t] + t * np.repeat(np.log(opens[some]), c)
-        total = np.cumsum(np.exp(weight - np.repeat(np.maximum.reduceat(weight, start), c)))
-        below = np.append(0.0, total)[start]
-        at = np.searchsorted(total, below + random.random(len(c)) * (total[start + c - 1] - below), side="right")
-        tables[some] = np.clip(at - start + 1, 1, c)
+        law = seatings(discount)
+        c, log_opens = customers[some], np.log(opens[some])
+        low, high = likely(law, c, log_opens)
+        wide = high - low + 1
+        ends = np.cumsum(wide)
+        a = 0
+        while a < len(some):  # a bounded number of weights at once
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - wide[a] + WEIGHTS, side="right")))
+            w = wide[a:b]
+            start = np.cumsum(w) - w
+            t = np.arange(w.sum()) - np.repeat(start - low[a:b], w)
+            weight = law.ravel()[np.repeat(c[a:b] * law.shape[1], w) + t] + t * np.repeat(log_opens[a:b], w)
+            total = np.cumsum(np.exp(weight - np.repeat(np.maximum.reduceat(weight, start), w)))
+            below = np.append(0.0, total)[start]
+            at = np.searchsorted(total, below + random.random(b - a) * (total[start + w - 1] - below), side="right")
+            tables[some[a:b]] = np.clip(at - start + low[a:b], low[a:b], high[a:b])
+            a = b
     if len(many := np.flatnonzero(customers > EXACT)):
         c = customers[many]
         mean, variance = moments(c, opens[many], discount)
@@ -207,33 +245,72 @@ class Seating:
         self.tables[self.active] = self.t
 
 
+class Group:
+    """The chunks' packed blocks of some parts that lie side by side. borders: where its parts begin, but the first."""
+
+    def __init__(self, blocks: list[tuple[int, bytes]], known: np.ndarray, borders: np.ndarray):
+        self.known, raw = known, [unpack(x) for _, x in blocks]
+        self.chunks = np.array([chunk for chunk, _ in blocks], np.int64)
+        blocks.clear()
+        self.rare = np.concatenate([x[7] for x in raw])
+        self.rare_from = np.cumsum([0, *(len(x[7]) for x in raw[:-1])])
+        self.columns, self.cuts = [], []
+        for x in raw:
+            at = np.concatenate([[0], np.searchsorted(x[0], borders), [len(x[0])]])
+            entries = np.append(0, np.cumsum(x[1], dtype=np.int64))[at]
+            self.columns.append(x[:7])
+            self.cuts.append((at, entries, np.append(0, np.cumsum(x[5], dtype=np.int64))[entries]))
+
+    def columns_of(self, i: int) -> tuple[np.ndarray, ...] | None:
+        """What the group's i-th part is made of, if it has triples."""
+        own = [[x[slice(c[k][i], c[k][i + 1])] for x, k in zip(columns, (0, 0, 1, 1, 1, 1, 2), strict=True)] for columns, c in zip(self.columns, self.cuts, strict=True)]
+        name, many, far, word, count, occurs, doc = (np.concatenate(x) for x in zip(*own, strict=True))
+        if not len(far):
+            return None
+        sizes = np.array([len(x[2]) for x in own])
+        return np.repeat(name, many), *(self._names(x, sizes) for x in (far, word)), count.astype(np.int64), self.chunks, sizes, occurs, doc
+
+    def _names(self, number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        number = number.astype(np.int64)
+        out = self.known[np.minimum(number, max(len(self.known) - 1, 0))] if len(self.known) else np.zeros(len(number), np.uint64)
+        rare = np.flatnonzero(number >= len(self.known))
+        out[rare] = self.rare[number[rare] - len(self.known) + np.repeat(self.rare_from, sizes)[rare]]
+        return out
+
+
 class Part:
-    """The triples of one part, from the chunks' packed blocks, and who holds them.
+    """The triples of one part, and who holds them.
 
     near: each triple's restaurant of one word, from 0; pair: that of two words; word: its word's place in words; count: training
     tokens; dish: the (near, word) it is of. dish_near, dish_word: of each dish. own: customers of the root from pass (3).
+    Of each chunk that has some (chunks, and sizes: how many triples), in order: number, its triples; occurs, how often each occurs;
+    doc, the places in the chunk of the documents it occurs in.
     """
 
     def __init__(self, blocks: list[tuple[int, bytes]], known: np.ndarray):
-        raw = [unpack(x) for _, x in blocks]
-        name = lambda x, i: np.append(known, x[7])[i.astype(np.int64)]
-        near = np.concatenate([np.repeat(x[0], x[1]) for x in raw])
-        far, word = (np.concatenate([name(x, x[i]) for x in raw]) for i in (2, 3))
-        count = np.concatenate([x[4].astype(np.int64) for x in raw])
+        """Of the blocks of a group that has but one part."""
+        self._add_up(*Group(list(blocks), known, np.zeros(0, np.uint64)).columns_of(0))
+
+    @classmethod
+    def of(cls, *columns: np.ndarray) -> Part:
+        self = cls.__new__(cls)
+        self._add_up(*columns)
+        return self
+
+    def _add_up(self, near: np.ndarray, far: np.ndarray, word: np.ndarray, count: np.ndarray, chunks: np.ndarray, sizes: np.ndarray, occurs: np.ndarray, doc: np.ndarray) -> None:
         pair = mix(near + far * _FAR)
         order = np.lexsort((word, pair, near))
         near, pair, word = near[order], pair[order], word[order]
         first = runs(near, pair, word)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         self.count = np.add.reduceat(count[order], first)
         near, pair, word = near[first], pair[first], word[first]
         new = np.append(False, near[1:] != near[:-1])
         self.near, self.pair = np.cumsum(new), np.cumsum(new | np.append(False, pair[1:] != pair[:-1]))
         self.words, self.word = np.unique(word, return_inverse=True)
         self.own = np.zeros(len(self.words), np.int64)
-        edges = np.cumsum([0, *(len(x[2]) for x in raw)])
-        self.held = [(chunk, number[a:b], x[5], x[6]) for (chunk, _), x, a, b in zip(blocks, raw, edges, edges[1:], strict=False)]
+        self.chunks, self.sizes, self.occurs, self.doc = chunks, sizes, occurs, doc
         self._dishes()
 
     def _dishes(self) -> None:
@@ -241,22 +318,22 @@ class Part:
         self.dish_near, self.dish_word = names >> 32, names & 0xFFFFFFFF
 
     def pack(self) -> bytes:
-        held = []
-        for _, number, occurs, doc in self.held:
-            order = np.argsort(number)  # as steps, in the order of triples; an occurrence list goes with its triple
-            starts = np.cumsum(occurs, dtype=np.int64) - occurs
-            take = np.repeat(starts[order], occurs[order]) + (np.arange(len(doc)) - np.repeat(np.cumsum(occurs[order], dtype=np.int64) - occurs[order], occurs[order]))
-            held += [small(np.diff(number[order], prepend=0)), occurs[order], doc[take]]
-        return pack([self.words, small(np.bincount(self.near)), small(np.bincount(self.pair)), small(self.word), small(self.count), small(self.own), np.array([x[0] for x in self.held], np.int64), *held])
+        one = len(self.count)
+        placed = np.repeat(np.arange(len(self.sizes)) * one, self.sizes) + self.number
+        order = np.argsort(placed)  # as steps, in the order of triples of each chunk; an occurrence list goes with its triple
+        occurs = self.occurs[order]
+        starts = np.cumsum(self.occurs, dtype=np.int64) - self.occurs
+        take = np.repeat(starts[order], occurs) + (np.arange(len(self.doc)) - np.repeat(np.cumsum(occurs, dtype=np.int64) - occurs, occurs))
+        return pack([self.words, *map(small, (np.bincount(self.near), np.bincount(self.pair), self.word, self.count, self.own)), self.chunks, *map(small, (self.sizes, np.diff(placed[order], prepend=0))), small(occurs), self.doc[take]])
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Part:
         self = cls.__new__(cls)
-        self.words, nears, pairs, *rest, chunks = (arrays := unpack(raw))[:7]
+        self.words, nears, pairs, *rest, self.chunks, sizes, steps, self.occurs, self.doc = unpack(raw)
         self.near, self.pair = (np.repeat(np.arange(len(x)), x) for x in (nears, pairs))
         self.word, self.count, self.own = (x.astype(np.int64) for x in rest)
-        held = arrays[7:]
-        self.held = [(int(c), np.cumsum(held[3 * i], dtype=np.int64), *held[3 * i + 1 : 3 * i + 3]) for i, c in enumerate(chunks)]
+        self.sizes = sizes.astype(np.int64)
+        self.number = np.cumsum(steps, dtype=np.int64) - np.repeat(np.arange(len(sizes)) * len(self.count), self.sizes)
         self._dishes()
         return self
 
@@ -266,6 +343,8 @@ class Model:
 
     def __init__(self, known: np.ndarray, counts: np.ndarray, hot: np.ndarray, rooms: np.ndarray, total: int, distinct: int, parts: int):
         self.known, self.counts, self.hot, self.rooms, self.total, self.distinct, self.parts = known, counts, hot, rooms, total, distinct, parts
+        by_count = np.argsort(-counts, kind="stable")  # the most frequent have the smallest numbers in blocks
+        self.by_count, self.number = known[by_count], np.argsort(by_count)
         self.discounts = (0.75, 0.75, 0.75)  # of the root, of one word, of two
         self.root: np.ndarray | None = None  # customers of the known words
         self.customers, self.tables = 0.0, float(distinct)  # of the root: all its words'
@@ -357,7 +436,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (_train(key) if train is None else train).alias("train"))
-    counted = materialize(count_words(docs.where("train")), "words")
+    counted = materialize(count_words(docs.where("train")), "words", once=True)
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     top = most_frequent(counted, "n", words_kept).toArrow()
     word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -372,7 +451,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     kind = docs.schema["key"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each part of a chunk, and a row (part -1) for the chunk's documents."""
+        """A row for each group of parts of a chunk, and a row (part -1) for the chunk's documents."""
         model, task = shared.value, TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches, "text", CHUNK)):
             chunk = task << 32 | number
@@ -387,10 +466,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             near, row, which = near[order], row[order], which[order]
             first = runs(near, which)
             ends = np.append(first, len(order))
-            far, token, near = far[order][first], token[order][first], near[first]
+            order = order[first]
+            far, token, near = far[order], token[order], near[first]
+            del which, order
             occurs, trained = np.diff(ends), np.add.reduceat(is_train[row].astype(np.int64), first)
             numbers_of = [places(x, model.known) for x in (far, token)]
-            edges = [0, *np.searchsorted(near, borders), len(first)]
+            edges = [0, *np.searchsorted(near, borders[grouped - 1 :: grouped]), len(first)]
             payload, numbers = [], []
             for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                 if a == b:
@@ -398,7 +479,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
                 names, who = runs(near[a:b]), []
                 rare = np.unique(np.concatenate([x[a:b][i[a:b] < 0] for x, i in zip((far, token), numbers_of, strict=True)]))
                 for x, i in zip((far, token), numbers_of, strict=True):
-                    who.append(small(np.where(i[a:b] >= 0, i[a:b], len(model.known) + np.searchsorted(rare, x[a:b]))))
+                    is_known = i[a:b] >= 0
+                    number = np.empty(b - a, np.int64)
+                    number[is_known] = model.number[i[a:b][is_known]]
+                    number[~is_known] = len(model.known) + np.searchsorted(rare, x[a:b][~is_known])
+                    who.append(small(number))
                 payload.append(pack([near[a:b][names], small(np.diff(np.append(names, b - a))), *who, small(trained[a:b]), small(occurs[a:b]), small(row[ends[a] : ends[b]]), rare]))
                 numbers.append(p)
             sink = pa.BufferOutputStream()
@@ -409,18 +494,26 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             numbers.append(-1)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([chunk] * len(numbers), pa.int64()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
 
-    borders = np.array([(s << 64) // parts for s in range(1, parts)], np.uint64)
+    # chunks are in the order of the upper bits, so these alone tell a part
+    borders = np.array([(s << 64) // parts for s in range(1, parts)], np.uint64) & ~np.uint64(0xFFFFFF)
+    grouped = min(max(parts // SPLIT, 1), MOST_GROUPED)
     shards = math.ceil(parts / ASKERS)
     limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by part: add up its triples, seat them and ask for rare words' customers. Documents' rows pass through."""
+        """Rows come sorted by group: add up each part's triples, seat them and ask for rare words' customers. Documents' rows pass through."""
         model, held, now = shared.value, [], None
 
-        def out() -> pa.RecordBatch:
-            part = Part(held, model.known)
-            held.clear()
-            pa.default_memory_pool().release_unused()
+        def of_group() -> Iterator[pa.RecordBatch]:
+            first = now * grouped
+            group = Group(held, model.by_count, borders[first : min(first + grouped, parts) - 1])
+            for p in range(first, min(first + grouped, parts)):
+                columns = group.columns_of(p - first)
+                if columns is not None:
+                    yield out(p, Part.of(*columns))
+                    pa.default_memory_pool().release_unused()
+
+        def out(now: int, part: Part) -> pa.RecordBatch:
             local = np.bincount(part.word, part.count, len(part.words)).astype(np.int64)
             is_known = places(part.words, model.known)
             counts = model.of_words(part.words, model.counts, local[is_known < 0])
@@ -446,16 +539,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([payload], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.binary()))], names)
                     continue
                 if p != now and held:
-                    yield out()
+                    yield from of_group()
                 now = p
                 held.append((chunk, payload))
         if held:
-            yield out()
+            yield from of_group()
 
     spread = F.when(F.col("part") < 0, F.col("chunk")).otherwise(F.col("part"))
     release(spark)
     dealt = docs.mapInArrow(deal, "part int, chunk long, payload binary").repartition(spread, "part").sortWithinPartitions("part", "chunk")
-    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, stats binary, asked array<binary>"), "parts")
+    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, stats binary, asked array<binary>"), "parts", once=True)
     del dealt
     release(spark)
 
@@ -502,17 +595,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted: a part, then its rare words' totals. Per chunk: its documents' known tokens, base and model log
         probabilities, summed over the task's parts."""
-        model, held, size, now, whole, totals = ready.value, {}, 0, None, None, []
+        model, held, size, now, whole, totals = ready.value, [], 0, None, None, []
 
         def add() -> int:
-            n = 0
             rare = map(np.concatenate, zip(*map(unpack, totals), strict=True)) if totals else (np.zeros(0), np.zeros(0))
-            for chunk, *columns in terms_of(now, Part.unpacked(whole), model, *rare):
-                held.setdefault(chunk, []).append(columns)
-                n += len(columns[0])
+            held.append(terms_of(now, Part.unpacked(whole), model, *rare))
             totals.clear()
             pa.default_memory_pool().release_unused()
-            return n
+            return len(held[-1][0])
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -532,27 +622,35 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             add()
         yield from out(held)
 
-    def out(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in held.items():
-            doc, seen, base, score = map(np.concatenate, zip(*rows, strict=True))
-            ids, place = np.unique(doc, return_inverse=True)
-            body = pack([small(ids), small(np.bincount(place, seen).astype(np.int64)), np.bincount(place, base), np.bincount(place, score)])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([chunk], pa.int64()), pa.array([body], pa.binary())], ["part", "chunk", "payload"])
+    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        heads = [rows[runs(rows >> PLACE)] >> PLACE for rows, *_ in held]
+        chunks = np.unique(np.concatenate(heads)) if held else np.zeros(0, np.int64)
+        for i in range(0, len(chunks), CHUNKS_AT_ONCE):
+            these = chunks[i : i + CHUNKS_AT_ONCE]
+            cuts = [np.searchsorted(rows, [these[0] << PLACE, (these[-1] + 1) << PLACE]) for rows, *_ in held]
+            rows, *values = summed(*map(np.concatenate, zip(*([x[a:b] for x in columns] for columns, (a, b) in zip(held, cuts, strict=True)), strict=True)))
+            first = runs(rows >> PLACE)
+            for a, b in zip(first, np.append(first[1:], len(rows)), strict=True):
+                seen, base, score = (x[a:b] for x in values)
+                body = pack([small(rows[a:b] & (1 << PLACE) - 1), small(seen.astype(np.int64)), base, score])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([rows[a] >> PLACE], pa.int64()), pa.array([body], pa.binary())], ["part", "chunk", "payload"])
         held.clear()
 
-    def terms_of(p: int, part: Part, model: Model, customers: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    def summed(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids, place = np.unique(rows, return_inverse=True)
+        return ids, *(np.bincount(place, x) for x in values)
+
+    def terms_of(p: int, part: Part, model: Model, customers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Documents (their chunk, then PLACE bits of their place in it), and of each its known tokens, base and model log probability."""
         mean = np.zeros(len(part.word))
         count = model.of_words(part.words, model.counts, counts)
         for *_, probability in model.seat(part, p, SAMPLES, model.of_words(part.words, model.root, customers), count):
             mean += probability / SAMPLES
         del probability
-        score = np.log10(mean)
         base = np.log10((count + 1) / (model.total + model.distinct + 1))[part.word]
-        seen = (count > 0)[part.word]
-        for chunk, number, occurs, doc in part.held:
-            pair = np.repeat(number, occurs)
-            ids, place = np.unique(doc, return_inverse=True)
-            yield chunk, ids, np.bincount(place, seen[pair]), np.bincount(place, base[pair]), np.bincount(place, score[pair])
+        pair = np.repeat(part.number, part.occurs)
+        rows = np.repeat(np.repeat(part.chunks, part.sizes), part.occurs) << PLACE | part.doc
+        return summed(rows, (count > 0)[part.word][pair], base[pair], np.log10(mean)[pair])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by chunk and part, its documents first."""

@@ -379,3 +379,52 @@ def test_the_law_of_many_customers_goes_on_from_the_table():
         for opens in (0.01, 1.0, 20.0, 1000.0):
             a, b = (language_model.draw_tables(np.full(20_000, language_model.EXACT + i), np.full(20_000, opens), d, rng) for i in (0, 1))
             assert abs(a.mean() - b.mean()) < 0.02 * a.mean() + 0.05 and abs(a.std() - b.std()) < 0.05 * a.std() + 0.05
+
+
+def test_groups_of_parts_hold_what_single_parts_hold(spark, sf_dir, monkeypatch):
+    """Parts are the same whether their blocks came alone or with others."""
+    docs = language_model.table(spark, sf_dir, "documents")
+    monkeypatch.setattr(language_model, "PART", 10_000)
+    made = []
+    for split in (10**9, 1):
+        monkeypatch.setattr(language_model, "SPLIT", split)
+        made.append({r["doc_id"]: r for r in language_model.score_documents(docs).collect()})
+    alone, together = made
+    assert len(alone) == docs.select("doc_id").distinct().count() and alone.keys() == together.keys()
+    for k, r in alone.items():
+        assert r["n_known"] == together[k]["n_known"] and abs(r["base_score"] - together[k]["base_score"]) < 1e-6 and abs(r["score"] - together[k]["score"]) < 1e-6 * r["n_tokens"]
+
+
+def test_names_are_packed_by_their_steps():
+    names = np.sort(np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)) * np.uint64(2)
+    odd = np.array([5, 2**64 - 1, 0, 7], np.uint64)
+    assert [x.tolist() for x in language_model.unpack(language_model.pack([names, odd, np.arange(3)]))] == [names.tolist(), odd.tolist(), [0, 1, 2]]
+    near = np.cumsum(np.full(5000, 2**50, np.uint64) + names % np.uint64(2**32 + 1))
+    plain = [near.view(np.int64)]
+    assert len(language_model.pack([near])) < 0.8 * len(language_model.pack(plain))
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    from lodestone.llm import common
+
+    files = lambda: spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(",").count("shuffle_")
+    before = files()
+    kept = common.materialize(spark.range(1000).repartition(3, "id"), "kept", once=True)
+    assert files() <= before
+    assert kept.count() == 1000 and spark.conf.get(common.CLEANUP, "false") != "true"
+
+
+def test_tables_are_drawn_from_a_bounded_number_of_weights(monkeypatch):
+    """Weights that are left out are too small to tell, and the draws don't depend on how many are taken at once."""
+    law = language_model.seatings(0.6)
+    c = np.arange(2, language_model.EXACT + 1)
+    for log_opens in (-9.0, 0.0, 9.0):
+        low, high = language_model.likely(law, c, np.full(len(c), log_opens))
+        for i in range(0, len(c), 37):
+            w = law[c[i], 1 : c[i] + 1] + np.arange(1, c[i] + 1) * log_opens
+            likely = np.flatnonzero(w >= w.max() - language_model.FAINT) + 1
+            assert (low[i], high[i]) == (likely[0], likely[-1])
+    drawn = [language_model.draw_tables(c, np.full(len(c), 3.0), 0.6, np.random.default_rng(1))]
+    monkeypatch.setattr(language_model, "WEIGHTS", 100)
+    drawn.append(language_model.draw_tables(c, np.full(len(c), 3.0), 0.6, np.random.default_rng(1)))
+    assert (drawn[0] == drawn[1]).all()
