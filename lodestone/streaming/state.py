@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,47 +32,52 @@ class Attempts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "version long")
-        self.failed = handle.getValueState("failed", "version long, attempt int, until long, text string")
+        # one state for all: each look at a state is a call to the JVM. version to text: of the failed version, if there is one
+        self.state = handle.getValueState("state", "current long, version long, attempt int, until long, text string")
 
-    def _try(self, key: str, version: int, text: str | None, attempt: int, now: int) -> pd.DataFrame:
+    def _try(self, key: str, version: int, text: str | None, attempt: int, now: int, current: int | None) -> pd.DataFrame:
         try:
             payload = self.work(key, version, text)
         except Exception:  # a document that a model can't take is a failure like any other
             payload = None
         if payload is not None:
-            self.current.update((version,))
-            self.failed.clear()
+            self.state.update((version, None, None, None, None))
         elif attempt < self.most:
-            self.failed.update((version, attempt, now + self.wait, text))
+            self.state.update((current, version, attempt, now + self.wait, text))
             self.handle.registerTimer(now + self.wait)
         else:
-            self.failed.update((version, attempt, 2**62, None))
+            self.state.update((current, version, attempt, 2**62, None))
         return pd.DataFrame({"path_key": [key], "version": [version], "payload": [payload], "failed": [payload is None], "attempt": [attempt], "at": [now]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         newest = None
         for part in rows:
-            part = part.sort_values(["version", "text"], kind="stable", na_position="first")
-            last = part.iloc[-1]
-            if newest is None or last["version"] >= newest[0]:
-                newest = (int(last["version"]), last["text"], int(last["seen"].timestamp() * 1000))
+            version, text = part["version"].to_numpy(), part["text"].to_numpy()
+            known = [t is not None and t == t for t in text]  # null is the least
+            i = max(np.flatnonzero(version == version.max()).tolist(), key=lambda i: (known[i], text[i] if known[i] else "", i))
+            if newest is None or version[i] >= newest[0]:
+                newest = (int(version[i]), text[i] if known[i] else None, int(part["seen"].iloc[i].timestamp() * 1000))
         if newest is None:
             return
         version, text, seen = newest
-        current, failed = self.current.get(), self.failed.get()
-        if (current is not None and version <= current[0]) or (failed is not None and version <= failed[0]):
+        current, failed = self._seen()
+        if (current is not None and version <= current) or (failed is not None and version <= failed[0]):
             return
         now = max(seen, timerValues.getCurrentWatermarkInMs())
         if failed is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
-        yield self._try(key[0], version, text, 1, now)
+        yield self._try(key[0], version, text, 1, now, current)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        failed = self.failed.get()
+        current, failed = self._seen()
         if failed is not None and failed[2] <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._try(key[0], failed[0], failed[3], failed[1] + 1, expiredTimerInfo.getExpiryTimeInMs())
+            yield self._try(key[0], failed[0], failed[3], failed[1] + 1, expiredTimerInfo.getExpiryTimeInMs(), current)
+
+    def _seen(self) -> tuple[int | None, tuple | None]:
+        """The current version, and the failed one with its attempts, when it may be tried again, and its text."""
+        now = self.state.get()
+        return (None, None) if now is None else (now[0], None if now[1] is None else tuple(now[1:]))
 
 
 def attempts(stream: DataFrame, work: Callable[[str, int, str | None], str | None], hours: float = 24, most: int = 3, late: str = "0 seconds") -> DataFrame:

@@ -341,3 +341,42 @@ def test_pieces_of_prompts(spark):
     red = [*model.encode("a red fox"), model.eos_id()]
     assert got[0][0][: len(red)] == red and sum(got[0][1]) == len(red) and len(got[0][0]) == 64
     assert got[1][0][-1] == model.eos_id() and sum(got[1][1]) == 64 and sum(got[2][1]) == 1
+
+
+def test_a_path_costs_two_looks_at_its_state():
+    """Each look is a call to the JVM, so a path of a batch takes one to read and one to write."""
+    import pandas as pd
+
+    from lodestone.streaming.state import Attempts
+
+    calls, kept = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return kept.get(self.name)
+
+        def update(self, value):
+            calls.append("update")
+            kept[self.name] = value
+
+        def clear(self):
+            calls.append("clear")
+            kept.pop(self.name, None)
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: State(name))  # noqa: N815
+        listTimers = staticmethod(lambda: [])  # noqa: N815
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)  # noqa: N815
+
+    a = Attempts(lambda key, version, text: None if version == 3 else f"{version}{text}", 1, 1)
+    a.init(Handle())
+    batch = lambda *rows: iter([pd.DataFrame([(*r, pd.Timestamp(1000, unit="s")) for r in rows], columns=["version", "text", "seen"])])
+    made = [[tuple(x) for df in a.handleInputRows(("k",), batch(*rows), Times()) for x in df[["version", "payload", "failed", "attempt"]].itertuples(index=False)] for rows in ([(1, "a"), (2, None), (2, "b")], [(2, "c")], [(3, "x")], [(3, "y"), (1, "z")], [(4, None)])]
+    assert made == [[(2, "2b", False, 1)], [], [(3, None, True, 1)], [], [(4, "4None", False, 1)]]
+    assert len(calls) == 2 + 1 + 2 + 1 + 2
