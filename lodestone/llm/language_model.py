@@ -317,6 +317,18 @@ class Part:
         names, self.dish = np.unique(self.near.astype(np.int64) << 32 | self.word, return_inverse=True)
         self.dish_near, self.dish_word = names >> 32, names & 0xFFFFFFFF
 
+    @property
+    def held(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By chunk: the chunk, and its number, occurs and doc."""
+        ends = np.cumsum(self.sizes)
+        docs = np.append(0, np.cumsum(self.occurs, dtype=np.int64))
+        return [(int(c), self.number[a:b], self.occurs[a:b], self.doc[docs[a] : docs[b]]) for c, a, b in zip(self.chunks, ends - self.sizes, ends, strict=True)]
+
+    @held.setter
+    def held(self, chunks: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.chunks, self.sizes = np.array([x[0] for x in chunks], np.int64), np.array([len(x[1]) for x in chunks])
+        self.number, self.occurs, self.doc = (np.concatenate([x[k] for x in chunks]) for k in (1, 2, 3))
+
     def pack(self) -> bytes:
         one = len(self.count)
         placed = np.repeat(np.arange(len(self.sizes)) * one, self.sizes) + self.number
