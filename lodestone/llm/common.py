@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -68,6 +69,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: The C library's, where it has one (glibc).
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give the system back what a task has freed. Else a Python worker, which goes on to other tasks or idles, keeps the most that it ever had."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """The name, with underscores after it until no column has it (whatever its case)."""
     taken = {c.lower() for c in columns}
@@ -154,15 +166,16 @@ def row_groups(offsets: np.ndarray, most: int = AT_ONCE) -> Iterator[tuple[int,
         start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased (A-Z) words of each row, and each row's first word's place (with the end: rows + 1)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased (A-Z) words of each row, and each row's first word's place (with the end: rows + 1). most: bytes
+    that are hashed at once."""
     words, firsts, n = [np.zeros(0, np.uint64)], [], 0
-    for a, b in row_groups(offsets):
-        if offsets[b] - offsets[a] > 2 * AT_ONCE:  # one long text: in pieces that end before a separator
+    for a, b in row_groups(offsets, most):
+        if offsets[b] - offsets[a] > 2 * most:  # one long text: in pieces that end before a separator
             firsts.append(np.array([n]))
             at = int(offsets[a])
             while at < offsets[b]:
-                end = _cut(data, at + AT_ONCE, int(offsets[b]))
+                end = _cut(data, at + most, int(offsets[b]))
                 words.append(_word_hashes(data[at:end], np.array([0, end - at]))[0])
                 n += len(words[-1])
                 at = end

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, most_frequent, release, slices, table, utf8, word_hashes
+from .common import materialize, mix, most_frequent, release, slices, table, trim, utf8, word_hashes
 
 #: Words whose customers of the root are broadcast; parts whose questions about the others one shard answers, about.
 KNOWN, ASKERS = 65_536, 16
@@ -46,8 +46,10 @@ BURN, BETWEEN, SAMPLES, STRENGTH = 3, 1, 4, 1.0
 ROOT_DRAWS = 12
 #: Customers of a dish up to which the law of its tables is tabulated; beyond, it is a binomial of nearly the same mean and variance.
 EXACT = 1000
+#: Customers of a dish up to which all numbers of tables are weighed, without a search for the likely ones. Text bytes that are hashed at once.
+FEW, HASHED = 8, 1 << 18
 #: Weights of numbers of tables that are drawn from at once; below which part of the largest (its -log) they are left out: all left out together are below a double's last bit.
-WEIGHTS, FAINT = 500_000, 44.0
+WEIGHTS, FAINT = 100_000, 44.0
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Rows of totals that aren't of words: the root's customers, tables of its rare words; triples, dishes of one word and rare words with one customer and with two.
@@ -58,7 +60,7 @@ _FAR, _WORD, _ROOM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of all texts: token hashes (END after each), and the row of each."""
     data, offsets = utf8(texts)
-    words, first = word_hashes(data, offsets)
+    words, first = word_hashes(data, offsets, HASHED)
     rows = len(offsets) - 1
     out = np.full(len(words) + rows, END)
     out[np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(first))] = words
@@ -168,8 +170,15 @@ def likely(law: np.ndarray, customers: np.ndarray, log_opens: np.ndarray) -> tup
 def draw_tables(customers: np.ndarray, opens: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
     """Numbers of tables of many (restaurant, word) pairs: t with weight opens ** t times that of all seatings at t tables."""
     tables = (customers > 0).astype(np.int64)  # one customer has one table
-    if len(some := np.flatnonzero((customers > 1) & (customers <= EXACT))):
-        law = seatings(discount)
+    some = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    if len(some):
+        law, c = seatings(discount), customers[some]
+        for n in range(2, FEW + 1):
+            if len(these := some[c == n]):
+                share = np.cumsum(np.exp(law[n, 1 : n + 1])[:, None] * opens[these] ** np.arange(n)[:, None], axis=0)
+                tables[these] = 1 + (share[:-1] <= random.random(len(these)) * share[-1]).sum(axis=0)
+        some = some[c > FEW]
+    if len(some):
         c, log_opens = customers[some], np.log(opens[some])
         low, high = likely(law, c, log_opens)
         wide = high - low + 1
@@ -433,8 +442,10 @@ def count_words(docs: DataFrame) -> DataFrame:
             if size > PART:
                 yield out()
                 size = 0
+                trim()
         if held:
             yield out()
+        trim()
 
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -468,9 +479,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
         for number, batch in enumerate(slices(batches, "text", CHUNK)):
             chunk = task << 32 | number
             token, row = tokens(batch.column("text"))
+            lengths, row = np.bincount(row, minlength=batch.num_rows), row.astype(np.uint16)
             near, far = before(token)
             near = model.restaurant(near, far)
-            lengths = np.bincount(row, minlength=batch.num_rows)
             is_train = np.asarray(batch.column("train").to_pylist(), bool)
             which = triples(near, far, token)
             # by restaurant, then by triple as far as the bits go: what isn't added up here is added up in the part
@@ -481,8 +492,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             order = order[first]
             far, token, near = far[order], token[order], near[first]
             del which, order
-            occurs, trained = np.diff(ends), np.add.reduceat(is_train[row].astype(np.int64), first)
-            numbers_of = [places(x, model.known) for x in (far, token)]
+            occurs, trained = np.diff(ends), np.add.reduceat(is_train[row].astype(np.int32), first)
+            numbers_of = [places(x, model.known).astype(np.int32) for x in (far, token)]
             edges = [0, *np.searchsorted(near, borders[grouped - 1 :: grouped]), len(first)]
             payload, numbers = [], []
             for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -504,7 +515,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
                 stream.write_batch(inner)
             payload.append(sink.getvalue().to_pybytes())
             numbers.append(-1)
+            del token, near, far, row, numbers_of, occurs, trained, first, ends
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([chunk] * len(numbers), pa.int64()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
+            del payload
+            trim()
 
     # chunks are in the order of the upper bits, so these alone tell a part
     borders = np.array([(s << 64) // parts for s in range(1, parts)], np.uint64) & ~np.uint64(0xFFFFFF)
@@ -513,7 +527,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group: add up each part's triples, seat them and ask for rare words' customers. Documents' rows pass through."""
+        """Rows come sorted by group: add up each part's triples, seat them and ask for rare words' customers. Documents' rows pass through
+        (payload); parts are in a column of their own (whole), which is not read for them."""
         model, held, now = shared.value, [], None
 
         def of_group() -> Iterator[pa.RecordBatch]:
@@ -523,7 +538,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
                 columns = group.columns_of(p - first)
                 if columns is not None:
                     yield out(p, Part.of(*columns))
-                    pa.default_memory_pool().release_unused()
+                    del columns
+                    trim()
 
         def out(now: int, part: Part) -> pa.RecordBatch:
             local = np.bincount(part.word, part.count, len(part.words)).astype(np.int64)
@@ -541,14 +557,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             number = lambda x, k: int((x == k).sum())
             single = [(CUSTOMERS, own.sum()), (TABLES, tables.sum()), (ONE_3, number(part.count, 1)), (TWO_3, number(part.count, 2)), (ONE_2, number(customers, 1)), (TWO_2, number(customers, 2)), (ONE_1, number(few, 1)), (TWO_1, number(few, 2))]
             stats = [np.concatenate(x).astype(np.int64) for x in zip((is_known[ids], own[ids]), tuple(np.array(x) for x in zip(*single, strict=True)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([0], pa.int64()), pa.array([part.pack()], pa.binary()), pa.array([pack(stats)], pa.binary()), pa.array([asked], pa.list_(pa.binary()))], names)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([0], pa.int64()), pa.array([None], pa.binary()), pa.array([part.pack()], pa.binary()), pa.array([pack(stats)], pa.binary()), pa.array([asked], pa.list_(pa.binary()))], names)
 
-        names = ["part", "chunk", "payload", "stats", "asked"]
+        names = ["part", "chunk", "payload", "whole", "stats", "asked"]
         for batch in batches:
             for row in range(batch.num_rows):
                 p, chunk, payload = (batch.column(i)[row].as_py() for i in range(3))
                 if p < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([payload], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.binary()))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([payload], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.binary()))], names)
                     continue
                 if p != now and held:
                     yield from of_group()
@@ -556,11 +572,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
                 held.append((chunk, payload))
         if held:
             yield from of_group()
+        trim()
 
     spread = F.when(F.col("part") < 0, F.col("chunk")).otherwise(F.col("part"))
     release(spark)
     dealt = docs.mapInArrow(deal, "part int, chunk long, payload binary").repartition(spread, "part").sortWithinPartitions("part", "chunk")
-    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, stats binary, asked array<binary>"), "parts", once=True)
+    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, whole binary, stats binary, asked array<binary>"), "parts", once=True)
     del dealt
     release(spark)
 
@@ -613,7 +630,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             rare = map(np.concatenate, zip(*map(unpack, totals), strict=True)) if totals else (np.zeros(0), np.zeros(0))
             held.append(terms_of(now, Part.unpacked(whole), model, *rare))
             totals.clear()
-            pa.default_memory_pool().release_unused()
+            trim()
             return len(held[-1][0])
 
         for batch in batches:
@@ -632,7 +649,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
                     size = 0
         if whole is not None:
             add()
+            whole = None
         yield from out(held)
+        seatings.cache_clear()
+        trim()
 
     def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         heads = [rows[runs(rows >> PLACE)] >> PLACE for rows, *_ in held]
@@ -692,7 +712,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
 
     asked = gathered.where("part >= 0").select("part", F.posexplode("asked").alias("chunk", "payload")).where("length(payload) > 0")
     answers = asked.select("part", F.col("chunk").cast("long").alias("chunk"), "payload").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(answer, "part int, chunk long, payload binary")
-    filled = gathered.where("part >= 0").select("part", F.lit(-1).cast("long").alias("chunk"), "payload").union(answers).repartition("part").sortWithinPartitions("part", "chunk")
+    filled = gathered.where("part >= 0").select("part", F.lit(-1).cast("long").alias("chunk"), F.col("whole").alias("payload")).union(answers).repartition("part").sortWithinPartitions("part", "chunk")
     terms = filled.mapInArrow(apply, "part int, chunk long, payload binary")
     rows = terms.union(gathered.where("part < 0").select("part", "chunk", "payload"))
     return rows.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(finish, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -37,3 +37,12 @@ def test_words_hash_alike_wherever_they_are(monkeypatch):
     monkeypatch.setattr(common, "AT_ONCE", 5)
     again = [np.concatenate([common._word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0] for a, b in common.row_groups(offsets, 5)])]
     assert np.array_equal(again[0], words)
+
+
+def test_what_a_task_has_freed_goes_back_to_the_system():
+    rss = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1])
+    held = [np.ones(8000) for _ in range(2000)]  # 128 MB in pieces that the C library keeps
+    pins, full = held[::100], rss()
+    del held
+    common.trim()
+    assert len(pins) == 20 and rss() < full - 100_000

@@ -428,3 +428,28 @@ def test_tables_are_drawn_from_a_bounded_number_of_weights(monkeypatch):
     monkeypatch.setattr(language_model, "WEIGHTS", 100)
     drawn.append(language_model.draw_tables(c, np.full(len(c), 3.0), 0.6, np.random.default_rng(1)))
     assert (drawn[0] == drawn[1]).all()
+
+
+def test_tables_of_few_customers_follow_their_law():
+    rng = np.random.Generator(np.random.PCG64(8))
+    law, n = language_model.seatings(0.7), 40_000
+    for c in (2, 3, language_model.FEW, language_model.FEW + 1):
+        for opens in (1e-6, 0.4, 3.0, 1e6):
+            w = law[c, 1 : c + 1] + np.arange(1, c + 1) * np.log(opens)
+            want = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+            got = np.bincount(language_model.draw_tables(np.full(n, c), np.full(n, opens), 0.7, rng), minlength=c + 1)[1:] / n
+            assert len(got) == c and np.abs(got - want).max() < 0.012
+
+
+def test_parts_are_in_a_column_of_their_own(spark, sf_dir, monkeypatch):
+    """Who reads the documents' rows doesn't read the parts, which are larger by far."""
+    made, materialize = {}, language_model.materialize
+
+    def kept(df, name, once=False):
+        made[name] = materialize(df, name, once)
+        return made[name]
+
+    monkeypatch.setattr(language_model, "materialize", kept)
+    language_model.op7_pitman_yor_lm(spark, sf_dir)
+    rows = made["parts"].selectExpr("part < 0 AS docs", "payload IS NOT NULL AS payload", "whole IS NOT NULL AS whole").distinct().collect()
+    assert {tuple(r) for r in rows} == {(True, True, False), (False, False, True)}
