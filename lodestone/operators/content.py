@@ -52,7 +52,9 @@ def search(docs: DataFrame, terms: tuple[Term, ...], k: int, key: str = "doc_id"
     for i, t in enumerate(terms):
         options = [F.struct(T.occurrences(lower, w.lower()).alias("tf"), (-T.first_place(lower, w.lower())).alias("place")) for w in t.texts]
         best.append(F.array_max(F.array(*options)).alias(f"_t{i}"))
-    rows = rows.select("*", *best)
+    # as rows of one: conditions on a plain column would be turned into conditions on the text, which count anew for each use, and
+    # go below the joins that chose the documents
+    rows = rows.select("*", F.explode(F.array(F.struct(*best))).alias("_t")).select("*", "_t.*")
     lexical, in_text, matched, places = F.lit(0.0), F.lit(0), F.lit(0), []
     for i, t in enumerate(terms):
         tf = F.col(f"_t{i}.tf")

@@ -295,7 +295,7 @@ class ContentIndex:
             texts = self._texts(parts, wanted).withColumn("_at", F.struct("doc_key", "chunk", "place"))
             return content.search(texts, terms, k, "_at", "text", F.col("name"), F.col("directory_path"), None, F.col("modified"), stats)
 
-        best = bounded.orderBy(F.desc("bound"), "chunk", "place").limit(ahead * k)
+        best = F.broadcast(bounded.orderBy(F.desc("bound"), "chunk", "place").limit(ahead * k).select("chunk", "place"))
         scores = exact(best).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
         floor = scores["least"] if scores["n"] == k else None
         found = exact(bounded if floor is None else bounded.where(F.col("bound") >= floor - 1e-9 * (1 + abs(floor))))

@@ -304,3 +304,16 @@ def test_many_roots_are_one_join(spark):
     assert got("/A/b", "/a/B/", "/e/f/g", "/e", None) == ["/a/b", "/a/b/x", "/e/f/g/h"] and got("/") == sorted(p for p in paths if p[0] == "/") and got("/zz") == []
     assert got(*(f"/no/{i}" for i in range(3000)), "rel", "/d") == ["/d", "rel/x"]
     assert [r["root"] for r in results.outermost(spark.createDataFrame([("/a",), ("/a/b/c",), ("/ab",)], "root string")).orderBy("root").collect()] == ["/a", "/ab"]
+
+
+def test_a_text_is_scored_once_and_only_where_a_join_chose_it(spark):
+    """Conditions on scores don't become conditions on texts, which would be counted anew for each use, below the join."""
+    from lodestone.operators import content
+    from lodestone.plans.intent import Term
+
+    docs = spark.createDataFrame([(i, f"the token {'license ' * (i % 3)}") for i in range(20)], "doc_id long, text string")
+    terms = tuple(Term(w, (w,), (w,)) for w in ("license", "token", "the"))
+    found = content.search(docs.join(spark.range(5).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), terms, 5, known=content.statistics(docs, terms))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "license" in x]
+    assert {r["doc_id"] for r in found.collect()} == set(range(5))
