@@ -44,21 +44,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Whether Spark removes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch of rows that goes to Python: JVM and worker hold one each.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialize(df: DataFrame, name: str, once: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, once: bool = False, batch: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, computes once, survives lost executors.
 
-    once: nothing else uses df, so its shuffle files go as soon as it is written."""
+    once: nothing else uses df, so its shuffle files go as soon as it is written. batch: bytes of a batch that goes to Python."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    if once:
-        spark.conf.set(CLEANUP, "true")
+    wanted = ({CLEANUP: "true"} if once else {}) | ({BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.select("*").write.parquet(path)
     finally:
-        if once:
-            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -459,7 +459,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (_train(key) if train is None else train).alias("train"))
-    counted = materialize(count_words(docs.where("train")), "words", once=True)
+    counted = materialize(count_words(docs.where("train")), "words", once=True, batch=CHUNK)
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     top = most_frequent(counted, "n", words_kept).toArrow()
     word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -476,7 +476,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each group of parts of a chunk, and a row (part -1) for the chunk's documents."""
         model, task = shared.value, TaskContext.get().partitionId()
-        for number, batch in enumerate(slices(batches, "text", CHUNK)):
+        for number, batch in enumerate(slices(batches, "text", 2 * CHUNK)):  # batches are of about CHUNK
             chunk = task << 32 | number
             token, row = tokens(batch.column("text"))
             lengths, row = np.bincount(row, minlength=batch.num_rows), row.astype(np.uint16)
@@ -577,7 +577,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     spread = F.when(F.col("part") < 0, F.col("chunk")).otherwise(F.col("part"))
     release(spark)
     dealt = docs.mapInArrow(deal, "part int, chunk long, payload binary").repartition(spread, "part").sortWithinPartitions("part", "chunk")
-    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, whole binary, stats binary, asked array<binary>"), "parts", once=True)
+    gathered = materialize(dealt.mapInArrow(gather, "part int, chunk long, payload binary, whole binary, stats binary, asked array<binary>"), "parts", once=True, batch=CHUNK)
     del dealt
     release(spark)
 
@@ -713,7 +713,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     asked = gathered.where("part >= 0").select("part", F.posexplode("asked").alias("chunk", "payload")).where("length(payload) > 0")
     answers = asked.select("part", F.col("chunk").cast("long").alias("chunk"), "payload").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(answer, "part int, chunk long, payload binary")
     filled = gathered.where("part >= 0").select("part", F.lit(-1).cast("long").alias("chunk"), F.col("whole").alias("payload")).union(answers).repartition("part").sortWithinPartitions("part", "chunk")
-    terms = filled.mapInArrow(apply, "part int, chunk long, payload binary")
+    terms = materialize(filled.mapInArrow(apply, "part int, chunk long, payload binary"), "terms", once=True, batch=CHUNK)
     rows = terms.union(gathered.where("part < 0").select("part", "chunk", "payload"))
     return rows.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(finish, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -46,3 +46,14 @@ def test_what_a_task_has_freed_goes_back_to_the_system():
     del held
     common.trim()
     assert len(pins) == 20 and rss() < full - 100_000
+
+
+def test_batches_of_a_materialized_step_are_bounded(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    kept = common.materialize(rows.mapInArrow(sizes, "n long"), "sizes", batch=1 << 20)
+    assert kept.agg(F.max("n")).first()[0] < 250 and kept.agg(F.sum("n")).first()[0] == 2000
+    assert spark.conf.get(common.BATCH, None) != str(1 << 20)

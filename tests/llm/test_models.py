@@ -445,8 +445,8 @@ def test_parts_are_in_a_column_of_their_own(spark, sf_dir, monkeypatch):
     """Who reads the documents' rows doesn't read the parts, which are larger by far."""
     made, materialize = {}, language_model.materialize
 
-    def kept(df, name, once=False):
-        made[name] = materialize(df, name, once)
+    def kept(df, name, **options):
+        made[name] = materialize(df, name, **options)
         return made[name]
 
     monkeypatch.setattr(language_model, "materialize", kept)
